@@ -53,9 +53,9 @@ def labelled(spark, n, junk):
 
 
 def test_certified_cutoffs_reject_bad_and_keep_good(spark):
-    docs, labels = labelled(spark, 12000, " ".join(f"w{j}###" for j in range(30)))
+    docs, labels = labelled(spark, 24000, " ".join(f"w{j}###" for j in range(30)))
     out = quality_table(docs, labels).groupBy((F.col("doc_id") % 5 == 0).alias("bad"), "kept").count().collect()
-    assert {(r.bad, r.kept): r["count"] for r in out} == {(True, False): 2400, (False, True): 9600}
+    assert {(r.bad, r.kept): r["count"] for r in out} == {(True, False): 4800, (False, True): 19200}
 
 
 def test_too_few_labels_certify_nothing(spark):
