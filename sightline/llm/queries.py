@@ -23,6 +23,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sizes).drop("source")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import strip_repeats
+
+    return strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_table
 
@@ -95,6 +101,20 @@ SELECT doc_id, size, source_size, target,
 FROM starts
 """
 
+OP4 = r"""
+WITH w AS (SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT n, doc_id, s, md5(array_to_string(ws[s:s + 49], ' ')) AS k FROM (SELECT n, doc_id, ws, unnest(range(1, greatest(1, len(ws) - 48))) AS s FROM w)),
+firsts AS (SELECT k, min(doc_id) AS least FROM win GROUP BY k),
+bad AS (SELECT DISTINCT n, s FROM win JOIN firsts USING (k) WHERE least < doc_id),
+words AS (SELECT n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+marked AS (
+  SELECT words.n, word, i, max(s) OVER (PARTITION BY words.n ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words LEFT JOIN bad ON words.n = bad.n AND i = s),
+kept AS (SELECT n, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY n)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (n)
+"""
+
 OP7 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS best FROM p)
@@ -107,4 +127,4 @@ FROM d
 
 
 def oracle_sql() -> dict:
-    return {"op2_url_rules": OP2, "op3_source_mix": OP3, "op7_warc": OP7}
+    return {"op2_url_rules": OP2, "op3_source_mix": OP3, "op4_substring_dedup": OP4, "op7_warc": OP7}
