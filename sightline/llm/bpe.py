@@ -4,9 +4,10 @@ A string's BPE encoding is the only way to write it as tokens whose every neighb
 itself. So the encoding of a prefix is the encoding of a shorter prefix and one last token that goes
 with that one's last token, and reading bytes from the left only the prefixes matter from which some
 token may still be under way. The transducer's state is that set: for each such start the place in the
-token trie and the tokens encoded up to it, less those that all of them share, which are emitted. A
-state is built when a text first leads to it and its moves are kept, so later texts only follow them.
-Lookahead is bounded by the longest token: no start older than that stays under way.
+token trie and the token that ends at the start. A move gives the last token up to here; following last
+tokens back gives the encoding. A state is built when a text first leads to it and its moves are kept,
+so later texts only follow them. Lookahead is bounded: within a long piece, the tokens that all starts
+still under way share are emitted every LOOKAHEAD bytes.
 
 Decoding turns ids to bytes in blocks; a UTF-8 automaton passes on whole characters and carries the
 bytes of an unfinished one to the next block.
@@ -23,16 +24,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 1 << 20
+#: Tokens are emitted at the latest after so many bytes; the longest token is far shorter.
+LOOKAHEAD = 4096
 
 
 class Transducer:
     """ranks: bytes -> id. Moves are kept for at most max_states states, then built anew."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.trie: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
+        self.depth: list[int] = [0]
+        self.size = {i: len(b) for b, i in ranks.items()}
         for word, rank in ranks.items():
             at = 0
             for b in word:
@@ -41,6 +46,7 @@ class Transducer:
                     nxt = self.trie[at][b] = len(self.trie)
                     self.trie.append({})
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[at] + 1)
                 at = nxt
             # a token that merges never build stands only for a whole piece, never within one
             self.token_at[at] = rank
@@ -52,7 +58,7 @@ class Transducer:
         self.index: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.moves: list[dict[int, tuple[int, tuple]]] = []
-        self.start = self._state((((0, ()),), ()))
+        self.start = self._state(((0, -1),))
 
     def merged(self, piece: bytes) -> list[int]:
         """The definition: join the neighbouring pair of lowest rank, again and again."""
@@ -71,57 +77,72 @@ class Transducer:
             return False
         if left < 0:
             return True
-        key = (left, right)
-        if key not in self.goes:
-            self.goes[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return self.goes[key]
+        return self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
 
     def _state(self, key: tuple) -> int:
-        """key: ((trie place, tokens not yet emitted), ...) and the last token emitted, if any."""
-        if key not in self.index:
-            self.index[key] = len(self.states)
+        """key: (trie place, token that ends where this start begins, -1 at the very start), oldest start first."""
+        found = self.index.get(key)
+        if found is None:
+            found = self.index[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-        return self.index[key]
+        return found
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        starts, last = self.states[state]
-        live, whole = [], None
-        for place, tokens in starts:
-            nxt = self.trie[place].get(byte)
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state, and the last token of the encoding up to here."""
+        live, token, trie, token_at, goes = [], -1, self.trie, self.token_at, self.goes
+        for place, last in self.states[state]:
+            nxt = trie[place].get(byte)
             if nxt is None:
                 continue
-            live.append((nxt, tokens))
-            token = self.token_at[nxt]
-            if whole is None and token >= 0 and self._fits(tokens[-1] if tokens else last[0] if last else -1, token):
-                whole = (*tokens, token)
-        live = [x for x in live if self.trie[x[0]]]
-        live.append((0, whole))
-        shared = 0
-        first = live[0][1]
-        while all(len(t) > shared and t[shared] == first[shared] for _, t in live) if len(first) > shared else False:
-            shared += 1
-        out = first[:shared]
-        found = (self._state((tuple((p, t[shared:]) for p, t in live), out[-1:] or last)), out)
-        self.moves[state][byte] = found
+            if token < 0 and (t := token_at[nxt]) >= 0:
+                ok = goes.get((last, t))
+                if ok is None:
+                    ok = goes[last, t] = self._fits(last, t)
+                if ok:
+                    token = t
+            if trie[nxt]:
+                live.append((nxt, last))
+        live.append((0, token))
+        found = self.moves[state][byte] = self._state(tuple(live)), token
         return found
 
+    def _back(self, lasts: list[int], end: int) -> list[int]:
+        out, size = [], self.size
+        while end > 0:
+            token = lasts[end - 1]
+            out.append(token)
+            end -= size[token]
+        out.reverse()
+        return out
+
+    def _settled(self, lasts: list[int], state: int) -> list[int]:
+        """Tokens that every encoding still under way begins with."""
+        runs = [self._back(lasts, len(lasts) - self.depth[place]) for place, _ in self.states[state]]
+        n = 0
+        while all(len(r) > n and r[n] == runs[0][n] for r in runs):
+            n += 1
+        return runs[0][:n]
+
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
         if len(self.states) > self.max_states:
             self.reset()
         out: list[int] = []
-        state, moves = self.start, self.moves
+        lasts: list[int] = []
+        state, moves, put = self.start, self.moves, lasts.append
         for byte in piece:
             found = moves[state].get(byte)
             if found is None:
                 found = self._move(state, byte)
-            state, emitted = found
-            if emitted:
-                out += emitted
-        out += self.states[state][0][-1][1]  # the start at the end of the piece: all of it is encoded
-        return out
+            state, token = found
+            put(token)
+            if len(lasts) == LOOKAHEAD:
+                done = self._settled(lasts, state)
+                out += done
+                del lasts[: sum(self.size[t] for t in done)]
+        return out + self._back(lasts, len(lasts))
 
 
 class Utf8:
@@ -156,7 +177,7 @@ def load_ranks(data: str) -> dict[bytes, int]:
 class Codec:
     """Whole texts to ids and back. Pieces met again are looked up in a bounded memory of the transducer's answers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_known: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_known: int = 500_000):
         import regex
 
         self.machine = Transducer(ranks)
