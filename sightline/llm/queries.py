@@ -9,6 +9,12 @@ from .workspace import Workspace, table
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_rules import judge_urls
 
@@ -57,6 +63,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path, payloads=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, share=85)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -115,6 +127,32 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_r
 FROM w LEFT JOIN kept USING (n)
 """
 
+OP10 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+         WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT b, r FROM reach JOIN edges ON a = doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) > 0
+                      THEN list_transform(embedding, lambda x: x::DOUBLE) END AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT b, r FROM reach JOIN edges ON a = vec_id)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM edges GROUP BY a) USING (vec_id)
+"""
+
 OP7 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS best FROM p)
@@ -127,4 +165,4 @@ FROM d
 
 
 def oracle_sql() -> dict:
-    return {"op2_url_rules": OP2, "op3_source_mix": OP3, "op4_substring_dedup": OP4, "op7_warc": OP7}
+    return {"op1_embedding_dedup": OP1, "op2_url_rules": OP2, "op3_source_mix": OP3, "op4_substring_dedup": OP4, "op7_warc": OP7, "op10_minhash_dedup": OP10}
