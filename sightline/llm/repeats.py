@@ -198,7 +198,7 @@ def _strip(answers: pa.Table, docs: pa.Table, window: int, names: list[str], tex
     return pa.table([*(docs.column(c) for c in names), *made], names=[*names, "n_words", "n_removed", "kept_sha256", *["_kept"] * texts])
 
 
-def strip_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50, texts: bool = True, part_mb: int = 16) -> DataFrame:
+def strip_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50, texts: bool = True, part_mb: int = 8) -> DataFrame:
     """df's columns, then n_words, n_removed, kept_sha256; with texts, text is what is kept, else it is left out.
 
     Columns of df that have the new names are replaced.
