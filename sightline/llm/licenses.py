@@ -4,7 +4,8 @@ A text is cut into units: its lines, and its blocks between blank lines, so that
 of many are both seen. Units are normalised (A-Z lower-cased, all but a-z, 0-9 to single spaces), turned
 into sets of word bigrams and compared with licence templates by the Dice coefficient, twice the common
 bigrams over the sum of both sizes. A template is tried only if sizes allow: the coefficient is at most
-twice the smaller size over their sum. The best template of all units at or above the limit is the
+twice the smaller size over their sum. Texts that hold none of the anchor bigrams, of which any match
+must hold one, are not cut. The best template of all units at or above the limit is the
 document's licence; of equal ones the first in the table. Null and empty texts have none.
 """
 from __future__ import annotations
@@ -38,6 +39,21 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def anchors(templates, limit: float) -> list[str]:
+    """Bigrams of which every unit at or above the limit holds one.
+
+    A coefficient of t with a template of b bigrams needs t / (2 - t) * b of them in common, so enough
+    of them are taken, longest first, for the rest to be too few.
+    """
+    out: list[str] = []
+    for _, body in templates:
+        own = bigrams(body)
+        rest = sorted((g for g in own if g not in out), key=lambda g: (len(g), g))
+        while rest and len(rest) + 1e-9 >= limit / (2 - limit) * len(own):
+            out.append(rest.pop())
+    return out
+
+
 def _unit_bigrams(unit: Column) -> Column:
     words = lambda u: F.split(F.lower(F.trim(F.regexp_replace(u, "[^A-Za-z0-9]+", " "))), " ")
     pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
@@ -49,7 +65,13 @@ def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, limit:
     own = [c for c in df.columns if c not in (text, "license", "dice")]
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.select(*own, t.alias("_text"))
-    df = df.withColumn("_units", F.concat(F.split("_text", "\n"), F.split("_text", r"\n[ \t\r]*\n")))
+    df = df.withColumn("_plain", F.lower(F.regexp_replace("_text", "[^A-Za-z0-9]+", " ")))
+    first, *more = anchors(templates, limit)
+    may_hit = F.contains(F.col("_plain"), F.lit(first))
+    for k in more:
+        may_hit = may_hit | F.contains(F.col("_plain"), F.lit(k))
+    units = F.concat(F.split("_text", "\n"), F.split("_text", r"\n[ \t\r]*\n"))
+    df = df.withColumn("_units", F.when(may_hit, units).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_sets", F.transform("_units", _unit_bigrams))
 
     def best(bg: Column) -> Column:
