@@ -21,6 +21,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20):
+    """The batch in runs of rows with about `limit` bytes of text at most, so that arrays over its words stay small."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = int(size[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of texts: hash[i] of word i, ends[d] the end of document d's words."""
 
