@@ -9,11 +9,12 @@ follows how crowded the place is.
 
 Within a region, candidates are chosen by a one-byte sketch of the signature that lies well below the
 limit, and each is confirmed on the full sets. First every node is compared with the smallest node of
-its region, then those that this leaves with the smallest of them, and so on: a region of n nodes costs
-about n comparisons, not n squared. Confirmed links are joined up. Regions whose nodes then still lie in
-several components go on: each node outside the largest of them is compared with its best partners in
-the others, a few ranks a round, until no region has a pair left that is neither joined nor compared.
-No partner is left out; a round only bounds how many are compared at a time.
+its region and with its medoid, then those that this leaves with the smallest of them, and so on: a
+region of n nodes costs about 2n comparisons, not n squared. Confirmed links are joined up. Regions
+whose nodes then still lie in several components go on, by a sketch of 1024 values: each node outside the
+largest of them is compared with its best partners in the others, 2, 4, 8 ... ranks a round, until no
+region has a pair left that is neither joined nor compared. No partner is left out; a round only bounds
+how many are compared at a time.
 
 Two documents at the limit of 0.85 are missed by all 16 trees at depth 4 with a chance of 8e-6, at
 depth 6 of 5e-4.
@@ -31,19 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import U, Words, mixed
+from .text import U, Words, mixed, slices
 from .workspace import Workspace, shuffle_partitions
 
 TREES, DEPTH_MIN, DEPTH_MAX, CROWD, SKETCH = 16, 4, 6, 64, 64
 VALUES = TREES * DEPTH_MAX
 #: Sketches of two sets at the limit lie within four standard deviations (0.045 each) of it.
 SLACK = 0.18
-RANKS = 16
+#: Values of the fine sketch, its slack (four deviations of 0.011) and the partners of the first later round.
+FINE, FINE_SLACK, RANKS = 1024, 0.045, 2
 
 
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    at = np.arange(1, VALUES + 1, dtype=U)
-    return mixed(at * U(0x9E3779B97F4A7C15)) | U(1), mixed(at + U(1 << 40))
+def _multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(1, n + 1, dtype=U) + U(seed << 32)
+    return (mixed(at) >> U(32)).astype(np.uint32) | np.uint32(1), (mixed(at + U(1 << 60)) >> U(32)).astype(np.uint32)
 
 
 def shingle_sets(texts, k: int) -> list[np.ndarray]:
@@ -69,16 +71,19 @@ def shingle_sets(texts, k: int) -> list[np.ndarray]:
 
 
 def _signature(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    low = np.full(VALUES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(s), 2048):
-        low = np.minimum(low, (((s[i : i + 2048, None] * mul) + add) >> U(32)).astype(np.uint32).min(axis=0))
+    low = np.full(len(mul), 0xFFFFFFFF, np.uint32)
+    s = s.astype(np.uint32)[:, None]
+    for i in range(0, len(s), 512):
+        x = s[i : i + 512] ^ add
+        x *= mul
+        np.minimum(low, x.min(axis=0), out=low)
     return low
 
 
 def _sign(k: int):
     def run(batches):
-        mul, add = _multipliers()
-        for batch in batches:
+        mul, add = _multipliers(VALUES, 1)
+        for batch in (x for b in batches for x in slices(b, 1)):
             sets = shingle_sets(batch.column(1), k)
             node = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets]
             sig = [_signature(s, mul, add).tobytes() if len(s) else None for s in sets]
@@ -150,6 +155,13 @@ def _grow(limit: float):
             own = order[i:j]
             own = own[np.argsort(node[own], kind="stable")]
             left, any_pair = own, False
+            if len(own) > 2:
+                some = sketch[own[:: -(-len(own) // 256)]]
+                close = np.array([_alike(sketch[x], some).mean() for x in own])
+                middle = own[np.flatnonzero(close >= close.max() - 0.02)[0]]
+                hit = own[(_alike(sketch[middle], sketch[own]) >= limit) & (own != middle)]
+                pairs_a.append(np.minimum(node[middle], node[hit]))
+                pairs_b.append(np.maximum(node[middle], node[hit]))
             while len(left) > 1:
                 near = _alike(sketch[left[0]], sketch[left[1:]]) >= limit
                 if near.any():
@@ -186,36 +198,27 @@ def _unpack(*names):
 
 
 def _again(limit: float, turn: int):
-    """Pairs between components of a region, of sketch ranks RANKS * turn and on."""
-
-    def run(labels: pa.Table, grown: pa.Table) -> pa.Table:
-        if not grown.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        node = np.frombuffer(grown.column("nodes")[0].as_py(), np.int64)
-        region = np.frombuffer(grown.column("regions")[0].as_py(), np.int32)
-        sketch = np.frombuffer(grown.column("sketches")[0].as_py(), np.uint8).reshape(-1, SKETCH)
-        label = node.copy()
-        if labels.num_rows:
-            known, to = labels.column("node").to_numpy(), labels.column("label").to_numpy()
-            order = np.argsort(known)
-            known, to = known[order], to[order]
-            at = np.minimum(np.searchsorted(known, node), len(known) - 1)
-            label = np.where(known[at] == node, to[at], node)
-        out_a, out_b = [], []
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(region)) + 1, [len(region)]]) if len(region) else np.zeros(1, np.int64)
+    """Of a bucket's regions: pairs between components, the partners of this turn's ranks."""
+    ranks = slice(RANKS * (2**turn - 1), RANKS * (2 ** (turn + 1) - 1))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        region, node, label = (table.column(c).to_numpy() for c in ("region", "node", "label"))
+        order = np.lexsort((node, region))
+        region, node, label = region[order], node[order], label[order]
+        sketch = np.frombuffer(b"".join(table.column("fine").take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, FINE)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(region)) + 1, [len(region)]])
         for i, j in zip(edges[:-1], edges[1:]):
             kinds, inverse, n = np.unique(label[i:j], return_inverse=True, return_counts=True)
-            if len(kinds) == 1:
-                continue
-            for x in np.flatnonzero(inverse != n.argmax()):
+            for x in np.flatnonzero(inverse != n.argmax()) if len(kinds) > 1 else ():
                 est = _alike(sketch[i + x], sketch[i:j])
                 est[inverse == inverse[x]] = 0
-                best = np.argsort(-est, kind="stable")[RANKS * turn : RANKS * (turn + 1)]
+                best = np.argsort(-est, kind="stable")[ranks]
                 best = best[est[best] >= limit]
                 out_a.append(np.minimum(node[i + x], node[i:j][best]))
                 out_b.append(np.maximum(node[i + x], node[i:j][best]))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([cat(out_a), cat(out_b)]), axis=1)
+        pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
     return run
@@ -251,16 +254,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     members = grown.select(F.col("nodes").alias("node")).mapInArrow(_unpack("node"), "node long").distinct()
     # the sets of nodes that have a candidate, each from one of its documents
     one = nodes.join(members, "node").select("node", F.col("least").alias("id"))
-    sets = space.keep(base.join(one, "id").mapInArrow(_set_rows(k), "node long, words binary").dropDuplicates(["node"]))
-    tested, labels, turn = None, None, 0
+    sets = space.keep(base.join(one, "id").mapInArrow(_set_rows(k), "node long, words binary, fine binary").dropDuplicates(["node"]))
+    tested, labels, turn, wide = None, None, 0, None
     while True:
         pairs = todo.join(sets.select(F.col("node").alias("a"), F.col("words").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("words").alias("set_b")), "b")
         done = space.keep(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(share), "a long, b long, linked boolean"))
         tested = done if tested is None else space.keep(tested.unionByName(done))
-        labels = space.keep(components(tested.where("linked").select("a", "b"), space))
-        spread = grown.select("bucket", "nodes").mapInArrow(_spread(), "bucket int, node long").join(labels, "node")
-        more = spread.groupBy("bucket").cogroup(grown.groupBy("bucket")).applyInArrow(_again(limit, turn), "a long, b long").distinct()
-        todo = space.keep(more)
+        if not turn or not done.where("linked").isEmpty():
+            labels = space.keep(components(tested.where("linked").select("a", "b"), space))
+        places = wide if wide is not None else grown.mapInArrow(_places, "bucket int, region int, node long")
+        marked = places.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if wide is None:  # only regions with several components go on, now with the fine sketch
+            open_ = marked.groupBy("bucket", "region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket", "region")
+            wide = space.keep(marked.drop("label").join(open_, ["bucket", "region"], "left_semi").join(sets.select("node", "fine"), "node"))
+            marked = wide.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        todo = space.keep(marked.groupBy("bucket").applyInArrow(_again(share / 100 - FINE_SLACK, turn), "a long, b long").distinct())
         if todo.isEmpty():
             break
         todo = space.keep(todo.join(tested, ["a", "b"], "left_anti"))
@@ -273,26 +281,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _spread():
-    def run(batches):
-        for batch in batches:
-            for bucket, nodes in zip(batch.column(0), batch.column(1)):
-                own = np.unique(np.frombuffer(nodes.as_py(), np.int64))
-                for i in range(0, len(own), 1 << 17):
-                    part = own[i : i + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket.as_py(), np.int32)), pa.array(part)], names=["bucket", "node"])
-
-    return run
+def _places(batches):
+    """Members of regions, one row each."""
+    for batch in batches:
+        for bucket, nodes, region in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "nodes", "regions"))):
+            nodes, region = np.frombuffer(nodes.as_py(), np.int64), np.frombuffer(region.as_py(), np.int32)
+            for i in range(0, len(nodes), 1 << 17):
+                part = slice(i, i + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes[part]), bucket.as_py(), np.int32)), pa.array(region[part]), pa.array(nodes[part])], names=["bucket", "region", "node"])
 
 
 def _set_rows(k: int):
     """Sets of texts; rows whose set is not the node's (another text under the same id) go."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, b.schema.get_field_index("text"))):
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")), k)
             want = batch.column(batch.schema.get_field_index("node")).to_numpy().view(U)
             keep = [i for i, s in enumerate(sets) if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) == int(want[i])]
-            yield pa.RecordBatch.from_arrays([pa.array(want[keep].view(np.int64), pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["node", "words"])
+            mul, add = _multipliers(FINE, 2)
+            fine = [mixed(_signature(sets[i], mul, add).astype(U)).astype(np.uint8).tobytes() for i in keep]
+            yield pa.RecordBatch.from_arrays([pa.array(want[keep].view(np.int64), pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary()), pa.array(fine, pa.binary())], names=["node", "words", "fine"])
 
     return run

@@ -40,6 +40,8 @@ class Words:
             texts = texts.combine_chunks()
             if isinstance(texts, pa.ChunkedArray):
                 texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
+        if texts.offset:  # ascii_lower misreads what a cast makes of a slice, so the slice is copied first
+            texts = texts.take(pa.array(np.arange(len(texts))))
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if lower:
             texts = pc.ascii_lower(texts)

@@ -107,3 +107,18 @@ def test_components(spark, seed):
         top[max(a, b)] = min(a, b)
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_slices_of_a_batch_give_the_same_sets():
+    import pyarrow as pa
+
+    from sightline.llm.text import Words, slices
+
+    rnd = random.Random(3)
+    texts = [None if rnd.random() < 0.1 else " ".join(f"W{rnd.randint(0, 99)}É" for _ in range(rnd.randint(0, 80))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    parts = list(slices(batch, 0, 2000))
+    assert len(parts) > 5 and sum(p.num_rows for p in parts) == 300
+    cut = [s.tolist() for p in parts for s in shingle_sets(p.column(0), 3)]
+    assert cut == [s.tolist() for s in shingle_sets(batch.column(0), 3)]
+    assert sum(Words(p.column(0), lower=True).counts.sum() for p in parts) == sum(len((t or "").split()) for t in texts)
