@@ -12,7 +12,7 @@ limit, and each is confirmed on the full sets. First every node is compared with
 its region and with its medoid, then those that this leaves with the smallest of them, and so on: a
 region of n nodes costs about 2n comparisons, not n squared. Confirmed links are joined up. Regions
 whose nodes then still lie in several components go on, by a sketch of 1024 values: each node outside the
-largest of them is compared with its best partners in the others, 2, 4, 8 ... ranks a round, until no
+largest of them is compared with its best partners in the others, 6, 24, 96 ... ranks a round, until no
 region has a pair left that is neither joined nor compared. No partner is left out; a round only bounds
 how many are compared at a time.
 
@@ -39,7 +39,7 @@ TREES, DEPTH_MIN, DEPTH_MAX, CROWD, SKETCH = 16, 4, 6, 64, 64
 VALUES = TREES * DEPTH_MAX
 #: Sketches of two sets at the limit lie within four standard deviations (0.045 each) of it.
 SLACK = 0.18
-#: Values of the fine sketch, its slack (four deviations of 0.011) and the partners of the first later round.
+#: Values of the fine sketch, its slack (four deviations of 0.011) and a third of the partners of the first later round.
 FINE, FINE_SLACK, RANKS = 1024, 0.045, 2
 
 
@@ -199,7 +199,7 @@ def _unpack(*names):
 
 def _again(limit: float, turn: int):
     """Of a bucket's regions: pairs between components, the partners of this turn's ranks."""
-    ranks = slice(RANKS * (2**turn - 1), RANKS * (2 ** (turn + 1) - 1))
+    ranks = slice(RANKS * (4**turn - 1), RANKS * (4 ** (turn + 1) - 1))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
