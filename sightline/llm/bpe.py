@@ -18,11 +18,14 @@ import base64
 import hashlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import slices, trim
+
 BLOCK = 1 << 20
 #: Tokens are emitted at the latest after so many bytes; the longest token is far shorter.
 LOOKAHEAD = 4096
@@ -31,7 +34,7 @@ LOOKAHEAD = 4096
 class Transducer:
     """ranks: bytes -> id. Moves are kept for at most max_states states, then built anew."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.trie: list[dict[int, int]] = [{}]
@@ -177,7 +180,7 @@ def load_ranks(data: str) -> dict[bytes, int]:
 class Codec:
     """Whole texts to ids and back. Pieces met again are looked up in a bounded memory of the transducer's answers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_known: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_known: int = 300_000):
         import regex
 
         self.machine = Transducer(ranks)
@@ -247,23 +250,25 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, text: str = "
 
     def run(batches):
         codec = _codec(shared.value, pattern)
-        for batch in batches:
-            tokens, n, digests, back = [], [], [], []
+        for batch in (x for b in batches for x in slices(b, len(own))):
+            trim()
+            tokens, n, digests, back = array("I"), [], [], []
             for value in batch.column(len(own)):
-                raw, plain, count, kept, utf8 = hashlib.sha256(), hashlib.sha256(), 0, [], Utf8()
+                raw, plain, count, utf8 = hashlib.sha256(), hashlib.sha256(), 0, Utf8()
                 for block in codec.encode(value.as_py()):
                     raw.update(block.tobytes())
                     count += len(block)
                     plain.update(utf8.feed(b"".join([codec.machine.bytes_of[i] for i in block])).encode("utf-8"))
                     if ids:
-                        kept.append(block)
+                        tokens.extend(block)
                 plain.update(utf8.finish().encode("utf-8"))
                 n.append(count)
                 digests.append(raw.hexdigest())
                 back.append(plain.hexdigest())
-                if ids:
-                    tokens.append([i for b in kept for i in b])
-            made = [pa.array(tokens, pa.list_(pa.int32()))] * ids + [pa.array(n, pa.int64()), pa.array(digests), pa.array(back)]
+            made = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+            if ids:
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                made.insert(0, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(tokens, np.uint32).astype(np.int32) if len(tokens) else np.zeros(0, np.int32))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *made], names=[*own, *dict(new)])
 
     return inner.mapInArrow(run, schema)

@@ -1,6 +1,8 @@
 """Words of many texts at once, as numpy arrays."""
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +14,15 @@ BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
+def trim() -> None:
+    """Gives freed memory back, so that a Python worker doesn't keep its largest task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit."""
     x = x ^ (x >> U(33))
@@ -36,6 +47,7 @@ class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of texts: hash[i] of word i, ends[d] the end of document d's words."""
 
     def __init__(self, texts, lower: bool = False, seed: int = 0):
+        trim()
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
             if isinstance(texts, pa.ChunkedArray):
