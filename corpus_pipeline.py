@@ -39,7 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, *vocabulary())
+    return encode_documents(docs, *vocabulary(), keep_machine=False)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substrings", substrings), ("mixing", mixing), ("encode", encode)]

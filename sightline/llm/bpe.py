@@ -15,7 +15,9 @@ bytes of an unfinished one to the next block.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import sys
 from array import array
 
 import numpy as np
@@ -225,8 +227,6 @@ class Codec:
 
 def _codec(data: str, pattern: str) -> Codec:
     """One a Python worker: the transducer's states stay from task to task."""
-    import sys
-
     held = sys.modules.setdefault("_sightline_codecs", type(sys)("_sightline_codecs")).__dict__
     key = ("codec", hash(data), pattern)
     if key not in held:
@@ -234,10 +234,11 @@ def _codec(data: str, pattern: str) -> Codec:
     return held[key]
 
 
-def encode_documents(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
+def encode_documents(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: bool = True, keep_machine: bool = True) -> DataFrame:
     """df less its text, with token_ids (if ids), n_tokens, ids_sha256, decoded_sha256.
 
     vocabulary: the contents of a rank file, under 1 MB for 50,000 ranks; each task gets it. No exchange.
+    keep_machine: Python workers keep the transducer's states (about 300 MB) from task to task.
     Null text is empty: no tokens, digests of nothing. Columns of df with the new names are replaced.
     """
     new = [("token_ids", T.ArrayType(T.IntegerType()))] * ids + [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
@@ -270,5 +271,10 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, text: str = "
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 made.insert(0, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(tokens, np.uint32).astype(np.int32) if len(tokens) else np.zeros(0, np.int32))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *made], names=[*own, *dict(new)])
+        if not keep_machine:
+            del codec
+            sys.modules.pop("_sightline_codecs", None)
+            gc.collect()
+            trim()
 
     return inner.mapInArrow(run, schema)
