@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import slices, trim
+from .workspace import small_batches
 
 BLOCK = 1 << 20
 #: Tokens are emitted at the latest after so many bytes; the longest token is far shorter.
@@ -248,6 +249,7 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, text: str = "
     for name, kind in new:
         schema = schema.add(name, kind)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    small_batches(df.sparkSession)
 
     def run(batches):
         codec = _codec(shared.value, pattern)

@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of 8 MB at most, where the session leaves Spark's 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(8 << 20))
+
+
 class Workspace:
     """Written tables that cut lineage and survive lost executors.
 
@@ -29,6 +36,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
