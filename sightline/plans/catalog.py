@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from functools import partial
 
-from sightline.operators import geometry, guards, metrics, series, sessions, text
+from sightline.operators import geometry, guards, metrics, relations, scalars, series, sessions, text
 
 from .dialect import oracle, run
 
-PLANS = sessions.PLANS | guards.PLANS | metrics.PLANS | text.PLANS | geometry.PLANS | series.PLANS
+PLANS = sessions.PLANS | guards.PLANS | metrics.PLANS | text.PLANS | geometry.PLANS | series.PLANS | scalars.PLANS | relations.PLANS
 
 
 def queries() -> dict:

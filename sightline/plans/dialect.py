@@ -12,6 +12,10 @@ MARKS = {
     "@UNNEST(": ("explode(", "unnest("),
     "@PCT(": ("percentile(", "quantile_cont("),
     "@SIZE(": ("size(", "len("),
+    "@LIST(": ("collect_list(", "list("),
+    "@SORTED(": ("array_sort(", "list_sort("),
+    "@EL(": ("element_at(", "list_extract("),
+    "@BYTES(": ("octet_length(", "strlen("),
     "@JSONK": ("CAST(get_json_object(props, '$.k') AS BIGINT)", "CAST(json_extract_string(props, '$.k') AS BIGINT)"),
 }
 
@@ -20,6 +24,10 @@ def _marks(sql: str, duck: bool) -> str:
     sql = re.sub(r"@MICROS\(([\w.]+)\)", r"epoch_us(\1)" if duck else r"unix_micros(CAST(\1 AS TIMESTAMP))", sql)
     sql = re.sub(r"@AT\((\d)\)", r"CAST(embedding[\1] AS DOUBLE)" if duck else r"CAST(element_at(embedding, \1) AS DOUBLE)", sql)
     sql = re.sub(r"@TOKENS\(([\w.]+)\)", r"regexp_extract_all(lower(coalesce(\1, '')), '[a-z0-9]+')" if duck else r"regexp_extract_all(lower(coalesce(\1, '')), '[a-z0-9]+', 0)", sql)
+    for mark, pattern in (("@WORDS2", "[a-z0-9][a-z0-9]+"), ("@NUMBERS", "[0-9]+")):
+        sql = re.sub(mark + r"\(([\w.]+)\)", rf"regexp_extract_all(lower(coalesce(\1, '')), '{pattern}'{'' if duck else ', 0'})", sql)
+    sql = re.sub(r"@XOR\((\w+), (\w+)\)", r"xor(\1, \2)" if duck else r"(\1 ^ \2)", sql)
+    sql = re.sub(r"@EMA\((\w+), ([\d.]+)\)", r"list_reduce(\1, lambda y, x: y + \2 * (x - y))" if duck else r"reduce(slice(\1, 2, size(\1)), element_at(\1, 1), (y, x) -> y + CAST(\2 AS DOUBLE) * (x - y))", sql)
     if duck:
         sql = re.sub(r"sha2\((.*), 256\) AS", r"sha256(\1) AS", sql).replace("LEFT ANTI JOIN", "ANTI JOIN")
     for mark, spelt in MARKS.items():
