@@ -77,3 +77,88 @@ def laplacian_smooth(values: DataFrame, edges: DataFrame, passes: int, shrink: f
             moved = values.join(mean, values.node == mean.a, "left")
             values = _cut(moved.select("node", *[F.coalesce(F.col(c) + rate * (F.col(f"{c}_") - F.col(c)), F.col(c)).alias(c) for c in "xyz"]), "smooth")
     return values
+
+
+def _dot(a: str, b: str, i: int, j: int):
+    """Entry (i, j) of the product of two 3 x 3 matrices held as arrays."""
+    return sum(F.col(a)[3 * i + k] * F.col(b)[3 * k + j] for k in range(3))
+
+
+def _inverse(s: str, r: str, t: str) -> list:
+    back = [F.col(r)[3 * k + i] for i in range(3) for k in range(3)]
+    return [(1 / F.col(s)).alias(s), F.array(*back).alias(r), F.array(*[-sum(F.col(r)[3 * k + i] * F.col(t)[k] for k in range(3)) / F.col(s) for i in range(3)]).alias(t)]
+
+
+def bfs_compose(edges: DataFrame, roots: DataFrame, max_hops: int = 100) -> DataFrame:
+    """(node, s, r, t, hops): similarity from each node to the root of its component, along fewest edges; unreachable nodes are absent.
+
+    edges: src, dst, s, r (nine numbers, by rows), t (three), taking src to dst coordinates; roots: node. Of
+    equally short paths the one by the smallest neighbour counts.
+    """
+    there = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("s").alias("es"), F.col("r").alias("er"), F.col("t").alias("et"))
+    back = there.select(F.col("b").alias("a"), F.col("a").alias("b"), *_inverse("es", "er", "et"))
+    both = _cut(there.unionByName(back).where("a IS NOT NULL AND b IS NOT NULL AND a <> b"), "sim3")
+    eye = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
+    seen = _cut(roots.select("node", F.lit(1.0).alias("s"), eye.alias("r"), F.array(*[F.lit(0.0)] * 3).alias("t"), F.lit(0).alias("hops")), "bfs")
+    for hop in range(1, max_hops + 1):
+        edge = both.join(seen.where(F.col("hops") == hop - 1), F.col("a") == F.col("node")).join(seen.select(F.col("node").alias("b")), "b", "left_anti")
+        moved = F.array(*[F.col("s") * sum(F.col("r")[3 * i + k] * F.col("et")[k] for k in range(3)) + F.col("t")[i] for i in range(3)])
+        made = edge.select("b", "a", (F.col("s") * F.col("es")).alias("s"), F.array(*[_dot("r", "er", i, j) for i in range(3) for j in range(3)]).alias("r"), moved.alias("t"))
+        fresh = _cut(made.groupBy("b").agg(F.min(F.struct("a", "s", "r", "t")).alias("m")).select(F.col("b").alias("node"), "m.s", "m.r", "m.t", F.lit(hop).alias("hops")), "bfs")
+        if fresh.isEmpty():
+            return seen
+        seen = seen.unionByName(fresh)
+    raise RuntimeError(f"nodes beyond {max_hops} hops")
+
+
+def cycle_residuals(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """(src, dst, degrees, scale_ratio, shift): how far each edge is from what the placements of its ends say; edges of the tree give zeros."""
+    p = lambda tag, key: placed.select(F.col("node").alias(key), *[F.col(c).alias(f"{c}{tag}") for c in ("s", "r", "t")])
+    j = edges.join(p("1", "src"), "src").join(p("2", "dst"), "dst")
+    # r1' is r2 * r of the edge; its angle to r1 is that of the trace of r1 transposed times it.
+    trace = sum(F.col("r1")[3 * k + i] * _dot("r2", "r", k, i) for i in range(3) for k in range(3))
+    ratio = F.col("s2") * F.col("s") / F.col("s1")
+    off = [F.col("s2") * sum(F.col("r2")[3 * i + k] * F.col("t")[k] for k in range(3)) + F.col("t2")[i] - F.col("t1")[i] for i in range(3)]
+    return j.select("src", "dst", F.degrees(F.acos(F.greatest(F.least((trace - 1) / 2, F.lit(1.0)), F.lit(-1.0)))).alias("degrees"), F.greatest(ratio, 1 / ratio).alias("scale_ratio"), F.sqrt(sum(o * o for o in off)).alias("shift"))
+
+
+def greedy_cover(scores: DataFrame, budget: int, second: float = 0.3, least_gain: float = 0.01) -> DataFrame:
+    """(place, frame, gain): frames chosen one by one for points, from (frame, point, score).
+
+    A frame gains what it adds to the best score of its points, and second times what it adds to the second best.
+    Ends at the budget or once a gain is under least_gain of the first. Each round is one aggregate; only the winner reaches the driver.
+    """
+    state = _cut(scores.where("score > 0").select("point").distinct().select("point", F.lit(0.0).alias("top"), F.lit(0.0).alias("next")), "cover")
+    picked: list = []
+    while len(picked) < budget:
+        gain = F.greatest(F.col("score") - F.col("top"), F.lit(0.0)) + second * F.greatest(F.least("score", "top") - F.col("next"), F.lit(0.0))
+        pool = scores.where(~F.col("frame").isin([f for _, f, _ in picked])) if picked else scores
+        best = pool.join(state, "point").groupBy("frame").agg(F.sum(gain).alias("gain")).orderBy(F.desc(F.round("gain", 9)), "frame").first()
+        if best is None or best.gain <= 0 or picked and best.gain < least_gain * picked[0][2]:
+            break
+        picked.append((len(picked) + 1, best.frame, best.gain))
+        won = scores.where(F.col("frame") == best.frame).groupBy("point").agg(F.max("score").alias("score"))
+        new = F.coalesce("score", F.lit(0.0))
+        state = _cut(state.join(won, "point", "left").select("point", F.greatest("top", new).alias("top"), F.greatest("next", F.least("top", new)).alias("next")), "cover")
+    kind = scores.schema["frame"].dataType.simpleString()
+    return scores.sparkSession.createDataFrame(picked, f"place int, frame {kind}, gain double")
+
+
+def budget_thinning(points: DataFrame, budget: int, size: float = 0.1, probes: int = 8) -> DataFrame:
+    """One point (the most confident, then smallest id) of each voxel, for the size that gives 85 to 100 % of the budget, trimmed to it.
+
+    points: id, x, y, z, confidence. Counts fall with the square of the size, which leads the search.
+    """
+    cell = lambda v: [F.floor(F.col(c) / v) for c in "xyz"]
+    if points.count() <= budget:
+        return points
+    low, high = 0.0, float("inf")
+    for _ in range(probes):
+        n = points.select(*cell(size)).distinct().count()
+        if 0.85 * budget <= n <= budget:
+            break
+        low, high = (max(low, size), high) if n > budget else (low, min(high, size))
+        guess = size * (n / (0.92 * budget)) ** 0.5
+        size = guess if low < guess < high else (low + high) / 2 if high < float("inf") else 2 * low
+    first = F.max_by(F.struct(*points.columns), F.struct("confidence", -F.col("id"))).alias("p")
+    return points.groupBy(*[c.alias(f"_{k}") for k, c in enumerate(cell(size))]).agg(first).select("p.*").orderBy(F.desc("confidence"), "id").limit(budget)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from sightline.operators import geometry, guards, metrics, relations, scalars, series, sessions, text
+from sightline.operators import geometry, guards, metrics, programs, relations, scalars, series, sessions, text
 
 from .dialect import oracle, run
 
@@ -11,8 +11,8 @@ PLANS = sessions.PLANS | guards.PLANS | metrics.PLANS | text.PLANS | geometry.PL
 
 
 def queries() -> dict:
-    return {name: partial(run, sql) for name, sql in PLANS.items()}
+    return {name: partial(run, sql) for name, sql in PLANS.items()} | programs.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {name: oracle(sql) for name, sql in PLANS.items()}
+    return {name: oracle(sql) for name, sql in PLANS.items()} | programs.ORACLES
