@@ -18,7 +18,7 @@ PLANS = {
     "coherence_share": "SELECT count(*) AS segments, max(n) AS largest, round(max(n) / nullif(sum(n), 0), 6) AS share FROM (SELECT label, count(*) AS n FROM {embeddings} GROUP BY label) x",
     "corpus_totals": "SELECT count(*) AS n, round(sum(c_acctbal), 2) AS total, round(avg(nullif(c_acctbal, 0)), 6) AS mean, count_if(c_acctbal IS NULL) AS unmeasurable FROM {customer}",
     "weakest_label": "SELECT source, CASE min(CASE WHEN n_chars < 100 THEN 0 WHEN n_chars < 1000 THEN 1 WHEN n_chars < 5000 THEN 2 ELSE 3 END) WHEN 0 THEN 'unknown' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS weakest FROM {documents} GROUP BY source",
-    "label_scoring": "SELECT lang, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 3) AS exact, round(avg(abs(quality - toxic)), 3) AS mae FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id GROUP BY lang",
+    "label_scoring": "SELECT lang, round(avg(CASE WHEN quality = toxic THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 3) AS exact, round(avg(abs(quality - toxic)), 3) AS mae FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id GROUP BY lang",
     "spatial_coverage": "SELECT label, round(count(DISTINCT CAST(floor((@AT(1) + 0.5) * 8) AS BIGINT) * 100 + CAST(floor((@AT(2) + 0.5) * 8) AS BIGINT)) / 64, 6) AS coverage FROM {embeddings} GROUP BY label",
     "circular_mean": "SELECT event_type, round(sqrt(avg(cos(value)) * avg(cos(value)) + avg(sin(value)) * avg(sin(value))), 6) AS resultant, round(degrees(atan2(avg(sin(value)), avg(cos(value)))), 4) AS direction FROM {events} GROUP BY event_type",
     "entropy_bits": "SELECT round(-sum(p * log2(p)), 6) AS bits FROM (SELECT CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS p FROM {events} GROUP BY CAST(floor(value / 10) AS BIGINT)) x",
