@@ -40,7 +40,7 @@ PLANS = {
     # windows
     "rolling_ratio": f"SELECT event_id, CASE WHEN @SIZE(l) >= 5 THEN round(value / nullif(@EL(@SORTED(l), CAST(floor(@SIZE(l) / 2) AS INTEGER) + 1), 0), 6) END AS ratio FROM (SELECT event_id, value, @LIST(coalesce(value, 0)) OVER ({_W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS l FROM {{events}}) x",
     # 0.7 to the power of 110 is below a double's last bit, so rows before the window no longer count.
-    "ema": f"SELECT event_id, round(@EMA(l, 0.3), 4) AS ema FROM (SELECT event_id, @LIST(coalesce(value, 0)) OVER ({_W} ROWS BETWEEN 110 PRECEDING AND CURRENT ROW) AS l FROM {{events}}) x",
+    "ema": f"SELECT event_id, @EMA(l, 0.3) AS ema FROM (SELECT event_id, @LIST(coalesce(value, 0)) OVER ({_W} ROWS BETWEEN 110 PRECEDING AND CURRENT ROW) AS l FROM {{events}}) x",
     "loss_grace": f"WITH {_STREAK} SELECT user_id, event_id FROM b WHERE cut = 1",
     "segment_index": f"WITH {_STREAK} SELECT event_id, CAST(coalesce(sum(cut) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS segment FROM b",
     "content_segments": f"WITH {_STREAK}, g AS (SELECT user_id, event_id, sum(cut) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg FROM b), c AS (SELECT user_id, seg, count(*) AS frames, min(event_id) AS first_id FROM g GROUP BY user_id, seg) SELECT user_id, CAST(seg AS BIGINT) AS segment, frames, first_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seg) AS k FROM c) x WHERE k <= 6",
