@@ -12,9 +12,9 @@ limit, and each is confirmed on the full sets. First every node is compared with
 its region and with its medoid, then those that this leaves with the smallest of them, and so on: a
 region of n nodes costs about 2n comparisons, not n squared. Confirmed links are joined up. Regions
 whose nodes then still lie in several components go on, by a sketch of 1024 values: each node outside the
-largest of them is compared with its best partners in the others, 6, 24, 96 ... ranks a round, until no
-region has a pair left that is neither joined nor compared. No partner is left out; a round only bounds
-how many are compared at a time.
+largest of them is compared with its best partners in the others, the next 6, 24, 96 ... a round of those
+that its bucket has not asked for yet, until no region has a pair left that is neither joined nor compared.
+No partner is left out; a round only bounds how many are compared at a time.
 
 Two documents at the limit of 0.85 are missed by all 16 trees at depth 4 with a chance of 8e-6, at
 depth 6 of 5e-4.
@@ -39,7 +39,7 @@ TREES, DEPTH_MIN, DEPTH_MAX, CROWD, SKETCH = 16, 4, 6, 64, 64
 VALUES = TREES * DEPTH_MAX
 #: Sketches of two sets at the limit lie within four standard deviations (0.045 each) of it.
 SLACK = 0.18
-#: Values of the fine sketch, its slack (four deviations of 0.011) and a third of the partners of the first later round.
+#: Values of the fine sketch, its slack (four deviations of 0.011) and a third of the partners that a node gets in the first later round.
 FINE, FINE_SLACK, RANKS = 1024, 0.045, 2
 
 
@@ -198,15 +198,19 @@ def _unpack(*names):
 
 
 def _again(limit: float, turn: int):
-    """Of a bucket's regions: pairs between components, the partners of this turn's ranks."""
-    ranks = slice(RANKS * (4**turn - 1), RANKS * (4 ** (turn + 1) - 1))
+    """Of a bucket's regions: pairs between components, of each node the best ones that the bucket hasn't asked for."""
+    ranks = 3 * RANKS * 4**turn
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, asked: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         region, node, label = (table.column(c).to_numpy() for c in ("region", "node", "label"))
         order = np.lexsort((node, region))
         region, node, label = region[order], node[order], label[order]
         sketch = np.frombuffer(b"".join(table.column("fine").take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, FINE)
+        ends = [np.frombuffer(b"".join(asked.column(c).to_pylist()), np.int64) for c in ("a", "b")]
+        one, other = np.concatenate(ends), np.concatenate(ends[::-1])
+        by = np.argsort(one, kind="stable")
+        one, other = one[by], other[by]
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(region)) + 1, [len(region)]])
         for i, j in zip(edges[:-1], edges[1:]):
@@ -214,12 +218,16 @@ def _again(limit: float, turn: int):
             for x in np.flatnonzero(inverse != n.argmax()) if len(kinds) > 1 else ():
                 est = _alike(sketch[i + x], sketch[i:j])
                 est[inverse == inverse[x]] = 0
-                best = np.argsort(-est, kind="stable")[ranks]
+                before = other[np.searchsorted(one, node[i + x]) : np.searchsorted(one, node[i + x], "right")]
+                at = np.minimum(np.searchsorted(node[i:j], before), j - i - 1)
+                est[at[node[i:j][at] == before]] = 0
+                best = np.argsort(-est, kind="stable")[:ranks]
                 best = best[est[best] >= limit]
                 out_a.append(np.minimum(node[i + x], node[i:j][best]))
                 out_b.append(np.maximum(node[i + x], node[i:j][best]))
         pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        buckets = table.column("bucket")[:1].cast(pa.int32()) if pairs.size else pa.array([], pa.int32())
+        return pa.table({"bucket": buckets, **{c: pa.array([x.tobytes()] if pairs.size else [], pa.binary()) for c, x in zip("ab", pairs)}})
 
     return run
 
@@ -255,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # the sets of nodes that have a candidate, each from one of its documents
     one = nodes.join(members, "node").select("node", F.col("least").alias("id"))
     sets = space.keep(base.join(one, "id").mapInArrow(_set_rows(k), "node long, words binary, fine binary").dropDuplicates(["node"]))
-    tested, labels, turn, wide = None, None, 0, None
+    tested, labels, turn, wide, asked = None, None, 0, None, grown.select("bucket", "a", "b")
     while True:
         pairs = todo.join(sets.select(F.col("node").alias("a"), F.col("words").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("words").alias("set_b")), "b")
         done = space.keep(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(share), "a long, b long, linked boolean"))
@@ -268,10 +276,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             open_ = marked.groupBy("bucket", "region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket", "region")
             wide = space.keep(marked.drop("label").join(open_, ["bucket", "region"], "left_semi").join(sets.select("node", "fine"), "node"))
             marked = wide.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        todo = space.keep(marked.groupBy("bucket").applyInArrow(_again(share / 100 - FINE_SLACK, turn), "a long, b long").distinct())
-        if todo.isEmpty():
+        found = space.keep(marked.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_again(share / 100 - FINE_SLACK, turn), "bucket int, a binary, b binary"))
+        if found.isEmpty():
             break
-        todo = space.keep(todo.join(tested, ["a", "b"], "left_anti"))
+        asked = asked.unionByName(found)
+        todo = space.keep(found.mapInArrow(_unpack("a", "b"), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
         turn += 1
     least = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
     smallest = least.groupBy("label").agg(F.min("least").alias("component"))

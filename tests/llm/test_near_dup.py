@@ -77,6 +77,38 @@ def test_one_large_family_whose_hub_is_not_the_smallest(spark):
     check(spark, rows, 3, 85)
 
 
+def one_region_without_candidates(limit):
+    """A first round whose hubs join nothing: all nodes of a bucket lie in one region."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(table):
+        node, at = np.unique(np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64), return_index=True)
+        sketch = np.frombuffer(b"".join(table.column("sketches").to_pylist()), np.uint8).reshape(-1, 64)[at]
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "a": [b""], "b": [b""], "nodes": [node.tobytes()], "regions": [np.zeros(len(node), np.int32).tobytes()], "sketches": [sketch.tobytes()]})
+
+    return run
+
+
+def test_two_loose_families_joined_by_one_link(spark, monkeypatch):
+    from sightline.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "_grow", one_region_without_candidates)
+    x = [f"w{i}" for i in range(400)]
+    d = [f"d{i}" if i % 14 == 0 else w for i, w in enumerate(x)]
+    rows = [(50, " ".join(x)), (20, " ".join(d))]
+    for base, name in ((x, "l"), (d, "m")):
+        for k in range(6):  # closer to the middle of their family than the two middles are to each other
+            rows.append((len(rows) + 100, " ".join(f"{name}{k}_{i}" if i % 23 == 3 * k + 1 else w for i, w in enumerate(base))))
+    assert len({c for _, _, c in brute(rows, 1, 85)}) == 1 and len({c for _, _, c in brute(rows[1:], 1, 85)}) == 7 == len({c for _, _, c in brute(rows[:1] + rows[2:], 1, 85)})
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one bucket, so one region of all
+    try:
+        check(spark, rows, 1, 85)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+
+
 def test_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     check(spark, rows, 3, 85)
