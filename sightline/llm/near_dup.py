@@ -16,8 +16,8 @@ largest of them is compared with its best partners in the others, the next 6, 24
 that its bucket has not asked for yet, until no region has a pair left that is neither joined nor compared.
 No partner is left out; a round only bounds how many are compared at a time.
 
-Two documents at the limit of 0.85 are missed by all 16 trees at depth 4 with a chance of 8e-6, at
-depth 6 of 5e-4.
+The number of trees follows the limit, so that two documents at it are missed by all trees at full depth
+with a chance of at most 1e-4: 20 trees at 0.85 (8e-5, and 4e-7 at depth 4), 31 at 0.8 (8e-5, and 8e-8).
 
 Empty texts and texts without words have empty sets and are linked with nothing. Documents without an id
 are linked with nothing, and their component is null. Documents of equal id and different sets are
@@ -25,6 +25,8 @@ different nodes. Texts with fewer words than a shingle have one shingle, all the
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,14 +37,19 @@ from .components import components
 from .text import U, Words, mixed, slices
 from .workspace import Workspace, shuffle_partitions
 
-TREES, DEPTH_MIN, DEPTH_MAX, CROWD, SKETCH = 16, 4, 6, 64, 64
-VALUES = TREES * DEPTH_MAX
+TREES_MIN, DEPTH_MIN, DEPTH_MAX, CROWD, SKETCH, MISS = 16, 4, 6, 64, 64, 1e-4
 #: Sketches of two sets at the limit lie within four standard deviations (0.045 each) of it.
 SLACK = 0.18
 #: Values of the fine sketch, its slack (four deviations of 0.011) and a third of the partners that a node gets in the first later round.
 FINE, FINE_SLACK, RANKS = 1024, 0.045, 2
 
 
+def trees_for(share: int) -> int:
+    """Trees that all miss a pair of similarity share / 100 at full depth with a chance of at most MISS."""
+    split = 1 - (share / 100) ** DEPTH_MAX
+    return max(TREES_MIN, math.ceil(math.log(MISS) / math.log(split))) if split > 0 else TREES_MIN
+
+
 def _multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(1, n + 1, dtype=U) + U(seed << 32)
     return (mixed(at) >> U(32)).astype(np.uint32) | np.uint32(1), (mixed(at + U(1 << 60)) >> U(32)).astype(np.uint32)
@@ -80,9 +87,9 @@ def _signature(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     return low
 
 
-def _sign(k: int):
+def _sign(k: int, trees: int):
     def run(batches):
-        mul, add = _multipliers(VALUES, 1)
+        mul, add = _multipliers(trees * DEPTH_MAX, 1)
         for batch in (x for b in batches for x in slices(b, 1)):
             sets = shingle_sets(batch.column(1), k)
             node = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets]
@@ -92,7 +99,7 @@ def _sign(k: int):
     return run
 
 
-def _plant(n: int):
+def _plant(n: int, trees: int):
     """Nodes into rows a bucket: each tree's entries, by a hash of the first values."""
 
     def run(batches):
@@ -100,19 +107,19 @@ def _plant(n: int):
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(node), TREES, DEPTH_MAX)
-            sketch = mixed(sig.reshape(len(node), VALUES)[:, :SKETCH].astype(U)).astype(np.uint8)
-            key = np.zeros((len(node), TREES), U) + mixed(np.arange(TREES, dtype=U) + U(99))
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(node), trees, DEPTH_MAX)
+            sketch = mixed(sig.reshape(len(node), trees * DEPTH_MAX)[:, :SKETCH].astype(U)).astype(np.uint8)
+            key = np.zeros((len(node), trees), U) + mixed(np.arange(trees, dtype=U) + U(99))
             for d in range(DEPTH_MIN):
                 key = mixed(key * U(3) + sig[:, :, d])
             bucket = (key % U(n)).astype(np.int64).ravel()
             order = np.argsort(bucket, kind="stable")
-            who, tree = order // TREES, order % TREES
+            who, tree = order // trees, order % trees
             values = sig[who, tree].astype(np.uint16)
             cut = np.flatnonzero(np.diff(bucket[order])) + 1
             edges = np.concatenate([[0], cut, [len(order)]])
             spans = [(int(i), int(j)) for i, j in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[order[i]]) for i, _ in spans], pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (node[who], tree.astype(np.uint8), values, sketch[who]))], names=["bucket", "nodes", "trees", "values", "sketches"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[order[i]]) for i, _ in spans], pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (node[who], tree.astype(np.uint16), values, sketch[who]))], names=["bucket", "nodes", "trees", "values", "sketches"])
 
     return run
 
@@ -145,7 +152,7 @@ def _grow(limit: float):
 
     def run(table: pa.Table) -> pa.Table:
         node = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
-        tree = np.frombuffer(b"".join(table.column("trees").to_pylist()), np.uint8)
+        tree = np.frombuffer(b"".join(table.column("trees").to_pylist()), np.uint16)
         values = np.frombuffer(b"".join(table.column("values").to_pylist()), np.uint16).reshape(-1, DEPTH_MAX)
         sketch = np.frombuffer(b"".join(table.column("sketches").to_pylist()), np.uint8).reshape(-1, SKETCH)
         order, starts = regions(tree, values)
@@ -252,11 +259,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     space = Workspace(spark, "near")
     limit = share / 100 - SLACK
-    n = shuffle_partitions(spark)
+    n, trees = shuffle_partitions(spark), trees_for(share)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = space.keep(base.mapInArrow(_sign(k), "id long, n_shingles long, node long, sig binary"))
+    signed = space.keep(base.mapInArrow(_sign(k, trees), "id long, n_shingles long, node long, sig binary"))
     nodes = space.keep(signed.where("id is not null and n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("sig").alias("sig")))
-    planted = nodes.select("node", "sig").mapInArrow(_plant(n), "bucket int, nodes binary, trees binary, values binary, sketches binary")
+    planted = nodes.select("node", "sig").mapInArrow(_plant(n, trees), "bucket int, nodes binary, trees binary, values binary, sketches binary")
     grown = space.keep(planted.groupBy("bucket").applyInArrow(_grow(limit), _GROWN))
     todo = space.keep(grown.mapInArrow(_unpack("a", "b"), "a long, b long").distinct())
     members = grown.select(F.col("nodes").alias("node")).mapInArrow(_unpack("node"), "node long").distinct()

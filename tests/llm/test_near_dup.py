@@ -109,6 +109,20 @@ def test_two_loose_families_joined_by_one_link(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", shuffles)
 
 
+@pytest.mark.parametrize("share", [70, 80, 85, 95, 100])
+def test_trees_follow_the_limit(share):
+    """Signatures of pairs at the limit: the chance that no tree holds both at full depth."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sightline.llm import near_dup
+
+    text = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c d e f"])], names=["id", "text"])
+    trees = len(next(near_dup._sign(3, near_dup.trees_for(share))([text])).column(3)[0].as_py()) // 4 // near_dup.DEPTH_MAX
+    assert (1 - (share / 100) ** near_dup.DEPTH_MAX) ** trees <= 1e-4
+    assert np.iinfo(np.uint16).max > trees
+
+
 def test_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     check(spark, rows, 3, 85)
