@@ -12,7 +12,10 @@ the largest id of their payload are each a response.
 
 The reader checks every member (gzip's checksum, the record's own length, the payload digest). Where a
 check fails it searches for the next member or version line that reads as a record, goes on from there
-and reports the bytes between as a gap. Nothing before or after a gap is lost.
+and reports the bytes between as a gap. Within a member, also of one that breaks off, the whole records
+are read, before and after a bad one; a gap's offsets are those of its member, its reason says where in
+the decompressed bytes it lies. Bytes of a broken member after the break are searched like all others.
+Nothing that can be read before or after a gap is lost.
 """
 from __future__ import annotations
 
@@ -92,44 +95,82 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     return {"head": head, "type": kind, "payload": payload}, stop + 4
 
 
-def salvage(data: bytes):
-    """("record", offset, end, record) and ("gap", offset, end, reason), in order, covering all bytes."""
-    at, size, bad_from, why = 0, len(data), None, ""
-    view = memoryview(data)
-    while at < size:
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What a member holds as far as it decompresses, where it ends (if broken: `at`), and what broke it."""
+    z, view, out, end = zlib.decompressobj(31), memoryview(data), [], at
+    while not z.eof and end < len(data):
+        last, step = z.copy(), 65536
         try:
-            found = []
-            if data.startswith(MAGIC, at):
-                z = zlib.decompressobj(31)
-                out, end = [], at
+            out.append(z.decompress(view[end : end + step]))
+        except zlib.error as e:  # again in single bytes, for what comes before the break
+            for i in range(end, min(len(data), end + step)):
                 try:
-                    while not z.eof and end < size:
-                        out.append(z.decompress(view[end : end + 65536]))
-                        end = min(size, end + 65536)
-                except zlib.error as e:
-                    raise Bad(f"gzip: {e}") from None
-                if not z.eof:
-                    raise Bad("gzip member not ended")
-                end -= len(z.unused_data)
-                plain, p = b"".join(out), 0
-                while p < len(plain):
-                    rec, p = parse_record(plain, p)
-                    found.append(rec)
-            else:
-                rec, end = parse_record(data, at)
-                found.append(rec)
+                    out.append(last.decompress(view[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), at, f"gzip: {e}"
+        end = min(len(data), end + step)
+    if not z.eof:
+        return b"".join(out) + z.flush(), at, "gzip member not ended"
+    return b"".join(out), end - len(z.unused_data), ""
+
+
+def _inside(plain: bytes):
+    """("record", record) and ("gap", reason) of decompressed bytes, in order."""
+    at, bad_from, why = 0, None, ""
+    while at < len(plain):
+        try:
+            rec, end = parse_record(plain, at)
         except Bad as e:
             if bad_from is None:
                 bad_from, why = at, str(e)
-            nexts = [i for i in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if i >= 0]
-            at = min(nexts, default=size)
+            at = plain.find(VERSION, at + 1)
+            at = len(plain) if at < 0 else at
             continue
         if bad_from is not None:
-            yield "gap", bad_from, at, why
+            yield "gap", f"{why} (bytes {bad_from} to {at} of the member)"
             bad_from = None
-        for rec in found:
-            yield "record", at, end, rec
+        yield "record", rec
         at = end
+    if bad_from is not None:
+        yield "gap", f"{why} (bytes {bad_from} to {len(plain)} of the member)"
+
+
+def salvage(data: bytes):
+    """("record", offset, end, record) and ("gap", offset, end, reason), in order, covering all bytes.
+
+    Records and gaps within a member have the member's offsets; of a broken member they end at its first
+    byte, where the gap of the break starts.
+    """
+    at, size, bad_from, why = 0, len(data), None, ""
+    while at < size:
+        found, bad = [], ""
+        if data.startswith(MAGIC, at):
+            plain, end, bad = _inflate(data, at)
+            found = list(_inside(plain))
+            if not any(what == "record" for what, _ in found):  # the member is the gap
+                bad = bad or (found[0][1].partition(" (bytes")[0] if found else "")
+                found = []
+            elif bad and found[-1][0] == "gap":  # the rest before the break is part of its gap
+                found.pop()
+        else:
+            try:
+                rec, end = parse_record(data, at)
+                found.append(("record", rec))
+            except Bad as e:
+                bad = str(e)
+        if bad_from is not None and (found or not bad):
+            yield "gap", bad_from, at, why
+            bad_from = None
+        for what, x in found:
+            yield what, at, end, x
+        if bad:
+            if bad_from is None:
+                bad_from, why = at, bad
+            nexts = [i for i in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if i >= 0]
+            at = min(nexts, default=size)
+        else:
+            at = end
     if bad_from is not None:
         yield "gap", bad_from, size, why
 

@@ -40,6 +40,30 @@ def test_damage_loses_only_its_record_and_is_logged():
     assert [w for w, *_ in salvage(junk)] == ["gap", "record", "gap", "record"]
 
 
+def test_members_of_several_records():
+    parts = records()
+    plain = bytearray(b"".join(parts))
+    hit = sum(map(len, parts[:3])) + len(parts[3]) - 20 - len(MAGIC)
+    plain[hit] ^= 1  # in the payload of the fourth record
+    for rest in (b"", member(parts[5])):
+        found = list(salvage(member(bytes(plain)) + rest))
+        kinds = [w for w, *_ in found]
+        assert kinds[:7] == ["record"] * 3 + ["gap"] + ["record"] * 3 and len(kinds) == 7 + bool(rest)
+        assert "payload digest differs" in found[3][3]
+    rnd = random.Random(5)
+    noise = [response_record(i, "u", rnd.randbytes(3000)) for i in range(8)]
+    whole = member(b"".join(noise), 0)
+    for cut in (whole[:15000], whole[:15000] + b"\xff" * 20 + whole[15020:]):  # broken off, and damaged
+        found = list(salvage(cut + member(parts[0])))
+        got = [x["head"]["warc-record-id"] for w, _, _, x in found if w == "record"]
+        assert got[:4] == [f"<urn:x-page:{i}>" for i in range(4)] and got[-1] == "<urn:x-page:0>" and len(got) >= 5
+        assert "gap" in [w for w, *_ in found]
+    packed = member(b"".join(noise[:2]))
+    bad_sum = packed[:-8] + bytes([packed[-8] ^ 1]) + packed[-7:]
+    found = list(salvage(bad_sum + member(parts[0])))
+    assert [w for w, *_ in found] == ["record", "record", "gap", "record"] and "gzip" in found[2][3]
+
+
 def test_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "same"), (2, "http://b/", "same"), (3, None, None), (4, "http://d/\r\nX: y", ""), (5, "http://é/", "ü🙂" * 1000), (None, "u", "same"), (5, "twin", "ü🙂" * 1000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
