@@ -1,11 +1,12 @@
 """Licence scan in DataFrame functions only.
 
-A text is cut into units: its lines, and its blocks between blank lines, so that notices of one line and
-of many are both seen. Units are normalised (A-Z lower-cased, all but a-z, 0-9 to single spaces), turned
+A text is cut into units: its lines, its blocks between blank lines, and windows of its words over all
+line ends. A window has as many words as a template and lies so that one of the template's anchor bigrams
+is at its place, so notices within a longer line, or over several blocks, are seen. Units are normalised (A-Z lower-cased, all but a-z, 0-9 to single spaces), turned
 into sets of word bigrams and compared with licence templates by the Dice coefficient, twice the common
 bigrams over the sum of both sizes. A template is tried only if sizes allow: the coefficient is at most
 twice the smaller size over their sum. Texts that hold none of the anchor bigrams, of which any match
-must hold one, are not cut. The best template of all units at or above the limit is the
+must hold one, are not cut. A window is compared with its own template only. The best template of all units at or above the limit is the
 document's licence; of equal ones the first in the table. Null and empty texts have none.
 """
 from __future__ import annotations
@@ -34,8 +35,12 @@ TEMPLATES = (
 LIMIT = 0.8
 
 
+def _normal(text: str) -> list[str]:
+    return re.sub(r"[^A-Za-z0-9]+", " ", text).strip().lower().split(" ")
+
+
 def bigrams(text: str) -> list[str]:
-    words = re.sub(r"[^A-Za-z0-9]+", " ", text).strip().lower().split(" ")
+    words = _normal(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
@@ -54,10 +59,23 @@ def anchors(templates, limit: float) -> list[str]:
     return out
 
 
+def _pairs(w: Column) -> Column:
+    return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def _unit_bigrams(unit: Column) -> Column:
-    words = lambda u: F.split(F.lower(F.trim(F.regexp_replace(u, "[^A-Za-z0-9]+", " "))), " ")
-    pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    return pairs(words(unit))
+    return F.array_distinct(_pairs(F.split(F.lower(F.trim(F.regexp_replace(unit, "[^A-Za-z0-9]+", " "))), " ")))
+
+
+def _places(templates, keys: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """Of each anchor bigram, the templates that hold it and where."""
+    out: dict[str, list[tuple[int, int]]] = {k: [] for k in keys}
+    for j, (_, body) in enumerate(templates):
+        words = _normal(body)
+        for o, g in enumerate(f"{a} {b}" for a, b in zip(words, words[1:])):
+            if g in out:
+                out[g].append((j, o))
+    return out
 
 
 def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, limit: float = LIMIT) -> DataFrame:
@@ -66,12 +84,14 @@ def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, limit:
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.select(*own, t.alias("_text"))
     df = df.withColumn("_plain", F.lower(F.regexp_replace("_text", "[^A-Za-z0-9]+", " ")))
-    first, *more = anchors(templates, limit)
+    keys = anchors(templates, limit)
+    first, *more = keys
     may_hit = F.contains(F.col("_plain"), F.lit(first))
     for k in more:
         may_hit = may_hit | F.contains(F.col("_plain"), F.lit(k))
+    df = df.withColumn("_may_hit", may_hit)
     units = F.concat(F.split("_text", "\n"), F.split("_text", r"\n[ \t\r]*\n"))
-    df = df.withColumn("_units", F.when(may_hit, units).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("_units", F.when(F.col("_may_hit"), units).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_sets", F.transform("_units", _unit_bigrams))
 
     def best(bg: Column) -> Column:
@@ -84,7 +104,22 @@ def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, limit:
             scores.append(F.struct(F.when(fits, dice).otherwise(F.lit(0.0)).alias("dice"), F.lit(-j).alias("j")))
         return F.array_max(F.array(*scores))
 
-    df = df.withColumn("_best", F.array_max(F.transform("_sets", best)))
+    ints = lambda xs: F.array(*map(F.lit, xs))
+    sizes, bodies = ints([len(_normal(b)) for _, b in templates]), F.array(*(ints(bigrams(b)) for _, b in templates))
+    places = F.create_map(*(x for k, v in _places(templates, keys).items() for x in (F.lit(k), F.array(*(F.struct(F.lit(j).alias("j"), F.lit(o).alias("o")) for j, o in v)))))
+    # where anchors are, then (template, start) of windows; a start before the text is cut off
+    df = df.withColumn("_words", F.when(F.col("_may_hit"), F.split(F.trim("_plain"), " ")).otherwise(F.array().cast("array<string>")))
+    hits = F.filter(F.transform(_pairs(F.col("_words")), lambda g, i: F.when(g.isin(keys), F.struct(g.alias("g"), i.alias("i")))), lambda h: h.isNotNull())
+    starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(places, h["g"]), lambda p: F.struct(p["j"].alias("j"), (h["i"] - p["o"]).alias("at"))))))
+    df = df.withColumn("_starts", starts)
+    window = lambda s: F.slice("_words", F.greatest(s["at"], F.lit(0)) + 1, F.element_at(sizes, s["j"] + 1) + F.least(s["at"], F.lit(0)))
+    df = df.withColumn("_windows", F.transform("_starts", lambda s: F.struct(s["j"].alias("j"), F.array_distinct(_pairs(window(s))).alias("bg"))))
+
+    def fit(w: Column) -> Column:
+        body = F.element_at(bodies, w["j"] + 1)
+        return F.struct((2.0 * F.size(F.array_intersect(w["bg"], body)) / (F.size(w["bg"]) + F.size(body))).alias("dice"), (-w["j"]).alias("j"))
+
+    df = df.withColumn("_best", F.array_max(F.concat(F.transform("_sets", best), F.transform("_windows", fit))))
     names = F.array(*(F.lit(n) for n, _ in templates))
     hit = F.col("_best.dice") >= limit
     return df.select(*own, F.when(hit, F.element_at(names, (1 - F.col("_best.j")).cast("int"))).alias("license"), F.when(hit, F.col("_best.dice")).alias("dice"))

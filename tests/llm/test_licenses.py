@@ -23,3 +23,19 @@ def test_scan(spark):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
     assert got[3][0] == "MIT" and got[5][0] == "MIT" and got[4][0] == "Apache-2.0" and got[2] == (None, None)
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def test_notices_across_blank_lines_and_within_lines(spark):
+    apache = TEMPLATES[1][1].replace(" You may obtain", "\nYou may obtain").replace(" at http:", " at\n\n    http:").replace("2.0 Unless", "2.0\n\nUnless")
+    assert apache.count("\n\n") == 2
+    texts = [
+        "# Copyright 2020 Foo\n#\n" + re.sub("(?m)^", "# ", apache) + "\n\nimport os",
+        apache,
+        "Copyright 2020 Foo. Licensed under the Apache License, Version 2.0. All rights reserved.",
+        "The code is released under the MIT License, see the file LICENSE for details.",
+        "by the MIT License.",
+        "We were released under the bridge, with more words about the apache license than needed.",
+    ]
+    assert all(brute(t) == (None, None) for t in (texts[1], *texts[2:]))
+    got = {r.doc_id: (r.license, r.dice) for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("Apache-2.0", 1.0), 1: ("Apache-2.0", 1.0), 2: ("Apache-2.0", 1.0), 3: ("MIT", 1.0), 4: (None, None), 5: (None, None)}
