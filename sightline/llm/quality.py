@@ -1,19 +1,23 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
 A rule rejects a document whose measure reaches a cutoff. Cutoffs are found per stratum (language):
-labelled documents are split by a hash of the id. The fitting half says which cutoffs catch bad
-documents; the held-out half certifies that a cutoff falsely rejects at most `risk` of the good
-documents of that stratum. Certification is exact: with k of n held-out good documents rejected, the
-chance of k or fewer at a true rate of `risk` is the binomial distribution function, and a cutoff
-passes if that chance is at most its share of `delta`. The rules of all strata share `delta` evenly
-(Bonferroni), and rules share `risk`, so that all rules together keep it. Within a rule, cutoffs are
-tested from the highest down and testing stops at the first that fails (fixed sequence), so the grid
-costs nothing more. Of the certified cutoffs the highest is taken that catches as many bad documents
-of the fitting half as the lowest does; a cutoff that catches none is not used. Too few labels
-certify nothing, and then the stratum has no cutoff.
+labelled documents are split by a hash of the id. A quarter of them, the fitting part, proposes: for each
+of a few shares q, from 0 up, every rule takes the cutoff that rejects at most q of the fitting part's
+good documents and the most of its bad ones (of equal ones the highest; a rule that catches none is left
+out). So each q gives one set of rules, and the sets are nested. The held-out rest certifies a set as a
+whole: with k of n held-out good documents rejected by any of its rules, the chance of k or fewer at a
+true rate of `risk` is the exact binomial distribution function, and the set passes if that chance is at
+most `delta` over the number of strata (Bonferroni). Within a stratum the sets are tested in their order
+and testing stops at the first that fails (fixed sequence), so trying several costs nothing more. Of the
+certified sets the first is taken that catches the most bad documents of the fitting part. With a chance
+of at least 1 - delta, no stratum's rules reject more than `risk` of its good documents.
+
+Too few labels certify nothing, and then the stratum has no cutoff: with no false rejection at all it
+takes ln(strata / delta) / -ln(1 - risk) held-out good documents, 217 for four strata at the defaults.
 
 Null text counts no words. Null strata are one stratum. Labels that contradict count as bad; labels
-with a null id or quality are ignored.
+with a null id or quality are ignored. Repeated rows of one id count as often as they occur. Columns of
+the documents that have a measure's name don't clash: keep_good() works on renamed columns.
 """
 from __future__ import annotations
 
@@ -23,14 +27,18 @@ from pyspark.sql import functions as F
 from .mixing import WORDS
 from .workspace import Workspace
 
-#: Cutoffs of each rule, from the highest, which is tested first.
+#: Cutoffs that a rule may take, from the highest.
 GRID = (0.9, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)
-RULES = ("symbols", "bangs", "dup_lines", "repeats")
+RULES = ("symbols", "bangs", "capitals", "dup_lines", "repeats")
+#: Shares of the fitting part's good documents that a rule may reject, in the order of testing.
+SHARES = (0.0, 0.001, 0.002, 0.005, 0.01, 0.02)
+#: One label in so many goes to the fitting part.
+FIT = 4
 WINDOW = 8
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_bangs, n_lines, n_dup_lines, n_repeat_words, all long.
+    """docs with n_words, word_chars, n_symbols, n_bangs, n_capitals (A-Z), n_lines, n_dup_lines, n_repeat_words, all long.
 
     n_repeat_words: words in windows of 8 that the text holds twice or more. Windows are compared by
     64-bit hashes within one text. Only texts with an equal pair of hashes are sorted.
@@ -55,6 +63,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": count("#*$%&|<>"),
         "n_bangs": count("!?"),
+        "n_capitals": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
@@ -67,7 +76,7 @@ def base_failed() -> Column:
 
 def _shares() -> dict[str, Column]:
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return {"symbols": per("n_symbols", "word_chars"), "bangs": per("n_bangs", "word_chars"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words")}
+    return {"symbols": per("n_symbols", "word_chars"), "bangs": per("n_bangs", "word_chars"), "capitals": per("n_capitals", "word_chars"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words")}
 
 
 def _log_gamma(x: Column) -> Column:
@@ -95,49 +104,75 @@ def binomial_at_most(k: Column, n: Column, p: float, terms: int = 5000) -> Colum
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.aggregate(steps, start, step, rest)))
 
 
-def cutoffs(labelled: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """labelled: id, stratum, quality, the measures -> stratum, rule, cutoff, only those certified."""
-    shares = _shares()
+def proposals(labelled: DataFrame) -> DataFrame:
+    """The fitting part -> stratum, path: for each of SHARES in order a struct of each rule's cutoff, null if unused."""
     level = lambda c: sum(F.when(c >= g, 1).otherwise(0) for g in GRID)  # noqa: E731  how many cutoffs the share reaches
-    long = labelled.select("stratum", "quality", (F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(2)) == 0).alias("fit"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), level(c).alias("level")) for r, c in shares.items()))).alias("x"))
-    hist = long.groupBy("stratum", "x.rule", "x.level").agg(*(F.count_if(cond).alias(n) for n, cond in (("good", ~F.col("fit") & (F.col("quality") == 1)), ("bad", F.col("fit") & (F.col("quality") == 0)))))
+    long = labelled.where("fit").select("stratum", "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), level(c).alias("level")) for r, c in _shares().items()))).alias("x"))
+    hist = long.groupBy("stratum", "x.rule", "x.level").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     # cutoff number g (0 the highest) rejects what reaches more than len(GRID) - 1 - g of them
     steps = hist.select("stratum", "rule", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))).alias("g"), "level", "good", "bad")
     hit = F.col("level") >= len(GRID) - F.col("g")
-    tests = steps.groupBy("stratum", "rule", "g").agg(F.sum(F.when(hit, F.col("good")).otherwise(0)).alias("k"), F.sum("good").alias("n"), F.sum(F.when(hit, F.col("bad")).otherwise(0)).alias("caught"))
-    strata = tests.select("stratum").distinct().agg(F.count("*").alias("strata"))  # one row
-    tests = tests.crossJoin(F.broadcast(strata))
-    chance = binomial_at_most(F.col("k"), F.col("n"), risk / len(RULES))
-    tests = tests.withColumn("ok", (F.col("n") > 0) & (chance <= delta / (len(RULES) * F.col("strata"))))
-    down = Window.partitionBy("stratum", "rule").orderBy("g")
-    tests = tests.withColumn("ok", F.min("ok").over(down)).where("ok and caught > 0")
-    tests = tests.withColumn("most", F.max("caught").over(Window.partitionBy("stratum", "rule"))).where("caught = most")
-    return tests.groupBy("stratum", "rule").agg(F.min("g").alias("g")).select("stratum", "rule", F.element_at(F.array(*map(F.lit, GRID)), (F.col("g") + 1).cast("int")).alias("cutoff"))
-
-
-def judged(measured: DataFrame, found: DataFrame, stratum: Column, max_strata: int = 100_000) -> DataFrame:
-    """measured with base_failed, kept and reason (base, the first rule that rejects it, or null).
-
-    The cutoffs, at most four a stratum, are sent to all tasks once their number is known to be under
-    max_strata; more strata than that are joined by shuffle.
+    steps = steps.groupBy("stratum", "rule", "g").agg(F.sum(F.when(hit, F.col("good")).otherwise(0)).alias("k"), F.sum("good").alias("n"), F.sum(F.when(hit, F.col("bad")).otherwise(0)).alias("caught"))
+    best = lambda q, r: F.max(F.when((F.col("rule") == r) & (F.col("caught") > 0) & (F.col("k") <= q * F.col("n")), F.struct("caught", (-F.col("g")).alias("up"))))["up"]
+    value = lambda up: F.get(F.array(*map(F.lit, GRID)), (-up).cast("int"))
+    return steps.groupBy("stratum").agg(F.array(*(F.struct(*(value(best(q, r)).alias(r) for r in RULES)) for q in SHARES)).alias("path"))
+
+
+def _any(cut: Column) -> Column:
+    """Whether a document reaches one of a set's cutoffs."""
+    hit = F.lit(False)
+    for r, c in _shares().items():
+        hit = hit | F.coalesce(c >= cut[r], F.lit(False))
+    return hit
+
+
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """For a broadcast join if it has at most so many rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def cutoffs(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """labelled: id, stratum, quality, fit, the measures -> a row for each stratum with a certified set.
+
+    cut: struct of each rule's cutoff; step: its place in SHARES; holdout, rejected: n and k; chance: of k or fewer at `risk`.
     """
-    wide = found.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES)).withColumnRenamed("stratum", "_stratum")
-    if wide.limit(max_strata + 1).count() <= max_strata:
-        wide = F.broadcast(wide)
-    df = measured.withColumn("_own", stratum).join(wide, F.col("_own").eqNullSafe(F.col("_stratum")), "left")
-    reason = F.when(base_failed(), "base")
+    paths = labelled.select("stratum").distinct().join(few(proposals(labelled)).withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")), "left").drop("_s")
+    paths = few(paths).withColumnRenamed("stratum", "_s")
+    # one pass: of each label, which sets reject it
+    marked = labelled.join(paths, F.col("stratum").eqNullSafe(F.col("_s"))).select("stratum", "fit", "quality", "path", F.transform("path", _any).alias("hits"))
+    held = ~F.col("fit") & (F.col("quality") == 1)
+    per = [F.struct(F.lit(j).alias("j"), F.count_if(held & F.col("hits")[j]).alias("k"), F.count_if(held).alias("n"), F.count_if(F.col("fit") & (F.col("quality") == 0) & F.col("hits")[j]).alias("caught")) for j in range(len(SHARES))]
+    tests = marked.groupBy("stratum").agg(F.array(*per).alias("t"), F.first("path").alias("path"))
+    strata = tests.agg(F.count("*").alias("strata"))  # one row
+    tests = tests.crossJoin(F.broadcast(strata)).select("stratum", "path", "strata", F.explode("t").alias("t")).select("stratum", "path", "strata", "t.*")
+    tests = tests.withColumn("chance", binomial_at_most(F.col("k"), F.col("n"), risk))
+    ok = (F.col("n") > 0) & (F.col("chance") <= delta / F.col("strata"))
+    tests = tests.withColumn("ok", F.min(ok).over(Window.partitionBy("stratum").orderBy("j"))).where("ok and caught > 0")
+    pick = F.max(F.struct("caught", (-F.col("j")).alias("up"), "k", "n", "chance"))
+    out = tests.groupBy("stratum").agg(pick.alias("p"), F.first("path").alias("path"))
+    return out.select("stratum", F.get("path", (-F.col("p.up")).cast("int")).alias("cut"), (-F.col("p.up")).cast("int").alias("step"), F.col("p.n").alias("holdout"), F.col("p.k").alias("rejected"), F.col("p.chance").alias("chance"))
+
+
+def judged(measured: DataFrame, found: DataFrame, stratum: Column) -> DataFrame:
+    """measured with base_failed, kept, reason (base, the first rule that rejects it, or null), that rule's cutoff, and
+    of the stratum's certificate holdout, rejected and chance (null where none was certified)."""
+    sets = few(found.select(F.col("stratum").alias("_stratum"), F.col("cut").alias("_cut"), "holdout", "rejected", "chance"))
+    df = measured.withColumn("_own", stratum).join(sets, F.col("_own").eqNullSafe(F.col("_stratum")), "left")
+    reason, cutoff = F.when(base_failed(), "base"), F.when(base_failed(), F.lit(None).cast("double"))
     for r, c in _shares().items():
-        reason = reason.when(c >= F.col(f"_{r}"), r)
-    df = df.withColumn("base_failed", base_failed()).withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
-    return df.drop("_own", "_stratum", *(f"_{r}" for r in RULES))
+        reason, cutoff = reason.when(c >= F.col("_cut")[r], r), cutoff.when(c >= F.col("_cut")[r], F.col("_cut")[r])
+    df = df.withColumn("base_failed", base_failed()).withColumn("reason", reason).withColumn("cutoff", cutoff).withColumn("kept", F.col("reason").isNull())
+    return df.drop("_own", "_stratum", "_cut")
 
 
 def labelled_measures(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    marks = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("quality"))
-    return measured.join(marks, F.col(id_col) == F.col("_id")).withColumn("id", F.col(id_col)).withColumn("stratum", F.col(stratum))
+    """Measures of labelled documents with id, stratum, quality and fit."""
+    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("quality"))
+    fit = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(FIT)) == 0
+    return measured.join(marks, F.col(id_col) == F.col("_id")).withColumn("id", F.col(id_col)).withColumn("stratum", F.col(stratum)).withColumn("fit", fit)
 
 
-def quality_table(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
+def quality_table(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """One row a document: doc_id, lang, measures and verdict. Texts are read once; the measures are written and read twice."""
     space = Workspace(docs.sparkSession, "quality")
     measured = space.keep(measures(docs.select("doc_id", "lang", "text")).drop("text"))
@@ -145,13 +180,13 @@ def quality_table(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta:
     return judged(measured, found, F.col("lang"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """The documents that pass, all columns unchanged. Texts are read twice and never shuffled."""
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The documents that pass, all columns unchanged. Texts are measured once, written with their measures and never shuffled."""
     space = Workspace(docs.sparkSession, "quality")
-    measured = measures(docs.select("doc_id", "lang", "text")).drop("text")
-    found = space.keep(cutoffs(labelled_measures(measured, labels), risk, delta))
     names = [f"_c{i}" for i in range(len(docs.columns))]  # own columns may have the measures' names
     inner = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names)))
-    text, lang = (names[docs.columns.index(c)] for c in ("text", "lang"))
-    out = judged(measures(inner, text), found, F.col(lang)).where("kept")
+    text, lang, ids = (names[docs.columns.index(c)] for c in ("text", "lang", "doc_id"))
+    measured = space.keep(measures(inner, text))
+    found = space.keep(cutoffs(labelled_measures(measured.drop(text), labels, lang, ids), risk, delta))
+    out = judged(measured, found, F.col(lang)).where("kept")
     return out.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))

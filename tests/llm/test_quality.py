@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from sightline.llm.quality import binomial_at_most, cutoffs, keep_good, measures, quality_table
+from sightline.llm.quality import GRID, RULES, SHARES, _shares, binomial_at_most, cutoffs, keep_good, labelled_measures, measures, quality_table
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,3 +69,53 @@ def test_no_labels_empty_and_clashing_columns(spark):
     kept = keep_good(docs, labels.limit(0))
     assert kept.columns == docs.columns and kept.count() == 16 and {r.n_words for r in kept.collect()} == {"mine"}
     assert keep_good(docs.limit(0), labels).count() == 0
+
+
+def by_hand(rows, risk, delta):
+    """The docstring's definition in plain Python, with exact binomials: stratum -> (step, cutoffs, n, k)."""
+    strata, out = {r.stratum for r in rows}, {}
+    for s in strata:
+        mine = [r for r in rows if r.stratum == s]
+        fit, held = [r for r in mine if r.fit], [r for r in mine if not r.fit and r.quality == 1]
+        sets = []
+        for q in SHARES:
+            cut = {}
+            for rule in RULES:
+                goods = [r["s_" + rule] for r in fit if r.quality == 1]
+                bads = [r["s_" + rule] for r in fit if r.quality == 0]
+                could = [(sum(b >= g for b in bads), g) for g in GRID if sum(x >= g for x in goods) <= q * len(goods)]
+                if could and max(could)[0] > 0:
+                    cut[rule] = max(could)[1]
+            sets.append(cut)
+        best = None
+        for step, cut in enumerate(sets):
+            hit = lambda r: any(r["s_" + rule] >= g for rule, g in cut.items())
+            k, n = sum(map(hit, held)), len(held)
+            chance = 1.0 if n == 0 or k >= n * risk else sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+            if not n or chance > delta / len(strata):
+                break
+            caught = sum(hit(r) for r in fit if r.quality == 0)
+            if caught and (best is None or caught > best[0]):
+                best = caught, step, cut, n, k
+        if best:
+            out[s] = best[1:]
+    return out
+
+
+def test_cutoffs_equal_their_definition(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    marked = labelled_measures(measures(docs.join(labels.select("doc_id"), "doc_id", "left_semi")).drop("text"), labels)
+    marked = marked.select("stratum", "quality", "fit", "id", "n_words", "word_chars", "n_symbols", "n_bangs", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words").persist()
+    rows = marked.select("stratum", "quality", "fit", *(c.alias("s_" + r) for r, c in _shares().items())).collect()
+    got = {r.stratum: (r.step, {k: v for k, v in r.cut.asDict().items() if v is not None}, r.holdout, r.rejected) for r in cutoffs(marked, 0.02, 0.05).collect()}
+    assert got and got == by_hand(rows, 0.02, 0.05)
+    # at this size some documents are judged by certified cutoffs
+    assert quality_table(docs, labels).where("not kept and not base_failed").count() > 100
+
+
+def test_repeated_rows_and_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "en", "b " * 300_000), (1, "en", "b " * 300_000), (2, None, None)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, quality int")
+    out = quality_table(docs, labels).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_repeat_words, r.base_failed) for r in out) == [(1, 300_000, 300_000, True)] * 2 + [(2, 0, 0, True)]
