@@ -1,24 +1,31 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every context has a restaurant whose customers are the tokens met after it and whose tables are
-customers of the root restaurant, which all contexts share; the root's own tables draw from a uniform
-base over the vocabulary and one unknown word. A context is the word before, hashed into one of
-`contexts` restaurants (the start of a text has its own), so the tables of a context that all tasks
-need are a vector of fixed length whatever the corpus.
+Restaurants form three levels. A context is the word before a token, hashed into one of `contexts`
+restaurants (the start of a text has its own): its customers are the tokens met after it, and its tables
+are customers of its class, a restaurant that `per_class` contexts share as their parent; the tables of
+classes are customers of the root, and the root's own tables draw from a uniform base over the vocabulary
+and one unknown word. So the totals of all restaurants, which every task needs, are vectors of fixed
+length whatever the corpus, while dishes and their counts grow with it. The common words of a corpus have
+a restaurant nearly to themselves; rare ones share theirs.
 
 Counts of (context, word) are gathered from all training texts into buckets by word; a bucket then
-holds whole dishes: a word's customers in every context and in the root. Seating is sampled by Gibbs,
-a dish at a time: given the tables of each context and of the root, customers of a dish are seated
-anew one by one (beyond the 64th in growing blocks within which the odds are held). Buckets sample at
-the same time; contexts' and the root's totals are brought together after each sweep. After the
-burn-in, sweeps are kept as samples, and a text's probability takes each token's predictive
+holds whole dishes: a word's customers in every context, class and the root. Seating is sampled by Gibbs,
+a dish at a time: given the tables of all restaurants, customers of a dish are seated anew one by one
+(beyond the 64th in growing blocks within which the odds are held). A dish draws from random numbers of
+its own, by its word, context and sweep, so neither partitions nor the order of rows change a score.
+Buckets sample at the same time; the restaurants' totals are brought together after each sweep, so a
+dish's own old tables still count in its odds: the step is an approximation of single-site Gibbs. After
+the burn-in, sweeps are kept as samples, and a text's probability takes each token's predictive
 probability averaged over the samples.
 
 For scoring, texts are dealt into parts. A part asks the buckets once for each of its distinct words
-and (context, word) pairs and gets counts and probabilities back in the same order.
+and (context, word) pairs and gets counts and probabilities back in the same order. Logarithms travel as
+whole numbers of 2 ** -26, so a token's is exact to 8e-9. A part sends at most one row to a bucket, and
+there are `BUCKETS` of them until one would hold over 64 MB of text, so rows grow with the parts.
 
 A-Z is lower-cased; tokens are words and one end. Null text is empty: only the end. Documents whose
-crc32(id as text) mod 7 is 2 are held out; a null id is not held out.
+crc32(id as text) mod 7 is 2 are held out; a null id is not held out. Repeated rows count as often as
+they occur and are dealt over parts like others. Without training documents N and V are 0.
 """
 from __future__ import annotations
 
@@ -28,41 +35,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import U, Words, mixed, slices
-from .workspace import Workspace, parts_for
+from .workspace import Workspace, dealt, parts_for
 
 END = U(0x5EED0E0D5EED0E0D)
 SINGLE = 64
+BUCKETS, STEP = 64, float(1 << 26)
 
 
 class Model:
     """Fixed settings, and the totals that the sweeps share."""
 
-    def __init__(self, contexts: int = 1024, discount: float = 0.75, strength: float = 1.0, root_discount: float = 0.5, root_strength: float = 1.0):
-        self.contexts, self.d, self.s, self.d1, self.s1 = contexts, discount, strength, root_discount, root_strength
+    def __init__(self, contexts: int = 1 << 15, per_class: int = 64, discount: float = 0.75, strength: float = 1.0, class_discount: float = 0.6, class_strength: float = 1.0, root_discount: float = 0.5, root_strength: float = 1.0):
+        if contexts % per_class or contexts > 1 << 15:
+            raise ValueError("contexts must be a multiple of per_class, and at most 32768")
+        self.contexts, self.per_class = contexts, per_class
+        self.classes = contexts // per_class + 1  # the last one is the start's
+        self.d, self.s, self.d2, self.s2, self.d1, self.s1 = discount, strength, class_discount, class_strength, root_discount, root_strength
         self.n = self.v = 0
         self.customers = np.zeros(contexts + 1)
-        self.samples: list[tuple[np.ndarray, float]] = []  # tables of each context, tables of the root
+        self.samples: list[Totals] = []
 
-    def root(self, c1, t1, tables, tables1):
-        total = self.s1 + tables.sum()
-        return (c1 - self.d1 * t1) / total + (self.s1 + self.d1 * tables1) / total / (self.v + 1)
+    def root(self, c1, t1, totals: Totals):
+        all_customers = self.s1 + totals.classes.sum()
+        return (c1 - self.d1 * t1) / all_customers + (self.s1 + self.d1 * totals.root) / all_customers / (self.v + 1)
 
-    def weight(self, tables):
-        """What a context leaves to the root."""
-        return (self.s + self.d * tables) / (self.s + self.customers)
+    def grouped(self, g, c2, t2, p1, totals: Totals):
+        """The probability in class g."""
+        return (c2 - self.d2 * t2 + (self.s2 + self.d2 * totals.classes[g]) * p1) / (self.s2 + totals.in_class(self)[g])
 
+    def known(self, u, c, t, p2, totals: Totals):
+        """The probability in context u."""
+        return (c - self.d * t + (self.s + self.d * totals.contexts[u]) * p2) / (self.s + self.customers[u])
 
-def seated(rng, c: np.ndarray, new: np.ndarray, d: float) -> np.ndarray:
+
+class Totals:
+    """Of one seating: the tables of each context, of each class and of the root."""
+
+    def __init__(self, contexts: np.ndarray, classes: np.ndarray, root: float):
+        self.contexts, self.classes, self.root = contexts, classes, root
+
+    def in_class(self, model: Model) -> np.ndarray:
+        """Customers of each class: the tables of its contexts."""
+        return np.bincount(np.arange(model.contexts + 1) // model.per_class, self.contexts, model.classes)
+
+
+def _draws(seed: np.ndarray, turn: int) -> np.ndarray:
+    """Uniform numbers in (0, 1), each from its seed and turn alone."""
+    return (mixed(seed * U(0x9E3779B97F4A7C15) + U((turn + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> U(11)).astype(np.float64) / (1 << 53) + 2.0**-54
+
+
+def _binomial(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The x-quantile of a binomial: by its distribution function, or for a wide one by its normal form."""
+    out = np.zeros(len(n), np.int64)
+    wide = (n * p * (1 - p) > 30) | (n > 200)
+    at = np.flatnonzero(wide)
+    if len(at):
+        z = np.sqrt(2) * _erfinv(2 * x[at] - 1)
+        out[at] = np.clip(np.rint(n[at] * p[at] + z * np.sqrt(n[at] * p[at] * (1 - p[at]))), 0, n[at]).astype(np.int64)
+    at = np.flatnonzero(~wide)
+    if len(at):
+        term = (1 - p[at]) ** n[at]
+        below, k, left = term.copy(), np.zeros(len(at), np.int64), np.arange(len(at))
+        while True:
+            left = left[(below[left] < x[at[left]]) & (k[left] < n[at[left]])]
+            if not len(left):
+                break
+            who = at[left]
+            term[left] *= (n[who] - k[left]) / (k[left] + 1) * p[who] / (1 - p[who])
+            k[left] += 1
+            below[left] += term[left]
+        out[at] = k
+    return out
+
+
+def _erfinv(y: np.ndarray) -> np.ndarray:
+    """To four digits, which is enough for a seat among hundreds."""
+    log = np.log1p(-y * y)
+    a = 2 / (np.pi * 0.147) + log / 2
+    return np.sign(y) * np.sqrt(np.sqrt(a * a - log / 0.147) - a)
+
+
+def seated(seed: np.ndarray, turn: int, c: np.ndarray, new: np.ndarray, d: float) -> np.ndarray:
     """Tables for c customers of a dish: each next one opens a table with odds new : (customers - d * tables)."""
     t = np.minimum(c, 1).astype(np.int64)
     at = np.flatnonzero(c > 1)
-    done = 1
+    done, k = 1, turn << 20
     while len(at):
         step = 1 if done < SINGLE else done // 16
         left = np.minimum(c[at] - done, step)
         p = new[at] / (done - d * t[at] + new[at])
-        t[at] += rng.random(len(at)) < p if step == 1 else rng.binomial(left, p)
+        x = _draws(seed[at], k)
+        t[at] += x < p if step == 1 else _binomial(x, left, p)
         done += step
+        k += 1
         at = at[c[at] > done]
     return t
 
@@ -121,22 +186,45 @@ def _cat(table, name, kind):
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-STATE = "bucket int, words binary, per binary, contexts binary, counts binary, tables binary, roots binary, n long, v long, customers binary, context_tables binary, root_tables long"
+STATE = "bucket int, words binary, per binary, contexts binary, counts binary, tables binary, groups binary, roots binary"
 
 
-def _row(bucket, words, per, u, c, tables, roots, contexts):
-    """tables and roots: the kept samples and, last, the current seating, one after another."""
-    now, root = tables[-1], roots[-1]
-    return [bucket, words.tobytes(), per.astype(np.uint32).tobytes(), u.astype(np.uint16).tobytes(), c.astype(np.int64).tobytes(), b"".join(t.astype(np.uint32).tobytes() for t in tables), b"".join(t.astype(np.uint32).tobytes() for t in roots), int(c.sum()), len(words), np.bincount(u, c, contexts + 1).tobytes(), np.bincount(u, now, contexts + 1).tobytes(), int(root.sum())]
+def _row(bucket, words, per, u, c, tables, groups, roots):
+    """tables, groups and roots: the kept samples and, last, the current seating, one after another."""
+    join = lambda xs: b"".join(x.astype(np.uint32).tobytes() for x in xs)
+    return [bucket, words.tobytes(), per.astype(np.uint32).tobytes(), u.astype(np.uint16).tobytes(), c.astype(np.int64).tobytes(), join(tables), join(groups), join(roots)]
 
 
 def _table(rows):
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
     fields = [x.split() for x in STATE.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], names=[f for f, _ in fields])
 
 
-def _merge(contexts: int):
+class Dishes:
+    """A bucket's dishes: word of, context and class of each pair, and where words and their classes start."""
+
+    def __init__(self, model: Model, row: dict):
+        self.words, self.per = np.frombuffer(row["words"], U), np.frombuffer(row["per"], np.uint32).astype(np.int64)
+        self.u, self.c = np.frombuffer(row["contexts"], np.uint16).astype(np.int64), np.frombuffer(row["counts"], np.int64)
+        self.starts = np.cumsum(self.per) - self.per
+        self.of = np.repeat(np.arange(len(self.words)), self.per)
+        g = self.u // model.per_class
+        first = np.concatenate([[True], (self.of[1:] != self.of[:-1]) | (g[1:] != g[:-1])]) if len(g) else np.zeros(0, bool)
+        self.group_starts = np.flatnonzero(first)  # contexts rise within a word, so classes do
+        self.g, self.group_of, self.word_of_group = g[first], np.cumsum(first) - 1, self.of[first]
+        self.root_starts = np.searchsorted(self.word_of_group, np.arange(len(self.words)))
+        if row["tables"]:
+            self.tables, self.groups, self.roots = (np.frombuffer(row[k], np.uint32).reshape(-1, n).astype(np.int64) for k, n in (("tables", len(self.u)), ("groups", len(self.g)), ("roots", len(self.words))))
+
+    def group_customers(self, tables):
+        return np.add.reduceat(tables, self.group_starts, axis=-1)
+
+    def root_customers(self, groups):
+        return np.add.reduceat(groups, self.root_starts, axis=-1)
+
+
+def _merge(model: Model):
     def run(table: pa.Table) -> pa.Table:
         per = _cat(table, "per", np.uint32)
         w, u, c = np.repeat(_cat(table, "words", U), per), _cat(table, "contexts", np.uint16).astype(np.int64), _cat(table, "counts", np.uint32)
@@ -145,86 +233,85 @@ def _merge(contexts: int):
         at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]))
         c, u = np.add.reduceat(c, at), u[at]
         words, per = np.unique(w[at], return_counts=True)
-        row = _row(table.column("bucket")[0].as_py(), words, per, u, c, [np.ones(len(c), np.int64)], [np.ones(len(words), np.int64)], contexts)
+        row = _row(table.column("bucket")[0].as_py(), words, per, u, c, [], [], [])
+        dishes = Dishes(model, dict(zip((x.split()[0] for x in STATE.split(", ")), row)))
+        row[5:] = (np.ones(n, np.uint32).tobytes() for n in (len(u), len(dishes.g), len(words)))
         return pa.Table.from_batches([_table([row])])
 
     return run
 
 
-def _read(row: dict):
-    words, per = np.frombuffer(row["words"], U), np.frombuffer(row["per"], np.uint32).astype(np.int64)
-    u, c = np.frombuffer(row["contexts"], np.uint16).astype(np.int64), np.frombuffer(row["counts"], np.int64)
-    tables = np.frombuffer(row["tables"], np.uint32).reshape(-1, len(c)).astype(np.int64)
-    roots = np.frombuffer(row["roots"], np.uint32).reshape(-1, len(words)).astype(np.int64)
-    return words, per, u, c, tables, roots
-
-
-def _sweep(model: Model, tables: np.ndarray, tables1: float, turn: int, keep: bool):
+def _sweep(model: Model, totals: Totals, turn: int, keep: bool):
     """One Gibbs sweep over the dishes of each bucket; keep: the seating before it stays as a sample."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words, per, u, c, old, roots = _read(row)
-                rng = np.random.default_rng([turn, row["bucket"]])
-                starts = np.cumsum(per) - per
-                of = np.repeat(np.arange(len(words)), per)
-                p1 = model.root(np.add.reduceat(old[-1], starts), roots[-1], tables, tables1)
-                now = seated(rng, c, ((model.s + model.d * tables)[u] * p1[of]), model.d)
-                c1 = np.add.reduceat(now, starts)
-                root = seated(rng, c1, np.full(len(words), (model.s1 + model.d1 * tables1) / (model.v + 1)), model.d1)
-                kept = len(old) if keep else len(old) - 1
-                yield _table([_row(row["bucket"], words, per, u, c, [*old[:kept], now], [*roots[:kept], root], model.contexts)])
+                x = Dishes(model, row)
+                old, was, roots = x.tables[-1], x.groups[-1], x.roots[-1]
+                p1 = model.root(x.root_customers(was), roots, totals)
+                p2 = model.grouped(x.g, x.group_customers(old), was, p1[x.word_of_group], totals)
+                seed = lambda of, k: mixed(x.words[of] + U(1)) + k.astype(U)
+                now = seated(seed(x.of, x.u), 3 * turn, x.c, ((model.s + model.d * totals.contexts)[x.u] * p2[x.group_of]), model.d)
+                c2 = x.group_customers(now)
+                group = seated(seed(x.word_of_group, x.g), 3 * turn + 1, c2, (model.s2 + model.d2 * totals.classes)[x.g] * p1[x.word_of_group], model.d2)
+                c1 = x.root_customers(group)
+                root = seated(mixed(x.words + U(1)), 3 * turn + 2, c1, np.full(len(x.words), (model.s1 + model.d1 * totals.root) / (model.v + 1)), model.d1)
+                kept = slice(0, len(x.tables) if keep else len(x.tables) - 1)
+                yield _table([_row(row["bucket"], x.words, x.per, x.u, x.c, [*x.tables[kept], now], [*x.groups[kept], group], [*x.roots[kept], root])])
 
     return run
 
 
-def _totals(model: Model, state: DataFrame) -> tuple[np.ndarray, float]:
+def _totals(model: Model, state: DataFrame) -> Totals:
     """Sums of a fixed number of values, whatever the corpus."""
+    size, end = model.contexts + 1, model.contexts + 1 + model.classes
 
     def add(batches):
-        n, v, t1, cu, tu = 0, 0, 0, np.zeros(model.contexts + 1), np.zeros(model.contexts + 1)
+        n, v, t1, cu, tu = 0, 0, 0, np.zeros(end), np.zeros(end)
         for batch in batches:
             for r in batch.to_pylist():
-                n, v, t1 = n + r["n"], v + r["v"], t1 + r["root_tables"]
-                cu, tu = cu + np.frombuffer(r["customers"]), tu + np.frombuffer(r["context_tables"])
-        at = np.flatnonzero(cu)
+                x = Dishes(model, r)
+                n, v, t1 = n + int(x.c.sum()), v + len(x.words), t1 + int(x.roots[-1].sum())
+                cu[:size] += np.bincount(x.u, x.c, size)
+                tu[:size] += np.bincount(x.u, x.tables[-1], size)
+                tu[size:] += np.bincount(x.g, x.groups[-1], model.classes)
+        at = np.flatnonzero(tu)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([*at, -1, -2]), pa.array([*cu[at], float(n), float(t1)]), pa.array([*tu[at], float(v), 0.0])], names=["u", "x", "y"])
 
-    rows = state.select("n", "v", "customers", "context_tables", "root_tables").mapInArrow(add, "u long, x double, y double").groupBy("u").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
-    tables, tables1 = np.zeros(model.contexts + 1), 0.0
-    for r in rows:
-        if r.u >= 0:
-            model.customers[r.u], tables[r.u] = r.x, r.y
-        elif r.u == -1:
-            model.n, model.v = int(r.x), int(r.y)
-        else:
-            tables1 = r.x
-    return tables, tables1
+    rows = state.mapInArrow(add, "u long, x double, y double").groupBy("u").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
+    u, x, y = (rows.column(c).to_numpy() for c in "uxy")
+    tables, at = np.zeros(end), u >= 0
+    tables[u[at]] = y[at]
+    model.customers[u[(u >= 0) & (u < size)]] = x[(u >= 0) & (u < size)]
+    for k, a, b in zip(u[~at], x[~at], y[~at]):
+        if k == -1:
+            model.n, model.v = int(a), int(b)
+    return Totals(tables[:size], tables[size:], float(x[u == -2].sum()))
 
 
 def train(docs: DataFrame, space: Workspace, n: int, model: Model, burn_in: int = 2, samples: int = 3) -> DataFrame:
     """docs: _text of training documents -> the state table; model gets the totals of each sample."""
-    state = space.keep(docs.mapInArrow(_gather(model.contexts, n), "bucket int, words binary, per binary, contexts binary, counts binary").groupBy("bucket").applyInArrow(_merge(model.contexts), STATE))
+    state = space.keep(docs.mapInArrow(_gather(model.contexts, n), "bucket int, words binary, per binary, contexts binary, counts binary").groupBy("bucket").applyInArrow(_merge(model), STATE))
     for turn in range(burn_in + samples):
-        tables, tables1 = _totals(model, state)
+        totals = _totals(model, state)
         keep = turn > burn_in
         if keep:
-            model.samples.append((tables, tables1))
-        new = space.keep(state.mapInArrow(_sweep(model, tables, tables1, turn, keep), STATE))
+            model.samples.append(totals)
+        new = space.keep(state.mapInArrow(_sweep(model, totals, turn, keep), STATE))
         space.drop(state)
         state = new
     model.samples.append(_totals(model, state))
     return state
 
 
-def predictive(model: Model, u: np.ndarray, c: np.ndarray, tables: np.ndarray, c1: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """Mean over samples of the probability of a word after context u; rows of tables, c1 and roots are samples."""
+def predictive(model: Model, u, c, t, c2, t2, c1, t1) -> np.ndarray:
+    """Mean over samples of the probability of a word after context u; rows of t, c2, t2, c1 and t1 are samples."""
     total = np.zeros(len(u))
-    for (all_tables, tables1), t, k, r in zip(model.samples, tables, c1, roots):
-        p1 = model.root(k, r, all_tables, tables1)
-        total += (c - model.d * t) / (model.s + model.customers[u]) + model.weight(all_tables)[u] * p1
+    for i, sample in enumerate(model.samples):
+        p2 = model.grouped(u // model.per_class, c2[i], t2[i], model.root(c1[i], t1[i], sample), sample)
+        total += model.known(u, c, t[i], p2, sample)
     return total / len(model.samples)
 
 
@@ -241,44 +328,54 @@ def _ask(contexts: int, n: int):
 
 def _tell(model: Model):
     def run(state: pa.Table, asked: pa.Table) -> pa.Table:
+        words = np.zeros(0, U)
         if state.num_rows:
-            words, per, u, c, tables, roots = _read(state.to_pylist()[0])
-            starts = np.cumsum(per) - per
-            c1 = np.stack([np.add.reduceat(t, starts) for t in tables])
-            once = np.add.reduceat(c, starts)
-            key = np.repeat(np.arange(len(words)), per) * (model.contexts + 1) + u
-        else:
-            words = np.zeros(0, U)
-        rows = []
+            x = Dishes(model, state.to_pylist()[0])
+            words, base = x.words, max(model.contexts + 1, model.classes)
+            c2, key, group_key = x.group_customers(x.tables), x.of * base + x.u, x.word_of_group * base + x.g
+            c1, once = x.root_customers(x.groups), np.add.reduceat(x.c, x.starts)
+        rows, s = [], len(model.samples)
         for r in asked.to_pylist():
             w, n, ctx = np.frombuffer(r["words"], U), np.frombuffer(r["per"], np.uint32), np.frombuffer(r["contexts"], np.uint16).astype(np.int64)
-            s = len(model.samples)
-            count, pc, pt, pk, pr = np.zeros(len(w), np.int64), np.zeros(len(ctx)), np.zeros((s, len(ctx))), np.zeros((s, len(ctx))), np.zeros((s, len(ctx)))
+            count, pc = np.zeros(len(w), np.int64), np.zeros(len(ctx))
+            pt, pk2, pt2, pk1, pt1 = (np.zeros((s, len(ctx))) for _ in range(5))
             if len(words):
                 at = np.minimum(np.searchsorted(words, w), len(words) - 1)
                 known = words[at] == w
                 count[known] = once[at[known]]
-                of = np.repeat(at, n)
-                there = np.repeat(known, n)
-                pk[:, there], pr[:, there] = c1[:, of[there]], roots[:, of[there]]
-                k = of * (model.contexts + 1) + ctx
-                hit = np.minimum(np.searchsorted(key, k), len(key) - 1)
-                met = there & (key[hit] == k)
-                pc[met], pt[:, met] = c[hit[met]], tables[:, hit[met]]
-            p = predictive(model, ctx, pc, pt, pk, pr)
-            rows.append((r["part"], r["bucket"], count.tobytes(), np.log10(p).astype(np.float32).tobytes()))
+                of, there = np.repeat(at, n), np.repeat(known, n)
+                pk1[:, there], pt1[:, there] = c1[:, of[there]], x.roots[:, of[there]]
+                for keys, want, fill in ((group_key, of * base + ctx // model.per_class, ((pk2, c2), (pt2, x.groups))), (key, of * base + ctx, ((pt, x.tables),))):
+                    hit = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                    met = there & (keys[hit] == want)
+                    for to, source in fill:
+                        to[:, met] = source[:, hit[met]]
+                pc[met] = x.c[hit[met]]
+            p = predictive(model, ctx, pc, pt, pk2, pt2, pk1, pt1)
+            rows.append((r["part"], r["bucket"], _counts(count), np.rint(np.log10(p) * STEP).astype(np.int32).tobytes()))
         return pa.table([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "bucket", "counts", "logs"])
 
     return run
 
 
+def _counts(count: np.ndarray) -> bytes:
+    """Four bytes a count; if one is larger, a mark and eight."""
+    small = count.max(initial=0) < 1 << 32
+    return (b"4" if small else b"8") + count.astype(np.uint32 if small else np.uint64).tobytes()
+
+
+def _counted(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint32 if data[:1] == b"4" else np.uint64, offset=1).astype(np.int64)
+
+
 def _score(model_n: int, model_v: int, contexts: int):
     def run(told: pa.Table, docs: pa.Table) -> pa.Table:
         order = np.argsort(told.column("bucket").to_numpy(), kind="stable")
         told = told.take(pa.array(order))
         counts, token, context = _tokens(docs, contexts)
         words, per, u, _ = _pairs(token, context)
-        count, logs = _cat(told, "counts", np.int64), _cat(told, "logs", np.float32).astype(np.float64)
+        count = np.concatenate([np.zeros(0, np.int64), *map(_counted, told.column("counts").to_pylist())])
+        logs = _cat(told, "logs", np.int32) / STEP
         at = np.searchsorted(words, token)
         key = np.repeat(np.arange(len(words)), per) * (contexts + 1) + u
         c = count[at]
@@ -296,12 +393,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     space, model = Workspace(spark, "lm"), model or Model()
     n = parts_for(docs, text, part_mb)
+    buckets = max(BUCKETS, -(-n * part_mb // 64))
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
     base = docs.select(F.col(id_col).alias("_id"), held.alias("_held"), F.col(text).alias("_text"))
-    state = train(base.where(~F.col("_held")).select("_text"), space, n, model)
-    parted = base.withColumn("_part", F.pmod(F.xxhash64("_id", "_text"), F.lit(n)).cast("int")).repartition(n, "_part").groupBy("_part")
-    asked = parted.applyInArrow(_ask(model.contexts, n), "bucket int, part int, words binary, per binary, contexts binary")
-    told = state.select("bucket", "words", "per", "contexts", "counts", "tables", "roots").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_tell(model), "part int, bucket int, counts binary, logs binary")
+    state = train(base.where(~F.col("_held")).select("_text"), space, buckets, model)
+    parted = dealt(base, n, "_id", "_text").groupBy("_part")
+    asked = parted.applyInArrow(_ask(model.contexts, buckets), "bucket int, part int, words binary, per binary, contexts binary")
+    told = state.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_tell(model), "part int, bucket int, counts binary, logs binary")
     kind = docs.schema[id_col].dataType.simpleString()
     out = told.groupBy("part").cogroup(parted).applyInArrow(_score(model.n, model.v, model.contexts), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -66,3 +66,17 @@ def parts_for(df: DataFrame, text: str, part_mb: int) -> int:
 
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(shuffle_partitions(df.sparkSession), -(-total // (part_mb << 20)))
+
+
+def dealt(df: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
+    """df with _part, n parts of about equal text, each whole in one partition.
+
+    Rows go by a hash of id and text. Rows that are repeated more than a part should hold would all go to
+    one, so each part of the scan deals its own rows on: the hash is salted by the row's place there, in
+    steps of 64 rows. The place is part of the row once it is written by the exchange, and the exchange is
+    read again, not made again, by every pass over the parts of one job.
+    """
+    from pyspark.sql import functions as F
+
+    salt = F.shiftright(F.monotonically_increasing_id(), 6)
+    return df.withColumn("_part", F.pmod(F.xxhash64(id_col, text, salt), F.lit(n)).cast("int")).repartition(n, "_part")

@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from sightline.llm.lm import Model, predictive, score_documents, seated
+from sightline.llm.lm import END, Model, Totals, _draws, predictive, score_documents, seated
+from sightline.llm.text import U, mixed
+import xxhash
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -44,13 +46,24 @@ def test_odd_rows(spark):
     assert score_documents(df.where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")).count() == sum(zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows if i)
 
 
+def test_scores_dont_depend_on_partitions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    runs, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            runs.append({r.doc_id: r.score for r in score_documents(df, part_mb=4 if n == 4 else 1).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert runs[0] == runs[1]
+
+
 def test_seating():
-    rng = np.random.default_rng(1)
     c = np.array([0, 1, 2, 50, 1000, 100000] * 200)
-    t = seated(rng, c, np.full(len(c), 0.7), 0.5)
+    t = seated(np.arange(len(c)).astype(U), 3, c, np.full(len(c), 0.7), 0.5)
     assert (t <= c).all() and (t[c > 0] >= 1).all() and (t[c == 0] == 0).all()
     # the same by the definition, one customer at a time
-    want = []
+    rng, want = np.random.default_rng(1), []
     for _ in range(400):
         k = 1
         for n in range(1, 1000):
@@ -59,23 +72,118 @@ def test_seating():
     assert abs(t[c == 1000].mean() - np.mean(want)) < 0.5
 
 
+def test_draws_are_uniform_and_differ_by_turn():
+    x, y = (_draws(np.arange(100_000).astype(U), k) for k in (5, 6))
+    assert abs(x.mean() - 0.5) < 0.005 and abs(x.std() - 12**-0.5) < 0.005 and abs(np.corrcoef(x, y)[0, 1]) < 0.02 and abs(np.corrcoef(x[1:], x[:-1])[0, 1]) < 0.02
+
+
 def test_probabilities_of_all_words_add_up_to_one():
     rng = np.random.default_rng(2)
-    m = Model(contexts=3)
+    m = Model(contexts=6, per_class=2)
     m.v = 50
-    counts = rng.integers(0, 6, (4, 50))
+    counts = rng.integers(0, 6, (7, 50))
     counts[0] += counts.sum(axis=0) == 0
     m.customers = counts.sum(axis=1).astype(float)
-    tabs, roots = [], []
+    of = np.arange(7) // 2
+    tabs, c2s, t2s, c1s, t1s = [], [], [], [], []
     for _ in range(2):
         t = np.minimum(counts, rng.integers(1, 3, counts.shape))
-        r = np.minimum(t.sum(axis=0), 1)
-        m.samples.append((t.sum(axis=1).astype(float), float(r.sum())))
-        tabs.append(t)
-        roots.append(r)
-    for u in range(4):
-        full = np.full(50, u)
-        p = predictive(m, full, counts[u], np.stack([t[u] for t in tabs]), np.stack([t.sum(axis=0) for t in tabs]), np.stack(roots)).sum()
+        c2 = np.stack([t[of == g].sum(axis=0) for g in range(4)])
+        t2 = np.minimum(c2, rng.integers(1, 3, c2.shape))
+        c1 = t2.sum(axis=0)
+        t1 = np.minimum(c1, 1)
+        m.samples.append(Totals(t.sum(axis=1).astype(float), t2.sum(axis=1).astype(float), float(t1.sum())))
+        for to, x in ((tabs, t), (c2s, c2), (t2s, t2), (c1s, c1), (t1s, t1)):
+            to.append(x)
+    for u in range(7):
+        p = predictive(m, np.full(50, u), counts[u], [t[u] for t in tabs], [c[of[u]] for c in c2s], [t[of[u]] for t in t2s], c1s, t1s).sum()
         zero = np.zeros((2, 1))
-        p += predictive(m, np.array([u]), np.zeros(1), zero, zero, zero)[0]
+        p += predictive(m, np.array([u]), np.zeros(1), zero, zero, zero, zero, zero)[0]
         assert abs(p - 1) < 1e-9
+
+
+class ByHand:
+    """The model in plain Python: dictionaries, one customer at a time; only the random numbers are the operator's."""
+
+    def __init__(self, texts, model, burn_in=2, samples=3):
+        self.m, self.c = model, Counter()
+        for t in texts:
+            before = None
+            for w in tokens(t):
+                self.c[self.context(before), self.hash(w)] += 1
+                before = w
+        self.words = {w for _, w in self.c}
+        self.t = {k: 1 for k in self.c}
+        self.t2 = {(u // model.per_class, w): 1 for u, w in self.c}
+        self.t1 = {w: 1 for w in self.words}
+        self.kept = []
+        for turn in range(burn_in + samples):
+            if turn > burn_in:
+                self.kept.append(self.now())
+            self.sweep(turn)
+        self.kept.append(self.now())
+
+    def hash(self, w):
+        return int(END) if w is None else xxhash.xxh3_64_intdigest(w.encode())
+
+    def context(self, before):
+        return self.m.contexts if before is None else int(mixed(np.array([self.hash(before)], U) + U(77))[0] % U(self.m.contexts))
+
+    def now(self):
+        c2, c1 = Counter(), Counter()
+        for (u, w), t in self.t.items():
+            c2[u // self.m.per_class, w] += t
+        for (g, w), t in self.t2.items():
+            c1[w] += t
+        sums = [Counter() for _ in range(3)]  # tables of contexts, of classes, customers of classes
+        for (u, _), t in self.t.items():
+            sums[0][u] += t
+        for (g, _), t in self.t2.items():
+            sums[1][g] += t
+        for (g, _), n in c2.items():
+            sums[2][g] += n
+        return dict(self.t), dict(self.t2), dict(self.t1), c2, c1, *sums, sum(self.t1.values())
+
+    def p1(self, w, s):
+        all_ = self.m.s1 + sum(s[6].values())
+        return (s[4][w] - self.m.d1 * s[2].get(w, 0)) / all_ + (self.m.s1 + self.m.d1 * s[8]) / all_ / (len(self.words) + 1)
+
+    def p2(self, g, w, s):
+        return (s[3][g, w] - self.m.d2 * s[1].get((g, w), 0) + (self.m.s2 + self.m.d2 * s[6][g]) * self.p1(w, s)) / (self.m.s2 + s[7][g])
+
+    def p(self, u, w, s):
+        n = sum(k for (x, _), k in self.c.items() if x == u)
+        return (self.c[u, w] - self.m.d * s[0].get((u, w), 0) + (self.m.s + self.m.d * s[5][u]) * self.p2(u // self.m.per_class, w, s)) / (self.m.s + n)
+
+    def seat(self, seed, turn, c, new, d):
+        t = min(c, 1)
+        for done in range(1, c):
+            t += _draws(np.array([seed], U), (turn << 20) + done - 1)[0] < new / (done - d * t + new)
+        return int(t)
+
+    def sweep(self, turn):
+        s, m = self.now(), self.m
+        seed = lambda w, k: (int(mixed(np.array([w], U) + U(1))[0]) + k) % (1 << 64)
+        self.t = {(u, w): self.seat(seed(w, u), 3 * turn, c, (m.s + m.d * s[5][u]) * self.p2(u // m.per_class, w, s), m.d) for (u, w), c in self.c.items()}
+        c2 = self.now()[3]
+        self.t2 = {(g, w): self.seat(seed(w, g), 3 * turn + 1, c, (m.s2 + m.d2 * s[6][g]) * self.p1(w, s), m.d2) for (g, w), c in c2.items()}
+        c1 = self.now()[4]
+        self.t1 = {w: self.seat(seed(w, 0), 3 * turn + 2, c, (m.s1 + m.d1 * s[8]) / (len(self.words) + 1), m.d1) for w, c in c1.items()}
+
+    def score(self, text):
+        total, before = 0.0, None
+        for w in tokens(text):
+            total += math.log10(sum(self.p(self.context(before), self.hash(w), s) for s in self.kept) / len(self.kept))
+            before = w
+        return total
+
+
+def test_scores_equal_a_model_by_hand(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "dd", "Ee", "f"], p=[0.4, 0.2, 0.2, 0.1, 0.05, 0.05], size=rng.integers(0, 9)))) for i in range(12)] + [(None, None), (50, "unseen a b")]
+    training = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    model = dict(contexts=8, per_class=4)
+    hand = ByHand(training, Model(**model))
+    got = score_documents(spark.createDataFrame(rows, "doc_id long, text string"), model=Model(**model)).collect()
+    want = sorted(hand.score(t) for _, t in rows)
+    assert max(abs(a - b) for a, b in zip(sorted(r.score for r in got), want)) < 1e-6
