@@ -3,19 +3,21 @@
 A word goes if a window of 50 words covers it whose sequence also starts in a document of smaller id.
 Every such window holds, in the other document, a whole block of 25 words that starts at a multiple of
 25 there. So the blocks of all documents are the index, and each of every document's rolling windows of
-25 words probes it. Hits are extended both ways: all windows of 50 around a hit are hashed in full, the
-smallest id of each hash is found, and words in windows that a smaller id holds form the maximal exact
-repeats that go.
+25 words probes it. Hits are extended both ways: all windows of 50 around a hit are compared in full, the
+smallest id of each is found, and words in windows that a smaller id holds form the maximal exact
+repeats that go. Windows are equal if two independent hashes of 64 bits are, over words hashed apart for
+each; so among 10^13 windows a false removal has a chance of 10^-13.
 
 Documents are dealt into parts by a hash. A part sends what it holds once: 32-bit fingerprints of its
-distinct probes, dealt over buckets by the other bits of their hash, then 64-bit hashes of its distinct
-candidate windows. So a passage that a third of all documents share costs a part one entry, and a bucket
-one entry a part. Fingerprints only choose candidates; windows are told apart by 64 bits and a bucket.
+distinct probes, dealt over buckets by the other bits of their hash, then its distinct candidate windows.
+So a passage that a third of all documents share costs a part one entry, and a bucket one entry a part.
+There are `BUCKETS` buckets until one would hold the fingerprints of over 64 MB of text, so the rows of a
+pass grow with the parts, as the text does. Fingerprints only choose candidates.
 The parts are shuffled once, and the three passes over them share that exchange.
 
 Null or empty text has no words. Documents without an id neither lose words nor serve as a reference.
 Documents of equal id don't remove each other's words. Texts that lose nothing stay as they were; of
-others the kept words are joined by one space.
+others the kept words are joined by one space. Repeated rows are dealt over parts like others.
 """
 from __future__ import annotations
 
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Rolling, U, Words, is_in, joined, window_starts
-from .workspace import parts_for
+from .text import Rolling, U, Words, is_in, joined, mixed, window_starts
+from .workspace import dealt, parts_for
 
-LOW = U(0xFFFFFFFF)
+LOW, BUCKETS = U(0xFFFFFFFF), 64
 NONE = np.iinfo(np.int64).min
 
 
@@ -61,12 +63,32 @@ class _Part:
         return at, h[at]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        h = self.rolling.of(self.window)
+        """Where windows may start, and their first hash."""
+        h = _key(self.rolling.of(self.window))
         ok = window_starts(self.words, self.window)
         if len(h):
             ok &= self.long[self.doc[: len(h)]]
         return ok, h
 
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """The second hash of windows that start at `at`."""
+        return Rolling(self.words.hashes(1)).of(self.window)[at] if len(at) else np.zeros(0, U)
+
+
+def _key(h: np.ndarray) -> np.ndarray:
+    """The first hash of windows as it is; tests make it clash."""
+    return h
+
+
+def _match(w: np.ndarray, c: np.ndarray, table_w: np.ndarray, table_c: np.ndarray) -> np.ndarray:
+    """Whether both hashes of a window are together in the table."""
+    z = mixed(w * U(3) + c)
+    own = mixed(table_w * U(3) + table_c)
+    order = np.argsort(own)
+    at = np.minimum(np.searchsorted(own[order], z), max(0, len(own) - 1))
+    at = order[at] if len(own) else at
+    return (table_w[at] == w) & (table_c[at] == c) if len(own) else np.zeros(len(w), bool)
+
 
 def _segments(h: np.ndarray, n: int):
     b = _bucket(h, n)
@@ -111,10 +133,14 @@ def _hits(table: pa.Table) -> pa.Table:
     return pa.table([parts.combine_chunks(), pa.array([bucket] * len(keep), pa.int32()), pa.array([own[i].tobytes() for i in keep], pa.binary())], names=["part", "bucket", "hits"])
 
 
-_CANDIDATES = "bucket int, part int, ids binary, counts binary, windows binary, several binary"
+_CANDIDATES = "bucket int, part int, ids binary, counts binary, windows binary, checks binary, several binary"
 
 
 def _candidates(hits: pa.Table, docs: pa.Table, window: int, n: int) -> pa.Table:
+    """A part's distinct windows around hits, each with the smallest id that holds it, ordered by id within a bucket.
+
+    several: of those in that order, whether another document of the part holds the window too.
+    """
     rows: list[tuple] = []
     if docs.num_rows and hits.num_rows:
         part = _Part(docs, window)
@@ -128,54 +154,59 @@ def _candidates(hits: pa.Table, docs: pa.Table, window: int, n: int) -> pa.Table
         if len(w):
             ok &= seen[part.block + 1 : part.block + 1 + len(w)] > seen[: len(w)]
         at = np.flatnonzero(ok)
-        w, ids = w[at], part.ids[part.doc[at]]
-        order = np.lexsort((ids, w))
-        w, ids = w[order], ids[order]
-        first = np.concatenate([[True], w[1:] != w[:-1]]) if len(w) else np.zeros(0, bool)
-        several = np.unique(w[1:][~first[1:] & (ids[1:] != ids[:-1])]) if len(w) else w
-        w, ids = w[first], ids[first]
+        w, c, ids = w[at], part.checks(at), part.ids[part.doc[at]]
+        order = np.lexsort((ids, c, w))
+        w, c, ids = w[order], c[order], ids[order]
+        first = np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])]) if len(w) else np.zeros(0, bool)
+        group = np.cumsum(first) - 1
+        several = np.bincount(group[1:][~first[1:] & (ids[1:] != ids[:-1])], minlength=int(first.sum())) > 0 if len(w) else first
+        w, c, ids = w[first], c[first], ids[first]
         part_no = docs.column("_part")[0].as_py()
         for b, i, j in _segments(w, n):
-            by = np.argsort(ids[i:j], kind="stable")
+            by = i + np.argsort(ids[i:j], kind="stable")
             own, counts = np.unique(ids[i:j], return_counts=True)
-            rows.append((b, part_no, own.tobytes(), counts.astype(np.uint32).tobytes(), w[i:j][by].tobytes(), _slice(several, n, b).tobytes()))
-    cols = list(zip(*rows)) if rows else [[]] * 6
-    return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int32()] + [pa.binary()] * 4)], names=[x.split()[0] for x in _CANDIDATES.split(", ")])
+            rows.append((b, part_no, own.tobytes(), counts.astype(np.uint32).tobytes(), w[by].tobytes(), c[by].tobytes(), several[by].tobytes()))
+    cols = list(zip(*rows)) if rows else [[]] * 7
+    return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int32()] + [pa.binary()] * 5)], names=[x.split()[0] for x in _CANDIDATES.split(", ")])
 
 
 def _decide(table: pa.Table) -> pa.Table:
     """Of a bucket: each part's windows that a smaller id outside holds, and those to settle within the part."""
-    w = [np.frombuffer(x, U) for x in table.column("windows").to_pylist()]
-    ids = [np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for i, c in zip(table.column("ids").to_pylist(), table.column("counts").to_pylist())]
-    several = [np.frombuffer(x, U) for x in table.column("several").to_pylist()]
-    aw, ai = np.concatenate(w), np.concatenate(ids)
-    order = np.lexsort((ai, aw))
-    aw, ai = aw[order], ai[order]
-    first = np.concatenate([[True], aw[1:] != aw[:-1]])
-    distinct, least = aw[first], ai[first]
-    gone, within = [], []
-    for own, mine, sev in zip(w, ids, several):
-        low = least[np.searchsorted(distinct, own)]
-        gone.append(np.sort(own[low < mine]).tobytes())
-        within.append(np.sort(own[(low == mine) & is_in(own, sev)]).tobytes())
-    keep = [i for i in range(len(w)) if gone[i] or within[i]]
-    return pa.table([table.column("part").combine_chunks().take(pa.array(keep, pa.int64())), pa.array([gone[i] for i in keep], pa.binary()), pa.array([within[i] for i in keep], pa.binary())], names=["part", "gone", "within"])
+    w, c, several = (joined(table.column(k), t) for k, t in (("windows", U), ("checks", U), ("several", bool)))
+    sizes = [len(x) // 8 for x in table.column("windows").to_pylist()]
+    ids = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(k, np.uint32)) for i, k in zip(table.column("ids").to_pylist(), table.column("counts").to_pylist())])
+    order = np.lexsort((ids, c, w))
+    first = np.concatenate([[True], (w[order][1:] != w[order][:-1]) | (c[order][1:] != c[order][:-1])])
+    least = np.empty_like(ids)
+    least[order] = ids[order][first][np.cumsum(first) - 1]
+    gone, within = least < ids, (least == ids) & several
+    rows, at = [], 0
+    for part, n in zip(table.column("part").to_pylist(), sizes):
+        g, i = (at + np.flatnonzero(x[at : at + n]) for x in (gone, within))
+        at += n
+        if len(g) or len(i):
+            rows.append((part, w[g].tobytes(), c[g].tobytes(), w[i].tobytes(), c[i].tobytes()))
+    cols = list(zip(*rows)) if rows else [[]] * 5
+    return pa.table([pa.array(x, t) for x, t in zip(cols, [pa.int32()] + [pa.binary()] * 4)], names=["part", "gone", "gone_checks", "within", "within_checks"])
 
 
 def _strip(answers: pa.Table, docs: pa.Table, window: int, names: list[str], texts: bool) -> pa.Table:
     part = _Part(docs, window)
-    gone = np.sort(joined(answers.column("gone"), U))
-    within = np.sort(joined(answers.column("within"), U))
+    gone, gone_c, within, within_c = (joined(answers.column(k), U) for k in ("gone", "gone_checks", "within", "within_checks"))
     ok, w = part.windows()
-    drop = ok & is_in(w, gone)
-    inside = np.flatnonzero(ok & is_in(w, within))
-    if len(inside):
-        ids = part.ids[part.doc[inside]]
-        order = np.lexsort((ids, w[inside]))
-        ow = w[inside][order]
-        head = np.concatenate([[True], ow[1:] != ow[:-1]])
-        least = ids[order][head][np.cumsum(head) - 1]
-        drop[inside[order[ids[order] > least]]] = True
+    drop = np.zeros(len(w), bool)
+    maybe = np.flatnonzero(ok & (is_in(w, np.unique(gone)) | is_in(w, np.unique(within))))
+    if len(maybe):
+        mine, checks = w[maybe], part.checks(maybe)
+        drop[maybe[_match(mine, checks, gone, gone_c)]] = True
+        inside = np.flatnonzero(_match(mine, checks, within, within_c))
+        if len(inside):
+            iw, ic, ids = mine[inside], checks[inside], part.ids[part.doc[maybe[inside]]]
+            order = np.lexsort((ids, ic, iw))
+            iw, ic = iw[order], ic[order]
+            head = np.concatenate([[True], (iw[1:] != iw[:-1]) | (ic[1:] != ic[:-1])])
+            least = ids[order][head][np.cumsum(head) - 1]
+            drop[maybe[inside[order[ids[order] > least]]]] = True
     n = len(part.words.hash)
     edge = np.zeros(n + 1, np.int64)
     at = np.flatnonzero(drop)
@@ -209,12 +240,12 @@ def strip_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", win
     own = [c for c in df.columns if c != text and c not in ("n_words", "n_removed", "kept_sha256")]
     names = [f"_c{i}" for i in range(len(own))]
     docs = df.select(*(F.col(c).alias(x) for c, x in zip(own, names)), F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
-    docs = docs.withColumn("_part", F.pmod(F.xxhash64("_id", "_text"), F.lit(n)).cast("int")).repartition(n, "_part")
-    by_part = docs.groupBy("_part")
-    anchors = by_part.applyInArrow(lambda t: _anchors(t, window, n), "bucket int, part int, probes binary, blocks binary, several binary")
+    buckets = max(BUCKETS, -(-n * part_mb // 64))
+    by_part = dealt(docs, n, "_id", "_text").groupBy("_part")
+    anchors = by_part.applyInArrow(lambda t: _anchors(t, window, buckets), "bucket int, part int, probes binary, blocks binary, several binary")
     hits = anchors.groupBy("bucket").applyInArrow(_hits, "part int, bucket int, hits binary")
-    found = hits.groupBy("part").cogroup(by_part).applyInArrow(lambda a, b: _candidates(a, b, window, n), _CANDIDATES)
-    answers = found.groupBy("bucket").applyInArrow(_decide, "part int, gone binary, within binary")
+    found = hits.groupBy("part").cogroup(by_part).applyInArrow(lambda a, b: _candidates(a, b, window, buckets), _CANDIDATES)
+    answers = found.groupBy("bucket").applyInArrow(_decide, "part int, gone binary, gone_checks binary, within binary, within_checks binary")
     schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if texts:
         schema = schema.add("_kept", "string")

@@ -64,12 +64,15 @@ class Words:
         coded = flat.filter(real).dictionary_encode()
         self.index = coded.indices.to_numpy(zero_copy_only=False)
         self.words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        own = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), U, len(self.words))
-        self.hash = own[self.index] if len(own) else np.zeros(0, U)
+        self.hash = self.hashes(seed)
         self.counts = per
         self.ends = np.cumsum(per)
         self.starts = self.ends - per
 
+    def hashes(self, seed: int) -> np.ndarray:
+        own = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), U, len(self.words))
+        return own[self.index] if len(own) else np.zeros(0, U)
+
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 

@@ -64,3 +64,32 @@ def test_documents(spark):
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in strip_repeats(df, texts=False).collect()), key=str)
     want = brute([(r.doc_id, r.text) for r in df.collect()], 50)
     assert got == want and sum(r[2] for r in got) > 0
+
+
+def test_windows_whose_first_hash_clashes(monkeypatch):
+    """All windows get one of three first hashes; the second one still tells them apart."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sightline.llm import repeats
+
+    monkeypatch.setattr(repeats, "_key", lambda h: h % np.uint64(3))
+    rows, window, n = made(4), 10, 4
+    docs = [pa.table({"_part": pa.array([p] * len(mine), pa.int32()), "_id": pa.array([i for i, _ in mine], pa.int64()), "_text": pa.array([t for _, t in mine], pa.string())}) for p in range(3) for mine in [rows[p::3]]]
+    by = lambda t, key: {k: t.filter(pa.array([x == k for x in t.column(key).to_pylist()])) for k in set(t.column(key).to_pylist())}
+    hits = pa.concat_tables([repeats._hits(x) for x in by(pa.concat_tables([repeats._anchors(d, window, n) for d in docs]), "bucket").values()])
+    mine = by(hits, "part")
+    found = pa.concat_tables([repeats._candidates(mine.get(p, hits.slice(0, 0)), d, window, n) for p, d in enumerate(docs)])
+    answers = pa.concat_tables([repeats._decide(x) for x in by(found, "bucket").values()])
+    told = by(answers, "part")
+    out = pa.concat_tables([repeats._strip(told.get(p, answers.slice(0, 0)), d, window, ["_id"], False) for p, d in enumerate(docs)])
+    got = sorted(((r["_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out.to_pylist()), key=str)
+    assert got == brute(rows, window) and sum(r[2] for r in got) > 100
+
+
+def test_repeated_rows_are_dealt_over_parts(spark):
+    """Copies of one row, also without id or text, and one very long text."""
+    p = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, p)] * 300 + [(2, p)] * 300 + [(None, None)] * 300 + [(3, "a b c " * 100_000)]
+    out = strip_repeats(spark.createDataFrame(rows, "doc_id long, text string"), texts=False).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in out} == {(1, 60, 0, 300), (2, 60, 60, 300), (None, 0, 0, 300), (3, 300_000, 0, 1)}
