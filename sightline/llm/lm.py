@@ -21,7 +21,8 @@ probability averaged over the samples.
 For scoring, texts are dealt into parts. A part asks the buckets once for each of its distinct words
 and (context, word) pairs and gets counts and probabilities back in the same order. Logarithms travel as
 whole numbers of 2 ** -26, so a token's is exact to 8e-9. A part sends at most one row to a bucket, and
-there are `BUCKETS` of them until one would hold over 64 MB of text, so rows grow with the parts.
+there are `BUCKETS` of them until one would hold the pairs of over 8 MB of text; up to there rows grow with the
+parts, beyond it a row gets smaller as they grow, and there are never more rows than pairs.
 
 A-Z is lower-cased; tokens are words and one end. Null text is empty: only the end. Documents whose
 crc32(id as text) mod 7 is 2 are held out; a null id is not held out. Repeated rows count as often as
@@ -39,7 +40,7 @@ from .workspace import Workspace, dealt, parts_for
 
 END = U(0x5EED0E0D5EED0E0D)
 SINGLE = 64
-BUCKETS, STEP = 64, float(1 << 26)
+BUCKETS, STEP = 128, float(1 << 26)
 
 
 class Model:
@@ -393,7 +394,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     space, model = Workspace(spark, "lm"), model or Model()
     n = parts_for(docs, text, part_mb)
-    buckets = max(BUCKETS, -(-n * part_mb // 64))
+    buckets = max(BUCKETS, -(-n * part_mb // 8))
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
     base = docs.select(F.col(id_col).alias("_id"), held.alias("_held"), F.col(text).alias("_text"))
     state = train(base.where(~F.col("_held")).select("_text"), space, buckets, model)
