@@ -44,6 +44,7 @@ class Transducer:
         self.token_at: list[int] = [-1]
         self.depth: list[int] = [0]
         self.size = {i: len(b) for b, i in ranks.items()}
+        self.longest = max(self.size.values(), default=1)
         for word, rank in ranks.items():
             at = 0
             for b in word:
@@ -137,6 +138,7 @@ class Transducer:
             self.reset()
         out: list[int] = []
         lasts: list[int] = []
+        due = LOOKAHEAD
         state, moves, put = self.start, self.moves, lasts.append
         for byte in piece:
             found = moves[state].get(byte)
@@ -144,10 +146,11 @@ class Transducer:
                 found = self._move(state, byte)
             state, token = found
             put(token)
-            if len(lasts) == LOOKAHEAD:
+            if len(lasts) >= due:
                 done = self._settled(lasts, state)
                 out += done
                 del lasts[: sum(self.size[t] for t in done)]
+                due = max(LOOKAHEAD, len(lasts) + self.longest)
         return out + self._back(lasts, len(lasts))
 
 
