@@ -143,6 +143,7 @@ def salvage(data: bytes):
     byte, where the gap of the break starts.
     """
     at, size, bad_from, why = 0, len(data), None, ""
+    seen = {MAGIC: -1, VERSION: -1}  # the last finds, so that many broken members in a row cost one search
     while at < size:
         found, bad = [], ""
         if data.startswith(MAGIC, at):
@@ -167,8 +168,11 @@ def salvage(data: bytes):
         if bad:
             if bad_from is None:
                 bad_from, why = at, bad
-            nexts = [i for i in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if i >= 0]
-            at = min(nexts, default=size)
+            for mark, last in seen.items():
+                if last <= at:
+                    here = data.find(mark, at + 1)
+                    seen[mark] = size if here < 0 else here
+            at = min(seen.values())
         else:
             at = end
     if bad_from is not None:
@@ -223,7 +227,7 @@ def write_archives(pages: DataFrame, path: str, archive_mb: int = 32) -> None:
     rank = F.coalesce("page_id", F.lit(-(1 << 63)))
     best = meta.groupBy("sha1").agg(F.max(rank).alias("best"))
     n = max(1, -(-(meta.agg(F.sum("length")).first()[0] or 0) // (archive_mb << 20)), int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    first = pages.select("page_id", "url", body.alias("body"), F.sha1(body).alias("sha1"), rank.alias("rank")).repartition(n, "rank")
+    first = pages.select("page_id", "url", body.alias("body"), F.sha1(body).alias("sha1"), rank.alias("rank")).repartition(n, "rank", "sha1")  # rows without an id go by their payloads
     winners = best.select(F.col("sha1").alias("_sha1"), "best")
     # responses: by id, which is even; revisits: by digest, without payloads (a hot digest is small rows, split by AQE)
     responses = first.join(winners, (F.col("rank") == F.col("best")) & (F.col("sha1") == F.col("_sha1"))).select("page_id", "url", "body", "sha1", F.octet_length("body").cast("long").alias("length"), F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("full"))
