@@ -263,6 +263,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     signed = space.keep(base.mapInArrow(_sign(k, trees), "id long, n_shingles long, node long, sig binary"))
     nodes = space.keep(signed.where("id is not null and n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("sig").alias("sig")))
+    # buckets follow the entries, about 4 MB each, whatever the session's partitions
+    n = max(n, -(-nodes.count() * trees // 50_000))
     planted = nodes.select("node", "sig").mapInArrow(_plant(n, trees), "bucket int, nodes binary, trees binary, values binary, sketches binary")
     grown = space.keep(planted.groupBy("bucket").applyInArrow(_grow(limit), _GROWN))
     todo = space.keep(grown.mapInArrow(_unpack("a", "b"), "a long, b long").distinct())

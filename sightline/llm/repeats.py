@@ -11,8 +11,9 @@ each; so among 10^13 windows a false removal has a chance of 10^-13.
 Documents are dealt into parts by a hash. A part sends what it holds once: 32-bit fingerprints of its
 distinct probes, dealt over buckets by the other bits of their hash, then its distinct candidate windows.
 So a passage that a third of all documents share costs a part one entry, and a bucket one entry a part.
-There are `BUCKETS` buckets until one would hold the fingerprints of over 64 MB of text, so the rows of a
-pass grow with the parts, as the text does. Fingerprints only choose candidates.
+There are `BUCKETS` buckets until one would hold the fingerprints of over 64 MB of text: up to there the
+rows of a pass grow with the parts, as the text does; beyond it a row gets smaller as they grow, and there
+are never more rows than fingerprints. Fingerprints only choose candidates.
 The parts are shuffled once, and the three passes over them share that exchange.
 
 Null or empty text has no words. Documents without an id neither lose words nor serve as a reference.
