@@ -3,16 +3,18 @@ from __future__ import annotations
 
 from functools import partial
 
-from sightline.operators import geometry, guards, metrics, programs, relations, scalars, series, sessions, text
+from sightline.operators import gating, geometry, guards, metrics, programs, relations, scalars, series, sessions, text
 
 from .dialect import oracle, run
 
 PLANS = sessions.PLANS | guards.PLANS | metrics.PLANS | text.PLANS | geometry.PLANS | series.PLANS | scalars.PLANS | relations.PLANS
+#: Functions over their own columns, with oracles written apart.
+OPS = gating.OPS
 
 
 def queries() -> dict:
-    return {name: partial(run, sql) for name, sql in PLANS.items()} | programs.QUERIES
+    return {name: partial(run, sql) for name, sql in PLANS.items()} | programs.QUERIES | {name: query for name, (query, _) in OPS.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: oracle(sql) for name, sql in PLANS.items()} | programs.ORACLES
+    return {name: oracle(sql) for name, sql in PLANS.items()} | programs.ORACLES | {name: sql for name, (_, sql) in OPS.items() if sql}
