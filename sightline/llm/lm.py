@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import U, Words, mixed, slices
+from .text import U, Words, mixed, slices, trim
 from .workspace import Workspace, dealt, parts_for
 
 END = U(0x5EED0E0D5EED0E0D)
@@ -173,7 +173,7 @@ def _cuts(words: np.ndarray, per: np.ndarray, n: int):
 
 def _gather(contexts: int, n: int):
     def run(batches):
-        for batch in (x for b in batches for x in slices(b, 0, 8 << 20)):
+        for batch in (x for b in batches for x in slices(b, 0, 4 << 20)):
             if batch.num_rows:
                 _, token, context = _tokens(batch, contexts)
                 words, per, u, c = _pairs(token, context)
@@ -259,6 +259,7 @@ def _sweep(model: Model, totals: Totals, turn: int, keep: bool):
                 c1 = x.root_customers(group)
                 root = seated(mixed(x.words + U(1)), 3 * turn + 2, c1, np.full(len(x.words), (model.s1 + model.d1 * totals.root) / (model.v + 1)), model.d1)
                 kept = slice(0, len(x.tables) if keep else len(x.tables) - 1)
+                trim()
                 yield _table([_row(row["bucket"], x.words, x.per, x.u, x.c, [*x.tables[kept], now], [*x.groups[kept], group], [*x.roots[kept], root])])
 
     return run
@@ -335,6 +336,7 @@ def _tell(model: Model):
             words, base = x.words, max(model.contexts + 1, model.classes)
             c2, key, group_key = x.group_customers(x.tables), x.of * base + x.u, x.word_of_group * base + x.g
             c1, once = x.root_customers(x.groups), np.add.reduceat(x.c, x.starts)
+        trim()
         rows, s = [], len(model.samples)
         for r in asked.to_pylist():
             w, n, ctx = np.frombuffer(r["words"], U), np.frombuffer(r["per"], np.uint32), np.frombuffer(r["contexts"], np.uint16).astype(np.int64)
