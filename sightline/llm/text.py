@@ -14,25 +14,16 @@ BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
-def _libc():
-    """The C library; arrays of 1 MB and more get pages of their own, which go back when they are freed."""
+def trim() -> None:
+    """Gives freed memory back, so that a Python worker doesn't keep its largest task's; from then on arrays of 1 MB
+    and more get pages of their own, which go back as soon as they are freed."""
+    pa.default_memory_pool().release_unused()
     try:
         lib = ctypes.CDLL("libc.so.6")
         lib.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with use
-        lib.malloc_trim  # noqa: B018
-        return lib
+        lib.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
-        return None
-
-
-_LIBC = _libc()
-
-
-def trim() -> None:
-    """Gives freed memory back, so that a Python worker doesn't keep its largest task's."""
-    pa.default_memory_pool().release_unused()
-    if _LIBC is not None:
-        _LIBC.malloc_trim(0)
+        pass
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
