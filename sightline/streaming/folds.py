@@ -120,6 +120,47 @@ def keyframe_selector(blur: float = 0.25, floor: float = 0.35, interval: float =
     return step
 
 
+def keyframe_gates(blur: float = 0.25, lost: float = 0.2, grace: int = 3, degraded: float = 0.4, gap: int = 3, floor: float = 0.75, least: float = 0.02, target: float = 0.05):
+    """Row: seq, sharp (ratio), survival, moved (displacement over the diagonal, null: no evidence), overlap. Out: seq, decision, segment.
+
+    Gates in their order: blur, seed, loss held or final after `grace` in a row, degraded, no evidence, too soon, overlap
+    about to end, too little motion, enough parallax. A loss ends the segment; the next sharp frame seeds another.
+    """
+
+    def step(s, row):
+        s = s or {"has": False, "losses": 0, "since": 0, "segment": 0}
+        sharp, survival, moved = row["sharp"] or 0.0, row["survival"] or 0.0, row["moved"]
+        if sharp < blur:
+            verdict = "reject:blurred"
+        elif not s["has"]:
+            verdict = "accept:session_seed"
+        elif survival < lost:
+            s["losses"] += 1
+            verdict = "lost:tracking_lost" if s["losses"] >= grace else "reject:tracking_held"
+        else:
+            s["losses"] = 0
+            if survival < degraded:
+                verdict = "reject:tracking_degraded"
+            elif moved is None:
+                verdict = "skip:no_motion_evidence"
+            elif s["since"] < gap:
+                verdict = "skip:rate_limited"
+            elif (row["overlap"] or 0.0) < floor:
+                verdict = "accept:overlap_floor"
+            else:
+                verdict = "accept:parallax" if moved >= max(least, target) else "skip:insufficient_motion"
+        out = [{"seq": row["seq"], "decision": verdict, "segment": s["segment"]}]
+        if verdict.startswith("accept"):
+            s |= {"has": True, "since": 0}
+        else:
+            s["since"] += 1
+        if verdict.startswith("lost"):
+            s |= {"has": False, "losses": 0, "segment": s["segment"] + 1}
+        return s, out
+
+    return step
+
+
 def lab_run(limit: int = 64):
     """Row: at, kind (sample or stop), metric, value. Returns (step, close); out: metric, n, total, lowest, highest.
 
