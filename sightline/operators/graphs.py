@@ -7,15 +7,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame, tag: str) -> DataFrame:
-    """The rows, written to spark.checkpoint.dir and read again; where it is unset, a temporary folder of the driver."""
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """The rows, written to spark.checkpoint.dir and read again; on one machine, where it is unset, to a temporary folder of its own."""
     import tempfile
 
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.gettempdir()
     path = f"{base}/graph-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._kept_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Removes tables of cut() that no later plan reads."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,14 +38,15 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     a path's length. Raises if labels still move after max_rounds.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = _cut(both.union(both.select("b", "a")).distinct(), "edges")
-    label = _cut(nodes.select("node").where("node IS NOT NULL").union(both.select("a")).distinct().select("node", F.col("node").alias("component")), "labels")
+    both = cut(both.union(both.select("b", "a")).distinct(), "edges")
+    label = cut(nodes.select("node").where("node IS NOT NULL").union(both.select("a")).distinct().select("node", F.col("node").alias("component")), "labels")
     for _ in range(max_rounds):
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("near"))
         spread = label.join(near, label.node == near.a, "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        spread = _cut(spread, "spread")
+        spread = cut(spread, "spread")
         up = spread.select(F.col("node").alias("p"), F.col("component").alias("top"))
-        label = _cut(spread.join(up, spread.component == up.p, "left").select("node", F.least("component", "top").alias("component"), "was"), "labels")
+        label = cut(spread.join(up, spread.component == up.p, "left").select("node", F.least("component", "top").alias("component"), "was"), "labels")
+        drop(spread)
         if label.where("component <> was").isEmpty():
             return label.select("node", "component")
         label = label.select("node", "component")
@@ -55,11 +69,11 @@ def drop_small_components(components: DataFrame, fraction: float) -> DataFrame:
 def hop_distances(edges: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
     """(node, hops): fewest edges from a seed, up to cap; nodes farther than that are absent."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = _cut(both.union(both.select("b", "a")).distinct(), "edges")
-    seen = _cut(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("hops", F.lit(0)), "hops")
+    both = cut(both.union(both.select("b", "a")).distinct(), "edges")
+    seen = cut(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("hops", F.lit(0)), "hops")
     for k in range(1, cap + 1):
         edge = both.join(seen.where(F.col("hops") == k - 1), both.a == F.col("node")).select(F.col("b").alias("node")).distinct()
-        fresh = _cut(edge.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)), "hops")
+        fresh = cut(edge.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)), "hops")
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh)
@@ -69,13 +83,13 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
 def laplacian_smooth(values: DataFrame, edges: DataFrame, passes: int, shrink: float = 0.5, inflate: float = -0.53) -> DataFrame:
     """(node, x, y, z) after passes of a shrinking and an inflating step towards the mean of the neighbours."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = _cut(both.union(both.select("b", "a")).distinct(), "edges")
+    both = cut(both.union(both.select("b", "a")).distinct(), "edges")
     for _ in range(passes):
         for rate in (shrink, inflate):
             at = values.select(F.col("node").alias("n"), *[F.col(c).alias(f"{c}_") for c in "xyz"])
             mean = both.join(at, both.b == at.n).groupBy("a").agg(*[F.avg(f"{c}_").alias(f"{c}_") for c in "xyz"])
             moved = values.join(mean, values.node == mean.a, "left")
-            values = _cut(moved.select("node", *[F.coalesce(F.col(c) + rate * (F.col(f"{c}_") - F.col(c)), F.col(c)).alias(c) for c in "xyz"]), "smooth")
+            values = cut(moved.select("node", *[F.coalesce(F.col(c) + rate * (F.col(f"{c}_") - F.col(c)), F.col(c)).alias(c) for c in "xyz"]), "smooth")
     return values
 
 
@@ -97,14 +111,14 @@ def bfs_compose(edges: DataFrame, roots: DataFrame, max_hops: int = 100) -> Data
     """
     there = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("s").alias("es"), F.col("r").alias("er"), F.col("t").alias("et"))
     back = there.select(F.col("b").alias("a"), F.col("a").alias("b"), *_inverse("es", "er", "et"))
-    both = _cut(there.unionByName(back).where("a IS NOT NULL AND b IS NOT NULL AND a <> b"), "sim3")
+    both = cut(there.unionByName(back).where("a IS NOT NULL AND b IS NOT NULL AND a <> b"), "sim3")
     eye = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
-    seen = _cut(roots.select("node", F.lit(1.0).alias("s"), eye.alias("r"), F.array(*[F.lit(0.0)] * 3).alias("t"), F.lit(0).alias("hops")), "bfs")
+    seen = cut(roots.select("node", F.lit(1.0).alias("s"), eye.alias("r"), F.array(*[F.lit(0.0)] * 3).alias("t"), F.lit(0).alias("hops")), "bfs")
     for hop in range(1, max_hops + 1):
         edge = both.join(seen.where(F.col("hops") == hop - 1), F.col("a") == F.col("node")).join(seen.select(F.col("node").alias("b")), "b", "left_anti")
         moved = F.array(*[F.col("s") * sum(F.col("r")[3 * i + k] * F.col("et")[k] for k in range(3)) + F.col("t")[i] for i in range(3)])
         made = edge.select("b", "a", (F.col("s") * F.col("es")).alias("s"), F.array(*[_dot("r", "er", i, j) for i in range(3) for j in range(3)]).alias("r"), moved.alias("t"))
-        fresh = _cut(made.groupBy("b").agg(F.min(F.struct("a", "s", "r", "t")).alias("m")).select(F.col("b").alias("node"), "m.s", "m.r", "m.t", F.lit(hop).alias("hops")), "bfs")
+        fresh = cut(made.groupBy("b").agg(F.min(F.struct("a", "s", "r", "t")).alias("m")).select(F.col("b").alias("node"), "m.s", "m.r", "m.t", F.lit(hop).alias("hops")), "bfs")
         if fresh.isEmpty():
             return seen
         seen = seen.unionByName(fresh)
@@ -128,7 +142,7 @@ def greedy_cover(scores: DataFrame, budget: int, second: float = 0.3, least_gain
     A frame gains what it adds to the best score of its points, and second times what it adds to the second best.
     Ends at the budget or once a gain is under least_gain of the first. Each round is one aggregate; only the winner reaches the driver.
     """
-    state = _cut(scores.where("score > 0").select("point").distinct().select("point", F.lit(0.0).alias("top"), F.lit(0.0).alias("next")), "cover")
+    state = cut(scores.where("score > 0").select("point").distinct().select("point", F.lit(0.0).alias("top"), F.lit(0.0).alias("next")), "cover")
     picked: list = []
     while len(picked) < budget:
         gain = F.greatest(F.col("score") - F.col("top"), F.lit(0.0)) + second * F.greatest(F.least("score", "top") - F.col("next"), F.lit(0.0))
@@ -139,7 +153,7 @@ def greedy_cover(scores: DataFrame, budget: int, second: float = 0.3, least_gain
         picked.append((len(picked) + 1, best.frame, best.gain))
         won = scores.where(F.col("frame") == best.frame).groupBy("point").agg(F.max("score").alias("score"))
         new = F.coalesce("score", F.lit(0.0))
-        state = _cut(state.join(won, "point", "left").select("point", F.greatest("top", new).alias("top"), F.greatest("next", F.least("top", new)).alias("next")), "cover")
+        state = cut(state.join(won, "point", "left").select("point", F.greatest("top", new).alias("top"), F.greatest("next", F.least("top", new)).alias("next")), "cover")
     kind = scores.schema["frame"].dataType.simpleString()
     return scores.sparkSession.createDataFrame(picked, f"place int, frame {kind}, gain double")
 
