@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from functools import partial
 
-from sightline.operators import finding, gating, geometry, guards, linking, measuring, metrics, ordering, programs, relations, scalars, series, sessions, text
+from sightline.operators import finding, gating, geometry, guards, linking, measuring, metrics, ordering, programs, relations, scalars, series, sessions, shaping, text
 
 from .dialect import oracle, run
 
 PLANS = sessions.PLANS | guards.PLANS | metrics.PLANS | text.PLANS | geometry.PLANS | series.PLANS | scalars.PLANS | relations.PLANS
 #: Functions over their own columns, with oracles written apart.
-OPS = gating.OPS | finding.OPS | measuring.OPS | ordering.OPS | linking.OPS
+OPS = gating.OPS | finding.OPS | measuring.OPS | ordering.OPS | linking.OPS | shaping.OPS
 
 
 def queries() -> dict:
