@@ -276,3 +276,116 @@ def side_hysteresis(low: float = 0.35, high: float = 0.65, margin: float = 0.03)
         return side, [{"at": row["at"], "side": side}]
 
     return step
+
+
+def sighting_updates(gap: float = 3.0, mature: int = 3, every: float = 10.0):
+    """Row: at, score of one class in one capture. Returns (step, close); out: kind, first_at, last_at, frames, best.
+
+    `record` at the frame that makes a sighting mature, then `update` when the score is better or `every` seconds after the
+    last word, and `close` with its final form after a pause over `gap` or at the end. Immature ones say nothing.
+    """
+
+    def show(s, kind):
+        return {"kind": kind, "first_at": s["first"], "last_at": s["last"], "frames": s["frames"], "best": s["best"]}
+
+    def close(s):
+        return [show(s, "close")] if s and s["frames"] >= mature else []
+
+    def step(s, row):
+        at, score, out = row["at"], row["score"], []
+        if s and at - s["last"] > gap:
+            out, s = close(s), None
+        if s is None:
+            s = {"first": at, "last": at, "frames": 1, "best": score, "said": None}
+        else:
+            better = score is not None and (s["best"] is None or score > s["best"])
+            s |= {"last": at, "frames": s["frames"] + 1, "best": score if better else s["best"]}
+            if s["frames"] == mature:
+                out.append(show(s, "record"))
+                s["said"] = at
+            elif s["frames"] > mature and (better or at - s["said"] >= every):
+                out.append(show(s, "update"))
+                s["said"] = at
+        return s, out
+
+    return step, close
+
+
+UPDATES = "kind string, first_at double, last_at double, frames long, best double"
+
+
+def publish_slot(heartbeat: float = 2.0):
+    """Row: at, what (offer or take), revision. Out, at a take: at, kind (change or heartbeat), revision, coalesced.
+
+    The newest offer replaces one that wasn't taken; it counts as coalesced only if the revision changed. An offer of what
+    was sent last is nothing new. A take without news gives a heartbeat, if the last word was long ago.
+    """
+
+    def step(s, row):
+        s = s or {"pending": None, "coalesced": 0, "sent": None, "said": None}
+        if row["what"] == "offer":
+            now = s["pending"] if s["pending"] is not None else s["sent"]
+            if row["revision"] != now:
+                s["coalesced"] += s["pending"] is not None
+                s["pending"] = row["revision"]
+            return s, []
+        if s["pending"] is not None:
+            out = [{"at": row["at"], "kind": "change", "revision": s["pending"], "coalesced": s["coalesced"]}]
+            return {"pending": None, "coalesced": 0, "sent": s["pending"], "said": row["at"]}, out
+        if s["sent"] is not None and row["at"] - s["said"] >= heartbeat:
+            s["said"] = row["at"]
+            return s, [{"at": row["at"], "kind": "heartbeat", "revision": s["sent"], "coalesced": 0}]
+        return s, []
+
+    return step
+
+
+def segment_index(budget: int = 1):
+    """Row: seq, lost, broken (the chain breaks after this keyframe), keyframe. Out: seq, segment.
+
+    A loss opens a segment with its row, a break with the next one; but once `budget` segments without a keyframe were
+    opened in a row, no further one is until a keyframe comes.
+    """
+
+    def step(s, row):
+        s = s or {"segment": 0, "bare": True, "spent": 0, "due": False}
+        if (row["lost"] or s["due"]) and (not s["bare"] or s["spent"] < budget):
+            s |= {"segment": s["segment"] + 1, "spent": s["spent"] + 1 if s["bare"] else 0, "bare": True}
+        if row["keyframe"]:
+            s["bare"] = False
+        s["due"] = bool(row["broken"])
+        return s, [{"seq": row["seq"], "segment": s["segment"]}]
+
+    return step
+
+
+def content_segments(least: float = 0.45, turn: int = 3, most: int = 6):
+    """Row: seq, alike (correlation with the segment's reference). Returns (step, close); out: segment, first_seq, frames.
+
+    `turn` frames in a row below the limit turn the page: they seed the next segment. The first `most` segments are kept.
+    """
+
+    def step(s, row):
+        s = s or {"n": 0, "first": row["seq"], "frames": 0, "pending": []}
+        out = []
+        if s["frames"] and row["alike"] is not None and row["alike"] < least:
+            s["pending"].append(row["seq"])
+            if len(s["pending"]) >= turn:
+                out = show(s)
+                s = {"n": s["n"] + 1, "first": s["pending"][0], "frames": len(s["pending"]), "pending": []}
+        else:
+            s["frames"] += 1 + len(s["pending"])
+            s["pending"] = []
+        return s, out
+
+    def show(s):
+        return [{"segment": s["n"], "first_seq": s["first"], "frames": s["frames"]}] if s["n"] < most and s["frames"] else []
+
+    def close(s):
+        s["frames"] += len(s["pending"])
+        return show(s)
+
+    return step, close
+
+
+CONTENT = "segment long, first_seq long, frames long"
