@@ -324,6 +324,43 @@ def bounded_frame_sink(df: DataFrame, max_seconds: float = 2400.0, max_bytes: in
     return out.withColumn("_closed", F.expr(f"max(_over) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")).where("NOT _closed").drop("_over", "_closed")
 
 
+def region_from_boxes(boxes: DataFrame, least: int = 3, least_height: float = 7.0, pad: float = 0.08, least_area: float = 0.03) -> DataFrame:
+    """boxes (frame, w, h, x0, y0, x1, y1) -> a region a frame: from `least` boxes with an area on whose upper-middle height reaches the limit.
+
+    The union is padded by 8 % of its sides and cut to the frame; it must cover 3 % of it. coverage: boxes' areas over its own, at most 1.
+    """
+    b = boxes.withColumn("bh", F.col("y1") - F.col("y0")).withColumn("a", (F.col("x1") - F.col("x0")) * F.col("bh")).where("bh > 0 AND a > 0")
+    r = b.groupBy("frame", "w", "h").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("bh")).alias("hs"), *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))), F.sum("a").alias("area"))
+    r = r.withColumn("median_height", F.get("hs", F.floor(F.col("n") / 2).cast("int"))).where((F.col("n") >= least) & (F.col("median_height") >= least_height))
+    px, py = (F.col("x1") - F.col("x0")) * pad, (F.col("y1") - F.col("y0")) * pad
+    r = r.select("frame", "w", "h", "n", "median_height", "area", F.greatest(F.lit(0.0), F.col("x0") - px).alias("x0"), F.greatest(F.lit(0.0), F.col("y0") - py).alias("y0"), F.least(F.col("w").cast("double"), F.col("x1") + px).alias("x1"), F.least(F.col("h").cast("double"), F.col("y1") + py).alias("y1"))
+    union = F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0)) * F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0))
+    r = r.withColumn("area_fraction", union / (F.col("w") * F.col("h"))).withColumn("coverage", F.least(F.lit(1.0), F.col("area") / union))
+    return r.where(F.col("area_fraction") >= least_area).select("frame", "x0", "y0", "x1", "y1", "median_height", "area_fraction", "coverage")
+
+
+def depth_validity(pixels: DataFrame, focal: float, cx: float, cy: float, edge: float = 0.1, grazing: float = 75.0, far: float = 1e9) -> DataFrame:
+    """pixels (frame, u, v, z) -> usable: in front of the camera and not beyond `far`, its depth steps under `edge` of it to both sides, and its
+    surface not seen from the side. Slopes are those of the neighbours on both sides, at a border of the one there is."""
+    d = pixels
+    for axis, other in (("u", "v"), ("v", "u")):
+        w = f"PARTITION BY frame, {other} ORDER BY {axis}"
+        d = d.selectExpr("*", f"lag(z) OVER ({w}) AS _a", f"lead(z) OVER ({w}) AS _b")
+        step = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 2.0).otherwise(1.0)
+        d = d.withColumn(f"g{axis}", (F.coalesce("_b", "z") - F.coalesce("_a", "z")) / step)
+        d = d.withColumn(f"m{axis}", (F.coalesce("_b", "z") * F.when(F.col("_b").isNotNull(), F.col(axis) + 1).otherwise(F.col(axis)) - F.coalesce("_a", "z") * F.when(F.col("_a").isNotNull(), F.col(axis) - 1).otherwise(F.col(axis))) / step).drop("_a", "_b")
+    # tangents along u and v of the point (x z, y z, z) with x, y the ray
+    x, y = (F.col("u") - cx) / focal, (F.col("v") - cy) / focal
+    tu = [(F.col("mu") - cx * F.col("gu")) / focal, y * F.col("gu"), F.col("gu")]
+    tv = [x * F.col("gv"), (F.col("mv") - cy * F.col("gv")) / focal, F.col("gv")]
+    n = [tu[1] * tv[2] - tu[2] * tv[1], tu[2] * tv[0] - tu[0] * tv[2], tu[0] * tv[1] - tu[1] * tv[0]]
+    size = F.sqrt(sum(c * c for c in n)) * F.sqrt(x * x + y * y + 1)
+    cosine = F.abs(n[0] * x + n[1] * y + n[2]) / F.nullif(size, F.lit(0.0))
+    flat = (F.abs("gu") + F.abs("gv")) / F.greatest("z", F.lit(1e-6)) < edge
+    ok = ~F.isnan("z") & (F.col("z") > 1e-3) & (F.col("z") <= far) & flat & (F.degrees(F.acos(F.least(cosine, F.lit(1.0)))) < grazing)
+    return d.select("frame", "u", "v", F.coalesce(ok, F.lit(False)).alias("usable"))
+
+
 def privacy_tags(df: DataFrame) -> DataFrame:
     """session, frame -> tags, an array: what an observation can be traced to."""
     return df.withColumn("tags", F.filter(F.array(F.when(F.col("session").isNotNull(), "session"), F.when(F.col("frame").isNotNull(), "frame")), lambda x: x.isNotNull()))
@@ -513,4 +550,17 @@ OPS = {
         lambda s, d: privacy_tags(events(s, d).selectExpr("seq", "nullif(capture % 3, 0) AS session", "nullif(seq % 4, 0) AS frame")).selectExpr("seq", "concat_ws('+', tags) AS tags", "size(tags) AS n"),
         "SELECT event_id AS seq, CASE WHEN user_id % 3 > 0 AND event_id % 4 > 0 THEN 'session+frame' WHEN user_id % 3 > 0 THEN 'session' WHEN event_id % 4 > 0 THEN 'frame' ELSE '' END AS tags, ((user_id % 3 > 0)::INT + (event_id % 4 > 0)::INT)::INT AS n FROM events",
     ),
+    "region_from_boxes": (
+        lambda s, d: region_from_boxes(table(s, d, "lineitem").selectExpr("l_orderkey AS frame", "199 AS w", "121 AS h", "CAST(l_partkey % 180 AS DOUBLE) AS x0", "CAST(l_suppkey % 100 AS DOUBLE) AS y0", "CAST(l_partkey % 180 + l_quantity AS DOUBLE) AS x1", "CAST(l_suppkey % 100 + l_quantity / 2 AS DOUBLE) AS y1")).selectExpr("frame", "round(x0, 6) AS x0", "round(y0, 6) AS y0", "round(x1, 6) AS x1", "round(y1, 6) AS y1", "median_height", "round(area_fraction, 6) AS area_fraction", "round(coverage, 6) AS coverage"),
+        """WITH l AS (SELECT l_orderkey AS f, l_partkey % 180 AS a, l_suppkey % 100 AS b, l_quantity::DOUBLE AS w, l_quantity::DOUBLE / 2 AS h FROM lineitem WHERE l_quantity > 0), u AS (SELECT f, min(a)::DOUBLE AS a, min(b)::DOUBLE AS b, max(a + w) AS c, max(b + h) AS d, (list_sort(list(h)))[count(*) // 2 + 1] AS m, sum(w * h) AS s FROM l GROUP BY f HAVING count(*) > 2),
+           p AS (SELECT f, m, s, greatest(0, a - 0.08 * (c - a)) AS x0, greatest(0, b - 0.08 * (d - b)) AS y0, least(199, c + 0.08 * (c - a)) AS x1, least(121, d + 0.08 * (d - b)) AS y1 FROM u WHERE m >= 7)
+           SELECT f AS frame, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, m AS median_height, round((x1 - x0) * (y1 - y0) / 24079, 6) AS area_fraction, round(least(1, s / ((x1 - x0) * (y1 - y0))), 6) AS coverage FROM p WHERE (x1 - x0) * (y1 - y0) / 24079 >= 0.03""",
+    ),
+    "depth_validity": (
+        lambda s, d: depth_validity(table(s, d, "embeddings").selectExpr("vec_id AS frame", "posexplode(slice(embedding, 1, 64)) AS (i, e)").selectExpr("frame", "CAST(i % 8 AS DOUBLE) AS u", "CAST(i DIV 8 AS DOUBLE) AS v", "5D + frame % 3 + CAST(e AS DOUBLE) * CASE WHEN frame % 2 = 0 THEN 0.6D ELSE 3D END AS z"), 20.0, 4.0, 4.0),
+        """WITH p AS (SELECT vec_id AS f, unnest(range(64)) AS i, unnest(embedding[1:64])::DOUBLE AS e FROM embeddings), z AS (SELECT f, i % 8 AS u, i // 8 AS v, 5 + f % 3 + e * CASE WHEN f % 2 = 0 THEN 0.6 ELSE 3 END::DOUBLE AS z FROM p), q AS (SELECT *, (u - 4) / 20 AS x, (v - 4) / 20 AS y FROM z),
+           n AS (SELECT a.f, a.u, a.v, a.z, a.x, a.y, r.z * r.x - l.z * l.x AS ux, (r.z - l.z) * a.y AS uy, r.z - l.z AS uz, r.u - l.u AS du, (b.z - t.z) * a.x AS vx, b.z * b.y - t.z * t.y AS vy, b.z - t.z AS vz, b.v - t.v AS dv FROM q a JOIN q l ON l.f = a.f AND l.v = a.v AND l.u = greatest(a.u - 1, 0) JOIN q r ON r.f = a.f AND r.v = a.v AND r.u = least(a.u + 1, 7) JOIN q t ON t.f = a.f AND t.u = a.u AND t.v = greatest(a.v - 1, 0) JOIN q b ON b.f = a.f AND b.u = a.u AND b.v = least(a.v + 1, 7)),
+           m AS (SELECT *, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz FROM n)
+           SELECT f AS frame, u::DOUBLE AS u, v::DOUBLE AS v, coalesce(z > 0.001 AND (abs(uz) / du + abs(vz) / dv) / z < 0.1 AND abs(nx * x + ny * y + nz) > cos(radians(75)) * sqrt((nx * nx + ny * ny + nz * nz) * (x * x + y * y + 1)), false) AS usable FROM m""",
+    ),
 }

@@ -2,11 +2,7 @@
 _P = "p AS (SELECT vec_id, label, @AT(1) AS x, @AT(2) AS y, @AT(3) AS z FROM {embeddings})"
 PLANS = {
     "bounds3d": f"WITH {_P} SELECT label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM p GROUP BY label",
-    "voxel_reduce": f"WITH {_P} SELECT CAST(floor(x / 0.1) AS BIGINT) AS i, CAST(floor(y / 0.1) AS BIGINT) AS j, CAST(floor(z / 0.1) AS BIGINT) AS k, count(*) AS n, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, max(z) AS top FROM p GROUP BY CAST(floor(x / 0.1) AS BIGINT), CAST(floor(y / 0.1) AS BIGINT), CAST(floor(z / 0.1) AS BIGINT)",
     "voxel_count": f"WITH {_P} SELECT label, count(*) AS cells FROM (SELECT DISTINCT label, CAST(floor(x / 0.1) AS BIGINT) AS i, CAST(floor(y / 0.1) AS BIGINT) AS j, CAST(floor(z / 0.1) AS BIGINT) AS k FROM p) v GROUP BY label",
     "bbox_blowup": f"WITH {_P} SELECT label, round(greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / nullif(greatest(@PCT(x, 0.98) - @PCT(x, 0.02), @PCT(y, 0.98) - @PCT(y, 0.02), @PCT(z, 0.98) - @PCT(z, 0.02)), 0), 6) AS blowup FROM p GROUP BY label",
-    "stride_subsample": f"WITH {_P} SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM p) r WHERE k % 5 = 0",
     "rank_in_view": f"WITH {_P} SELECT vec_id, rank() OVER (PARTITION BY label ORDER BY x DESC) AS place FROM p",
-    "support_distribution": "SELECT views, count(*) AS landmarks FROM (SELECT l_partkey, count(DISTINCT l_orderkey) AS views FROM {lineitem} GROUP BY l_partkey) x GROUP BY views",
-    "covisibility_pairs": "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared FROM (SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem}) a JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem}) b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY a.l_suppkey, b.l_suppkey",
 }

@@ -1,38 +1,17 @@
 """Filters, gates in their order, projections and lookups."""
 PLANS = {
     "retention_window": "SELECT event_id FROM {events} WHERE coalesce(@MICROS(ts) >= CAST(1704672000000000 AS BIGINT), false)",
-    "retention_clamp": "SELECT c_custkey, least(nullif(c_nationkey, 0), nullif(c_custkey % 30, 0)) AS effective_days FROM {customer}",
-    "retention_view": "SELECT c_custkey, CASE WHEN c_acctbal <= 0 THEN NULL ELSE c_acctbal END AS requested, coalesce(c_acctbal > 1000, false) AS clamped FROM {customer}",
     "class_allowlist_read": "SELECT event_id, event_type FROM {events} WHERE event_type IN ('purchase', 'signup', 'view')",
-    "observations_query": "SELECT event_id, user_id, value FROM {events} WHERE event_type = 'purchase' AND @MICROS(ts) >= CAST(1704153600000000 AS BIGINT)",
     "cursor_read": "SELECT event_id, event_type FROM {events} WHERE event_id > 5000",
-    "detection_threshold": "SELECT event_id FROM {events} WHERE value / 500 >= 0.05 AND event_type <> 'error'",
     "relevance_gate_counts": """SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'excluded' WHEN event_type = 'click' THEN 'context-only' WHEN event_type NOT IN ('purchase', 'signup', 'view') THEN 'not-whitelisted'
         WHEN value / 500 < 0.02 THEN 'below-min-score' ELSE 'record' END AS verdict FROM {events}) x GROUP BY verdict""",
     "class_tier": """WITH tiers(class, tier, ord) AS (VALUES ('purchase', 'remembered', 1), ('signup', 'remembered', 2), ('view', 'verify', 3), ('click', 'context', 4)) SELECT event_type, coalesce(tier, 'ignored') AS tier, count(*) AS n FROM {events} LEFT JOIN tiers ON event_type = class GROUP BY event_type, coalesce(tier, 'ignored')""",
     "class_precision": "SELECT source, round(sum(quality) / nullif(count(quality), 0), 6) AS score FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source",
     "confidence_buckets": "SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN value IS NULL THEN 'unknown' WHEN value / 500 < 0.02 THEN 'low' WHEN value / 500 < 0.06 THEN 'medium' ELSE 'high' END AS bucket FROM {events}) x GROUP BY bucket",
-    "readable_page": "SELECT doc_id, length(text) > 0 AND @SIZE(@TOKENS(text)) >= 3 AS readable FROM {documents}",
-    "apparent_size": "SELECT vec_id, CASE WHEN abs(@AT(4)) >= 0.2 THEN 'large' WHEN abs(@AT(4)) < 0.1 THEN 'small' ELSE 'medium' END AS size FROM {embeddings}",
-    "partial_figure": "SELECT vec_id, @AT(1) >= 0.15 OR (@AT(1) >= 0.05 AND @AT(2) >= 0.1 AND @AT(3) >= 0.1) AS is_partial FROM {embeddings}",
     "view_side_counts": "SELECT label, side, count(*) AS n FROM (SELECT label, CASE WHEN @AT(1) IS NULL THEN 'unknown' WHEN @AT(1) < -0.05 THEN 'left' WHEN @AT(1) > 0.05 THEN 'right' ELSE 'centre' END AS side FROM {embeddings}) x GROUP BY label, side",
-    "timestamp_guard": "SELECT o_orderkey, CASE WHEN isnan(o_totalprice) OR abs(o_totalprice) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE o_totalprice END AS price FROM {orders}",
-    "json_safe_values": "SELECT event_id, CASE WHEN isnan(value) THEN NULL ELSE value END AS value FROM {events}",
     "json_props_guard": "SELECT event_id, @JSONK AS k, @JSONK IS NOT NULL AS ok FROM {events}",
-    "frame_decode_validate": "SELECT event_id, CASE WHEN props IS NULL THEN 'missing' WHEN @JSONK IS NULL THEN 'not-int' WHEN @JSONK < 10 THEN 'out-of-range' END AS reject_reason FROM {events}",
-    "answer_kind": "SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 'no_observation' WHEN count_if(o_totalprice > 200000) > 0 THEN 'matched' ELSE 'not_found' END AS answer FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey",
-    "session_state": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'receiving' WHEN o_orderstatus = 'P' THEN 'finalizing' WHEN o_totalprice IS NULL THEN 'no_geometry' ELSE 'complete' END AS state FROM {orders}",
-    "cursor_class": "SELECT event_id, CASE WHEN props IS NULL THEN 'absent' WHEN @JSONK IS NULL THEN 'unrecognised' WHEN @JSONK = event_id % 100 THEN 'matched' ELSE 'stale' END AS cursor FROM {events}",
-    "tracking_state": "SELECT user_id, max_by(event_type, event_id) AS last_kind, CASE max_by(event_type, event_id) WHEN 'view' THEN 'good' WHEN 'error' THEN 'lost' ELSE 'unknown' END AS state FROM {events} GROUP BY user_id",
     "nonempty_partition": "SELECT has, count(*) AS n FROM (SELECT c_custkey, count(o_orderkey) > 0 AS has FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey) x GROUP BY has",
-    "manifest_validation": "SELECT vec_id, abs(sqrt(@AT(1) * @AT(1) + @AT(2) * @AT(2) + @AT(3) * @AT(3) + @AT(4) * @AT(4)) - 1) <= 0.7 AS unit FROM {embeddings}",
-    "trajectory_left_join": "SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS pose FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey",
     "orphan_parts": "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND l_quantity > 45)",
-    "keep_list_prune": "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {orders} ON c_custkey = o_custkey",
-    "lookup_by_derived_id": "SELECT sha2(concat_ws('|', o_orderkey, o_custkey), 256) AS id, o_orderkey FROM {orders}",
-    "placement_join": "SELECT s_suppkey, CASE WHEN n_regionkey = 1 THEN n_name END AS placed FROM {supplier} LEFT JOIN {nation} ON s_nationkey = n_nationkey",
     "late_verdict_enrich": "SELECT d.doc_id, CASE quality WHEN 1 THEN 'agree' WHEN 0 THEN 'disagree' ELSE 'unverified' END AS verdict FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id",
     "journal_blob_verify": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN d.doc_id IS NULL THEN 'orphan' ELSE 'paired' END AS state FROM {documents} d FULL OUTER JOIN {labels} l ON d.doc_id = l.doc_id",
-    "ab_compare": """SELECT coalesce(a.event_type, b.event_type) AS event_type, a.n AS n_a, b.n AS n_b, a.n - b.n AS delta FROM (SELECT event_type, count(*) AS n FROM {events} WHERE user_id % 2 = 0 GROUP BY event_type) a
-        FULL OUTER JOIN (SELECT event_type, count(*) AS n FROM {events} WHERE user_id % 2 = 1 GROUP BY event_type) b ON a.event_type = b.event_type""",
 }

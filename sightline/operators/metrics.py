@@ -1,42 +1,13 @@
 """Aggregations, typed metrics, percentiles, fits and reports."""
 PLANS = {
     "running_mean_max": "SELECT user_id, count(*) AS n, round(coalesce(avg(value), 0), 6) AS mean, greatest(coalesce(max(value), 0), 0) AS max_value, max_by(value, event_id) AS last_value FROM {events} GROUP BY user_id",
-    "session_metrics": "SELECT l_orderkey, count(*) AS frames, sum(l_quantity) AS total_bytes, round(avg(l_extendedprice) + 0.0000001, 4) AS latency_mean, max(l_extendedprice) AS latency_max, count_if(l_returnflag = 'R') AS rejected FROM {lineitem} GROUP BY l_orderkey",
-    "typed_metric_rollup": """WITH kinds(metric, kind) AS (VALUES ('click', 'rate'), ('view', 'count'), ('purchase', 'constant')) SELECT user_id, event_type, kind, CASE kind WHEN 'rate' THEN round(avg(value), 6) WHEN 'count' THEN round(sum(value), 4)
-        WHEN 'constant' THEN CASE WHEN count(DISTINCT value) = 1 THEN max(value) END END AS measured, count(*) AS frames FROM {events} JOIN kinds ON event_type = metric GROUP BY user_id, event_type, kind""",
-    "corpus_benchmark": "SELECT user_id, event_type, count(*) AS n, round(avg(value) + 0.000000001, 6) AS mean FROM {events} GROUP BY ROLLUP (user_id, event_type)",
-    "p95_low_rank": "SELECT event_type, value AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM {events}) x WHERE k = greatest(1, CAST(floor(n * 0.95) AS BIGINT))",
-    "p95_high_rank": "SELECT event_type, value AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM {events}) x WHERE k = least(n, CAST(floor(n * 0.95) AS BIGINT) + 1)",
     "p98_core_band": "SELECT event_type, round(@PCT(value, 0.02), 6) AS low, round(@PCT(value, 0.98), 6) AS high FROM {events} GROUP BY event_type",
     "median_family": "SELECT event_type, round(median(value), 6) AS med, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM {events} GROUP BY event_type",
-    "count_by_label": "SELECT label, count(*) AS n FROM {embeddings} GROUP BY label",
-    "fixed_arity_pivot": "SELECT event_type, count_if(value < 10) AS low, count_if(value >= 10 AND value < 50) AS centre, count_if(value >= 50) AS high, count_if(value IS NULL) AS unknown FROM {events} GROUP BY event_type",
-    "event_summary": "SELECT user_id, count_if(event_type = 'view') AS views, count_if(event_type = 'error') AS errors, max(CASE WHEN event_type = 'view' THEN event_id END) AS last_view, bool_or(event_type = 'purchase') AS bought FROM {events} GROUP BY user_id",
-    "pose_summary": "SELECT sum(solved + CASE WHEN solved > 0 THEN anchors ELSE 0 END) AS positioned FROM (SELECT label, CAST(count_if(@AT(1) > 0) AS DOUBLE) AS solved, CAST(count_if(@AT(1) < -0.2) AS DOUBLE) AS anchors FROM {embeddings} GROUP BY label) x",
-    "status_histogram": "SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM {orders} GROUP BY o_orderstatus",
     "mode_first": "SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first_id) AS k FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM {events} GROUP BY user_id, event_type) x) y WHERE k = 1",
-    "coherence_share": "SELECT count(*) AS segments, max(n) AS largest, round(max(n) / nullif(sum(n), 0), 6) AS share FROM (SELECT label, count(*) AS n FROM {embeddings} GROUP BY label) x",
-    "corpus_totals": "SELECT count(*) AS n, round(sum(c_acctbal), 2) AS total, round(avg(nullif(c_acctbal, 0)), 6) AS mean, count_if(c_acctbal IS NULL) AS unmeasurable FROM {customer}",
     "weakest_label": "SELECT source, CASE min(CASE WHEN n_chars < 100 THEN 0 WHEN n_chars < 1000 THEN 1 WHEN n_chars < 5000 THEN 2 ELSE 3 END) WHEN 0 THEN 'unknown' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS weakest FROM {documents} GROUP BY source",
-    "label_scoring": "SELECT lang, round(avg(CASE WHEN quality = toxic THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 3) AS exact, round(avg(abs(quality - toxic)), 3) AS mae FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id GROUP BY lang",
-    "spatial_coverage": "SELECT label, round(count(DISTINCT CAST(floor((@AT(1) + 0.5) * 8) AS BIGINT) * 100 + CAST(floor((@AT(2) + 0.5) * 8) AS BIGINT)) / 64, 6) AS coverage FROM {embeddings} GROUP BY label",
     "circular_mean": "SELECT event_type, round(sqrt(avg(cos(value)) * avg(cos(value)) + avg(sin(value)) * avg(sin(value))), 6) AS resultant, round(degrees(atan2(avg(sin(value)), avg(cos(value)))), 4) AS direction FROM {events} GROUP BY event_type",
     "entropy_bits": "SELECT round(-sum(p * log2(p)), 6) AS bits FROM (SELECT CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS p FROM {events} GROUP BY CAST(floor(value / 10) AS BIGINT)) x",
-    "clock_drift_slope": "SELECT user_id, round(regr_slope(value, CAST(event_id AS DOUBLE)), 8) AS slope, round(regr_intercept(value, CAST(event_id AS DOUBLE)), 4) AS intercept FROM {events} GROUP BY user_id HAVING count(*) > 2",
     "linear_fit": "SELECT event_type, round(regr_slope(value, CAST(user_id AS DOUBLE)), 8) AS slope, round(corr(value, CAST(user_id AS DOUBLE)), 6) AS r FROM {events} GROUP BY event_type",
-    "power_fit": "SELECT l_returnflag, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) AS b, round(regr_r2(ln(l_extendedprice), ln(l_quantity)), 6) AS r2 FROM {lineitem} WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY l_returnflag",
     "weighted_geomean": "SELECT event_type, round(exp(sum(user_id * ln(greatest(least(value / 100, 1), 0.01))) / nullif(sum(user_id), 0)), 6) AS g FROM {events} GROUP BY event_type",
-    "decile_means": "SELECT decile, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT value, least(10, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / floor(count(*) OVER () / 10)) AS BIGINT) + 1) AS decile FROM {events}) x GROUP BY decile",
-    "auc_rank": """WITH r AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS rk FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id)
-        SELECT round((sum(CASE WHEN quality = 1 THEN rk ELSE 0 END) - count_if(quality = 1) * (count_if(quality = 1) + 1) / 2) / nullif(count_if(quality = 1) * count_if(quality = 0), 0), 6) AS auc FROM r""",
-    "accept_reject_rates": "SELECT round(avg(CASE WHEN quality = 1 THEN CASE WHEN toxic = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END END), 6) AS accept, round(avg(CASE WHEN quality = 0 THEN CASE WHEN toxic = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END END), 6) AS reject FROM {labels}",
-    "growth_verdict": "SELECT round(avg(CASE WHEN third = 3 THEN value END) - avg(CASE WHEN third = 1 THEN value END), 6) AS growth FROM (SELECT value, CASE WHEN k <= n / 3 THEN 1 WHEN k > n - n / 3 THEN 3 ELSE 2 END AS third FROM (SELECT value, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS n FROM {events}) x) y",
-    "determinism_check": "SELECT c_nationkey, count(DISTINCT c_mktsegment) = 1 AS same FROM {customer} GROUP BY c_nationkey",
-    "live_load_report": "SELECT user_id, round(count_if(event_type = 'error') / nullif(count(*), 0), 6) AS skip_fraction FROM {events} GROUP BY user_id",
-    "refusal_tally": "WITH vocab(reason) AS (VALUES ('click'), ('view'), ('error'), ('never')) SELECT reason, count(event_id) AS n FROM vocab LEFT JOIN {events} ON event_type = reason GROUP BY reason",
     "discard_tally": "SELECT count(*) AS total, count_if(l_discount < 0.02) AS low_parallax, count_if(l_tax > 0.06) AS high_error FROM {lineitem}",
-    "refusal_root_vs_cascade": """WITH s AS (SELECT user_id, event_id, event_type, min(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS root FROM {events})
-        SELECT user_id, max(root) AS root, count_if(event_type = 'error' AND event_id > root) AS cascaded, bool_or(event_id > root AND event_type <> 'error') AS recovered FROM s GROUP BY user_id""",
-    "degree_distribution": "SELECT degree, count(*) AS nodes FROM (SELECT p_partkey, count(DISTINCT l_suppkey) AS degree FROM {part} LEFT JOIN {lineitem} ON p_partkey = l_partkey GROUP BY p_partkey) x GROUP BY degree",
-    "ordered_digest": "SELECT o_custkey, n, sha2(ids, 256) AS digest FROM (SELECT o_custkey, count(*) AS n, concat_ws(',', min(o_orderkey), max(o_orderkey)) AS ids FROM {orders} GROUP BY o_custkey) x",
 }

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.arrays import observation_id
-from sightline.sources.store import prune, upsert_monotonic
+from sightline.sources.store import upsert_monotonic
 from sightline.streaming import folds
 from sightline.streaming.keyed import fold_table
 
@@ -25,10 +25,6 @@ def _components(spark, sf) -> DataFrame:
     return graphs.connected_components(_t(spark, sf, "orders").selectExpr("o_orderkey AS node"), _chain(spark, sf))
 
 
-def _hops(spark, sf) -> DataFrame:
-    return graphs.hop_distances(_chain(spark, sf), _t(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("node")), 3)
-
-
 def _smooth(spark, sf) -> DataFrame:
     v = _t(spark, sf, "embeddings").selectExpr("vec_id AS node", *[f"CAST(embedding[{i}] AS DOUBLE) AS {c}" for i, c in enumerate("xyz")], "label")
     edges = v.selectExpr("node AS src", "lead(node) OVER (PARTITION BY label ORDER BY node) AS dst").where("dst IS NOT NULL")
@@ -50,43 +46,21 @@ def _upsert(spark, sf) -> DataFrame:
     return upsert_monotonic(old, e.where("event_id % 2 = 1").drop("event_id")).select("class", "observed_at", "best_score", "confidence")
 
 
-def _prune(spark, sf) -> DataFrame:
-    return prune(_t(spark, sf, "events").selectExpr("value AS recorded_at"), 60.0)[1]
-
-
-def _events(spark, sf) -> DataFrame:
-    return _t(spark, sf, "events").selectExpr("user_id", "event_id", "unix_micros(CAST(ts AS TIMESTAMP)) / 1000000 AS at", "event_type", "value")
-
-
-def _fold(fold, out: str, *columns: str):
-    step, close = fold if isinstance(fold, tuple) else (fold, None)
-    return lambda spark, sf: fold_table(_events(spark, sf).selectExpr("user_id", "event_id", "at", *columns), "user_id", ["event_id"], step, f"user_id long, {out}", close)
-
-
 def _tracks(spark, sf) -> DataFrame:
-    boxes = _t(spark, sf, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("l_returnflag"), F.col("l_linenumber").cast("string"))))).alias("b"))
-    frames = boxes.selectExpr("l_suppkey", "CAST(l_orderkey AS DOUBLE) AS at", """to_json(transform(from_json(b, 'array<array<string>>'), v -> named_struct('l', v[0], 'x', CAST(v[1] AS DOUBLE)))) AS j""")
-    frames = frames.withColumn("boxes", F.regexp_replace("j", r'\{"l":("[^"]*"),"x":([0-9.]+)\}', r"[$1,$2,0,5,5]")).drop("j").withColumn("boxes", F.regexp_replace("boxes", r",5\.0,0,5,5", ",4.5,0,5,5"))
+    """Lines of an order as a frame's boxes, of a supplier as a capture."""
+    box = F.struct(F.col("l_returnflag").alias("label"), F.col("l_linenumber").cast("double").alias("x0"), F.lit(0.0).alias("y0"), (F.col("l_linenumber") + 4.5).cast("double").alias("x1"), F.lit(5.0).alias("y1"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_linestatus")).alias("facing"))
+    frames = _t(spark, sf, "lineitem").groupBy("l_suppkey", F.col("l_orderkey").cast("double").alias("at")).agg(F.to_json(F.sort_array(F.collect_list(box))).alias("boxes"))
     return fold_table(frames, "l_suppkey", ["at"], folds.multi_object_tracker(), "l_suppkey long, " + folds.TRACKS)
 
 
 QUERIES = {
     "connected_components": _components,
     "union_find_census": lambda spark, sf: graphs.union_find_census(_components(spark, sf)),
-    "drop_small_components": lambda spark, sf: graphs.drop_small_components(_components(spark, sf), 0.5),
-    "rim_hops": _hops,
     "laplacian_smooth": _smooth,
     "greedy_cover": _cover,
     "budget_thinning": _thin,
     "upsert_monotonic": _upsert,
-    "prune_purge": _prune,
-    "observation_id": lambda spark, sf: _events(spark, sf).select("event_id", observation_id(F.col("user_id").cast("string"), "event_id", "event_type").alias("id")),
-    "heartbeat_change_feed": _fold(folds.change_feed(1e18), "at double, kind string, revision long", "to_json(named_struct('t', event_type)) AS payload"),
-    "side_hysteresis": _fold(folds.side_hysteresis(), "at double, side string", "value / 500 AS x"),
-    "keyframe_selector": _fold(folds.keyframe_selector(), "at double, decision string, segment long", "value / 100 AS sharp", "value / 200 AS overlap"),
-    "dwell_tracker": _fold(folds.dwell_tracker(gap=86400.0, missing=43200.0, longest=1e7), folds.DWELLS, "event_type <> 'error' AS visible", "0.5D AS x", "0.5D AS y", "1.0D AS area"),
-    "frame_gate_state": _fold(folds.frame_gate(3600.0, 7200.0), "at double, ran boolean, found boolean", "event_type = 'view' AS found"),
-    "grace_windows": _fold(folds.grace_windows(7200.0), "at double, walk long", "CASE WHEN event_type = 'view' THEN 'start' ELSE 'disconnect' END AS kind"),
+    "observation_id": lambda spark, sf: _t(spark, sf, "events").select("event_id", observation_id(F.col("user_id").cast("string"), "event_id", "event_type").alias("id")),
     "multi_object_tracker": _tracks,
 }
 
@@ -104,10 +78,6 @@ def _pass(source: str, rate: float) -> str:
 ORACLES = {
     "connected_components": f"WITH {_MEMBERS} SELECT node, component FROM m",
     "union_find_census": f"WITH {_MEMBERS} SELECT component, count(*) AS members FROM m GROUP BY component",
-    "drop_small_components": f"WITH {_MEMBERS} SELECT node, component FROM m WHERE members >= greatest(1, 0.5 * (SELECT max(members) FROM m))",
-    "rim_hops": "SELECT node, CAST(k AS INTEGER) AS hops FROM (SELECT o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders) x WHERE k <= 3",
     "laplacian_smooth": f"WITH v AS (SELECT vec_id AS node, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), a AS ({_pass('v', 0.5)}), b AS ({_pass('a', -0.53)}) SELECT node, {_SMOOTH} FROM b",
     "upsert_monotonic": "SELECT event_type AS class, CAST(user_id AS DOUBLE) AS observed_at, max(value) AS best_score, CASE WHEN max(value) < 100 THEN 'low' ELSE 'high' END AS confidence FROM events GROUP BY event_type, user_id",
-    "prune_purge": "SELECT count_if(NOT coalesce(value >= 60, false)) AS removed, count_if(coalesce(value >= 60, false)) AS retained FROM events",
-    "heartbeat_change_feed": "SELECT user_id, epoch_us(ts) / 1000000 AS at, 'change' AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS revision FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) x WHERE before IS NULL OR before <> event_type",
 }

@@ -8,48 +8,20 @@ _STREAK = f"e AS (SELECT user_id, event_id, value, CASE WHEN value < 60 THEN 1 E
 
 PLANS = {
     # joins
-    "region_from_boxes": f"""WITH {_OBJ}, m AS (SELECT frame, h, row_number() OVER (PARTITION BY frame ORDER BY h, i) - 1 AS k, count(*) OVER (PARTITION BY frame) AS n FROM o), md AS (SELECT frame, h AS middle FROM m WHERE k = floor(n / 2) AND n >= 3 AND h >= 7),
-        u AS (SELECT frame, min(x) AS x0, max(x + w) AS x1, min(y) AS y0, max(y + h) AS y1, sum(w * h) AS area FROM o GROUP BY frame)
-        SELECT u.frame, middle, round(greatest(x0 - 0.08 * (x1 - x0), 0), 4) AS rx0, round(x1 + 0.08 * (x1 - x0), 4) AS rx1, round(least(1, area / ((x1 - x0) * (y1 - y0))), 6) AS coverage FROM u JOIN md ON u.frame = md.frame""",
-    "point_owner_join": f"WITH {_OWN} SELECT point, frame, segment, component FROM seg",
     "component_majority": f"WITH {_OWN}, n AS (SELECT segment, component, count(*) AS points FROM seg GROUP BY segment, component) SELECT component, segment AS anchor, points FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY points DESC, segment) AS k FROM n) x WHERE k = 1",
-    "frame_resolution": "SELECT o_orderkey, coalesce(best, 'frames/' || lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0') || '.jpg') AS relpath FROM {orders} LEFT JOIN (SELECT l_orderkey, 'best/' || CAST(min(l_partkey) AS VARCHAR(20)) || '.jpg' AS best FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY l_orderkey) b ON o_orderkey = l_orderkey",
     "iou_candidates": f"""WITH {_OBJ}, p AS (SELECT a.frame, a.i, b.i AS j, a.w * a.h AS sa, b.w * b.h AS sb, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS shared FROM o a JOIN o b ON a.frame = b.frame AND a.i < b.i)
         SELECT frame, i, j, round(1 + shared / (sa + sb - shared), 6) AS weight FROM p WHERE shared / (sa + sb - shared) >= 0.25""",
     "spatial_relations": f"WITH {_OBJ} SELECT a.frame, a.i, b.i AS j, CASE WHEN b.x - a.x >= 16 THEN 'left_of' WHEN a.x - b.x >= 16 THEN 'right_of' END AS side, CASE WHEN b.y - a.y >= 1 THEN 'higher_in_view' WHEN a.y - b.y >= 1 THEN 'lower_in_view' END AS height FROM o a JOIN o b ON a.frame = b.frame AND a.i < b.i",
-    "sampled_cross_product": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}) x WHERE n <= 8 OR k = 0 OR floor(k * 7 / (n - 1)) > floor((k - 1) * 7 / (n - 1))",
-    "label_eval_join": "SELECT source, count(*) AS labelled, count_if(quality = 1) AS good, count_if((n_chars >= 500) = (quality = 1)) AS agree FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source",
-    "redaction_consensus": "WITH v AS (SELECT vec_id, label, floor(@AT(1) * 10) AS i, floor(@AT(2) * 10) AS j, @AT(3) > 0 AS vote FROM {embeddings}), c AS (SELECT i, j, count(DISTINCT label) AS views, count_if(vote) AS votes FROM v GROUP BY i, j) SELECT vec_id, views >= 2 AND votes >= 2 AS redacted FROM v JOIN c ON v.i = c.i AND v.j = c.j",
     "knn_neighbours": "WITH c AS (SELECT label, avg(@AT(1)) AS x, avg(@AT(2)) AS y, avg(@AT(3)) AS z FROM {embeddings} GROUP BY label), d AS (SELECT a.label, b.label AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM c a JOIN c b ON a.label <> b.label) SELECT label, other, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(d2, 9), other) AS k FROM d) x WHERE k <= 4",
-    "multi_view_agreement": "SELECT l_partkey, count(*) AS views, count_if(err < 0.3) AS agreeing, round(avg(CASE WHEN err < 0.3 THEN price END), 4) AS mean_price FROM (SELECT l_partkey, l_extendedprice / l_quantity AS price, abs(l_extendedprice / l_quantity - p_retailprice) / p_retailprice AS err FROM {lineitem} JOIN {part} ON l_partkey = p_partkey) x GROUP BY l_partkey HAVING count_if(err < 0.3) >= 2",
     "publish_remap": "WITH s AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS new_index FROM {part} WHERE p_size >= 5) SELECT l_orderkey, l_linenumber, l_partkey, p_brand, new_index FROM {lineitem} JOIN s ON l_partkey = p_partkey",
-    "calibration_lookup": "SELECT p_partkey, coalesce(n_name, 'unknown') AS calibration FROM {part} LEFT JOIN {nation} ON p_size = n_nationkey",
-    "orphan_segments": "SELECT c_custkey FROM {customer} LEFT ANTI JOIN (SELECT DISTINCT o_custkey FROM {orders}) o ON c_custkey = o_custkey",
     # aggregates
-    "people_block": "SELECT user_id, count(*) AS people, count_if(value < 50) AS small, count_if(value >= 50) AS large, CASE WHEN count_if(event_type = 'view') > 0 THEN count_if(event_type = 'view') END AS facing, CASE WHEN count_if(event_type = 'view') = 0 THEN 'not-established' END AS reason FROM {events} GROUP BY user_id",
-    "segment_manifest": "SELECT o_custkey, count(DISTINCT o_orderkey) AS keyframes, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS solved, count(l_partkey) AS points, min(l_quantity) AS q0, max(l_quantity) AS q1 FROM {orders} LEFT JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_custkey",
-    "fragment_counts": "SELECT component, count_if(points >= 20) AS drawable, count_if(points >= 20 AND wide >= 10) AS legible FROM (SELECT c_nationkey AS component, o_custkey, count(*) AS points, max(l_quantity) - min(l_quantity) AS wide FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey, o_custkey) x GROUP BY component",
     "selection_coverage": "SELECT round(count_if(n >= 1) / count(*), 4) AS once, round(count_if(n >= 2) / count(*), 4) AS twice FROM (SELECT p_partkey, count(DISTINCT CASE WHEN l_returnflag = 'A' THEN l_orderkey END) AS n FROM {part} LEFT JOIN {lineitem} ON p_partkey = l_partkey GROUP BY p_partkey) x",
-    "count_stability": "WITH c AS (SELECT l_suppkey, l_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_suppkey, l_orderkey), h AS (SELECT l_suppkey, n, count(*) AS frames FROM c GROUP BY l_suppkey, n), t AS (SELECT l_suppkey, sum(frames) AS total, count(*) AS kinds FROM h GROUP BY l_suppkey) SELECT h.l_suppkey, n AS modal, kinds, round(frames / total, 6) AS correct FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY frames DESC, n) AS k FROM h) h JOIN t ON h.l_suppkey = t.l_suppkey WHERE k = 1",
-    "bytes_by_tier": "SELECT source, CAST(sum(@BYTES(coalesce(text, ''))) AS BIGINT) AS bytes FROM {documents} GROUP BY source",
-    "histogram_stats": "SELECT event_type, round(count_if(value > 400) / count(*), 6) AS over_exposed, round(count_if(value < 10) / count(*), 6) AS under_exposed, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM {events} GROUP BY event_type",
-    "sender_metrics": "SELECT user_id, count(*) AS sent, count_if(event_type <> 'error') AS delivered, round(count_if(event_type <> 'error') / count(*), 6) AS delivered_fraction, round(avg(value), 4) AS mean_ms, max(value) AS max_ms, CASE WHEN max(@MICROS(ts)) - min(@MICROS(ts)) >= 500000 THEN round(count(*) * 1000000 / (max(@MICROS(ts)) - min(@MICROS(ts))), 9) END AS rate FROM {events} GROUP BY user_id",
     "span_over_depth": f"WITH {_OBJ}, s AS (SELECT a.frame, max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS span FROM o a JOIN o b ON a.frame = b.frame AND a.i < b.i GROUP BY a.frame), d AS (SELECT frame, @PCT(w, 0.5) AS depth FROM o GROUP BY frame) SELECT d.frame, round(coalesce(span / depth, 0), 6) AS ratio FROM d LEFT JOIN s ON d.frame = s.frame",
     "reprojection_stats": "SELECT label, count(*) AS n, round(@PCT(err, 0.5), 6) AS p50, round(@PCT(err, 0.95), 6) AS p95, round(@PCT(err, 0.99), 6) AS p99, max(err) AS worst, count_if(err > 3) AS over_3px FROM (SELECT label, sqrt(@AT(1) * @AT(1) + @AT(2) * @AT(2)) * 20 AS err FROM {embeddings} WHERE @AT(3) > 0) x GROUP BY label",
     "confidence_refresh": "SELECT user_id, event_type, max(value) / 500 AS best_score, CASE WHEN max(value) IS NULL THEN 'unknown' WHEN max(value) < 250 THEN 'low' WHEN max(value) < 400 THEN 'medium' ELSE 'high' END AS confidence FROM {events} GROUP BY user_id, event_type",
     # windows
-    "rolling_ratio": f"SELECT event_id, CASE WHEN @SIZE(l) >= 5 THEN round(value / nullif(@EL(@SORTED(l), CAST(floor(@SIZE(l) / 2) AS INTEGER) + 1), 0), 6) END AS ratio FROM (SELECT event_id, value, @LIST(coalesce(value, 0)) OVER ({_W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS l FROM {{events}}) x",
     # 0.7 to the power of 110 is below a double's last bit, so rows before the window no longer count.
-    "ema": f"SELECT event_id, @EMA(l, 0.3) AS ema FROM (SELECT event_id, @LIST(coalesce(value, 0)) OVER ({_W} ROWS BETWEEN 110 PRECEDING AND CURRENT ROW) AS l FROM {{events}}) x",
     "loss_grace": f"WITH {_STREAK} SELECT user_id, event_id FROM b WHERE cut = 1",
-    "segment_index": f"WITH {_STREAK} SELECT event_id, CAST(coalesce(sum(cut) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS segment FROM b",
-    "content_segments": f"WITH {_STREAK}, g AS (SELECT user_id, event_id, sum(cut) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg FROM b), c AS (SELECT user_id, seg, count(*) AS frames, min(event_id) AS first_id FROM g GROUP BY user_id, seg) SELECT user_id, CAST(seg AS BIGINT) AS segment, frames, first_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seg) AS k FROM c) x WHERE k <= 6",
-    "dwell_sessions": f"""WITH e AS (SELECT user_id, event_id, value, @MICROS(ts) AS t FROM {{events}}), f AS (SELECT *, CASE WHEN t - lag(t) OVER ({_W}) <= CAST(86400000000 AS BIGINT) AND abs(value - lag(value) OVER ({_W})) <= 120 THEN 0 ELSE 1 END AS fresh FROM e),
-        s AS (SELECT *, sum(fresh) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM f) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS frames, max(t) - min(t) AS dwell FROM s GROUP BY user_id, session HAVING count(*) >= 4 AND max(t) - min(t) >= 1000000""",
     # order and choice
-    "world_listing_sort": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderdate IS NULL THEN 1 ELSE 0 END, o_orderdate DESC, o_orderkey DESC) AS place FROM {orders}",
-    "frame_rank": "WITH g AS (SELECT c_nationkey, c_mktsegment, count(*) AS points FROM {customer} GROUP BY c_nationkey, c_mktsegment) SELECT c_nationkey, c_mktsegment AS reference, points, row_number() OVER (PARTITION BY c_nationkey ORDER BY points DESC, c_mktsegment) AS place FROM g",
-    "cluster_rank": "WITH g AS (SELECT c_nationkey, c_mktsegment, count(*) AS members FROM {customer} GROUP BY c_nationkey, c_mktsegment HAVING count(*) >= 2) SELECT c_nationkey, c_mktsegment, members, rank() OVER (PARTITION BY c_nationkey ORDER BY members DESC) AS place FROM g",
-    "most_relevant_world": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END, o_orderdate DESC, o_orderkey) AS k FROM {orders}) x WHERE k = 1",
     "viewpoint_sample": "SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM {embeddings}) x WHERE n <= 240 OR floor(k * 240 / n) > floor((k - 1) * 240 / n)",
 }

@@ -10,40 +10,10 @@ PLANS = {
     # gates
     "schema_version_filter": "SELECT event_id, @JSONK AS version FROM {events} WHERE @JSONK IS NOT NULL AND @JSONK IN (1, 2, 3)",
     "can_testify": "SELECT doc_id, words >= 3 AND conf >= 0.3 AS testifies FROM (SELECT doc_id, @SIZE(@WORDS2(text)) AS words, least(n_chars / 1000, 1) AS conf FROM {documents}) x",
-    "frame_stability": """SELECT event_id, coalesce(abs(value - before) <= 20 AND value >= 0.5 * med, false) AS stable, coalesce(abs(value - before) > 60 OR value < 0.25 * med, false) AS content_changed FROM (SELECT event_id, value,
-        lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before, @PCT(value, 0.5) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS med FROM {events}) x""",
-    "keyframe_decision": """SELECT event_id, CASE WHEN value < 0.25 * med THEN 'blurred' WHEN before IS NULL THEN 'seed' WHEN event_type = 'error' THEN 'tracking_lost' WHEN event_type = 'click' THEN 'degraded' WHEN abs(value - before) < 1 THEN 'no_motion'
-        WHEN gap < CAST(60000000 AS BIGINT) THEN 'rate_limited' WHEN value < 0.5 * med THEN 'overlap_floor' WHEN abs(value - before) < 40 THEN 'small_step' ELSE 'accepted' END AS decision FROM (SELECT event_id, event_type, value,
-        lag(value) OVER w AS before, @MICROS(ts) - lag(@MICROS(ts)) OVER w AS gap, @PCT(value, 0.5) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS med FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) x""",
-    "depth_validity": f"WITH {_V} SELECT vec_id, depth BETWEEN 0.02 AND 1 AND coalesce(abs(depth - before) <= 0.1 * depth + 0.05, true) AS usable FROM (SELECT vec_id, abs(a) AS depth, lag(abs(a)) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM v) x",
-    "landmark_gate": f"WITH {_V} SELECT label, count_if(angle >= 1.5 AND e1 <= 3 AND e2 <= 3) AS kept, count_if(angle < 1.5) AS low_parallax, count_if(angle >= 1.5 AND (e1 > 3 OR e2 > 3)) AS bad_reprojection FROM (SELECT label, abs(a) * 30 AS angle, abs(b) * 20 AS e1, abs(c) * 20 AS e2 FROM v) x GROUP BY label",
-    "face_box_gate": f"WITH {_V} SELECT vec_id, eye_gap > 0.05 AND mid_y > least(ly, ry) - 0.05 AND nose_x BETWEEN least(lx, rx) - 0.1 AND greatest(lx, rx) + 0.1 AS plausible FROM (SELECT vec_id, a AS lx, b AS ly, c AS rx, d AS ry, e AS nose_x, f AS mid_y, abs(c - a) AS eye_gap FROM v) x",
-    "transient_mask_filter": f"WITH {_BOX} SELECT k.vec_id FROM i JOIN k ON i.vec_id = k.vec_id WHERE shared / (k.aw * k.ah) < 0.8 AND k.aw * k.ah >= 0.02",
-    "capability_table": "SELECT p_brand, p_type, count(*) AS parts, count_if(p_size >= 10) > 0 AS available, CASE WHEN count_if(p_size >= 10) > 0 THEN NULL WHEN count_if(p_size IS NULL) > 0 THEN 'input-omitted' ELSE 'too-small' END AS reason FROM {part} GROUP BY p_brand, p_type",
     "estimate_expiry": "SELECT event_id, CASE WHEN age > CAST(21600000000 AS BIGINT) THEN 'unknown' ELSE side END AS side, age FROM (SELECT event_id, event_type AS side, greatest(lead(@MICROS(ts)) OVER (PARTITION BY user_id ORDER BY event_id) - @MICROS(ts), 0) AS age FROM {events}) x",
     # text
-    "snippet": "SELECT doc_id, CASE WHEN hit > 54 THEN '...' ELSE '' END || substr(body, CAST(greatest(hit - 53, 1) AS INTEGER), 160) || '...' AS snippet FROM (SELECT doc_id, coalesce(text, '') AS body, instr(lower(coalesce(text, '')), 'th') AS hit FROM {documents}) x WHERE hit > 0",
-    "title_and_summary": "SELECT doc_id, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 90) AS title, @SIZE(@TOKENS(text)) > 40 AS cut FROM {documents}",
-    "numbers_agree": f"{_DIGITS} SELECT conv_id, turn, NOT (na >= 3 AND nb >= 3 AND shared / nullif(na + nb - shared, 0) < 0.5) AS agree FROM n",
-    "resighting_match": """WITH t AS (SELECT conv_id, turn, role, text, array_distinct(@TOKENS(text)) AS a FROM {conversations}), p AS (SELECT conv_id, turn, a, lag(a) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM t),
-        n AS (SELECT conv_id, turn, @SIZE(a) AS na, @SIZE(b) AS nb, @SIZE(array_intersect(a, b)) AS shared FROM p WHERE b IS NOT NULL)
-        SELECT conv_id, turn, CASE WHEN na < 3 OR nb < 3 THEN 'abstain' WHEN shared / (na + nb - shared) >= 0.6 THEN 'same' WHEN shared / least(na, nb) >= 0.5 THEN 'shares-text' ELSE 'different' END AS verdict FROM n""",
-    "hash_distance": "SELECT event_id, bit_count(@XOR(h, g)) AS bits FROM (SELECT event_id, @JSONK AS h, lag(@JSONK) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM {events}) x",
     "key_formats": "SELECT event_id, CAST(user_id AS VARCHAR(20)) || ':' || lpad(CAST(event_id AS VARCHAR(20)), 8, '0') AS frame_key, lpad(CAST(event_id AS VARCHAR(20)), 8, '0') || '.jpg' AS file FROM {events}",
-    "format_distance": "SELECT p_partkey, CASE WHEN p_size IS NULL OR p_size <= 0 THEN NULL WHEN p_type LIKE 'S%' THEN CAST(p_size AS VARCHAR(20)) || ' m' ELSE CAST(p_size AS VARCHAR(20)) || ' world units' END AS distance FROM {part}",
-    "privacy_tags": "SELECT event_id, CASE WHEN user_id IS NOT NULL THEN 'session' ELSE '' END || CASE WHEN props IS NOT NULL THEN ',frame' ELSE '' END AS tags FROM {events}",
     # geometry
-    "box_geometry": f"WITH {_BOX} SELECT vec_id, round(shared / (aw * ah + bw * bh - shared), 6) AS iou, round(aw * ah, 6) AS area, round(shared / (aw * ah), 4) AS obscured, round(ax - 0.35 * aw, 6) AS crop_x, round(aw * 1.7, 6) AS crop_w FROM i",
-    "quaternion_matrix": f"""WITH {_V}, q AS (SELECT vec_id, a / n AS w, b / n AS x, c / n AS y, d / n AS z FROM (SELECT *, nullif(sqrt(a * a + b * b + c * c + d * d), 0) AS n FROM v) u) SELECT vec_id, round(1 - 2 * (y * y + z * z), 6) AS m00, round(2 * (x * y - w * z), 6) AS m01, round(2 * (x * z + w * y), 6) AS m02,
-        round(2 * (x * y + w * z), 6) AS m10, round(1 - 2 * (x * x + z * z), 6) AS m11, round(2 * (y * z - w * x), 6) AS m12, round(2 * (x * z - w * y), 6) AS m20, round(2 * (y * z + w * x), 6) AS m21, round(1 - 2 * (x * x + y * y), 6) AS m22 FROM q""",
-    "sim3": f"WITH {_V} SELECT vec_id, round(s * (a * cos(t) - b * sin(t)) + f, 6) AS x, round(s * (a * sin(t) + b * cos(t)) + g, 6) AS y, round(s * c + h, 6) AS z FROM (SELECT *, abs(d) + 0.5 AS s, e AS t FROM v) u",
-    "camera_projection": f"WITH {_V} SELECT vec_id, CASE WHEN c > 0.001 THEN round(500 * a / c + 320, 4) END AS u, CASE WHEN c > 0.001 THEN round(500 * b / c + 180, 4) END AS v_px FROM v",
-    "parallax_angles": f"WITH {_V} SELECT vec_id, round(degrees(acos(greatest(least((a * d + b * e + c * f) / nullif(sqrt(a * a + b * b + c * c) * sqrt(d * d + e * e + f * f), 0), 1), -1))), 4) AS angle FROM v",
-    "spatial_keys": f"WITH {_V} SELECT vec_id, {_KEY} AS key FROM v",
-    "block_key_lookup": f"WITH {_V}, k AS (SELECT vec_id, {_KEY} AS key FROM v), m AS (SELECT key FROM k GROUP BY key HAVING count(*) >= 2) SELECT vec_id FROM k WHERE key IN (SELECT key FROM m)",
-    "normalisers": f"WITH {_V} SELECT vec_id, coalesce(round((a - lo) / nullif(hi - lo, 0), 6), 0) AS unit, coalesce(round(greatest(least((a - p1) / nullif(p99 - p1, 0), 1), 0), 6), 0) AS clipped FROM v JOIN (SELECT label AS l, min(a) AS lo, max(a) AS hi, @PCT(a, 0.01) AS p1, @PCT(a, 0.99) AS p99 FROM v GROUP BY label) s ON label = l",
-    "intrinsics_scale": "SELECT p_partkey, CASE WHEN p_size >= 10 THEN round(p_retailprice * p_size / 10, 4) END AS fx, CASE WHEN p_size < 10 THEN 'refused' ELSE 'scaled' END AS state FROM {part}",
     # sets
-    "key_set_equality": "SELECT coalesce(c_custkey, o_custkey) AS key, CASE WHEN o_custkey IS NULL THEN 'left' ELSE 'right' END AS side FROM {customer} FULL JOIN (SELECT DISTINCT o_custkey FROM {orders}) o ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_custkey IS NULL",
     "index_union": "SELECT user_id AS key FROM {events} UNION SELECT o_custkey FROM {orders} UNION SELECT c_custkey FROM {customer}",
 }

@@ -13,24 +13,10 @@ PLANS = {
     "tail_limit": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM {events}) x WHERE k <= 3",
     "bounded_rows": """SELECT user_id, count_if(k <= 5) AS shown, count_if(k > 5) AS omitted FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {events}) x GROUP BY user_id""",
     "trailing_prune": "SELECT user_id, event_id FROM (SELECT user_id, event_id, max(event_id) OVER (PARTITION BY user_id) AS newest FROM {events}) x WHERE event_id > newest - 500",
-    "best_n_per_segment": "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value * greatest(value / 500, 0.05) DESC, event_id) AS k FROM {events}) x WHERE k <= 2",
-    "topk_per_cell": """SELECT cx, cy, vec_id FROM (SELECT cx, cy, vec_id, row_number() OVER (PARTITION BY cx, cy ORDER BY response DESC, vec_id) AS k FROM (SELECT vec_id, floor(@AT(1) * 4) AS cx, floor(@AT(2) * 4) AS cy, @AT(3) AS response FROM {embeddings}) y) x WHERE k <= 3""",
-    "streak_confirm": """WITH e AS (SELECT user_id, event_id, event_type = 'view' AS hit, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM {events}),
-        r AS (SELECT user_id, event_id, i - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM e WHERE hit)
-        SELECT user_id, min(event_id) AS started, count(*) AS streak FROM r GROUP BY user_id, run HAVING count(*) >= 3""",
-    "step_lag": """SELECT u.user_id, x.lag_rows FROM (SELECT DISTINCT user_id FROM {events}) u LEFT JOIN
-        (SELECT user_id, min(i) AS lag_rows FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM {events}) y WHERE value >= 0.632 * 500 GROUP BY user_id) x ON u.user_id = x.user_id""",
-    "ranked_truth_pairing": """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM {orders}),
-        t AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {events}) SELECT o_custkey, o_orderkey, event_id FROM o JOIN t ON o_custkey = user_id AND o.k = t.k""",
-    "area_weighted_mean": "SELECT l_partkey, round(CAST(sum(l_extendedprice * l_quantity) AS DOUBLE) / nullif(CAST(sum(l_quantity) AS DOUBLE), 0), 4) AS mean_value FROM {lineitem} GROUP BY l_partkey",
-    "boundary_edges": """WITH f AS (SELECT l_orderkey, l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM {lineitem})
-        SELECT least(a, b) AS v0, greatest(a, b) AS v1 FROM f WHERE b IS NOT NULL AND a <> b GROUP BY least(a, b), greatest(a, b) HAVING count(*) = 1""",
-    "weld_vertices": "SELECT vec_id, min(vec_id) OVER (PARTITION BY floor(@AT(1) * 10 + 0.5), floor(@AT(2) * 10 + 0.5), floor(@AT(3) * 10 + 0.5)) AS welded FROM {embeddings}",
     "token_jaccard": f"{_PAIR} SELECT conv_id, turn, role, round(CAST(shared AS DOUBLE) / nullif(na + nb - shared, 0), 6) AS jaccard FROM n",
     "containment": f"{_PAIR} SELECT conv_id, turn, role, round(CAST(shared AS DOUBLE) / nullif(least(na, nb), 0), 6) AS contained FROM n",
     "ocr_fold": """WITH w AS (SELECT DISTINCT @UNNEST(@TOKENS(text)) AS token FROM {benchmark}), m AS (SELECT token, replace(replace(replace(token, 'rn', 'm'), 'vv', 'w'), 'ii', 'u') AS f FROM w)
         SELECT token, CASE WHEN upper(f) <> f THEN replace(replace(f, '0', 'o'), '1', 'l') ELSE f END AS folded FROM m""",
     "within_one_edit": """SELECT token, before, levenshtein(token, before) <= 1 AS near FROM (SELECT token, lag(token) OVER (PARTITION BY substr(token, 1, 1) ORDER BY token) AS before FROM
         (SELECT DISTINCT @UNNEST(@TOKENS(text)) AS token FROM {benchmark}) w) x WHERE before IS NOT NULL""",
-    "clip_text": "SELECT item_id, CASE WHEN length(text) > 160 THEN concat(substr(text, 1, 159), '…') ELSE text END AS clipped FROM {benchmark}",
 }

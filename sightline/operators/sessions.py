@@ -14,11 +14,6 @@ PLANS = {
         SELECT f.user_id, f.event_type, f.session, frame_count, best_score, event_id AS best_seq, best.t_us AS best_at, last_at - first_at AS duration FROM f JOIN best
         ON f.user_id = best.user_id AND f.event_type = best.event_type AND f.session = best.session AND k = 1""",
     "mature_sightings": f"{_ISLANDS} SELECT user_id, event_type, session, frame_count FROM f WHERE frame_count >= 3",
-    "sighting_gate": f"""{_ISLANDS} SELECT user_id, event_type, session, CASE WHEN event_type = 'error' THEN 'excluded' WHEN event_type = 'click' THEN 'context-only'
-        WHEN best_score < 0.02 THEN 'below-min-score' WHEN frame_count < 3 THEN 'too-brief' WHEN event_type = 'view' THEN 'unverified' ELSE 'record' END AS verdict FROM f""",
-    "last_seen_by_label": f"""WITH {_EV}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t_us DESC, event_id) AS k FROM ev) SELECT event_type, event_id, user_id, t_us AS seen_at FROM r WHERE k = 1""",
-    "part_of_suppression": f"""{_ISLANDS} SELECT p.user_id, p.session, p.first_at FROM f p WHERE p.event_type = 'click' AND NOT EXISTS
-        (SELECT 1 FROM f w WHERE w.user_id = p.user_id AND w.event_type = 'view' AND w.first_at <= p.last_at AND w.last_at >= p.first_at)""",
     "seq_gap_total": """SELECT l_orderkey, CAST(sum(greatest(gap, 0)) AS BIGINT) AS seq_gap_total FROM (SELECT l_orderkey, l_partkey - lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS gap FROM {lineitem}) x GROUP BY l_orderkey""",
     "tx_gap_total": """WITH t AS (SELECT user_id, event_id, CASE WHEN event_type <> 'error' THEN event_id END AS tx FROM {events}),
         g AS (SELECT user_id, tx, tx - lag(tx) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS gap FROM t WHERE tx IS NOT NULL)
@@ -26,22 +21,8 @@ PLANS = {
     "upstream_rate": """WITH e AS (SELECT user_id, count(*) AS n, min_by(event_id, event_id) AS a, max_by(event_id, event_id) AS b, min(@MICROS(ts)) AS t0, max(@MICROS(ts)) AS t1 FROM {events} GROUP BY user_id)
         SELECT user_id, CASE WHEN n >= 2 AND b > a THEN round((b - a) / (n - 1), 6) END AS stride, CASE WHEN n >= 2 AND b > a AND t1 > t0 THEN round((b - a) / ((t1 - t0) / 1000000), 6) END AS fps FROM e""",
     "rolling_median_ratio": """SELECT event_id, round(value / nullif(med, 0), 6) AS ratio FROM (SELECT event_id, value, @PCT(value, 0.5) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS med FROM {events}) x""",
-    "local_std": """SELECT event_id, round(stddev_pop(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS std5 FROM {events}""",
-    "flicker_metrics": """SELECT user_id, round(avg(d), 6) AS mean_abs, round(max(d), 6) AS max_abs FROM (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) AS d FROM {events}) x GROUP BY user_id""",
     "vote_2_of_3": """SELECT event_id, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2 AS BOOLEAN) AS agreed FROM {events}""",
-    "forward_only_duration": f"""WITH {_EV} SELECT user_id, CAST(sum(greatest(step, 0)) AS BIGINT) AS forward FROM (SELECT user_id, t_us - lag(t_us) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM ev) x GROUP BY user_id""",
-    "seq_renumber": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM {events}",
     "corpus_scan_limit": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {events}) x WHERE k <= 5",
-    "bounded_frame_sink": """SELECT l_orderkey, l_linenumber, total FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM {lineitem}) x WHERE total <= 60""",
-    "dense_gap_check": """SELECT user_id, count_if(gap > 1) AS holes, max(gap) AS widest FROM (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM {events}) x GROUP BY user_id""",
-    "resume_grace": f"""WITH {_EV} SELECT event_id, CASE WHEN gap IS NULL THEN 'first' WHEN gap > CAST(90000000 AS BIGINT) THEN 'new' ELSE 'resumed' END AS state FROM (SELECT event_id, t_us - lag(t_us) OVER (PARTITION BY user_id ORDER BY t_us, event_id) AS gap FROM ev) x""",
-    "capture_lineage": """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM {orders}),
-        heads AS (SELECT o_custkey, min_by(o_orderkey, k) AS root FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM {orders}) y GROUP BY o_custkey),
-        walk(o_custkey, node, depth) AS (SELECT o_custkey, root, 0 FROM heads UNION ALL SELECT w.o_custkey, o.nxt, depth + 1 FROM walk w JOIN o ON w.node = o.o_orderkey WHERE o.nxt IS NOT NULL)
-        SELECT o_custkey, count(*) AS members, max(depth) AS last_depth FROM walk GROUP BY o_custkey""",
-    "path_length": """SELECT label, round(sum(sqrt(dx * dx + dy * dy + dz * dz)), 4) AS length FROM (SELECT label, @AT(1) - lag(@AT(1)) OVER w AS dx, @AT(2) - lag(@AT(2)) OVER w AS dy, @AT(3) - lag(@AT(3)) OVER w AS dz FROM {embeddings} WINDOW w AS (PARTITION BY label ORDER BY vec_id)) x GROUP BY label""",
-    "around_time": """WITH e AS (SELECT user_id, event_id, abs(@MICROS(ts) - CAST(1704153600000000 AS BIGINT)) AS away FROM {events}), m AS (SELECT user_id, min(away) AS nearest FROM e GROUP BY user_id) SELECT user_id, nearest FROM m WHERE nearest <= CAST(7200000000 AS BIGINT)""",
     "newest_wins": "SELECT event_type, max_by(event_id, event_id) AS newest, count(*) - 1 AS coalesced FROM {events} GROUP BY event_type",
     "change_feed": """SELECT event_id, event_type FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM {events}) x WHERE before IS NULL OR before <> event_type""",
-    "stall_detector": f"""WITH {_EV} SELECT user_id, count_if(gap > CAST(86400000000 AS BIGINT)) AS stalls FROM (SELECT user_id, t_us - lag(t_us) OVER (PARTITION BY user_id ORDER BY t_us, event_id) AS gap FROM ev) x GROUP BY user_id""",
 }

@@ -7,15 +7,7 @@ s AS (SELECT item_id, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
       FROM q JOIN tf ON q.token = tf.token JOIN df ON df.token = q.token JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN av GROUP BY item_id, tf.doc_id)"""
 
 PLANS = {
-    "tokenise_counts": "SELECT doc_id, CAST(@SIZE(@TOKENS(text)) AS BIGINT) AS n FROM {documents}",
-    "page_frequency": f"WITH {_TOK} SELECT token, count(*) AS pages FROM tf GROUP BY token",
-    "corpus_stats": f"WITH {_TOK}, {_STATS} SELECT n, round(av, 6) AS average_length FROM av",
-    "bm25_search": f"{_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM s) SELECT item_id, doc_id, round(score, 4) AS score, matched FROM r WHERE k <= 10",
-    "best_page_per_document": f"{_BM25} SELECT doc_id, max(round(score, 4)) AS best FROM s GROUP BY doc_id",
-    "word_recall": f"WITH {_TOK}, {_Q}, h AS (SELECT item_id, doc_id, count(*) AS hit FROM q JOIN tf ON q.token = tf.token GROUP BY item_id, doc_id), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id) SELECT h.item_id, max(round(hit / n, 6)) AS recall FROM h JOIN n ON h.item_id = n.item_id GROUP BY h.item_id",
-    "fuzzy_expand": f"WITH {_TOK}, v AS (SELECT DISTINCT token FROM tf WHERE length(token) BETWEEN 4 AND 7), q AS (SELECT * FROM (VALUES ('there'), ('thing'), ('shred')) x(term)) SELECT term, token, CASE WHEN term = token THEN 1.0 ELSE 0.6 END + 0.0 AS weight FROM q JOIN v ON term = token OR token LIKE term || '%' OR levenshtein(term, token) <= 1",
     "recent_documents": "SELECT doc_id, source FROM {documents} ORDER BY doc_id DESC LIMIT 10",
-    "document_list_view": "SELECT doc_id, lang, source, n_chars, text IS NOT NULL AND length(text) > 0 AS readable FROM {documents}",
     "exact_identity": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM {documents} GROUP BY md5(coalesce(text, ''))",
     "dialogue_turns": "SELECT conv_id, count(*) AS turns, max_by(role, turn) AS last_role FROM {conversations} GROUP BY conv_id",
 }

@@ -6,20 +6,24 @@ import json
 from sightline.functions.assignment import associate
 
 
-def multi_object_tracker(latch: int = 3, patience: int = 5, least: float = 0.25):
-    """boxes: JSON list of [label, x0, y0, x1, y1] (null: none). Out: track_id, label, hits, misses, latched, event per track and frame.
+def multi_object_tracker(latch: int = 3, counted: int = 6, patience: int = 12, least: float = 0.25):
+    """boxes: JSON list of objects label, x0, y0, x1, y1, facing (null: none). Out: a row a track and frame.
 
-    A track is counted (latched) from latch hits in a row on, and expires after more than patience misses in a row.
+    A track is confirmed from `latch` hits in a row on, counted while it is and misses at most `counted` in a row, and
+    expires after more than `patience` of them. What it faces is the last estimate, forgotten when it comes back after a miss.
     """
 
     def step(state, row):
         state = state or {"next": 0, "tracks": []}
-        boxes = json.loads(row["boxes"] or "[]")
-        pairs, out, kept = associate([t["box"] for t in state["tracks"]], boxes, least), [], []
+        found = [[b["label"], b["x0"], b["y0"], b["x1"], b["y1"]] for b in json.loads(row["boxes"] or "[]")]
+        facing = [b.get("facing") for b in json.loads(row["boxes"] or "[]")]
+        pairs, out, kept = associate([t["box"] for t in state["tracks"]], found, least), [], []
         for i, t in enumerate(state["tracks"]):
             if i in pairs:
-                t |= {"box": boxes[pairs[i]], "hits": t["hits"] + 1, "streak": t["streak"] + 1, "misses": 0}
-                t["latched"] = t["latched"] or t["streak"] >= latch
+                old = t["facing"] if t["misses"] == 0 else None
+                new = facing[pairs[i]]
+                t |= {"box": found[pairs[i]], "hits": t["hits"] + 1, "streak": t["streak"] + 1, "misses": 0, "facing": old if new is None else new}
+                t["confirmed"] = t["confirmed"] or t["streak"] >= latch
                 event = "seen"
             else:
                 t |= {"streak": 0, "misses": t["misses"] + 1}
@@ -27,18 +31,18 @@ def multi_object_tracker(latch: int = 3, patience: int = 5, least: float = 0.25)
             if event != "expired":
                 kept.append(t)
             out.append((t, event))
-        for j in sorted(set(range(len(boxes))) - set(pairs.values())):
-            t = {"id": state["next"], "box": boxes[j], "hits": 1, "streak": 1, "misses": 0, "latched": latch <= 1}
+        for j in sorted(set(range(len(found))) - set(pairs.values())):
+            t = {"id": state["next"], "box": found[j], "hits": 1, "streak": 1, "misses": 0, "confirmed": latch <= 1, "facing": facing[j]}
             state["next"] += 1
             kept.append(t)
             out.append((t, "born"))
         state["tracks"] = kept
-        return state, [{"at": row["at"], "track_id": t["id"], "label": t["box"][0], "hits": t["hits"], "misses": t["misses"], "latched": t["latched"], "event": e} for t, e in out]
+        return state, [{"at": row["at"], "track_id": t["id"], "label": t["box"][0], "hits": t["hits"], "misses": t["misses"], "confirmed": t["confirmed"], "counted": t["confirmed"] and t["misses"] <= counted, "facing": t["facing"], "event": e} for t, e in out]
 
     return step
 
 
-TRACKS = "at double, track_id long, label string, hits long, misses long, latched boolean, event string"
+TRACKS = "at double, track_id long, label string, hits long, misses long, confirmed boolean, counted boolean, facing string, event string"
 
 
 def dwell_tracker(gap: float = 5.0, moved: float = 0.18, missing: float = 1.5, misses: int = 60, longest: float = 180.0, least_frames: int = 4, least_s: float = 1.0):
@@ -91,35 +95,6 @@ def frame_gate(cadence: float = 0.25, carry: float = 1.5):
     return step
 
 
-def keyframe_selector(blur: float = 0.25, floor: float = 0.35, interval: float = 0.2, grace: int = 3):
-    """Row: at, sharp (ratio), overlap (share of tracks that survive). Out: at, decision, segment.
-
-    The first sharp frame is a seed; grace frames in a row below the floor lose tracking and open a segment.
-    """
-
-    def step(s, row):
-        s = s or {"last": None, "low": 0, "segment": 0}
-        sharp, overlap = row["sharp"] or 0.0, row["overlap"] or 0.0
-        if sharp < blur:
-            verdict = "reject"
-        elif s["last"] is None:
-            verdict = "accept"
-        elif overlap < floor:
-            s["low"] += 1
-            verdict = "lost" if s["low"] >= grace else "skip"
-        else:
-            s["low"] = 0
-            verdict = "accept" if row["at"] - s["last"] >= interval else "skip"
-        if verdict == "accept":
-            s["last"] = row["at"]
-        out = [{"at": row["at"], "decision": verdict, "segment": s["segment"]}]
-        if verdict == "lost":
-            s |= {"last": None, "low": 0, "segment": s["segment"] + 1}
-        return s, out
-
-    return step
-
-
 def keyframe_gates(blur: float = 0.25, lost: float = 0.2, grace: int = 3, degraded: float = 0.4, gap: int = 3, floor: float = 0.75, least: float = 0.02, target: float = 0.05):
     """Row: seq, sharp (ratio), survival, moved (displacement over the diagonal, null: no evidence), overlap. Out: seq, decision, segment.
 
