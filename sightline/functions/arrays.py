@@ -33,26 +33,3 @@ def perceptual_hash(pixels: pd.Series) -> pd.Series:
         return f"{int(''.join('1' if t else '0' for t in terms > np.median(terms)), 2):016x}"
 
     return pixels.map(one)
-
-
-def robust_affine_fit(x: np.ndarray, y: np.ndarray, rounds: int = 12) -> tuple[float, float, float] | None:
-    """(slope, offset, median relative residual of the odd rows) of y on x, fitted on the even rows with Huber weights; None with under 2 of them."""
-    a, b = x[::2], y[::2]
-    if len(a) < 2:
-        return None
-    weight, fit = np.ones(len(a)), np.zeros(2)
-    design = np.c_[a, np.ones(len(a))]
-    for _ in range(rounds):
-        root = np.sqrt(weight)[:, None]
-        fit = np.linalg.lstsq(design * root, b * root[:, 0], rcond=None)[0]
-        away = np.abs(b - design @ fit)
-        scale = 1.345 * 1.4826 * np.median(np.abs(away - np.median(away))) + 1e-12
-        weight = np.minimum(1, scale / np.maximum(away, 1e-12))
-    held = np.abs(y[1::2] - (fit[0] * x[1::2] + fit[1])) / np.maximum(np.abs(y[1::2]), 1e-12)
-    return float(fit[0]), float(fit[1]), float(np.median(held)) if len(held) else float("nan")
-
-
-def rotation_mean(total: np.ndarray) -> np.ndarray:
-    """The rotation nearest to a sum of rotation matrices; the sum itself is nine built-in aggregates."""
-    u, _, v = np.linalg.svd(total)
-    return u @ np.diag([1, 1, np.sign(np.linalg.det(u @ v))]) @ v

@@ -379,12 +379,12 @@ def exposure_solve(votes: DataFrame, rounds: int = 20, huber: float = 0.1) -> Da
     """votes (scene, a, b, ratio: log brightness of frame b over frame a at a shared point) -> scene, frame, gain.
 
     Gains in logarithms by least squares with Huber weights, pulled to a mean of 0 in a scene: each round moves a frame
-    to the weighted mean of what its partners say. Point votes are folded to a mean and count for each pair of frames first.
+    to the weighted mean of what its partners say. Point votes are folded to a median and count for each pair of frames first.
     """
     import numpy as np
     import pandas as pd
 
-    pairs = votes.where(F.col("ratio").isNotNull() & ~F.isnan("ratio")).groupBy("scene", "a", "b").agg(F.avg("ratio").alias("ratio"), F.count("*").alias("n"))
+    pairs = votes.where(F.col("ratio").isNotNull() & ~F.isnan("ratio")).groupBy("scene", "a", "b").agg(F.median("ratio").alias("ratio"), F.count("*").alias("n"))
 
     def solve(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["a", "b"])

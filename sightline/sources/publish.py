@@ -21,11 +21,12 @@ def _fs(spark: SparkSession, path: str):
 
 def atomic_publish(spark: SparkSession, path: str, payload, patience: float = 2.0, sleep: Callable = time.sleep) -> None:
     """JSON to a path on any Hadoop file system: written beside it, then renamed over it; the rename is tried again for `patience` seconds."""
+    body = bytearray(json.dumps(payload, sort_keys=True, allow_nan=False).encode())
     jvm = spark._jvm
     fs, target = _fs(spark, path)
     staged = jvm.org.apache.hadoop.fs.Path(f"{path}.p{os.getpid()}.{uuid.uuid4().hex}.tmp")
     out = fs.create(staged, True)
-    out.write(bytearray(json.dumps(payload, sort_keys=True, allow_nan=False).encode()))
+    out.write(body)
     out.hsync()
     out.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()) if target.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())

@@ -3,10 +3,9 @@ import json
 import random
 import struct
 
-import numpy as np
 import pytest
 
-from sightline.functions.arrays import observation_id, perceptual_hash, robust_affine_fit, rotation_mean
+from sightline.functions.arrays import observation_id, perceptual_hash
 from sightline.functions.assignment import assign, associate
 from sightline.sources.store import observation_sink_guarded, prune, read_points, tightest_retention, upsert_monotonic
 from sightline.streaming import folds
@@ -39,9 +38,9 @@ def test_labels_must_agree():
 
 
 def test_tracker_latches_and_expires():
-    box = '[["cup", 0, 0, 2, 2]]'
+    box = '[{"label": "cup", "x0": 0, "y0": 0, "x1": 2, "y1": 2, "facing": null}]'
     out = play(folds.multi_object_tracker(patience=1), [{"at": float(i), "boxes": b} for i, b in enumerate([box, box, box, None, box, "[]", None, box])])
-    assert [(r["event"], r["track_id"], r["latched"]) for r in out] == [("born", 0, False), ("seen", 0, False), ("seen", 0, True), ("missed", 0, True), ("seen", 0, True), ("missed", 0, True), ("expired", 0, True), ("born", 1, False)]
+    assert [(r["event"], r["track_id"], r["confirmed"]) for r in out] == [("born", 0, False), ("seen", 0, False), ("seen", 0, True), ("missed", 0, True), ("seen", 0, True), ("missed", 0, True), ("expired", 0, True), ("born", 1, False)]
 
 
 def test_dwell_ends():
@@ -52,8 +51,11 @@ def test_dwell_ends():
 
 def test_small_folds():
     assert [r["found"] for r in play(folds.frame_gate(), [{"at": 0.0, "found": True}, {"at": 0.1, "found": False}, {"at": 1.4, "found": None}, {"at": 1.7, "found": None}])] == [True, True, True, None]
-    frames = [{"at": t, "sharp": s, "overlap": o} for t, s, o in [(0, 0.1, 1), (1, 1, 1), (1.1, 1, 1), (2, 1, 1), (3, 1, 0), (4, 1, 0), (5, 1, 0), (6, 1, 0)]]
-    assert [(r["decision"], r["segment"]) for r in play(folds.keyframe_selector(), frames)] == [("reject", 0), ("accept", 0), ("skip", 0), ("accept", 0), ("skip", 0), ("skip", 0), ("lost", 0), ("accept", 1)]
+    frames = [{"seq": i, "sharp": s, "survival": v, "moved": m, "overlap": o} for i, (s, v, m, o) in enumerate([(0.1, 1, 0.1, 1), (1, 1, 0.1, 1), (1, 1, 0.1, 1), (1, 0.3, 0.1, 1), (1, 1, None, 1), (1, 1, 0.05, 1), (1, 0.1, 0, 1), (1, 0.1, 0, 1), (0.1, 1, 0, 1), (1, 0.1, 0, 1), (1, 0.1, 0, 1)])]
+    assert [(r["decision"], r["segment"]) for r in play(folds.keyframe_gates(), frames)] == [
+        ("reject:blurred", 0), ("accept:session_seed", 0), ("skip:rate_limited", 0), ("reject:tracking_degraded", 0), ("skip:no_motion_evidence", 0), ("accept:parallax", 0),
+        ("reject:tracking_held", 0), ("reject:tracking_held", 0), ("reject:blurred", 0), ("lost:tracking_lost", 0), ("accept:session_seed", 1),
+    ]
     runs = [{"kind": "sample", "metric": "a", "value": v} for v in (1.0, 3.0, None)] + [{"kind": "stop", "metric": None, "value": None}, {"kind": "sample", "metric": "a", "value": 9.0}]
     assert play(folds.lab_run(), runs) == [{"metric": "a", "n": 2, "total": 4.0, "lowest": 1.0, "highest": 3.0}]
     assert play(folds.bounded_queue(2), [{"kind": "offer", "item": str(i)} for i in range(3)] + [{"kind": "take", "item": None}] * 3) == [{"item": "1", "dropped": 1}, {"item": "2", "dropped": 1}, {"item": None, "dropped": 1}]
@@ -68,7 +70,7 @@ def test_small_folds():
 
 def test_stream_equals_table(spark, tmp_path):
     rng = random.Random(3)
-    box = lambda: [["cup", x := rng.random(), 0.0, x + 1, 1.0]] if rng.random() < 0.7 else []
+    box = lambda: [{"label": "cup", "x0": (x := rng.random()), "y0": 0.0, "x1": x + 1, "y1": 1.0, "facing": None}] if rng.random() < 0.7 else []
     rows = [(k, float(t), json.dumps(box())) for k in "ab" for t in range(40)]
     src, step, schema = f"{tmp_path}/src", folds.multi_object_tracker(), "capture string, " + folds.TRACKS
     df = spark.createDataFrame(rows, "capture string, at double, boxes string")
@@ -106,9 +108,33 @@ def test_arrays(spark):
     flat, ramp = [1.0] * 1024, [float(i % 32) for i in range(1024)]
     got = spark.createDataFrame([("s", 1, "cup", ramp), ("s", 2, None, flat[:5])], "s string, f long, c string, p array<double>").select(observation_id("s", "f", "c").alias("i"), perceptual_hash("p").alias("h")).collect()
     assert len(got[0].i) == len(got[0].h) == 16 and got[1].i is None and got[1].h is None
-    x = np.linspace(0, 9, 80)
-    y = 3 * x + 2
-    y[::10] += 50
-    slope, offset, _ = robust_affine_fit(x, y)
-    assert abs(slope - 3) < 0.1 and abs(offset - 2) < 0.5
-    assert np.allclose(rotation_mean(np.eye(3) * 4), np.eye(3))
+
+
+def test_tracker_forgets_what_a_lost_track_faced():
+    b = lambda f: json.dumps([{"label": "p", "x0": 0, "y0": 0, "x1": 2, "y1": 2, "facing": f}])
+    out = play(folds.multi_object_tracker(), [{"at": float(i), "boxes": x} for i, x in enumerate([b("toward"), b(None), None, b(None), b("away")])])
+    assert [(r["event"], r["facing"]) for r in out] == [("born", "toward"), ("seen", "toward"), ("missed", "toward"), ("seen", None), ("seen", "away")]
+    out = play(folds.multi_object_tracker(), [{"at": float(i), "boxes": x} for i, x in enumerate([b(None)] * 3 + [None] * 13)])
+    assert [r["counted"] for r in out] == [False, False] + [True] * 7 + [False] * 7 and out[-1]["event"] == "expired" and out[-2]["event"] == "missed"
+
+
+def test_sightings_speak_early_and_close():
+    at = lambda t, s: {"at": t, "score": s}
+    out = play(folds.sighting_updates(), [at(0.0, 0.6), at(0.1, 0.9), at(0.2, 0.9), at(0.3, 0.9), at(1.0, 0.95), at(4.0, 0.5), at(7.0, None), at(10.0, 0.1), at(12.0, 0.1), at(15.1, 0.1), at(20.0, 0.2)])
+    assert [(r["kind"], r["frames"], r["best"]) for r in out] == [("record", 3, 0.9), ("update", 5, 0.95), ("update", 9, 0.95), ("close", 9, 0.95)]
+
+
+def test_slots_count_what_they_replace():
+    r = lambda t, w, v=None: {"at": t, "what": w, "revision": v}
+    out = play(folds.publish_slot(), [r(0, "take"), r(1, "offer", "a"), r(1, "offer", "a"), r(2, "offer", "b"), r(2, "offer", "c"), r(3, "take"), r(3.5, "offer", "c"), r(4, "take"), r(5, "take")])
+    assert [(x["at"], x["kind"], x["revision"], x["coalesced"]) for x in out] == [(3, "change", "c", 2), (5, "heartbeat", "c", 0)]
+
+
+def test_segments_by_breaks_and_pages():
+    r = lambda i, lost=False, broken=False, key=False: {"seq": i, "lost": lost, "broken": broken, "keyframe": key}
+    rows = [r(0, key=True), r(1, broken=True, key=True), r(2, key=True), r(3, lost=True), r(4, lost=True), r(5, lost=True), r(6, key=True), r(7, lost=True)]
+    assert [x["segment"] for x in play(folds.segment_index(), rows)] == [0, 0, 1, 2, 3, 3, 3, 4]
+    pages = [1, 1, 0.1, 0.1, 1, 0.1, 0.1, 0.1, 1, None]
+    assert [(x["segment"], x["first_seq"], x["frames"]) for x in play(folds.content_segments(), [{"seq": i, "alike": a} for i, a in enumerate(pages)])] == [(0, 0, 5), (1, 5, 5)]
+    many = [x for _ in range(9) for x in (1, 0.1, 0.1, 0.1)]
+    assert len(play(folds.content_segments(), [{"seq": i, "alike": a} for i, a in enumerate(many)])) == 6
