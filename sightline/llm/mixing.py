@@ -85,13 +85,13 @@ def document_sizes(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     return docs.select(id_col, "source", word_count(text).alias("size"))
 
 
-def mixed_documents(docs: DataFrame, max_epochs: int = 3) -> DataFrame:
+def mixed_documents(docs: DataFrame, max_epochs: int = 3, space: Workspace | None = None) -> DataFrame:
     """docs with each row repeated as often as the mix takes it, whole documents only.
 
     Decisions are made on (id, source, size); the texts themselves move only in the join by id, whose
     keys are even. Rows with equal ids and different texts are told apart by source and size.
     """
-    space = Workspace(docs.sparkSession, "mix")
+    space = space or Workspace(docs.sparkSession, "mix")
     sizes = space.keep(document_sizes(docs))
     taken = mix(sizes, max_epochs=max_epochs, whole=True)
     times = taken.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_same"))

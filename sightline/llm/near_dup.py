@@ -254,10 +254,13 @@ def _confirm(share: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, share: int = 80) -> DataFrame:
-    """One row a document: id, n_shingles, component_id, kept. Links: 100 * intersection >= share * union of k-word shingles."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, share: int = 80, space: Workspace | None = None) -> DataFrame:
+    """One row a document: id, n_shingles, component_id, kept. Links: 100 * intersection >= share * union of k-word shingles.
+
+    space: where tables are written; its caller clears it when the result was used.
+    """
     spark = docs.sparkSession
-    space = Workspace(spark, "near")
+    space = space or Workspace(spark, "near")
     limit = share / 100 - SLACK
     n, trees = shuffle_partitions(spark), trees_for(share)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
@@ -291,6 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         asked = asked.unionByName(found)
         todo = space.keep(found.mapInArrow(_unpack("a", "b"), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
         turn += 1
+    space.drop_but(signed, nodes, labels)  # the rounds' tables
     least = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
     smallest = least.groupBy("label").agg(F.min("least").alias("component"))
     final = least.join(smallest, "label").select(F.col("node").alias("_node"), "component")

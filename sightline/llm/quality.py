@@ -180,9 +180,12 @@ def quality_table(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta:
     return judged(measured, found, F.col("lang"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The documents that pass, all columns unchanged. Texts are measured once, written with their measures and never shuffled."""
-    space = Workspace(docs.sparkSession, "quality")
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, space: Workspace | None = None) -> DataFrame:
+    """The documents that pass, all columns unchanged. Texts are measured once, written with their measures and never shuffled.
+
+    space: where; its caller clears it when the result was used.
+    """
+    space = space or Workspace(docs.sparkSession, "quality")
     names = [f"_c{i}" for i in range(len(docs.columns))]  # own columns may have the measures' names
     inner = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names)))
     text, lang, ids = (names[docs.columns.index(c)] for c in ("text", "lang", "doc_id"))

@@ -50,8 +50,22 @@ class Workspace:
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._kept_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._kept_path)
+
+    def drop_but(self, *frames: DataFrame) -> None:
+        """All tables so far but these."""
+        stay = {df._kept_path for df in frames}
+        for n in range(1, self.n + 1):
+            if f"{self.root}/{n}" not in stay:
+                self._delete(f"{self.root}/{n}")
+
+    def clear(self) -> None:
+        """All tables; frames that read them are used no more."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
