@@ -16,29 +16,46 @@ from sightline.llm.queries import vocabulary
 from sightline.llm.repeats import strip_repeats
 from sightline.llm.workspace import Workspace, table
 
+_left: dict[str, Workspace] = {}
+
+
+def _space(spark: SparkSession, sf_dir: str, name: str) -> Workspace:
+    """A stage's tables; those of the stage before go, as its rows are written by now."""
+    before = _left.pop(sf_dir, None)
+    if before is not None:
+        before.clear()
+    _left[sf_dir] = Workspace(spark, f"pipeline-{name}")
+    return _left[sf_dir]
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents that the base rules or a certified cutoff reject go. Null and empty texts have under 20 words, so they go; a null
+    language is a stratum of its own; without labels only the base rules reject."""
+    return keep_good(docs, table(spark, sf_dir, "labels"), space=_space(spark, sf_dir, "quality"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document of smallest id stays; rows without an id stay. Shingles of five words, similarity 0.8."""
-    gone = Workspace(spark, "pipeline-near").keep(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    space = _space(spark, sf_dir, "near")
+    gone = space.keep(near_duplicates(docs, space=space).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text where words went. Rows without text or words stay as they are."""
+    _space(spark, sf_dir, "substrings")
     out = strip_repeats(docs)
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, whole; those it doesn't take go."""
-    return mixed_documents(docs)
+    return mixed_documents(docs, space=_space(spark, sf_dir, "mixing"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids instead of text, with their number and digests. Null texts are empty: no ids."""
+    _space(spark, sf_dir, "encode")
     return encode_documents(docs, *vocabulary(), keep_machine=False)
 
 
