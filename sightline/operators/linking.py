@@ -348,7 +348,7 @@ OPS = {
     ),
     "trajectory_left_join": (
         lambda s, d: trajectory(table(s, d, "orders").selectExpr("o_custkey AS world", "o_totalprice AS pos", "o_orderkey AS id"), table(s, d, "orders").where("o_orderkey % 9 > 0").selectExpr("o_orderkey AS id", "element_at(array('solved', 'anchor', 'refused'), CAST(o_orderkey % 3 + 1 AS INT)) AS status", "CAST(o_orderkey AS DOUBLE) AS x", "CASE WHEN o_orderkey % 4 > 0 THEN 1D END AS y", "2D AS z")),
-        "SELECT o_custkey AS world, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS place, o_orderkey AS id, CASE WHEN ok THEN o_orderkey::DOUBLE END AS x, CASE WHEN ok THEN 1.0 END AS y, CASE WHEN ok THEN 2.0 END AS z FROM (SELECT *, o_orderkey % 9 > 0 AND o_orderkey % 3 < 2 AND o_orderkey % 4 > 0 AS ok FROM orders) x",
+        "SELECT o_custkey AS world, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS place, o_orderkey AS id, CASE WHEN ok THEN o_orderkey::DOUBLE END AS x, CASE WHEN ok THEN 1.0::DOUBLE END AS y, CASE WHEN ok THEN 2.0::DOUBLE END AS z FROM (SELECT *, o_orderkey % 9 > 0 AND o_orderkey % 3 < 2 AND o_orderkey % 4 > 0 AS ok FROM orders) x",
     ),
     "point_owner_join": (
         lambda s, d: point_owner(table(s, d, "lineitem").selectExpr("l_partkey AS point", "l_orderkey AS frame"), table(s, d, "orders").selectExpr("o_orderkey AS frame", "o_custkey AS segment", "o_orderkey % 3 AS component", "o_orderkey % 13 = 0 AS posed", "o_orderkey % 101 > 0 AS in_horizon")),
@@ -402,7 +402,7 @@ OPS = {
     ),
     "calibration_lookup": (
         lambda s, d: calibration_lookup(table(s, d, "part").selectExpr("p_partkey AS id", "p_size AS w", "p_size % 7 AS h"), s.range(1, 51).selectExpr("id AS w", "id % 7 AS h", "CAST(CASE WHEN id % 5 = 0 THEN -1 ELSE id * 10 END AS DOUBLE) AS fx", "10D AS fy", "CAST(CASE WHEN id % 8 = 0 THEN 99 ELSE id / 2 END AS DOUBLE) AS cx", "0D AS cy").where("w % 3 > 0")),
-        "SELECT p_partkey AS id, CASE WHEN ok THEN 'known' ELSE 'unknown' END AS state, CASE WHEN ok THEN p_size * 10.0 END AS fx FROM (SELECT *, p_size % 3 > 0 AND p_size % 5 > 0 AND p_size % 8 > 0 AND p_size BETWEEN 1 AND 50 AS ok FROM part) x",
+        "SELECT p_partkey AS id, CASE WHEN ok THEN 'known' ELSE 'unknown' END AS state, CASE WHEN ok THEN p_size * 10.0::DOUBLE END AS fx FROM (SELECT *, p_size % 3 > 0 AND p_size % 5 > 0 AND p_size % 8 > 0 AND p_size BETWEEN 1 AND 50 AS ok FROM part) x",
     ),
     "orphan_segments": (
         lambda s, d: table(s, d, "lineitem").selectExpr("l_suppkey AS segment").distinct().join(table(s, d, "supplier").where("s_nationkey % 3 > 0").selectExpr("s_suppkey AS segment"), "segment", "left_anti"),

@@ -265,7 +265,7 @@ OPS = {
     ),
     "intrinsics_scale": (
         lambda s, d: intrinsics_scale(table(s, d, "part").selectExpr("p_partkey", "640 AS w", "CASE WHEN p_partkey % 9 > 0 THEN 360 ELSE 0 END AS h", "CASE WHEN p_partkey % 5 > 0 THEN 500D END AS fx", "500D AS fy", "320D AS cx", "180D AS cy", "CASE WHEN p_partkey % 2 = 0 THEN 640 ELSE 1280 END AS to_w", "CASE WHEN p_partkey % 2 = 0 THEN 360 ELSE 720 END AS to_h", "p_partkey % 2 = 1 AS allowed")).select("p_partkey", "fx2", "cy2"),
-        "SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 9 > 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 500.0 ELSE 1000.0 END END AS fx2, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 9 > 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 180.0 ELSE 360.0 END END AS cy2 FROM part",
+        "SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 9 > 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 500.0::DOUBLE ELSE 1000.0 END END AS fx2, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 9 > 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 180.0::DOUBLE ELSE 360.0 END END AS cy2 FROM part",
     ),
     "format_distance": (
         lambda s, d: table(s, d, "part").selectExpr("p_partkey", "CASE WHEN p_partkey % 7 > 0 THEN p_partkey / 16 END AS v", "CASE p_partkey % 3 WHEN 0 THEN 'measured' WHEN 1 THEN 'assumed' END AS state").select("p_partkey", format_distance(F.col("v"), F.col("state")).alias("distance")),
