@@ -4,7 +4,7 @@ Every document gets a hash-random key. Within its source the documents are order
 sum of their sizes tells which of them an epoch's budget reaches, and the budget is cut exactly: the
 document at the cut gives only its first words. A budget above the source's size is repeated epochs.
 
-The prefix sums are distributed: keys of a source fall into ranges of about `per_range` documents
+The prefix sums are distributed: keys of a source fall into ranges of some thousand documents
 (keys are random, so ranges are even however large a source is), each range is summed, the range sums
 are added up per source, and only then are rows added up within their range. No task holds a source.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, shuffle_partitions
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -49,13 +49,16 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3, weights: tuple = (1, 2
     return per.select("source", "n_docs", "source_size", "weight", target.alias("target"))
 
 
-def mix(sizes: DataFrame, id_col: str = "doc_id", per_range: int = 50_000, max_epochs: int = 3, max_sources_shipped: int = 20_000, whole: bool = False) -> DataFrame:
+def mix(sizes: DataFrame, id_col: str = "doc_id", per_range: int | None = None, max_epochs: int = 3, max_sources_shipped: int = 20_000, whole: bool = False) -> DataFrame:
     """sizes (id, source, size) with source_size, target, taken.
 
     whole: the document at the cut is taken whole if that comes nearer to the budget than leaving it.
-    sizes is read three times: pass a written table.
+    per_range: documents of a range; by default a quarter of a shuffle partition's share, between 2,000 and 50,000. Ranges spread
+    the work and never change the result. sizes is read four times: pass a written table.
     """
     goals = source_targets(sizes.select("source", "size"), max_epochs)
+    if per_range is None:
+        per_range = min(50_000, max(2_000, sizes.count() // (4 * shuffle_partitions(sizes.sparkSession))))
     few = goals.limit(max_sources_shipped + 1).count() <= max_sources_shipped
     goals = goals.withColumn("_ranges", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / per_range))).withColumnRenamed("source", "_source")
     key = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15)

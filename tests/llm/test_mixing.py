@@ -59,3 +59,12 @@ def test_empty_and_zero(spark, docs):
     zero = mix(document_sizes(docs.where("text is null")))
     assert {(r.target, r.taken) for r in zero.collect()} == {(0.0, 0)}
     assert mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts_and_a_hot_source(spark):
+    """One source holds nearly all rows, one document nearly all words of another; ranges don't change the result."""
+    rows = [(i, "w " * (i % 5 + 1), "hot") for i in range(3000)] + [(9000, "word " * 300_000, "long"), (9001, "a b", "long"), (9002, "x", None)]
+    sizes = document_sizes(spark.createDataFrame(rows, "doc_id long, text string, source string")).cache()
+    got = {r.doc_id: (r.size, r.taken, r.target) for r in mix(sizes).collect()}
+    assert got == {r.doc_id: (r.size, r.taken, r.target) for r in mix(sizes, per_range=37).collect()}
+    assert got[9000][0] == 300_000 and all(0 <= t <= 3 * n for n, t, _ in got.values())

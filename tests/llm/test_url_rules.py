@@ -32,3 +32,13 @@ def test_against_brute_force(spark):
             assert got[i] == brute(u, rules), (most, u, got[i], brute(u, rules))
         assert judge_urls(df.limit(0), rule_rows, max_shipped=most).count() == 0
     assert {r.verdict for r in judge_urls(df, rule_rows.limit(0)).collect()} == {"allow"}
+
+
+def test_very_long_urls_and_many_copies(spark):
+    rules = [("com", "/", "allow"), ("a.com", "/x/", "block")]
+    urls = ["http://" + "w." * 20_000 + "a.com/x/" + "y/" * 100_000 + "?q=" + "z" * 100_000, "http://a.com/" + "x" * 200_000, "h" * 300_000] + ["http://a.com/x/1"] * 500
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    rows = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for most in (50_000, 1):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(df, rows, max_shipped=most).collect()}
+        assert all(got[i] == brute(u, rules) for i, u in enumerate(urls))
