@@ -57,15 +57,34 @@ def corpus_benchmark(rows: DataFrame) -> DataFrame:
     return ranked.join(p95, ranked.capture.eqNullSafe(p95.group), "left").select(ranked.capture, (F.col("whole") == 1).alias("corpus"), "frames", "failed", "mean", F.col("value").alias("p95"))
 
 
+def _blocked(rows: DataFrame, group: Column, order: str, blocks: int = 64) -> DataFrame:
+    """rows with _group and _block: ranges of `order` within each group, about even, by approximate bounds; a value lies in one block only."""
+    bounds = rows.groupBy(group.alias("_g")).agg(F.percentile_approx(order, F.array(*(F.lit(i / blocks) for i in range(1, blocks))), 10_000).alias("_bounds"))
+    tagged = rows.withColumn("_group", group).join(bounds, F.col("_group").eqNullSafe(F.col("_g")))
+    return tagged.withColumn("_block", F.size(F.filter("_bounds", lambda x: x < F.col(order)))).drop("_g", "_bounds")
+
+
+def _ahead(blocked: DataFrame, n: Column) -> DataFrame:
+    """(_g, _b, ahead, own, total): of each block the sum of n in the blocks before, in it and in all of its group."""
+    per = blocked.groupBy("_group", "_block").agg(F.sum(n).alias("own"))
+    w = "PARTITION BY _group ORDER BY _block"
+    return per.selectExpr("_group AS _g", "_block AS _b", "own", f"coalesce(sum(own) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead", "sum(own) OVER (PARTITION BY _group) AS total")
+
+
+def _same(df: DataFrame, per: DataFrame) -> DataFrame:
+    return df.join(per, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b"))).drop("_g", "_b")
+
+
 def percentile_by_rank(counts: DataFrame, group: str, value: str, low: bool, share: float = 0.95) -> DataFrame:
     """counts (group, value, n) -> group, value at rank max(1, floor(share n)) (low) or min(n, floor(share n) + 1) of sorted values.
 
-    A running sum over distinct values, so a hot group costs one row for each of them.
+    Sums of blocks of values tell which one holds the rank; only that block's distinct values are put in order.
     """
-    w = f"PARTITION BY {group} ORDER BY {value}"
-    c = counts.where(F.col(value).isNotNull()).selectExpr(f"{group} AS group", f"{value} AS value", "n", f"sum(n) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto", f"sum(n) OVER (PARTITION BY {group}) AS total")
+    c = _blocked(counts.where(F.col(value).isNotNull()).select(F.col(group).alias("group"), F.col(value).alias("value"), "n"), F.col("group"), "value")
     rank = F.greatest(F.lit(1), F.floor(share * F.col("total"))) if low else F.least(F.col("total"), F.floor(share * F.col("total")) + 1)
-    return c.where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select("group", "value")
+    per = _ahead(c, F.col("n")).withColumn("rank", rank).where((F.col("ahead") < F.col("rank")) & (F.col("rank") <= F.col("ahead") + F.col("own")))
+    c = _same(c, per).withColumn("upto", F.expr("ahead + sum(n) OVER (PARTITION BY group ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+    return c.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select("group", "value")
 
 
 def _p95(low):
@@ -259,13 +278,11 @@ def power_fit(rows: DataFrame) -> DataFrame:
     return f.select("g", "n", "dropped", F.when(enough, F.exp("i")).alias("a"), F.when(enough, F.col("b")).alias("b"), F.when(enough, F.col("r2")).alias("r2"))
 
 
-def ranked(rows: DataFrame, order: str, blocks: int = 64) -> DataFrame:
-    """rows with k, their place from 1 in `order` (a number), and n: counts of ranges add up to what lies before each, so no task holds all rows."""
-    bounds = rows.select(F.percentile_approx(order, F.array(*(F.lit(i / blocks) for i in range(1, blocks))), 10_000).alias("b"))
-    tagged = rows.crossJoin(F.broadcast(bounds)).withColumn("_block", F.size(F.filter("b", lambda x: x < F.col(order)))).drop("b")
-    per = tagged.groupBy("_block").agg(F.count("*").alias("c")).selectExpr("_block AS _b", "coalesce(sum(c) OVER (ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _ahead", "sum(c) OVER () AS n")
-    inside = tagged.withColumn("_k", F.expr(f"row_number() OVER (PARTITION BY _block ORDER BY {order})"))
-    return inside.join(F.broadcast(per), F.col("_block") == F.col("_b")).withColumn("k", F.col("_k") + F.col("_ahead")).drop("_block", "_b", "_k", "_ahead")
+def ranked(rows: DataFrame, order: str) -> DataFrame:
+    """rows with k, their place from 1 in `order` (a number without ties), and n: counts of blocks add up to what lies before each, so no task holds all rows."""
+    b = _blocked(rows, F.lit(0), order)
+    inside = _same(b, _ahead(b, F.lit(1))).withColumn("k", F.expr(f"ahead + row_number() OVER (PARTITION BY _block ORDER BY {order})"))
+    return inside.withColumn("n", F.col("total")).drop("_group", "_block", "own", "ahead", "total")
 
 
 def decile_means(rows: DataFrame) -> DataFrame:
@@ -285,11 +302,12 @@ def growth_verdict(rows: DataFrame, tolerance: float) -> DataFrame:
 def auc_rank(rows: DataFrame) -> DataFrame:
     """rows (positive, score) -> auc by ranks, ties in the middle; scores that aren't finite are dropped; null if there is one class.
 
-    Counts by distinct score and a running sum over them: no task holds all rows.
+    Counts by distinct score, and running sums over blocks of scores: no task holds all rows.
     """
     good = rows.where(~F.isnan("score") & (F.abs("score") < float("inf")))
     by = good.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
-    by = by.withColumn("q_below", F.expr("coalesce(sum(q) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    by = _blocked(by, F.lit(0), "score")
+    by = _same(by, _ahead(by, F.col("q"))).withColumn("q_below", F.expr("ahead + coalesce(sum(q) OVER (PARTITION BY _block ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
     return by.agg(_div(F.sum(F.col("p") * (F.col("q_below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
 
 
