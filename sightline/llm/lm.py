@@ -178,7 +178,7 @@ def _gather(contexts: int, n: int):
                 _, token, context = _tokens(batch, contexts)
                 words, per, u, c = _pairs(token, context)
                 cuts = _cuts(words, per, n)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in cuts], pa.int32()), *(pa.array(v, pa.binary()) for v in zip(*((words[i:j].tobytes(), per[i:j].astype(np.uint32).tobytes(), u[p:q].astype(np.uint16).tobytes(), c[p:q].astype(np.uint32).tobytes()) for _, i, j, p, q in cuts)))], names=["bucket", "words", "per", "contexts", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in cuts], pa.int32()), *(pa.array(v, pa.binary()) for v in zip(*((words[i:j].tobytes(), _narrow(per[i:j]), u[p:q].astype(np.uint16).tobytes(), _narrow(c[p:q])) for _, i, j, p, q in cuts)))], names=["bucket", "words", "per", "contexts", "counts"])
 
     return run
 
@@ -187,6 +187,20 @@ def _cat(table, name, kind):
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest takes, which the first byte tells."""
+    kind = next(k for k in "BHIQ" if int(x.max(initial=0)) <= np.iinfo(k).max)
+    return kind.encode() + x.astype(kind).tobytes()
+
+
+def _widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, chr(data[0]), offset=1).astype(np.int64)
+
+
+def _wide(table, name) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *map(_widened, table.column(name).to_pylist())])
+
+
 STATE = "bucket int, words binary, per binary, contexts binary, counts binary, tables binary, groups binary, roots binary"
 
 
@@ -227,8 +241,8 @@ class Dishes:
 
 def _merge(model: Model):
     def run(table: pa.Table) -> pa.Table:
-        per = _cat(table, "per", np.uint32)
-        w, u, c = np.repeat(_cat(table, "words", U), per), _cat(table, "contexts", np.uint16).astype(np.int64), _cat(table, "counts", np.uint32)
+        per = _wide(table, "per")
+        w, u, c = np.repeat(_cat(table, "words", U), per), _cat(table, "contexts", np.uint16).astype(np.int64), _wide(table, "counts")
         order = np.lexsort((u, w))
         w, u, c = w[order], u[order], c[order].astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]))
@@ -293,7 +307,7 @@ def _totals(model: Model, state: DataFrame) -> Totals:
     return Totals(tables[:size], tables[size:], float(x[u == -2].sum()))
 
 
-def train(docs: DataFrame, space: Workspace, n: int, model: Model, burn_in: int = 2, samples: int = 3) -> DataFrame:
+def train(docs: DataFrame, space: Workspace, n: int, model: Model, burn_in: int = 2, samples: int = 2) -> DataFrame:
     """docs: _text of training documents -> the state table; model gets the totals of each sample."""
     state = space.keep(docs.mapInArrow(_gather(model.contexts, n), "bucket int, words binary, per binary, contexts binary, counts binary").groupBy("bucket").applyInArrow(_merge(model), STATE))
     for turn in range(burn_in + samples):
@@ -323,7 +337,7 @@ def _ask(contexts: int, n: int):
         words, per, u, _ = _pairs(token, context)
         cuts = _cuts(words, per, n)
         part = table.column("_part")[0].as_py()
-        return pa.table({"bucket": pa.array([x[0] for x in cuts], pa.int32()), "part": pa.array([part] * len(cuts), pa.int32()), "words": [words[i:j].tobytes() for _, i, j, _, _ in cuts], "per": [per[i:j].astype(np.uint32).tobytes() for _, i, j, _, _ in cuts], "contexts": [u[p:q].astype(np.uint16).tobytes() for _, _, _, p, q in cuts]})
+        return pa.table({"bucket": pa.array([x[0] for x in cuts], pa.int32()), "part": pa.array([part] * len(cuts), pa.int32()), "words": [words[i:j].tobytes() for _, i, j, _, _ in cuts], "per": [_narrow(per[i:j]) for _, i, j, _, _ in cuts], "contexts": [u[p:q].astype(np.uint16).tobytes() for _, _, _, p, q in cuts]})
 
     return run
 
@@ -339,7 +353,7 @@ def _tell(model: Model):
         trim()
         rows, s = [], len(model.samples)
         for r in asked.to_pylist():
-            w, n, ctx = np.frombuffer(r["words"], U), np.frombuffer(r["per"], np.uint32), np.frombuffer(r["contexts"], np.uint16).astype(np.int64)
+            w, n, ctx = np.frombuffer(r["words"], U), _widened(r["per"]), np.frombuffer(r["contexts"], np.uint16).astype(np.int64)
             count, pc = np.zeros(len(w), np.int64), np.zeros(len(ctx))
             pt, pk2, pt2, pk1, pt1 = (np.zeros((s, len(ctx))) for _ in range(5))
             if len(words):
@@ -355,29 +369,19 @@ def _tell(model: Model):
                         to[:, met] = source[:, hit[met]]
                 pc[met] = x.c[hit[met]]
             p = predictive(model, ctx, pc, pt, pk2, pt2, pk1, pt1)
-            rows.append((r["part"], r["bucket"], _counts(count), np.rint(np.log10(p) * STEP).astype(np.int32).tobytes()))
+            rows.append((r["part"], r["bucket"], _narrow(count), np.rint(np.log10(p) * STEP).astype(np.int32).tobytes()))
         return pa.table([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "bucket", "counts", "logs"])
 
     return run
 
 
-def _counts(count: np.ndarray) -> bytes:
-    """Four bytes a count; if one is larger, a mark and eight."""
-    small = count.max(initial=0) < 1 << 32
-    return (b"4" if small else b"8") + count.astype(np.uint32 if small else np.uint64).tobytes()
-
-
-def _counted(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint32 if data[:1] == b"4" else np.uint64, offset=1).astype(np.int64)
-
-
 def _score(model_n: int, model_v: int, contexts: int):
     def run(told: pa.Table, docs: pa.Table) -> pa.Table:
         order = np.argsort(told.column("bucket").to_numpy(), kind="stable")
         told = told.take(pa.array(order))
         counts, token, context = _tokens(docs, contexts)
         words, per, u, _ = _pairs(token, context)
-        count = np.concatenate([np.zeros(0, np.int64), *map(_counted, told.column("counts").to_pylist())])
+        count = _wide(told, "counts")
         logs = _cat(told, "logs", np.int32) / STEP
         at = np.searchsorted(words, token)
         key = np.repeat(np.arange(len(words)), per) * (contexts + 1) + u

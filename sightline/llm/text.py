@@ -15,12 +15,12 @@ UNBASE = pow(BASE, -1, 1 << 64)
 
 
 def trim() -> None:
-    """Gives freed memory back, so that a Python worker doesn't keep its largest task's; from then on arrays of 1 MB
+    """Gives freed memory back, so that a Python worker doesn't keep its largest task's; from then on arrays of 8 MB
     and more get pages of their own, which go back as soon as they are freed."""
     pa.default_memory_pool().release_unused()
     try:
         lib = ctypes.CDLL("libc.so.6")
-        lib.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with use
+        lib.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with use
         lib.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass

@@ -105,7 +105,7 @@ def test_probabilities_of_all_words_add_up_to_one():
 class ByHand:
     """The model in plain Python: dictionaries, one customer at a time; only the random numbers are the operator's."""
 
-    def __init__(self, texts, model, burn_in=2, samples=3):
+    def __init__(self, texts, model, burn_in=2, samples=2):
         self.m, self.c = model, Counter()
         for t in texts:
             before = None
