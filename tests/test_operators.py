@@ -117,7 +117,7 @@ def test_search(spark):
     ask = lambda q: [(r.doc_id, r.page, r.exact_terms, r.fuzzy) for r in fi.search_rank(fi.best_page_per_document(fi.page_scores(fi.pages_of(docs), spark.createDataFrame([(1, q)], "query int, text string")))).orderBy("place").collect()]
     assert ask("transformer attention")[0] == (1, 2, 2, False)
     assert ask("metric distance")[0] == (2, 1, 2, False)
-    assert [d for d, *_ in ask("receipt")] == [6, 5] or [d for d, *_ in ask("receipt")] == [5, 6]
+    assert [d for d, *_ in ask("receipt")] == [5, 6]  # equal scores: by id
     assert ask("kubernetes") == [(5, 1, 0, True)]
     assert ask("the of and") == ask("") == ask("absent") == []
 
@@ -254,9 +254,9 @@ def test_full_windows_lags_and_ties(spark):
     df = spark.createDataFrame([(1, i, v, True) for i, v in enumerate([0.1, 0.632, 0.9])] + [(2, 0, 0.1, True)], "key int, seq int, value double, after boolean")
     assert rows(od.step_lag(df), "key", "lag") == [(1, 1.0), (2, INF)]
     df = spark.createDataFrame([("s", 2, 1.0, 0.0), ("s", 1, 0.5, 0.1), ("s", 3, 0.1, 0.5)], "segment string, id int, sharpness double, squareness double")
-    assert rows(od.best_n_per_segment(df), "id", "place") == [(1, 1), (2, 2)] or rows(od.best_n_per_segment(df), "id", "place") == [(1, 2), (2, 1)]
+    assert rows(od.best_n_per_segment(df), "id", "place") == [(1, 1), (2, 2)]  # all three score 0.05
     df = spark.createDataFrame([(1, "a", 1, 0.0), (1, "a", 2, None), (1, "a", 3, 3.0), (1, "a", 4, 6.0001)], "capture int, label string, seq int, at double")
-    assert rows(od.batch_sightings(df, 3.0, 1), "run", "frames") == [(1, 3), (2, 1)] or rows(od.batch_sightings(df, 3.0, 1), "run", "frames") == [(1, 2), (2, 2)]
+    assert rows(od.batch_sightings(df, 3.0, 1), "run", "frames") == [(1, 3), (2, 1)]
 
 
 # ---- linking
