@@ -81,6 +81,13 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, share=85)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs, with_periods
+
+    docs = with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs(docs, texts=False).select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -176,7 +183,42 @@ FROM d
 """
 
 
+_CRC32 = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384::BIGINT)))"
+
+_W = "OVER (PARTITION BY n ORDER BY i)"
+
+
+def _op11(levels: int = 17) -> str:
+    """Ids of 5, 10, 20, ... words by doubling. A run of period q is, at the smallest of these lengths that is q or more, a stretch of places whose next occurrence is q away."""
+    grams = [f"g0 AS MATERIALIZED (SELECT * FROM (SELECT n, i, md5(w || ' ' || lead(w, 1) {_W} || ' ' || lead(w, 2) {_W} || ' ' || lead(w, 3) {_W} || ' ' || lead(w, 4) {_W}) AS g FROM words) WHERE g IS NOT NULL)"]
+    grams += [f"g{j} AS MATERIALIZED (SELECT * FROM (SELECT n, i, md5(g || lead(g, {5 << j - 1}) {_W}) AS g FROM g{j - 1}) WHERE g IS NOT NULL)" for j in range(1, levels)]
+    near = [f"SELECT n, i, q, {5 << j} AS k FROM (SELECT n, i, lead(i) OVER (PARTITION BY n, g ORDER BY i) - i AS q FROM g{j}) WHERE q <= {5 << j} AND q > {0 if j == 0 else 5 << j - 1}" for j in range(levels)]
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws, xor({_CRC32}, 4294967295) AS h FROM documents),
+cut AS (
+  SELECT n, doc_id, ws, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a, h // 10 AS g FROM d),
+per AS (SELECT n, doc_id, ws, a, 1 + (len(ws) - a) // (3 + g % 8) AS p FROM cut),
+docs AS (
+  SELECT n, doc_id, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(len(ws)), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS ws FROM per),
+words AS (SELECT n, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM docs),
+{", ".join(grams)},
+near AS ({" UNION ALL ".join(near)}),
+runs AS (
+  SELECT n, min(i)::BIGINT AS s, (count(*) + k - 1 + q)::BIGINT AS l, q::BIGINT AS q
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY n, k, q ORDER BY i) AS island FROM near) GROUP BY n, k, q, island
+  HAVING count(*) + k - 1 + q >= greatest(6, 4 * q)),
+best AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY l::DOUBLE / q DESC, s, q) AS k FROM runs),
+listed AS (SELECT n, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS txt FROM runs GROUP BY n),
+gone AS (SELECT DISTINCT n, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT n, string_agg(w, ' ' ORDER BY i) AS txt FROM words ANTI JOIN gone USING (n, i) GROUP BY n)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli,
+       sha256(coalesce(listed.txt, '')) AS runs_sha256, sha256(coalesce(kept.txt, '')) AS collapsed_sha256, len(ws)::BIGINT AS n_words
+FROM docs LEFT JOIN listed USING (n) LEFT JOIN kept USING (n) LEFT JOIN best ON docs.n = best.n AND best.k = 1
+"""
+
+
 def oracle_sql() -> dict:
     from .licenses import _sql
 
-    return {"op8_license_scan": _sql(), "op1_embedding_dedup": OP1, "op2_url_rules": OP2, "op3_source_mix": OP3, "op4_substring_dedup": OP4, "op7_warc": OP7, "op10_minhash_dedup": OP10}
+    return {"op8_license_scan": _sql(), "op1_embedding_dedup": OP1, "op2_url_rules": OP2, "op3_source_mix": OP3, "op4_substring_dedup": OP4, "op7_warc": OP7, "op10_minhash_dedup": OP10, "op11_periodic_runs": _op11()}
