@@ -88,6 +88,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(docs, texts=False).select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words")
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"), texts=False)
+    return out.select("doc_id", "held_out", "score", "predicted", "n_sentences", "n_offending")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -218,7 +231,29 @@ FROM docs LEFT JOIN listed USING (n) LEFT JOIN kept USING (n) LEFT JOIN best ON
 """
 
 
+def _op12(rounds: int = 10) -> str:
+    nearest = "SELECT v.n, arg_min(c, d * 8 + c) AS c, min(d) AS d FROM (SELECT v.n, c.c, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::HUGEINT AS d FROM v, c{0} c) v GROUP BY v.n"
+    steps = []
+    for t in range(1, rounds + 1):
+        steps.append(f"a{t} AS MATERIALIZED ({nearest.format(t - 1)})")
+        steps.append(f"""c{t} AS MATERIALIZED (
+  SELECT o.c, coalesce(m.e, o.e) AS e FROM c{t - 1} o LEFT JOIN (
+    SELECT c, list((s - (s % k + k) % k) // k ORDER BY j)::BIGINT[] AS e
+    FROM (SELECT c, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS k FROM (SELECT c, unnest(e) AS x, unnest(range(64)) AS j FROM a{t} JOIN v USING (n)) GROUP BY c, j) GROUP BY c) m ON o.c = m.c)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(least(greatest(1024 * x::DOUBLE, -134217728), 134217728))::BIGINT) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, n) - 1 AS c, e FROM (SELECT n, e, sha256('3:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h, n LIMIT 8)),
+{", ".join(steps)},
+fin AS MATERIALIZED ({nearest.format(rounds)})
+SELECT vec_id, fin.c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY fin.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(cs.e, ',')) AS centroid_sha256
+FROM fin JOIN v USING (n) JOIN c{rounds} cs ON cs.c = fin.c
+"""
+
+
 def oracle_sql() -> dict:
     from .licenses import _sql
 
-    return {"op8_license_scan": _sql(), "op1_embedding_dedup": OP1, "op2_url_rules": OP2, "op3_source_mix": OP3, "op4_substring_dedup": OP4, "op7_warc": OP7, "op10_minhash_dedup": OP10, "op11_periodic_runs": _op11()}
+    return {"op8_license_scan": _sql(), "op1_embedding_dedup": OP1, "op2_url_rules": OP2, "op3_source_mix": OP3, "op4_substring_dedup": OP4, "op7_warc": OP7, "op10_minhash_dedup": OP10, "op11_periodic_runs": _op11(), "op12_centroid_clusters": _op12()}
