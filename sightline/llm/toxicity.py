@@ -115,9 +115,9 @@ def _bags(table: dict[str, int]):
                 for i, x in zip(at[np.concatenate([[0], cut])] if len(at) else [], np.split(feature, cut)):
                     sets[s.doc[i]][np.sort(x).astype(np.int32).tobytes()] += 1
                 yield pa.RecordBatch.from_arrays([
-                    piece.column(2), piece.column(1),
-                    pa.array([list(c) for c in sets], pa.list_(pa.binary())), pa.array([list(c.values()) for c in sets], pa.list_(pa.int64())),
-                ], names=["id", "label", "bags", "times"])
+                    piece.column(2), piece.column(1), pa.array([b"".join(c) for c in sets], pa.binary()),
+                    *(pa.array([np.array(list(v), np.int32).tobytes() for v in x], pa.binary()) for x in ([[len(k) // 4 for k in c] for c in sets], [c.values() for c in sets])),
+                ], names=["id", "label", "features", "sizes", "times"])
 
     return run
 
@@ -145,25 +145,32 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return 0.0 - np.expm1(np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-15)), minlength=n))
 
 
-def fitted(names: list[str], rows: list, weight: dict[int, float], rounds: int, ridge: float) -> Model:
-    """Adam on the likelihood of labels; rows of (label, bags, times), each weighing weight[label]."""
-    doc, times, size, flat = [], [], [], []
-    for d, (_, bags, n) in enumerate(rows):
-        doc += [d] * len(bags)
-        times += n
-        size += [len(b) // 4 for b in bags]
-        flat += bags
-    y = np.array([r[0] for r in rows])
-    per, doc, times = np.array([weight[v] for v in y.tolist()]), np.array(doc, np.int64), np.array(times, float)
-    feature, bag = np.frombuffer(b"".join(flat), np.int32), np.repeat(np.arange(len(size)), size)
-    x, first, second = np.append(np.zeros(len(names)), -4.0), 0.0, 0.0
+def fitted(names: list[str], rows: pa.Table, weight: dict[int, float], rounds: int, ridge: float, part: int = 1 << 20) -> Model:
+    """Adam on the likelihood of labels; rows (label, features, sizes, times: 32-bit integers) weigh weight[label] each.
+
+    features holds a document's feature sets one after another, sizes and times how large each is and how many of its
+    sentences have it. About `part` features are worked on at a time.
+    """
+    joined = lambda c: np.frombuffer(b"".join(x.as_buffer() for x in rows.column(c)), np.int32)
+    y, feature, size, times = rows.column("label").to_numpy(), joined("features"), joined("sizes"), joined("times")
+    doc = np.repeat(np.arange(len(y)), [x.as_buffer().size // 4 for x in rows.column("sizes")])
+    per = np.array([weight[v] for v in y.tolist()])
+    starts = np.cumsum(size, dtype=np.int64) - size
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(feature), part)))
+    parts = list(zip(cuts, np.append(cuts[1:], len(size)))) if len(size) else []
+    span = lambda i, j: slice(int(starts[i]), int(starts[j]) if j < len(size) else len(feature))
+    x, first, second, z = np.append(np.zeros(len(names)), -4.0), 0.0, 0.0, np.zeros(len(size))
     for t in range(1, rounds + 1):
-        z = np.clip(x[-1] + np.bincount(bag, weights=x[feature], minlength=len(size)), -40, 40)
+        for i, j in parts:
+            z[i:j] = np.add.reduceat(x[feature[span(i, j)]], starts[i:j] - starts[i])
+        z = np.clip(z + x[-1], -40, 40)
         p = 1 / (1 + np.exp(-z))
         clean = np.exp(np.bincount(doc, weights=-times * np.logaddexp(0, z), minlength=len(y)))  # chance that no sentence is toxic
         pull = np.where(y == 1, clean / np.maximum(1 - clean, 1e-9), -1.0) * per
         dz = times * p * pull[doc]
-        g = np.append(np.bincount(feature, weights=dz[bag], minlength=len(names)) - ridge * x[:-1], dz.sum())
+        g = np.append(-ridge * x[:-1], dz.sum())
+        for i, j in parts:
+            g[:-1] += np.bincount(feature[span(i, j)], weights=np.repeat(dz[i:j], size[i:j]), minlength=len(names))
         first, second = 0.9 * first + 0.1 * g, 0.98 * second + 0.02 * g * g
         step = 0.15 * (1 + np.cos(np.pi * t / rounds))
         x = x + step * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.98**t)) + 1e-8)
@@ -195,12 +202,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     strong = counted.where(F.col("good") + F.col("bad") >= least).withColumn("z", F.abs(strength)).where(F.col("z") > z)
     names = sorted(r.feature for r in strong.orderBy(F.desc("z"), "feature").limit(features).select("feature").collect())
     table = {f: i for i, f in enumerate(names)}
-    bags = sample.mapInArrow(_bags(table), "id long, label int, bags array<binary>, times array<long>")
-    once = bags.groupBy("id").agg(F.min(F.struct("label", "bags", "times")).alias("row"))
-    rows = [(r.label, r.bags, r.times) for r in once.orderBy("id").select("row.*").collect()]
+    bags = sample.mapInArrow(_bags(table), "id long, label int, features binary, sizes binary, times binary")
+    once = bags.groupBy("id").agg(F.min(F.struct("label", "features", "sizes", "times")).alias("row"))
+    rows = once.orderBy("id").select("row.*").toArrow()
     space.clear()
     scale = sum(found.values()) / sum(counts.values())
-    return fitted(names, [(y, [bytes(b) for b in bags], times) for y, bags, times in rows], {v: scale * counts[v] / found[v] for v in (0, 1)}, rounds, ridge)
+    return fitted(names, rows, {v: scale * counts[v] / found[v] for v in (0, 1)}, rounds, ridge)
 
 
 def _score(schema: pa.Schema, kept: list[str], text: str, model: Model, offending: float, texts: bool):

@@ -3,7 +3,9 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from sightline.llm.toxicity import Model, Sentences, features_of, fit_toxicity, fitted, noisy_or, score_toxicity, toxicity
@@ -74,9 +76,12 @@ def test_score_is_the_noisy_or_of_logistic_sentences(spark):
 def test_fit_reaches_the_greatest_likelihood():
     sets = {"a": b"\0\0\0\0", "b": b"\1\0\0\0", "ab": b"\0\0\0\0\1\0\0\0"}
     kinds = [(1, {"a": 1, "b": 3}, 30), (0, {"b": 2}, 40), (0, {"a": 1}, 6), (1, {"b": 1}, 9), (1, {"ab": 1}, 5), (0, {"ab": 2, "b": 1}, 3)]
-    rows = [(y, [sets[k] for k in bags], list(bags.values())) for y, bags, n in kinds for _ in range(n)]
+    ints = lambda x: np.array(x, np.int32).tobytes()
+    rows = [(y, b"".join(sets[k] for k in bags), ints([len(k) for k in bags]), ints(list(bags.values()))) for y, bags, n in kinds for _ in range(n)] + [(0, b"", b"", b"")]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["label", "features", "sizes", "times"])
     weight = {0: 1.0, 1: 2.0}
-    model = fitted(["a", "b"], rows, weight, 400, 0.05)
+    model = fitted(["a", "b"], table, weight, 400, 0.05, part=16)
+    assert fitted(["a", "b"], table, weight, 400, 0.05).weights == pytest.approx(model.weights)
 
     def likelihood(a, b, c):
         total = -0.025 * (a * a + b * b)
