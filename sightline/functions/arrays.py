@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 
 
 @F.pandas_udf(T.StringType())
-def observation_id(session: pd.Series, frame: pd.Series, label: pd.Series) -> pd.Series:
-    """BLAKE2b of 8 bytes, hex, of the parts joined by |; null if one is null."""
-    parts = zip(session, frame, label)
-    return pd.Series([None if pd.isna(s) or pd.isna(f) or pd.isna(k) else hashlib.blake2b(f"{s}|{int(f)}|{k}".encode(), digest_size=8).hexdigest() for s, f, k in parts])
+def observation_id(session: pd.Series, label: pd.Series, observed_at: pd.Series) -> pd.Series:
+    """BLAKE2b of 8 bytes, hex, of session, class and time (a double, as Python writes it) joined by ` | `; a missing session is empty, without a class or a time it is null."""
+    parts = zip(session, label, observed_at)
+    return pd.Series([None if pd.isna(k) or pd.isna(t) else hashlib.blake2b(f"{'' if pd.isna(s) else s} | {k} | {float(t)!r}".encode(), digest_size=8).hexdigest() for s, k, t in parts])
 
 
 def _cosines(n: int) -> np.ndarray:

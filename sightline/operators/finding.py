@@ -32,7 +32,7 @@ def ocr_fold(token: Column) -> Column:
     return F.when(token.rlike("[a-z]"), F.translate(token, "01", "ol")).otherwise(token)
 
 
-def _one_less(token: Column) -> Column:
+def one_less(token: Column) -> Column:
     """The token and all that one letter less makes of it; two tokens within one edit share one of these."""
     return F.array_append(F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.length(token)))), token)
 
@@ -46,8 +46,8 @@ def fuzzy_expand(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     starts = vocabulary.where(F.length("token") > FUZZY_FROM).select("token", F.explode(F.transform(F.sequence(F.lit(FUZZY_FROM), F.length("token") - 1), lambda n: F.substring("token", F.lit(1), n))).alias("start"))
     near = long.join(starts, F.col("term") == F.col("start")).select("term", "token")
     for form in (lambda c: c, ocr_fold):
-        a = long.select("term", form(F.col("term")).alias("x")).withColumn("key", F.explode(F.array_distinct(_one_less(F.col("x")))))
-        b = vocabulary.select("token", form(F.col("token")).alias("y")).withColumn("key", F.explode(F.array_distinct(_one_less(F.col("y")))))
+        a = long.select("term", form(F.col("term")).alias("x")).withColumn("key", F.explode(F.array_distinct(one_less(F.col("x")))))
+        b = vocabulary.select("token", form(F.col("token")).alias("y")).withColumn("key", F.explode(F.array_distinct(one_less(F.col("y")))))
         near = near.union(a.join(b, "key").where((F.levenshtein("x", "y", 1) >= 0) & (F.col("term") != F.col("token"))).select("term", "token"))
     return exact.union(near.distinct().select("term", "token", F.lit(FUZZY).alias("weight")))
 
@@ -73,11 +73,18 @@ def page_scores(pages: DataFrame, queries: DataFrame) -> DataFrame:
     asked = fuzzy_expand(terms, frequency).join(frequency, "token")
     wanted = terms.join(asked, "term")
     hits = pages.select("doc_id", "page", "length", F.explode("words").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "page", "length", "token").agg(F.count("*").alias("tf"))
-    best = hits.join(wanted, "token").groupBy("query", "term", "doc_id", "page", "length").agg(F.min_by(F.struct("weight", "tf", "containing"), F.struct(-F.col("weight"), F.col("token"))).alias("b"))
+    hits = hits.crossJoin(F.broadcast(total))  # total is one row
+    return scored(hits, wanted, F.max("pages"), F.max("average_length"))
+
+
+def scored(hits: DataFrame, wanted: DataFrame, pages: Column, average: Column) -> DataFrame:
+    """hits (doc_id, page, length, token, tf), wanted (query, term, token, weight, containing) -> page_scores' rows. pages and average
+    are literals, or aggregates over columns of hits that all rows share."""
+    best = hits.join(wanted, "token").groupBy("query", "term", "doc_id", "page", "length")
+    best = best.agg(F.min_by(F.struct("weight", "tf", "containing"), F.struct(-F.col("weight"), F.col("token"))).alias("b"), pages.alias("pages"), average.alias("average_length"))
     idf = F.log(1 + (F.col("pages") - F.col("b.containing") + 0.5) / (F.col("b.containing") + 0.5))
     part = F.col("b.weight") * idf * F.col("b.tf") * (K1 + 1) / (F.col("b.tf") + K1 * (1 - B + B * F.col("length") / F.greatest(F.col("average_length"), F.lit(1.0))))
-    scored = best.crossJoin(F.broadcast(total)).groupBy("query", "doc_id", "page")  # total is one row
-    return scored.agg(F.sum(part).alias("score"), F.count_if(F.col("b.weight") == 1).alias("exact_terms"), F.bool_or(F.col("b.weight") < 1).alias("fuzzy"))
+    return best.groupBy("query", "doc_id", "page").agg(F.sum(part).alias("score"), F.count_if(F.col("b.weight") == 1).alias("exact_terms"), F.bool_or(F.col("b.weight") < 1).alias("fuzzy"))
 
 
 def best_page_per_document(scores: DataFrame, least: float = LEAST) -> DataFrame:
@@ -125,22 +132,22 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)))
 
 
-def _shares(both: Column, na: Column, nb: Column) -> tuple[Column, Column]:
+def shares_of(both: Column, na: Column, nb: Column) -> tuple[Column, Column]:
     """Of the union and of the smaller one; 0 if either is empty."""
     some = (na > 0) & (nb > 0)
     return F.when(some, both / F.when(some, na + nb - both)).otherwise(0.0), F.when(some, both / F.when(some, F.least(na, nb))).otherwise(0.0)
 
 
 def _share(a: Column, b: Column) -> tuple[Column, Column]:
-    return _shares(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
+    return shares_of(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
 
 
 def compare_readings(df: DataFrame, same: float = 0.70, related: float = 0.25, look: int = 6) -> DataFrame:
     """words, figures, confidence, hash of a and b (a_*, b_*) -> decision: abstain, same, shares-text, same-look or different."""
     testify = lambda k: (F.size(F.filter(f"{k}_words", lambda w: F.length(w) >= 2)) >= 3) & F.coalesce(F.col(f"{k}_confidence") >= 0.30, F.lit(False))
     df = df.select("*", *(F.size(F.array_intersect(f"a_{k}", f"b_{k}")).alias(f"_{k}") for k in ("words", "figures")))  # counted once a pair
-    overlap, contained = _shares(F.col("_words"), F.size("a_words"), F.size("b_words"))
-    figures, _ = _shares(F.col("_figures"), F.size("a_figures"), F.size("b_figures"))
+    overlap, contained = shares_of(F.col("_words"), F.size("a_words"), F.size("b_words"))
+    figures, _ = shares_of(F.col("_figures"), F.size("a_figures"), F.size("b_figures"))
     agree = ~((F.size("a_figures") >= 3) & (F.size("b_figures") >= 3) & (figures < 0.5))
     away = hash_distance(F.col("a_hash"), F.col("b_hash"))
     words = ((overlap >= same) | ((contained >= 0.85) & (overlap >= related))) & agree
@@ -152,18 +159,38 @@ def compare_readings(df: DataFrame, same: float = 0.70, related: float = 0.25, l
     return df.withColumn("decision", decision).drop("_words", "_figures")
 
 
-def resighting_match(records: DataFrame, last: int = 200) -> DataFrame:
+def resighting_match(records: DataFrame, last: int = 200, related: float = 0.25, contained: float = 0.60, look: int = 6) -> DataFrame:
     """records (library, id, text, confidence, hash), recorded in order of id -> id, again_of: the newest of the `last` records
     before it that is the same; and how many of them share its text or its look.
 
-    A record meets at most 2 x last others: those of its own and the block of `last` records before.
+    Only candidates are compared. By words: of two records that share a `related` part of their union, or a `contained` part of
+    the smaller, the smaller one's rarest words, all but a `related` part of them, hold one that the other has too; so these
+    prefixes, in order of rarity, probe all words within the `last` records. By look: hashes within `look` bits agree in at
+    least one of look + 1 pieces, here 8 of a byte each.
     """
+    if look > 7:
+        raise ValueError("eight pieces find hashes within seven bits")
     r = records.select("library", "id", F.array_distinct(tokens(F.col("text"))).alias("words"), numbers(F.col("text")).alias("figures"), "confidence", "hash")
-    r = r.withColumn("k", F.expr("row_number() OVER (PARTITION BY library ORDER BY id) - 1")).withColumn("block", F.floor(F.col("k") / last))
-    side = lambda x, df: df.select(*(F.col(c).alias(f"{x}_{c}") for c in df.columns))
-    before = r.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
-    pairs = side("b", r).join(side("a", before), (F.col("a_library") == F.col("b_library")) & (F.col("a_block") == F.col("b_block")) & (F.col("a_k") < F.col("b_k")) & (F.col("a_k") >= F.col("b_k") - last))
-    seen = compare_readings(pairs).groupBy("b_id").agg(F.max(F.when(F.col("decision") == "same", F.col("a_id"))).alias("again_of"), *(F.count_if(F.col("decision") == d).alias(n) for d, n in (("shares-text", "shares_text"), ("same-look", "same_look"))))
+    r = r.withColumn("k", F.expr("row_number() OVER (PARTITION BY library ORDER BY id) - 1"))
+    slim = r.select("library", "k", F.size("words").alias("n"), "words", "hash")
+    both = F.explode(F.array(F.floor(F.col("k") / last), F.floor(F.col("k") / last) + 1)).alias("block")
+    own = F.floor(F.col("k") / last).alias("block")
+    words = slim.select("library", "k", "n", F.explode("words").alias("key"))
+    rarity = words.groupBy("library", "key").agg(F.count("*").alias("df"))
+    ranked = words.join(rarity, ["library", "key"]).withColumn("place", F.expr("row_number() OVER (PARTITION BY library, k ORDER BY df, key)"))
+    ranked = ranked.withColumn("probe", F.col("place") <= F.floor(F.col("n") * (1 - min(related, contained)) + 1e-9) + 1)
+    a, b = (ranked.select("library", where, "key", F.col("k").alias(f"{x}_k"), F.col("n").alias(f"{x}_n"), F.col("probe").alias(f"{x}_probe")) for x, where in (("a", both), ("b", own)))
+    smaller = (F.col("a_probe") & (F.col("a_n") <= F.col("b_n"))) | (F.col("b_probe") & (F.col("b_n") <= F.col("a_n")))
+    before = (F.col("a_k") < F.col("b_k")) & (F.col("a_k") >= F.col("b_k") - last)
+    by_words = a.join(b, ["library", "block", "key"]).where(before & smaller)
+    good = slim.where(F.col("hash").rlike("^[0-9a-fA-F]{16}$")).withColumn("hash", F.lower("hash"))
+    pieces = F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.substring("hash", 1 + 2 * i, F.lit(2))))).alias("key")
+    cut = good.select("library", "k", pieces)
+    by_look = cut.select("library", both, "key", F.col("k").alias("a_k")).join(cut.select("library", own, "key", F.col("k").alias("b_k")), ["library", "block", "key"]).where(before)
+    pairs = by_words.select("library", "a_k", "b_k").union(by_look.select("library", "a_k", "b_k")).distinct()
+    side = lambda x: r.select(*(F.col(c).alias(f"{x}_{c}" if c != "library" else c) for c in r.columns))
+    seen = compare_readings(pairs.join(side("a"), ["library", "a_k"]).join(side("b"), ["library", "b_k"]), related=related, look=look)
+    seen = seen.groupBy("b_id").agg(F.max(F.when(F.col("decision") == "same", F.col("a_id"))).alias("again_of"), *(F.count_if(F.col("decision") == d).alias(n) for d, n in (("shares-text", "shares_text"), ("same-look", "same_look"))))
     return r.select("id").join(seen, F.col("id") == F.col("b_id"), "left").select("id", "again_of", F.coalesce("shares_text", F.lit(0)).alias("shares_text"), F.coalesce("same_look", F.lit(0)).alias("same_look"))
 
 
@@ -201,8 +228,14 @@ def _pages(s, d):
     return pages_of(table(s, d, "documents"))
 
 
+def _index(s, d):
+    from sightline.sources.search_index import index_of
+
+    return index_of(s, f"{d}/documents.parquet")
+
+
 def _scores(s, d):
-    return page_scores(_pages(s, d), table(s, d, "benchmark").selectExpr("item_id AS query", "text"))
+    return _index(s, d).scores(table(s, d, "benchmark").selectExpr("item_id AS query", "text"))
 
 
 def _view_rows(s, d):
@@ -245,7 +278,7 @@ OPS = {
     "tokenise_counts": (lambda s, d: table(s, d, "documents").select("doc_id", F.size(tokenise(F.col("text"))).cast("long").alias("n")), f"SELECT doc_id, len({_D_TOK.format(x='coalesce(text, chr(32))')}) AS n FROM documents"),
     "page_frequency": (lambda s, d: corpus_stats(_pages(s, d))[1], f"WITH {_D_PAGES} SELECT token, containing FROM fq"),
     "corpus_stats": (lambda s, d: corpus_stats(_pages(s, d))[0].select(F.col("pages").cast("long").alias("pages"), F.round("average_length", 6).alias("average_length")), f"WITH {_D_PAGES} SELECT count(*) AS pages, round(sum(len(words)) / count(*), 6) AS average_length FROM pg"),
-    "fuzzy_expand": (lambda s, d: fuzzy_expand(table(s, d, "benchmark").select(F.explode(tokenise(F.col("text"))).alias("term")), corpus_stats(_pages(s, d))[1]), f"WITH {_D_PAGES}, {_D_EXPAND} SELECT term, token, weight FROM ex"),
+    "fuzzy_expand": (lambda s, d: _index(s, d).expand(table(s, d, "benchmark").select(F.explode(tokenise(F.col("text"))).alias("term"))).select("term", "token", "weight"), f"WITH {_D_PAGES}, {_D_EXPAND} SELECT term, token, weight FROM ex"),
     "bm25_search": (lambda s, d: _scores(s, d).selectExpr("query", "doc_id", "page", "round(score, 6) AS score", "exact_terms", "fuzzy"), f"WITH {_D_SCORES} SELECT query, doc_id, page, round(score, 6) AS score, exact_terms, fuzzy FROM sc"),
     "best_page_per_document": (lambda s, d: best_page_per_document(_scores(s, d)).selectExpr("query", "doc_id", "page", "exact_terms"), f"WITH {_D_SCORES} SELECT query, doc_id, page, exact_terms FROM bp WHERE k = 1"),
     "search_rank": (lambda s, d: search_rank(best_page_per_document(_scores(s, d))).selectExpr("query", "doc_id", "page", "place"), f"WITH {_D_SCORES}, o AS (SELECT query, doc_id, page, row_number() OVER (PARTITION BY query ORDER BY exact_terms DESC, round(score, 9) DESC, doc_id) AS place FROM bp WHERE k = 1) SELECT * FROM o WHERE place < 6"),

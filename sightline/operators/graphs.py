@@ -1,23 +1,19 @@
 """Graph operators over edge tables (src, dst); every round is a join and a written table, so lineage stays short."""
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.sources.shared import hadoop, shared_dir
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """The rows, written to spark.checkpoint.dir and read again; on one machine, where it is unset, to a temporary folder of its own."""
-    import tempfile
 
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """The rows, written to the shared folder and read again."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.gettempdir()
-    path = f"{base}/graph-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graph-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.parquet(path)
     out._kept_path = path
@@ -27,8 +23,8 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 def drop(*frames: DataFrame) -> None:
     """Removes tables of cut() that no later plan reads."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = hadoop(df.sparkSession, df._kept_path)
+        fs.delete(path, True)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -136,43 +132,77 @@ def cycle_residuals(edges: DataFrame, placed: DataFrame) -> DataFrame:
     return j.select("src", "dst", F.degrees(F.acos(F.greatest(F.least((trace - 1) / 2, F.lit(1.0)), F.lit(-1.0)))).alias("degrees"), F.greatest(ratio, 1 / ratio).alias("scale_ratio"), F.sqrt(sum(o * o for o in off)).alias("shift"))
 
 
-def greedy_cover(scores: DataFrame, budget: int, second: float = 0.3, least_gain: float = 0.01) -> DataFrame:
+def greedy_cover(scores: DataFrame, budget: int, second: float = 0.3, least_gain: float = 0.01, tried: int = 64) -> DataFrame:
     """(place, frame, gain): frames chosen one by one for points, from (frame, point, score).
 
-    A frame gains what it adds to the best score of its points, and second times what it adds to the second best.
-    Ends at the budget or once a gain is under least_gain of the first. Each round is one aggregate; only the winner reaches the driver.
+    A frame gains what it adds to the best score of its points, and `second` times what it adds to the second best. Ends
+    at the budget, without a gain, or once a gain is under least_gain of the sum of gains so far. Equal gains (to nine
+    places): the smallest frame.
+
+    Gains only fall as frames are chosen, so the last gain of a frame is a bound of its next one. A round takes the
+    `tried` frames of highest bound and measures them, until the best is above all other bounds; the driver holds the
+    bounds of measured frames, at most budget times `tried` times the turns a round takes.
     """
-    state = cut(scores.where("score > 0").select("point").distinct().select("point", F.lit(0.0).alias("top"), F.lit(0.0).alias("next")), "cover")
-    picked: list = []
+    gain = lambda top, next_: F.greatest(F.col("score") - top, F.lit(0.0)) + second * F.greatest(F.least(F.col("score"), top) - next_, F.lit(0.0))
+    scores = cut(scores.where("score > 0").groupBy("frame", "point").agg(F.max("score").alias("score")), "scores")
+    bounds = cut(scores.groupBy("frame").agg(F.sum("score").alias("bound")), "bounds")
+    state = cut(scores.select("point").distinct().select("point", F.lit(0.0).alias("top"), F.lit(0.0).alias("next")), "cover")
+    picked, fresh, gone, total = [], {}, set(), 0.0
+    key = lambda f, g: (-round(g, 9), f)
     while len(picked) < budget:
-        gain = F.greatest(F.col("score") - F.col("top"), F.lit(0.0)) + second * F.greatest(F.least("score", "top") - F.col("next"), F.lit(0.0))
-        pool = scores.where(~F.col("frame").isin([f for _, f, _ in picked])) if picked else scores
-        best = pool.join(state, "point").groupBy("frame").agg(F.sum(gain).alias("gain")).orderBy(F.desc(F.round("gain", 9)), "frame").first()
-        if best is None or best.gain <= 0 or picked and best.gain < least_gain * picked[0][2]:
+        exact: dict = {}
+        while True:
+            stale = bounds.where(~F.col("frame").isin([*fresh, *gone])) if fresh or gone else bounds
+            head = [(r.frame, r.bound) for r in stale.orderBy(F.desc("bound"), "frame").limit(tried + 1).collect()]
+            pool = sorted([*head, *((f, g) for f, g in fresh.items() if f not in exact)], key=lambda r: key(*r))
+            best = min(exact.items(), key=lambda r: key(*r), default=None)
+            if not pool or best and round(pool[0][1], 9) < round(best[1], 9):
+                break
+            turn = [f for f, _ in pool[:tried]]
+            got = {r.frame: r.gain for r in scores.where(F.col("frame").isin(turn)).join(state, "point").groupBy("frame").agg(F.sum(gain(F.col("top"), F.col("next"))).alias("gain")).collect()}
+            exact |= {f: got.get(f, 0.0) for f in turn}
+            fresh |= {f: got.get(f, 0.0) for f in turn}
+        if best is None or best[1] <= 0 or total > 0 and best[1] < least_gain * total:
             break
-        picked.append((len(picked) + 1, best.frame, best.gain))
-        won = scores.where(F.col("frame") == best.frame).groupBy("point").agg(F.max("score").alias("score"))
+        frame, won = best
+        picked.append((len(picked) + 1, frame, won))
+        total += won
+        gone.add(frame)
+        fresh.pop(frame, None)
+        own = scores.where(F.col("frame") == frame).select("point", "score")
         new = F.coalesce("score", F.lit(0.0))
-        state = cut(state.join(won, "point", "left").select("point", F.greatest("top", new).alias("top"), F.greatest("next", F.least("top", new)).alias("next")), "cover")
+        old, state = state, cut(state.join(own, "point", "left").select("point", F.greatest("top", new).alias("top"), F.greatest("next", F.least("top", new)).alias("next")), "cover")
+        drop(old)
     kind = scores.schema["frame"].dataType.simpleString()
-    return scores.sparkSession.createDataFrame(picked, f"place int, frame {kind}, gain double")
+    drop(scores, bounds, state)
+    return bounds.sparkSession.createDataFrame(picked, f"place int, frame {kind}, gain double")
 
 
-def budget_thinning(points: DataFrame, budget: int, size: float = 0.1, probes: int = 8) -> DataFrame:
-    """One point (the most confident, then smallest id) of each voxel, for the size that gives 85 to 100 % of the budget, trimmed to it.
+def budget_thinning(points: DataFrame, budget: int, hint: float | None = None, probes: int = 8) -> DataFrame:
+    """points (x, y, z, r, g, b, confidence) -> one row a voxel (measuring.voxel_reduce), of the size whose count comes closest under the budget.
 
-    points: id, x, y, z, confidence. Counts fall with the square of the size, which leads the search.
+    Points lie on surfaces, so their count falls with the square of the size: each probe solves for 92 % of the budget, from the
+    hint or the extent over the root of the count, until one is within 85 to 100 % or the step stops moving. If none came under the
+    budget, the most confident rows of the last size stay, the first by place of equal ones. A cloud within the budget stays as it is.
     """
-    cell = lambda v: [F.floor(F.col(c) / v) for c in "xyz"]
-    if points.count() <= budget:
+    from .measuring import voxel_reduce
+
+    box = points.agg(F.count("*").alias("n"), F.greatest(*(F.max(c) - F.min(c) for c in "xyz")).alias("span")).first()
+    if box.n <= budget:
         return points
-    low, high = 0.0, float("inf")
+    span = box.span if box.span and math.isfinite(box.span) else 1.0
+    probe, best = hint or span / max(math.sqrt(box.n), 1.0), None
     for _ in range(probes):
-        n = points.select(*cell(size)).distinct().count()
+        if not math.isfinite(probe) or probe <= 0:
+            break
+        n = points.select(*(F.floor(F.col(c) / probe) for c in "xyz")).distinct().count()
+        if n <= budget and (best is None or n > best[1]):
+            best = probe, n
         if 0.85 * budget <= n <= budget:
             break
-        low, high = (max(low, size), high) if n > budget else (low, min(high, size))
-        guess = size * (n / (0.92 * budget)) ** 0.5
-        size = guess if low < guess < high else (low + high) / 2 if high < float("inf") else 2 * low
-    first = F.max_by(F.struct(*points.columns), F.struct("confidence", -F.col("id"))).alias("p")
-    return points.groupBy(*[c.alias(f"_{k}") for k, c in enumerate(cell(size))]).agg(first).select("p.*").orderBy(F.desc("confidence"), "id").limit(budget)
+        probe = max(span / 1e6, probe * math.sqrt(n / max(1.0, 0.92 * budget)))
+        if best is not None and abs(probe - best[0]) < best[0] * 1e-3:
+            break
+    out = voxel_reduce(points, best[0] if best else probe)
+    columns = ["x", "y", "z", "r", "g", "b", "confidence"]
+    return out.select(columns) if best else out.orderBy(F.desc("confidence"), "ix", "iy", "iz").limit(budget).select(columns)

@@ -1,11 +1,7 @@
 """Filters, gates in their order, projections and lookups."""
 PLANS = {
-    "retention_window": "SELECT event_id FROM {events} WHERE coalesce(@MICROS(ts) >= CAST(1704672000000000 AS BIGINT), false)",
     "class_allowlist_read": "SELECT event_id, event_type FROM {events} WHERE event_type IN ('purchase', 'signup', 'view')",
     "cursor_read": "SELECT event_id, event_type FROM {events} WHERE event_id > 5000",
-    "relevance_gate_counts": """SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'excluded' WHEN event_type = 'click' THEN 'context-only' WHEN event_type NOT IN ('purchase', 'signup', 'view') THEN 'not-whitelisted'
-        WHEN value / 500 < 0.02 THEN 'below-min-score' ELSE 'record' END AS verdict FROM {events}) x GROUP BY verdict""",
-    "class_tier": """WITH tiers(class, tier, ord) AS (VALUES ('purchase', 'remembered', 1), ('signup', 'remembered', 2), ('view', 'verify', 3), ('click', 'context', 4)) SELECT event_type, coalesce(tier, 'ignored') AS tier, count(*) AS n FROM {events} LEFT JOIN tiers ON event_type = class GROUP BY event_type, coalesce(tier, 'ignored')""",
     "class_precision": "SELECT source, round(sum(quality) / nullif(count(quality), 0), 6) AS score FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source",
     "confidence_buckets": "SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN value IS NULL THEN 'unknown' WHEN value / 500 < 0.02 THEN 'low' WHEN value / 500 < 0.06 THEN 'medium' ELSE 'high' END AS bucket FROM {events}) x GROUP BY bucket",
     "view_side_counts": "SELECT label, side, count(*) AS n FROM (SELECT label, CASE WHEN @AT(1) IS NULL THEN 'unknown' WHEN @AT(1) < -0.05 THEN 'left' WHEN @AT(1) > 0.05 THEN 'right' ELSE 'centre' END AS side FROM {embeddings}) x GROUP BY label, side",

@@ -136,5 +136,13 @@ OPS = {
               SELECT z.u, z.i, z.seq, z.label, z.label IN ('view', 'purchase') AS key, w.seg, w.bare, w.spent, (z.label = 'error' OR w.due) AND (NOT w.bare OR w.spent < 1) AS opens FROM w JOIN z ON z.u = w.u AND z.i = w.i + 1) q)
             SELECT u AS user_id, seq, seg::BIGINT AS segment FROM w WHERE i > 0""",
     ),
-    "content_segments": (_fold(folds.content_segments(), folds.CONTENT, "seq % 10 / 9 + CASE WHEN seq % 500 < 60 THEN -1 ELSE 0 END AS alike"), None),
+    "content_segments": (
+        _fold(folds.content_segments(), folds.CONTENT, "CASE WHEN seq % 6 > 0 THEN seq % 10 / 9 + CASE WHEN seq % 500 < 200 THEN -1 ELSE 0 END END AS alike"),
+        f"""WITH RECURSIVE {_Z}, x AS (SELECT u, i, seq, CASE WHEN seq % 6 > 0 THEN seq % 10 / 9 - (seq % 500 < 200)::INT END AS a, count(*) OVER (PARTITION BY u) AS n FROM z),
+            w(u, i, n, seg, f, k, pk, pf, o) AS (SELECT u, i, n, 0, seq, 1, 0, 0::BIGINT, NULL::STRUCT(s INT, f BIGINT, k INT) FROM x WHERE i = 1 UNION ALL
+              SELECT x.u, x.i, w.n, CASE WHEN x.a < 0.45 AND w.pk = 2 THEN w.seg + 1 ELSE w.seg END, CASE WHEN x.a < 0.45 AND w.pk = 2 THEN w.pf ELSE w.f END, CASE WHEN x.a IS NULL THEN w.k + 1 WHEN x.a >= 0.45 THEN w.k + 1 + w.pk WHEN w.pk = 2 THEN 3 ELSE w.k END,
+                CASE WHEN x.a IS NULL THEN w.pk WHEN x.a >= 0.45 OR w.pk = 2 THEN 0 ELSE w.pk + 1 END, CASE WHEN x.a < 0.45 AND w.pk = 0 THEN x.seq ELSE w.pf END, CASE WHEN x.a < 0.45 AND w.pk = 2 THEN struct_pack(s := w.seg, f := w.f, k := w.k) END FROM w JOIN x ON x.u = w.u AND x.i = w.i + 1),
+            s AS (SELECT u, o.s AS s, o.f AS f, o.k AS k FROM w WHERE o IS NOT NULL UNION ALL SELECT u, seg, f, k + pk FROM w WHERE i = n)
+            SELECT u AS user_id, s::BIGINT AS segment, f AS first_seq, k::BIGINT AS frames FROM s QUALIFY row_number() OVER (PARTITION BY u ORDER BY s DESC) <= 6""",
+    ),
 }

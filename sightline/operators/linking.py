@@ -1,19 +1,24 @@
 """Joins, graphs and meshes over their own columns, bound to the driver's tables; oracles are texts of their own."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.arrays import observation_id
+
 from . import graphs
 from .graphs import cut
 from .tables import events, table
 
 
 def lookup_by_derived_id(rows: DataFrame, wanted: DataFrame, cutoff: float) -> DataFrame:
-    """rows (session, label, observed_at, recorded_at), wanted (id) -> id, found, observed_at: by the key computed from a row, inside retention only."""
-    key = F.substring(F.sha2(F.concat_ws("|", "session", "label", F.col("observed_at").cast("string")), 256), 1, 16)
-    live = rows.where(F.coalesce(F.col("recorded_at") >= cutoff, F.lit(False))).select(key.alias("_id"), "observed_at")
-    return wanted.join(live, F.col("id") == F.col("_id"), "left").select("id", F.col("_id").isNotNull().alias("found"), "observed_at")
+    """rows (session, label, observed_at, recorded_at), wanted (id, and other columns) -> wanted with found and observed_at: by the id computed from a
+    row's session, class and time, inside retention only; of several rows of one id the first recorded one."""
+    live = rows.where(F.coalesce(F.col("recorded_at") >= cutoff, F.lit(False))).select(observation_id(F.col("session").cast("string"), "label", F.col("observed_at").cast("double")).alias("_id"), "observed_at", "recorded_at")
+    first = live.groupBy("_id").agg(F.min_by("observed_at", "recorded_at").alias("observed_at"))
+    return wanted.join(first, F.col("id") == F.col("_id"), "left").withColumn("found", F.col("_id").isNotNull()).drop("_id")
 
 
 def trajectory(keyframes: DataFrame, poses: DataFrame) -> DataFrame:
@@ -65,13 +70,13 @@ def capture_lineage(captures: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 def frame_resolution(asked: DataFrame, lineage: DataFrame, held: DataFrame) -> DataFrame:
     """asked (capture, seq, best), lineage (id, head, pos), held (capture, path) -> path: the first of the walk's captures, from the
-    asked one on, that holds the best look, else the frame's own name, eight digits wide."""
+    asked one on, that holds the best look, else the frame's own name, at least eight digits wide."""
     l = lineage.where("NOT cyclic").select("id", "head", "pos")
     a = asked.join(l, asked.capture == l.id, "left").drop("id")
     h = held.join(l, held.capture == l.id).select(F.col("capture").alias("holder"), F.col("path").alias("_path"), F.col("head").alias("_head"), F.col("pos").alias("_pos"))
     hits = a.join(h, (F.col("head") == F.col("_head")) & (F.col("best") == F.col("_path")) & (F.col("_pos") >= F.col("pos")), "left")
     best = hits.groupBy("capture", "seq").agg(F.min_by(F.struct("holder", "_path"), "_pos").alias("b"))
-    return best.select("capture", "seq", F.coalesce(F.concat(F.col("b.holder").cast("string"), F.lit("/"), F.col("b._path")), F.concat(F.lit("frames/"), F.lpad(F.col("seq").cast("string"), 8, "0"), F.lit(".jpg"))).alias("path"))
+    return best.select("capture", "seq", F.coalesce(F.concat(F.col("b.holder").cast("string"), F.lit("/"), F.col("b._path")), F.concat(F.lit("frames/"), F.when(F.col("seq").isNotNull(), F.format_string("%08d", "seq")), F.lit(".jpg"))).alias("path"))
 
 
 def ab_compare(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -96,6 +101,18 @@ def covisibility_topk(support: DataFrame, k_top: int, k_loop: int, least: int, l
     return n.where(F.col("k").between(skip + 1, skip + k_top) | (F.col("far") & F.col("z").between(skip + 1, skip + k_loop))).select("frame", "other", "shared")
 
 
+def cross_budget(na: Column, nb: Column, budget: int, floor: int) -> tuple[Column, Column]:
+    """How many of na and nb rows are taken, so that their product is within the budget: the larger side gives way until it equals the other, then
+    both in turn, the first of equal ones first; neither falls below min(its rows, floor)."""
+    low, high, root = F.least(na, nb), F.greatest(na, nb), math.isqrt(budget)
+    cut_high = F.least(high, F.greatest(F.least(high, F.lit(floor)), F.floor(F.lit(budget) / low)))  # while the smaller side's square fits
+    one_more = root + (root * (root + 1) <= budget)
+    fits, square = na * nb <= budget, low <= root
+    a = F.when(fits, na).when(square & (na >= nb), cut_high).when(square, na).otherwise(F.greatest(F.lit(root), F.least(na, F.lit(floor))))
+    b = F.when(fits, nb).when(square & (na >= nb), nb).when(square, cut_high).otherwise(F.greatest(F.lit(one_more), F.least(nb, F.lit(floor))))
+    return a.cast("long"), b.cast("long")
+
+
 def sampled_cross_product(frames: DataFrame, pairs: DataFrame, budget: int = 256, floor: int = 8) -> DataFrame:
     """frames (segment, pos), pairs (a, b) -> a, b, frame_a, frame_b: evenly spread samples of both sides, ends included, whose product is within the budget.
 
@@ -103,28 +120,8 @@ def sampled_cross_product(frames: DataFrame, pairs: DataFrame, budget: int = 256
     """
     n = frames.groupBy("segment").agg(F.count("*").alias("n"))
     p = pairs.join(n.selectExpr("segment AS a", "n AS na"), "a").join(n.selectExpr("segment AS b", "n AS nb"), "b")
-
-    def taken(na, nb):
-        """Of the larger side: as large as the budget allows beside the other, which is cut only as far as the root of it."""
-        a, b = na, nb
-        fa, fb = min(na, floor), min(nb, floor)
-        while a * b > budget:
-            if a > fa and a >= b:
-                a -= 1
-            elif b > fb:
-                b -= 1
-            elif a > fa:
-                a -= 1
-            else:
-                break
-        return a, b
-
-    sizes = [r.n for r in n.select("n").distinct().limit(2001).collect()]
-    if len(sizes) > 2000:
-        raise ValueError("more than 2000 different segment lengths")
-    spark = frames.sparkSession
-    takes = spark.createDataFrame([(x, y, *taken(x, y)) for x in sizes for y in sizes], "na long, nb long, ta long, tb long")
-    p = p.join(F.broadcast(takes), ["na", "nb"])
+    ta, tb = cross_budget(F.col("na"), F.col("nb"), budget, floor)
+    p = p.withColumn("ta", ta).withColumn("tb", tb)
     at = lambda n, t: F.when(F.col(n) <= F.col(t), F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col(t) - 1), lambda i: F.bround(i * (F.col(n) - 1) / F.greatest(F.col(t) - 1, F.lit(1)), 0).cast("long"))))
     p = p.select("a", "b", F.explode(at("na", "ta")).alias("ia"), at("nb", "tb").alias("l")).select("a", "b", "ia", F.explode("l").alias("ib"))
     f = frames.selectExpr("segment", "pos", "row_number() OVER (PARTITION BY segment ORDER BY pos) - 1 AS i")
@@ -267,10 +264,18 @@ def rim_hops(faces: DataFrame, cap: int) -> DataFrame:
     return per.join(hops.withColumnRenamed("node", "vertex"), "vertex", "left").select("vertex", F.coalesce("hops", F.lit(cap)).alias("hops"), "aspect", "agreement")
 
 
-def sealed_patches(faces: DataFrame) -> DataFrame:
-    """faces (id, a, b, c, filled) of a welded mesh -> the faces that stay: of the connected patches of filled faces those go that own an
-    open edge, one that exactly one distinct triangle of the whole mesh uses."""
-    edges = cut(_edges(faces).join(faces.select("id", "filled", F.sort_array(F.array("a", "b", "c")).alias("t")), "id"), "patches")
+def sealed_patches(vertices: DataFrame, faces: DataFrame, quantum: float) -> DataFrame:
+    """vertices (id, x, y, z, filled), faces (id, a, b, c) -> the faces that stay. A face is filled if any of its corners is. Of the connected patches
+    of filled faces of the welded mesh those go that own an open edge: one that exactly one distinct triangle of the whole mesh uses; a triangle and
+    its own copy are one."""
+    key = [F.bround(F.col(c) / max(quantum, 1e-12), 0).alias(f"k{c}") for c in "xyz"]
+    v = vertices.select("id", "filled", *key)
+    weld = v.join(v.groupBy("kx", "ky", "kz").agg(F.min("id").alias("welded")), ["kx", "ky", "kz"])
+    f = faces.select("id", "a", "b", "c")
+    for c in "abc":
+        f = f.join(weld.select(F.col("id").alias(c), F.col("welded").alias(f"_{c}"), F.coalesce("filled", F.lit(False)).alias(f"_f{c}")), c)
+    f = f.select("id", *(F.col(f"_{c}").alias(c) for c in "abc"), (F.col("_fa") | F.col("_fb") | F.col("_fc")).alias("filled"))
+    edges = cut(_edges(f).join(f.select("id", "filled", F.sort_array(F.array("a", "b", "c")).alias("t")), "id"), "patches")
     open_ = edges.groupBy("v0", "v1").agg(F.count_distinct("t").alias("n")).where("n = 1").select("v0", "v1")
     filled = edges.where("filled")
     comp = graphs.connected_components(filled.selectExpr("v0 AS node"), filled.selectExpr("v0 AS src", "v1 AS dst"))
@@ -324,6 +329,12 @@ def _faces(s, d):
     return table(s, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "l_orderkey * 10 + l_linenumber AS a", "l_orderkey * 10 + l_linenumber + 1 AS b", "CASE WHEN l_orderkey % 19 = 0 THEN l_orderkey * 10 + l_linenumber + 1 ELSE l_orderkey * 10 + l_linenumber + 2 END AS c", "l_orderkey AS o", "l_linenumber AS l").dropDuplicates(["id"])
 
 
+def _corners(s, d):
+    """Corners of the strips; in every fourth order three places hold them all, so that strips close."""
+    v = _faces(s, d).select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
+    return v.selectExpr("id", "CAST(CASE WHEN id DIV 10 % 4 = 0 THEN id DIV 10 * 10 + id % 10 % 3 ELSE id END AS DOUBLE) + id % 7 * 0.01D AS x", "CASE WHEN id DIV 10 % 4 = 0 THEN 1D ELSE 0D END AS y", "0D AS z", "id DIV 10 % 3 = 0 AND id % 10 BETWEEN 3 AND 4 AS filled")
+
+
 _D_FACES = "fc AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_orderkey * 10 + l_linenumber AS a, l_orderkey * 10 + l_linenumber + 1 AS b, l_orderkey * 10 + l_linenumber + CASE WHEN l_orderkey % 19 = 0 THEN 1 ELSE 2 END AS c, l_orderkey AS o, l_linenumber AS l FROM lineitem)"
 _D_EDGES = "ed AS (SELECT id, least(a, b) AS v0, greatest(a, b) AS v1 FROM fc UNION ALL SELECT id, least(b, c), greatest(b, c) FROM fc UNION ALL SELECT id, least(a, c), greatest(a, c) FROM fc)"
 
@@ -343,8 +354,8 @@ def _place(s, d):
 
 OPS = {
     "lookup_by_derived_id": (
-        lambda s, d: lookup_by_derived_id(events(s, d).selectExpr("capture AS session", "label", "seq AS observed_at", "CASE WHEN seq % 10 > 0 THEN CAST(seq AS DOUBLE) END AS recorded_at"), events(s, d).where("seq % 5 = 0").selectExpr("substr(sha2(concat_ws('|', capture, CASE WHEN seq % 3 = 0 THEN 'other' ELSE label END, seq), 256), 1, 16) AS id"), 2000.0),
-        "SELECT left(sha256(user_id || '|' || CASE WHEN event_id % 3 = 0 THEN 'other' ELSE event_type END || '|' || event_id), 16) AS id, event_id >= 2000 AND event_id % 3 > 0 AND event_id % 10 > 0 AS found, CASE WHEN event_id >= 2000 AND event_id % 3 > 0 AND event_id % 10 > 0 THEN event_id END AS observed_at FROM events WHERE event_id % 5 = 0",
+        lambda s, d: lookup_by_derived_id(events(s, d).selectExpr("CASE WHEN seq % 4 > 0 THEN capture END AS session", "label", "seq / 7 AS observed_at", "CASE WHEN seq % 10 > 0 THEN CAST(seq AS DOUBLE) END AS recorded_at"), events(s, d).where("seq % 5 = 0").select(F.col("seq").alias("asked"), observation_id(F.expr("CASE WHEN seq % 4 > 0 THEN CAST(capture AS STRING) END"), F.expr("CASE WHEN seq % 3 = 0 THEN 'other' ELSE label END"), F.expr("seq / 7")).alias("id")), 2000.0).drop("id"),
+        "SELECT event_id AS asked, ok AS found, CASE WHEN ok THEN event_id / 7 END AS observed_at FROM (SELECT *, event_id >= 2000 AND event_id % 3 > 0 AND event_id % 10 > 0 AS ok FROM events WHERE event_id % 5 = 0) x",
     ),
     "trajectory_left_join": (
         lambda s, d: trajectory(table(s, d, "orders").selectExpr("o_custkey AS world", "o_totalprice AS pos", "o_orderkey AS id"), table(s, d, "orders").where("o_orderkey % 9 > 0").selectExpr("o_orderkey AS id", "element_at(array('solved', 'anchor', 'refused'), CAST(o_orderkey % 3 + 1 AS INT)) AS status", "CAST(o_orderkey AS DOUBLE) AS x", "CASE WHEN o_orderkey % 4 > 0 THEN 1D END AS y", "2D AS z")),
@@ -358,8 +369,8 @@ OPS = {
     ),
     "capture_lineage": (lambda s, d: capture_lineage(_captures(s, d)), f"WITH RECURSIVE {_D_CAPS} SELECT * FROM ln"),
     "frame_resolution": (
-        lambda s, d: frame_resolution(table(s, d, "orders").selectExpr("o_orderkey AS capture", "o_orderkey % 1000 AS seq", "concat('best/', o_orderkey % 3, '.jpg') AS best"), capture_lineage(_captures(s, d)), table(s, d, "orders").where("o_orderkey % 4 = 0").selectExpr("o_orderkey AS capture", "concat('best/', o_orderkey % 5, '.jpg') AS path")),
-        f"""WITH RECURSIVE {_D_CAPS}, h AS (SELECT ln.*, id % 5 AS p FROM ln WHERE id % 4 = 0 AND NOT cyclic) SELECT o_orderkey AS capture, o_orderkey % 1000 AS seq, coalesce((SELECT h.id || '/best/' || p || '.jpg' FROM h WHERE h.head = a.head AND h.pos >= a.pos AND p = o_orderkey % 3 ORDER BY h.pos LIMIT 1), 'frames/' || lpad((o_orderkey % 1000)::VARCHAR, 8, '0') || '.jpg') AS path
+        lambda s, d: frame_resolution(table(s, d, "orders").selectExpr("o_orderkey AS capture", "o_orderkey % 1000 * 1234567 AS seq", "concat('best/', o_orderkey % 3, '.jpg') AS best"), capture_lineage(_captures(s, d)), table(s, d, "orders").where("o_orderkey % 4 = 0").selectExpr("o_orderkey AS capture", "concat('best/', o_orderkey % 5, '.jpg') AS path")),
+        f"""WITH RECURSIVE {_D_CAPS}, h AS (SELECT ln.*, id % 5 AS p FROM ln WHERE id % 4 = 0 AND NOT cyclic) SELECT o_orderkey AS capture, o_orderkey % 1000 * 1234567 AS seq, coalesce((SELECT h.id || '/best/' || p || '.jpg' FROM h WHERE h.head = a.head AND h.pos >= a.pos AND p = o_orderkey % 3 ORDER BY h.pos LIMIT 1), 'frames/' || printf('%08d', o_orderkey % 1000 * 1234567) || '.jpg') AS path
             FROM orders LEFT JOIN ln a ON a.id = o_orderkey AND NOT cyclic""",
     ),
     "ab_compare": (
@@ -451,7 +462,14 @@ OPS = {
             i AS (SELECT DISTINCT id, v, l FROM (SELECT id, unnest([a, b, c]) AS v, l FROM fc) x), p AS (SELECT v, max(l)::DOUBLE AS aspect, sqrt(avg((l % 2 = 0)::INT) ** 2 + avg((l % 2 = 1)::INT) ** 2) AS ag FROM (SELECT id, unnest([a, b, c]) AS v, l FROM fc) x GROUP BY v)
             SELECT p.v AS vertex, coalesce(k, 3)::INT AS hops, aspect, round(ag, 6) AS agreement FROM p LEFT JOIN n ON n.v = p.v""",
     ),
-    "sealed_patches": (lambda s, d: sealed_patches(_faces(s, d).selectExpr("id", "a", "b", "c", "o % 3 = 0 AND l BETWEEN 2 AND 3 AS filled")), None),
+    "sealed_patches": (
+        lambda s, d: sealed_patches(_corners(s, d), _faces(s, d).where("o % 3 > 0 OR l < 9"), 0.25),
+        f"""WITH RECURSIVE {_D_FACES}, vx AS (SELECT DISTINCT v FROM (SELECT unnest([a, b, c]) AS v FROM fc) q), w AS (SELECT v, min(v) OVER (PARTITION BY CASE WHEN v // 10 % 4 = 0 THEN v // 10 * 10 + v % 10 % 3 ELSE v END) AS w, v // 10 % 3 = 0 AND v % 10 BETWEEN 3 AND 4 AS filled FROM vx),
+            f AS (SELECT id, x.w AS a, y.w AS b, z.w AS c, x.filled OR y.filled OR z.filled AS filled FROM fc JOIN w x ON x.v = a JOIN w y ON y.v = b JOIN w z ON z.v = c),
+            e AS (SELECT id, filled, list_sort([a, b, c]) AS t, least(p, q) AS v0, greatest(p, q) AS v1 FROM (SELECT *, a AS p, b AS q FROM f UNION ALL SELECT *, b, c FROM f UNION ALL SELECT *, c, a FROM f) s), o AS (SELECT v0, v1 FROM e GROUP BY v0, v1 HAVING count(DISTINCT t) = 1),
+            l AS (SELECT v0 AS x, v1 AS y FROM e WHERE filled UNION SELECT v1, v0 FROM e WHERE filled), r(x, k) AS (SELECT x, x FROM l UNION SELECT l.y, k FROM r JOIN l ON l.x = r.x), g AS (SELECT x, min(k) AS k FROM r GROUP BY x),
+            bad AS (SELECT DISTINCT k FROM e JOIN g ON x = v0 JOIN o ON o.v0 = e.v0 AND o.v1 = e.v1 WHERE filled) SELECT f.id FROM f LEFT JOIN g ON x = f.a WHERE NOT filled OR k NOT IN (SELECT k FROM bad)""",
+    ),
     "bfs_compose": (
         lambda s, d: _sim3(s, d)[1].selectExpr("node", "hops", "round(s, 6) AS scale", "round(r[0], 6) AS cosine", "round(r[3], 6) AS sine"),
         """WITH g AS (SELECT n_regionkey AS g, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation), h AS (SELECT *, least(i, n - i) AS h, i <= n - i AS there, 2 * pi() * i / n AS w FROM g)

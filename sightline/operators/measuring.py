@@ -17,20 +17,21 @@ def _div(a: Column, b: Column) -> Column:
 def session_metrics(frames: DataFrame, stages: DataFrame) -> DataFrame:
     """frames (session, arrival, seq, tx_seq, at, bytes, latency, accepted), stages (session, stage, ms) -> a row a session.
 
-    Gaps in seq count accepted rows, gaps in tx_seq all that carry one; with none they are null, not 0. Rates are null
-    without a span of time.
+    Gaps in seq count accepted rows, gaps in tx_seq all that carry one; with none they are null, not 0. A session lasts from
+    its first row to its last, refused ones too, at least a nanosecond; fps are accepted frames and bandwidth is bytes, each
+    over that time. Means and maxima of nothing are 0.
     """
     w = "PARTITION BY session ORDER BY arrival"
     seq = f"CASE WHEN accepted THEN greatest(seq - lag(CASE WHEN accepted THEN seq END) IGNORE NULLS OVER ({w}) - 1, 0) END AS seq_gap"
     tx = f"CASE WHEN tx_seq IS NOT NULL THEN greatest(tx_seq - lag(tx_seq) IGNORE NULLS OVER ({w}) - 1, 0) END AS tx_gap"
     ok = lambda c: F.when(F.col("accepted"), c)
     f = frames.selectExpr("*", seq, tx).groupBy("session").agg(
-        F.count_if("accepted").alias("frames"), F.count_if(~F.col("accepted")).alias("rejected"), F.sum(ok(F.col("bytes"))).alias("total_bytes"), F.coalesce(F.sum("seq_gap"), F.lit(0)).alias("seq_gaps"),
-        F.when(F.count("tx_seq") > 0, F.coalesce(F.sum("tx_gap"), F.lit(0))).alias("tx_gaps"), F.avg(ok(F.col("latency"))).alias("latency_mean"), F.max(ok(F.col("latency"))).alias("latency_max"), (F.max(ok(F.col("at"))) - F.min(ok(F.col("at")))).alias("span"),
+        F.count_if("accepted").alias("frames"), F.count_if(~F.col("accepted")).alias("rejected"), F.coalesce(F.sum(ok(F.col("bytes"))), F.lit(0)).alias("total_bytes"), F.coalesce(F.sum("seq_gap"), F.lit(0)).alias("seq_gaps"),
+        F.when(F.count("tx_seq") > 0, F.coalesce(F.sum("tx_gap"), F.lit(0))).alias("tx_gaps"), F.coalesce(F.avg(ok(F.col("latency"))), F.lit(0.0)).alias("latency_mean"), F.coalesce(F.max(ok(F.col("latency"))), F.lit(0.0)).alias("latency_max"), (F.max("at") - F.min("at")).alias("span"),
     )
-    span = F.when(F.col("span") > 0, F.col("span"))
-    f = f.withColumn("fps", (F.col("frames") - 1) / span).withColumn("bandwidth", F.col("total_bytes") * 8 / span).drop("span")
-    per = stages.groupBy("session", "stage").agg(F.avg("ms").alias("mean"), F.max("ms").alias("max"))
+    span = F.greatest(F.coalesce("span", F.lit(0.0)), F.lit(1e-9))
+    f = f.withColumn("fps", F.col("frames") / span).withColumn("bandwidth", F.col("total_bytes") / span).drop("span")
+    per = stages.groupBy("session", "stage").agg(F.coalesce(F.avg("ms"), F.lit(0.0)).alias("mean"), F.coalesce(F.max("ms"), F.lit(0.0)).alias("max"))
     return f.join(per.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("stage", "mean", "max"))).alias("stages")), "session", "left")
 
 
@@ -175,17 +176,26 @@ def coherence_share(points: DataFrame) -> DataFrame:
     return whole.join(comp, how="left").select("component", "segments", "largest", F.round(_div(F.col("largest"), F.col("total")), 4).alias("largest_share"), F.round(_div(F.col("points"), F.col("total")), 4).alias("share"))
 
 
-def fragment_counts(points: DataFrame, least_points: int, legible: float) -> DataFrame:
-    """points (segment, x, z) -> drawable segments, and legible ones: whose extent fitted to a unit card, the median step from the centre over the extent, reaches the limit."""
-    s = points.groupBy("segment").agg(F.count("*").alias("n"), F.greatest(F.max("x") - F.min("x"), F.max("z") - F.min("z")).alias("extent"), F.greatest(F.percentile("x", 0.75) - F.percentile("x", 0.25), F.percentile("z", 0.75) - F.percentile("z", 0.25)).alias("core"))
+def fragment_counts(points: DataFrame, least_points: int = 20, card: float = 140.0, margin: float = 0.9, legible: float = 20.0) -> DataFrame:
+    """points (segment, x, z) -> drawable segments (with enough points), and the legible ones of them: fitted by their whole extent to a card
+    `card` wide, with the margin, their core, from the 2nd to the 98th percentile of x or z, is at least `legible` wide."""
+    band = lambda c: F.percentile(c, 0.98) - F.percentile(c, 0.02)
+    wide = lambda c: F.greatest(F.max(c) - F.min(c), F.lit(1e-6))
+    s = points.groupBy("segment").agg(F.count("*").alias("n"), (F.least(card / wide("x"), card / wide("z")) * margin).alias("scale"), F.greatest(band("x"), band("z")).alias("core"))
     drawable = F.col("n") >= least_points
-    return s.agg(F.count_if(drawable).alias("drawable"), F.count_if(drawable & F.coalesce(_div(F.col("core"), F.col("extent")) >= legible, F.lit(False))).alias("legible"))
-
-
-def corpus_totals(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (points, share, blowup, discards map<string,string>) -> sums; of each discard key the sum of its whole numbers; mean share, worst blowup and how many can't be measured."""
-    number = lambda k: F.when(F.element_at("discards", k).rlike("^-?[0-9]+$"), F.element_at("discards", k).cast("long"))
-    return rows.agg(F.count("*").alias("captures"), F.sum("points").alias("points"), *(F.coalesce(F.sum(number(k)), F.lit(0)).alias(f"discard_{k}") for k in keys), F.avg("share").alias("mean_share"), F.max("blowup").alias("worst_blowup"), F.count_if(F.col("blowup").isNull()).alias("unmeasurable"))
+    return s.agg(F.count_if(drawable).alias("drawable"), F.count_if(drawable & (F.col("core") * F.col("scale") >= legible)).alias("legible"))
+
+
+def corpus_totals(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """rows (largest_share, blowup, wall_seconds, discards map<string, variant>, and `sums`, whole numbers) -> captures; the sum of each of
+    `sums`; of each discard key the sum of its numbers (true, text and null are none); the mean share of those that have one (0 if none has);
+    wall seconds rounded to 3; the worst blowup, never a mean, and how many can't be measured."""
+    value = lambda k: F.element_at("discards", k)
+    number = lambda k: F.when(F.schema_of_variant(value(k)).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value(k), "$", "double"))
+    return rows.agg(
+        F.count("*").alias("captures"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums), *(F.coalesce(F.sum(number(k)), F.lit(0.0)).alias(f"discard_{k}") for k in keys),
+        F.coalesce(F.avg("largest_share"), F.lit(0.0)).alias("mean_share"), F.round(F.coalesce(F.sum("wall_seconds"), F.lit(0.0)), 3).alias("wall_seconds"), F.max("blowup").alias("worst_blowup"), F.count_if(F.col("blowup").isNull()).alias("unmeasurable"),
+    )
 
 
 def voxel_reduce(points: DataFrame, size: float) -> DataFrame:
@@ -202,9 +212,16 @@ def last_seen(rows: DataFrame, recordable: list[str], asked: list[str]) -> DataF
 
 
 def label_scoring(frames: DataFrame) -> DataFrame:
-    """frames (class, truth, got) -> exact, under and over rates and mean absolute error, rounded to 3."""
+    """frames (class, truth, got) -> frames, totals of both, exact, under and over rates and mean absolute error, rounded to 3."""
     rate = lambda c: F.round(F.avg(c.cast("int")), 3)
-    return frames.groupBy("class").agg(F.count("*").alias("n"), rate(F.col("got") == F.col("truth")).alias("exact"), rate(F.col("got") < F.col("truth")).alias("under"), rate(F.col("got") > F.col("truth")).alias("over"), F.round(F.avg(F.abs(F.col("got") - F.col("truth"))), 3).alias("mae"))
+    return frames.groupBy("class").agg(F.count("*").alias("n"), F.sum("truth").alias("labelled_total"), F.sum("got").alias("engine_total"), rate(F.col("got") == F.col("truth")).alias("exact"), rate(F.col("got") < F.col("truth")).alias("under"), rate(F.col("got") > F.col("truth")).alias("over"), F.round(F.avg(F.abs(F.col("got") - F.col("truth"))), 3).alias("mae"))
+
+
+def wearer_frames(frames: DataFrame) -> DataFrame:
+    """frames (wearer_visible, bystanders, people, partial_bottom, raw_people) -> of those that show the wearer and no bystander (null: none):
+    how many, with a person counted, with one put down as partial at the bottom edge, with any box of a person."""
+    own = frames.where(F.coalesce("wearer_visible", F.lit(False)) & (F.coalesce("bystanders", F.lit(0)) == 0))
+    return own.agg(F.count("*").alias("frames"), *(F.count_if(F.col(c) > 0).alias(n) for c, n in (("people", "false_person"), ("partial_bottom", "routed_to_bottom"), ("raw_people", "any_box"))))
 
 
 def count_stability(frames: DataFrame) -> DataFrame:
@@ -219,13 +236,20 @@ def bytes_by_tier(files: DataFrame) -> DataFrame:
     return files.withColumn("t", tier).groupBy("world").agg(F.sum("length").alias("total"), *(F.coalesce(F.sum(F.when(F.col("t") == k, F.col("length"))), F.lit(0)).alias(k) for k in ("images", "derived", "journals")))
 
 
-def path_length(poses: DataFrame) -> DataFrame:
-    """poses (world, seq, segment, status, x, y, z, scale_known) -> length, or null and the reason, the first that holds."""
+def path_length(poses: DataFrame, manifests: DataFrame) -> DataFrame:
+    """poses (world, seq, status, x, y, z), manifests (world, refused, segments, scale_known) -> a row a manifest: length, or null and the
+    reason, the first that holds: refused poses (or not known how many), several segments (or not known), unknown scale; then the first pose in
+    order that is neither solved nor an anchor, or has no place; no pose at all."""
     w = "PARTITION BY world ORDER BY seq"
     step = poses.selectExpr("*", *(f"{c} - lag({c}) OVER ({w}) AS d{c}" for c in "xyz"))
-    out = step.groupBy("world").agg(F.count_if(F.col("status") == "refused").alias("refused"), F.count_distinct("segment").alias("segments"), F.bool_and("scale_known").alias("known"), F.count_if(F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()).alias("without"), F.sum(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))).alias("sum"))
-    reason = F.when(F.col("refused") > 0, "refused poses").when(F.col("segments") > 1, "several segments").when(~F.col("known"), "unknown scale").when(F.col("without") > 0, "a pose without a place")
-    return out.select("world", F.when(reason.isNull(), F.coalesce("sum", F.lit(0.0))).alias("length"), reason.alias("reason"))
+    fault = F.when(~F.coalesce(F.col("status").isin("solved", "anchor"), F.lit(False)), "a pose isn't solved").when(F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull(), "a pose without a place")
+    out = step.withColumn("_f", fault).groupBy(F.col("world").alias("_w")).agg(F.min_by(F.col("_f"), F.when(F.col("_f").isNotNull(), F.col("seq"))).alias("fault"), F.sum(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))).alias("sum"))
+    j = manifests.join(out, F.col("world").eqNullSafe(F.col("_w")), "left")
+    reason = (
+        F.when(F.col("refused").isNull() | (F.col("refused") > 0), "refused poses").when(F.col("segments").isNull() | (F.col("segments") > 1), "several segments").when(~F.coalesce("scale_known", F.lit(False)), "unknown scale")
+        .when(F.col("_w").isNull(), "no pose was solved").otherwise(F.col("fault"))
+    )
+    return j.select("world", F.when(reason.isNull(), F.coalesce("sum", F.lit(0.0))).alias("length"), reason.alias("reason"))
 
 
 def spatial_coverage(points: DataFrame, cells: int = 8) -> DataFrame:
@@ -249,11 +273,14 @@ def histogram_stats(levels: DataFrame, dark: int = 10, bright: int = 245) -> Dat
 
 
 def clock_drift_fit(rows: DataFrame) -> DataFrame:
-    """rows (session, seq, t, offset) -> mean, least and largest offset, drift in parts per million, spread of the steps and of what the line leaves."""
-    d = rows.selectExpr("*", "offset - lag(offset) OVER (PARTITION BY session ORDER BY seq) AS delta")
-    out = d.groupBy("session").agg(F.avg("offset").alias("mean"), F.min("offset").alias("low"), F.max("offset").alias("high"), (F.regr_slope("offset", "t") * 1e6).alias("ppm"), F.stddev_pop("delta").alias("delta_std"), F.regr_syy("offset", "t").alias("_yy"), F.regr_sxy("offset", "t").alias("_xy"), F.regr_sxx("offset", "t").alias("_xx"), F.count("offset").alias("_n"))
-    left = F.col("_yy") - _div(F.col("_xy") * F.col("_xy"), F.col("_xx"))
-    return out.withColumn("residual_std", F.sqrt(F.greatest(left, F.lit(0.0)) / F.col("_n"))).drop("_yy", "_xy", "_xx", "_n")
+    """rows (session, seq, host, pts) of two clocks -> elapsed host time; mean, least and largest of host - pts; its slope against host time in
+    parts per million, 0 if time stands still; mean, population deviation, least and largest of the steps of both clocks and of their difference (pts
+    less host). Sessions under three rows are left out."""
+    w = "PARTITION BY session ORDER BY seq"
+    d = rows.selectExpr("*", "host - pts AS offset", f"host - first(host) OVER ({w}) AS t", f"pts - lag(pts) OVER ({w}) AS step_pts", f"host - lag(host) OVER ({w}) AS step_host").withColumn("step_both", F.col("step_pts") - F.col("step_host"))
+    stats = [x for k in ("pts", "host", "both") for x in (F.avg(f"step_{k}").alias(f"{k}_mean"), F.stddev_pop(f"step_{k}").alias(f"{k}_std"), F.min(f"step_{k}").alias(f"{k}_low"), F.max(f"step_{k}").alias(f"{k}_high"))]
+    out = d.groupBy("session").agg(F.count("*").alias("n"), F.max_by("t", "seq").alias("elapsed"), F.avg("offset").alias("mean"), F.min("offset").alias("low"), F.max("offset").alias("high"), F.coalesce(F.regr_slope("offset", "t") * 1e6, F.lit(0.0)).alias("ppm"), *stats)
+    return out.where(F.col("n") >= 3)
 
 
 def flicker_metrics(pixels: DataFrame) -> DataFrame:
@@ -320,10 +347,10 @@ def degree_distribution(support: DataFrame, nodes: DataFrame, strong: int) -> Da
 
 
 def support_distribution(points: DataFrame, rows: DataFrame) -> DataFrame:
-    """points (segment, point), rows (segment, point, frame, feature) -> views, points: distinct frames of each, those without too; duplicates, orphans and features that several points claim beside."""
+    """points (segment, point), rows (segment, point, frame, feature) -> views, points: distinct frames of each, those without too; duplicates, orphans and features that several points claim beside. Frames, points and features are numbered within their segment."""
     seen = rows.groupBy("segment", "point").agg(F.count_distinct("frame").alias("views"), (F.count("*") - F.count_distinct("frame")).alias("duplicates"))
     full = points.join(seen, ["segment", "point"], "left").select(F.coalesce("views", F.lit(0)).alias("views"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"))
-    claimed = rows.groupBy("frame", "feature").agg(F.count_distinct("segment", "point").alias("c")).agg(F.count_if(F.col("c") > 1).alias("contested"))
+    claimed = rows.groupBy("segment", "frame", "feature").agg(F.count_distinct("point").alias("c")).agg(F.count_if(F.col("c") > 1).alias("contested"))
     orphans = rows.join(points, ["segment", "point"], "left_anti").agg(F.count("*").alias("orphans"))
     hist = full.groupBy("views").agg(F.count("*").alias("points"), F.sum("duplicates").alias("duplicates"))
     return hist.crossJoin(F.broadcast(claimed)).crossJoin(F.broadcast(orphans))  # one row each
@@ -349,7 +376,8 @@ def refusal_root_vs_cascade(poses: DataFrame) -> DataFrame:
 
 def robust_affine_fit(rows: DataFrame, rounds: int = 12) -> DataFrame:
     """rows (g, pos, x, y) -> slope, offset, held_out: Huber weights (1.5 deviations by the median of residuals about their
-    median) in `rounds` weighted fits on even places; the median relative residual of odd places; null under 2 even rows."""
+    median) in `rounds` weighted fits on even places, where both sides of each equation are weighed, so that squares carry the
+    weight squared; the median relative residual of odd places; null under 2 even rows."""
     import numpy as np
     import pandas as pd
 
@@ -361,13 +389,14 @@ def robust_affine_fit(rows: DataFrame, rounds: int = 12) -> DataFrame:
         if len(a) >= 2:
             weight = np.ones(len(a))
             for _ in range(rounds):
-                mx, my, w = (weight * a).sum() / weight.sum(), (weight * b).sum() / weight.sum(), weight
+                w = weight * weight
+                mx, my = (w * a).sum() / w.sum(), (w * b).sum() / w.sum()
                 xx = (w * (a - mx) ** 2).sum()
                 slope = (w * (a - mx) * (b - my)).sum() / xx if xx > 0 else 0.0
                 offset = my - slope * mx
                 left = b - slope * a - offset
-                scale = 1.4826 * np.median(np.abs(left - np.median(left))) + 1e-9
-                weight = np.minimum(1.0, 1.5 * scale / np.maximum(np.abs(left), 1e-12))
+                far = 1.5 * (1.4826 * np.median(np.abs(left - np.median(left))) + 1e-12)
+                weight = np.where(np.abs(left) <= far, 1.0, far / (np.abs(left) + 1e-12))
             held = np.abs(y[1::2] - slope * x[1::2] - offset) / np.maximum(np.abs(y[1::2]), 1e-9)
             out |= {"slope": slope, "offset": offset, "held_out": float(np.median(held)) if len(held) else None}
         return pd.DataFrame([out])
@@ -446,8 +475,8 @@ OPS = {
         lambda s, d: _R6(session_metrics(_lines(s, d), _lines(s, d)).selectExpr("session", "frames", "rejected", "total_bytes", "seq_gaps", "tx_gaps", "latency_mean", "latency_max", "fps", "bandwidth", "stages[0].stage AS stage", "stages[0].mean AS stage_mean", "stages[0].max AS stage_max"), "latency_mean", "fps", "bandwidth", "stage_mean"),
         f"""WITH {_D_LINES}, g AS (SELECT session, sum(greatest(seq - was - 1, 0)) AS gaps FROM (SELECT session, seq, lag(seq) OVER (PARTITION BY session ORDER BY arrival) AS was FROM li WHERE ok) x GROUP BY 1),
             x AS (SELECT session, sum(greatest(tx - was - 1, 0)) AS gaps FROM (SELECT session, tx, lag(tx) OVER (PARTITION BY session ORDER BY arrival) AS was FROM li WHERE tx IS NOT NULL) y GROUP BY 1),
-            m AS (SELECT session, count_if(ok) AS frames, count_if(NOT ok) AS rejected, (sum(b) FILTER (ok))::BIGINT AS total_bytes, avg(lat) FILTER (ok) AS lm, max(lat) FILTER (ok) AS latency_max, nullif(max(d) FILTER (ok) - min(d) FILTER (ok), 0) AS span, min(stage) AS stage FROM li GROUP BY 1)
-            SELECT m.session, frames, rejected, total_bytes, coalesce(g.gaps, 0)::BIGINT AS seq_gaps, CASE WHEN m.session % 3 > 0 THEN coalesce(x.gaps, 0)::BIGINT END AS tx_gaps, round(lm, 6) AS latency_mean, latency_max, round((frames - 1) / span, 6) AS fps, round(total_bytes * 8 / span, 6) AS bandwidth,
+            m AS (SELECT session, count_if(ok) AS frames, count_if(NOT ok) AS rejected, sum(CASE WHEN ok THEN b ELSE 0 END)::BIGINT AS total_bytes, coalesce(avg(lat) FILTER (ok), 0) AS lm, coalesce(max(lat) FILTER (ok), 0) AS latency_max, CASE WHEN max(d) = min(d) THEN 1e-9::DOUBLE ELSE max(d) - min(d) END AS span, min(stage) AS stage FROM li GROUP BY 1)
+            SELECT m.session, frames, rejected, total_bytes, coalesce(g.gaps, 0)::BIGINT AS seq_gaps, CASE WHEN m.session % 3 > 0 THEN coalesce(x.gaps, 0)::BIGINT END AS tx_gaps, round(lm, 6) AS latency_mean, latency_max, round(frames / span, 6) AS fps, round(total_bytes / span, 6) AS bandwidth,
               m.stage, round(avg(ms), 6) AS stage_mean, max(ms) AS stage_max FROM m LEFT JOIN g USING (session) LEFT JOIN x USING (session) JOIN li ON li.session = m.session AND li.stage = m.stage GROUP BY ALL""",
     ),
     "typed_metric_rollup": (
@@ -516,12 +545,14 @@ OPS = {
         "WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label % 3 AS component, (SELECT count(*) FROM n) AS segments, (SELECT max(n) FROM n) AS largest, (SELECT round(max(n) / sum(n), 4) FROM n) AS largest_share, round(sum(n) / (SELECT sum(n) FROM n), 4) AS share FROM n GROUP BY 1",
     ),
     "fragment_counts": (
-        lambda s, d: fragment_counts(_poses(s, d).selectExpr("concat(world, '-', segment) AS segment", "x", "z"), 3, 0.5),
-        f"WITH {_D_POSES}, g AS (SELECT world, segment, count(*) AS n, greatest(max(x) - min(x), max(z) - min(z)) AS e, greatest(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), quantile_cont(z, 0.75) - quantile_cont(z, 0.25)) AS c FROM ps GROUP BY ALL) SELECT count_if(n > 2) AS drawable, count_if(n > 2 AND e > 0 AND c / e >= 0.5) AS legible FROM g",
+        lambda s, d: fragment_counts(_poses(s, d).selectExpr("segment", "x", "z * z AS z"), 20, legible=110.0),
+        f"""WITH {_D_POSES}, g AS (SELECT segment, count(*) AS n, 126 / greatest(max(x) - min(x), max(z * z) - min(z * z), 1e-6) AS s, quantile_cont(x, 0.98) - quantile_cont(x, 0.02) AS cx, quantile_cont(z * z, 0.98) - quantile_cont(z * z, 0.02) AS cz FROM ps GROUP BY ALL)
+            SELECT count(*) FILTER (n > 19) AS drawable, count(*) FILTER (n > 19 AND (cx * s >= 110 OR cz * s >= 110)) AS legible FROM g""",
     ),
     "corpus_totals": (
-        lambda s, d: _R6(corpus_totals(table(s, d, "customer").selectExpr("c_custkey AS points", "CASE WHEN c_custkey % 4 > 0 THEN CAST(c_acctbal AS DOUBLE) END AS share", "CASE WHEN c_custkey % 7 > 0 THEN CAST(c_nationkey AS DOUBLE) END AS blowup", "map('low', CAST(c_custkey % 5 AS STRING), 'high', CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE '3' END) AS discards"), ["low", "high"]), "mean_share"),
-        "SELECT count(*) AS captures, sum(c_custkey)::BIGINT AS points, sum(c_custkey % 5)::BIGINT AS discard_low, 3 * count_if(c_custkey % 2 = 1) AS discard_high, round(avg(c_acctbal::DOUBLE) FILTER (c_custkey % 4 > 0), 6) AS mean_share, max(c_nationkey) FILTER (c_custkey % 7 > 0)::DOUBLE AS worst_blowup, count_if(c_custkey % 7 = 0) AS unmeasurable FROM customer",
+        lambda s, d: _R6(corpus_totals(table(s, d, "customer").selectExpr("c_custkey AS points", "c_nationkey AS segments", "c_custkey % 9 AS keyframes", "c_custkey % 5 AS poses_solved", "c_custkey % 4 AS poses_refused", "1 AS legible", "c_custkey % 3 AS drawable", "2 AS segments_with_geometry", "c_custkey % 50 AS largest_points", "CASE WHEN c_custkey % 4 > 0 THEN CAST(c_acctbal AS DOUBLE) END AS largest_share", "c_custkey / 8 AS wall_seconds", "CASE WHEN c_custkey % 7 > 0 THEN CAST(c_nationkey AS DOUBLE) END AS blowup", "map('low', parse_json(CAST(c_custkey % 5 AS STRING)), 'high', parse_json(CASE c_custkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN '3' WHEN 2 THEN '0.25' ELSE '\"7\"' END)) AS discards"), ["low", "high", "absent"], ["points", "segments", "keyframes", "poses_solved", "poses_refused", "legible", "drawable", "segments_with_geometry", "largest_points"]), "mean_share"),
+        """SELECT count(*) AS captures, sum(c_custkey)::BIGINT AS points, sum(c_nationkey)::BIGINT AS segments, sum(c_custkey % 9)::BIGINT AS keyframes, sum(c_custkey % 5)::BIGINT AS poses_solved, sum(c_custkey % 4)::BIGINT AS poses_refused, count(*) AS legible, sum(c_custkey % 3)::BIGINT AS drawable, 2 * count(*) AS segments_with_geometry, sum(c_custkey % 50)::BIGINT AS largest_points,
+             sum(c_custkey % 5)::DOUBLE AS discard_low, 3.0::DOUBLE * count_if(c_custkey % 4 = 1) + 0.25::DOUBLE * count_if(c_custkey % 4 = 2) AS discard_high, 0.0::DOUBLE AS discard_absent, round(avg(c_acctbal::DOUBLE) FILTER (c_custkey % 4 > 0), 6) AS mean_share, round(sum(c_custkey) / 8, 3) AS wall_seconds, max(c_nationkey) FILTER (c_custkey % 7 > 0)::DOUBLE AS worst_blowup, count_if(c_custkey % 7 = 0) AS unmeasurable FROM customer""",
     ),
     "voxel_reduce": (
         lambda s, d: _R6(voxel_reduce(_poses(s, d).selectExpr("x", "y", "z", "CAST(seq % 256 AS INT) AS r", "CAST(seq % 13 AS INT) AS g", "CAST(seq % 7 AS INT) AS b", "CAST(seq % 101 AS INT) AS confidence"), 0.1), "x", "y", "z"),
@@ -534,7 +565,11 @@ OPS = {
     ),
     "label_scoring": (
         lambda s, d: label_scoring(table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id").selectExpr("lang AS class", "CAST(doc_id % 4 AS INT) AS truth", "CAST(n_chars % 4 AS INT) AS got")),
-        "SELECT lang AS class, count(*) AS n, round(count_if(a = b) / count(*), 3) AS exact, round(count_if(b < a) / count(*), 3) AS under, round(count_if(b > a) / count(*), 3) AS over, round(sum(abs(a - b)) / count(*), 3) AS mae FROM (SELECT lang, d.doc_id % 4 AS a, n_chars % 4 AS b FROM documents d JOIN labels l ON d.doc_id = l.doc_id) x GROUP BY 1",
+        "SELECT lang AS class, count(*) AS n, sum(a)::BIGINT AS labelled_total, sum(b)::BIGINT AS engine_total, round(count_if(a = b) / count(*), 3) AS exact, round(count_if(b < a) / count(*), 3) AS under, round(count_if(b > a) / count(*), 3) AS over, round(sum(abs(a - b)) / count(*), 3) AS mae FROM (SELECT lang, d.doc_id % 4 AS a, n_chars % 4 AS b FROM documents d JOIN labels l ON d.doc_id = l.doc_id) x GROUP BY 1",
+    ),
+    "wearer_frame_counts": (
+        lambda s, d: wearer_frames(table(s, d, "documents").selectExpr("CASE WHEN doc_id % 5 > 0 THEN doc_id % 3 = 0 END AS wearer_visible", "CASE WHEN doc_id % 7 > 0 THEN doc_id % 4 END AS bystanders", "n_chars % 3 AS people", "n_chars % 4 AS partial_bottom", "n_chars % 5 AS raw_people")),
+        "SELECT count(*) AS frames, count(*) FILTER (n_chars % 3 > 0) AS false_person, count(*) FILTER (n_chars % 4 > 0) AS routed_to_bottom, count(*) FILTER (n_chars % 5 > 0) AS any_box FROM documents WHERE doc_id % 5 > 0 AND doc_id % 3 = 0 AND (doc_id % 7 = 0 OR doc_id % 4 = 0)",
     ),
     "count_stability": (
         lambda s, d: _R6(count_stability(events(s, d).selectExpr("capture % 8 / 10 AS rate", "seq % 5 % 4 AS count", "2 AS truth")), "correct").withColumn("counts", F.concat_ws(",", F.transform("counts", lambda x: x.cast("string")))),
@@ -545,10 +580,13 @@ OPS = {
         "SELECT p_size AS world, sum(p_partkey)::BIGINT AS total, coalesce(sum(p_partkey) FILTER (p_partkey % 5 IN (0, 4)), 0)::BIGINT AS images, coalesce(sum(p_partkey) FILTER (p_partkey % 5 = 1), 0)::BIGINT AS derived, coalesce(sum(p_partkey) FILTER (p_partkey % 5 = 2), 0)::BIGINT AS journals FROM part GROUP BY 1",
     ),
     "path_length": (
-        lambda s, d: _R6(path_length(_poses(s, d).selectExpr("world", "seq", "CASE WHEN world % 3 = 0 THEN segment ELSE 0 END AS segment", "CASE WHEN world % 5 = 0 THEN status ELSE 'solved' END AS status", "CASE WHEN seq % 97 > 0 THEN x END AS x", "y", "z", "world % 7 > 0 AS scale_known")), "length"),
-        f"""WITH {_D_POSES}, q AS (SELECT *, CASE WHEN seq % 97 > 0 THEN x END AS x2, lag(CASE WHEN seq % 97 > 0 THEN x END) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM ps WINDOW w AS (PARTITION BY world ORDER BY seq)),
-            g AS (SELECT world, CASE WHEN world % 5 = 0 AND bool_or(status = 'refused') THEN 'refused poses' WHEN world % 3 = 0 AND count(DISTINCT segment) > 1 THEN 'several segments' WHEN world % 7 = 0 THEN 'unknown scale' WHEN bool_or(x2 IS NULL) THEN 'a pose without a place' END AS reason, sum(sqrt((x2 - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2)) AS s FROM q GROUP BY world)
-            SELECT world, CASE WHEN reason IS NULL THEN round(coalesce(s, 0), 6) END AS length, reason FROM g""",
+        lambda s, d: (lambda p: _R6(path_length(
+            p.where("world % 4 > 0").selectExpr("world", "seq", "CASE WHEN world % 5 = 0 AND seq % 3 > 0 THEN status ELSE 'solved' END AS status", "CASE WHEN seq % 97 > 0 THEN x END AS x", "y", "z"),
+            p.groupBy("world").agg(F.count_distinct("segment").alias("k")).selectExpr("world", "CASE WHEN world % 11 > 0 THEN world % 13 DIV 12 END AS refused", "CASE WHEN world % 3 = 0 THEN k WHEN world <> 7 THEN 1 END AS segments", "CASE WHEN world % 10 > 1 THEN world % 6 > 0 END AS scale_known")), "length"))(_poses(s, d)),
+        f"""WITH {_D_POSES}, q AS (SELECT *, CASE WHEN world % 5 = 0 AND seq % 3 > 0 AND status NOT IN ('solved', 'anchor') THEN 'a pose isn''t solved' WHEN seq % 97 = 0 THEN 'a pose without a place' END AS bad, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM ps WHERE world % 4 > 0 WINDOW w AS (PARTITION BY world ORDER BY seq)),
+            g AS (SELECT world, arg_min(bad, seq) FILTER (bad IS NOT NULL) AS bad, sum(sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2)) AS s FROM q GROUP BY world), k AS (SELECT world, count(DISTINCT segment) AS k FROM ps GROUP BY world),
+            r AS (SELECT k.world, s, CASE WHEN k.world % 11 = 0 OR k.world % 13 = 12 THEN 'refused poses' WHEN k.world = 7 OR k.world % 3 = 0 AND k > 1 THEN 'several segments' WHEN k.world % 10 < 2 OR k.world % 6 = 0 THEN 'unknown scale' WHEN g.world IS NULL THEN 'no pose was solved' ELSE bad END AS reason FROM k LEFT JOIN g ON g.world = k.world)
+            SELECT world, CASE WHEN reason IS NULL THEN round(coalesce(s, 0), 6) END AS length, reason FROM r""",
     ),
     "spatial_coverage": (
         lambda s, d: _R6(spatial_coverage(_poses(s, d).selectExpr("world AS frame", "x + 0.5 AS x", "y + 0.5 AS y", "z AS response", "abs(z) * 30 AS size")), "coverage", "response", "size"),
@@ -565,9 +603,11 @@ OPS = {
            SELECT frame, round(avg((level <= 10)::INT), 6) AS under, round(avg((level >= 245)::INT), 6) AS over, (SELECT round(sum(p * log2(1 / p)), 6) FROM p WHERE p.frame = l.frame) AS bits, round(avg(level), 6) AS mean, round(stddev_pop(level), 6) AS std FROM l GROUP BY frame""",
     ),
     "clock_drift_slope": (
-        lambda s, d: _R6(clock_drift_fit(events(s, d).selectExpr("capture AS session", "seq", "CAST(seq AS DOUBLE) AS t", "score AS offset")), "mean", "ppm", "delta_std", "residual_std"),
-        """WITH e AS (SELECT user_id AS session, event_id AS t, value / 500 AS o, value / 500 - lag(value / 500) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events), f AS (SELECT session, regr_slope(o, t) AS b, regr_intercept(o, t) AS a FROM e GROUP BY 1)
-           SELECT session, round(avg(o), 6) AS mean, min(o) AS low, max(o) AS high, round(1000000 * any_value(b), 6) AS ppm, round(stddev_pop(d), 6) AS delta_std, round(sqrt(avg((o - a - b * t) ** 2)), 6) AS residual_std FROM e JOIN f USING (session) GROUP BY 1""",
+        lambda s, d: (lambda c: _R6(c, *(x for x in c.columns if x not in ("session", "n"))))(clock_drift_fit(events(s, d).selectExpr("capture AS session", "seq", "CAST(seq AS DOUBLE) AS host", "seq * 0.9987D + score / 3 AS pts"))),
+        """WITH e AS (SELECT user_id AS s, event_id AS h, event_id * 0.9987::DOUBLE + value / 500 / 3 AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), f AS (SELECT s, regr_slope(h - p, h) AS b FROM e GROUP BY s), d AS (SELECT a.s, a.p - b.p AS dp, a.h - b.h AS dh FROM e a JOIN e b ON a.s = b.s AND a.i = b.i + 1),
+           g AS (SELECT s, avg(dp) AS a1, stddev_pop(dp) AS a2, min(dp) AS a3, max(dp) AS a4, avg(dh) AS b1, stddev_pop(dh) AS b2, min(dh)::DOUBLE AS b3, max(dh)::DOUBLE AS b4, avg(dp - dh) AS c1, stddev_pop(dp - dh) AS c2, min(dp - dh) AS c3, max(dp - dh) AS c4 FROM d GROUP BY s)
+           SELECT s AS session, count(*) AS n, (max(h) - min(h))::DOUBLE AS elapsed, round(avg(h - p), 6) AS mean, round(min(h - p), 6) AS low, round(max(h - p), 6) AS high, round(1000000 * any_value(b), 6) AS ppm, round(any_value(a1), 6) AS pts_mean, round(any_value(a2), 6) AS pts_std, round(any_value(a3), 6) AS pts_low, round(any_value(a4), 6) AS pts_high,
+             round(any_value(b1), 6) AS host_mean, round(any_value(b2), 6) AS host_std, any_value(b3) AS host_low, any_value(b4) AS host_high, round(any_value(c1), 6) AS both_mean, round(any_value(c2), 6) AS both_std, round(any_value(c3), 6) AS both_low, round(any_value(c4), 6) AS both_high FROM e JOIN f USING (s) JOIN g USING (s) GROUP BY s HAVING count(*) > 2""",
     ),
     "flicker_metrics": (
         lambda s, d: _R6(flicker_metrics(events(s, d).selectExpr("capture AS pixel", "seq % 97 AS frame0", "seq", "score").selectExpr("pixel", "row_number() OVER (PARTITION BY pixel ORDER BY seq) AS frame", "score AS value")), "mean_step", "largest_step", "mean_p95", "mean_std5"),
@@ -606,7 +646,7 @@ OPS = {
     "support_distribution": (
         lambda s, d: support_distribution(table(s, d, "part").where("p_partkey % 9 > 0").selectExpr("p_partkey % 3 AS segment", "p_partkey AS point"), table(s, d, "lineitem").where("l_orderkey % 9 = 0").selectExpr("l_partkey % 3 AS segment", "l_partkey AS point", "l_suppkey AS frame", "l_partkey % 50 AS feature")),
         """WITH r AS (SELECT l_partkey AS p, l_suppkey AS f FROM lineitem WHERE l_orderkey % 9 = 0), v AS (SELECT p_partkey, count(DISTINCT f) AS views, count(f) - count(DISTINCT f) AS dup FROM part LEFT JOIN r ON p = p_partkey WHERE p_partkey % 9 > 0 GROUP BY 1)
-           SELECT views, count(*) AS points, sum(dup)::BIGINT AS duplicates, (SELECT count(*) FROM (SELECT f, p % 50 FROM r GROUP BY ALL HAVING count(DISTINCT p) > 1) c) AS contested, (SELECT count(*) FROM r WHERE p % 9 = 0) AS orphans FROM v GROUP BY views""",
+           SELECT views, count(*) AS points, sum(dup)::BIGINT AS duplicates, (SELECT count(*) FROM (SELECT p % 3, f, p % 50 FROM r GROUP BY ALL HAVING count(DISTINCT p) > 1) c) AS contested, (SELECT count(*) FROM r WHERE p % 9 = 0) AS orphans FROM v GROUP BY views""",
     ),
     "accept_reject_rates": (
         lambda s, d: _R6(accept_reject_rates(table(s, d, "labels").selectExpr("quality = 1 AS truth", "doc_id % 3 > 0 AS agreed")), "accept", "reject", "balanced"),

@@ -7,7 +7,5 @@ PLANS = {
     "weakest_label": "SELECT source, CASE min(CASE WHEN n_chars < 100 THEN 0 WHEN n_chars < 1000 THEN 1 WHEN n_chars < 5000 THEN 2 ELSE 3 END) WHEN 0 THEN 'unknown' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS weakest FROM {documents} GROUP BY source",
     "circular_mean": "SELECT event_type, round(sqrt(avg(cos(value)) * avg(cos(value)) + avg(sin(value)) * avg(sin(value))), 6) AS resultant, round(degrees(atan2(avg(sin(value)), avg(cos(value)))), 4) AS direction FROM {events} GROUP BY event_type",
     "entropy_bits": "SELECT round(-sum(p * log2(p)), 6) AS bits FROM (SELECT CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS p FROM {events} GROUP BY CAST(floor(value / 10) AS BIGINT)) x",
-    "linear_fit": "SELECT event_type, round(regr_slope(value, CAST(user_id AS DOUBLE)), 8) AS slope, round(corr(value, CAST(user_id AS DOUBLE)), 6) AS r FROM {events} GROUP BY event_type",
-    "weighted_geomean": "SELECT event_type, round(exp(sum(user_id * ln(greatest(least(value / 100, 1), 0.01))) / nullif(sum(user_id), 0)), 6) AS g FROM {events} GROUP BY event_type",
     "discard_tally": "SELECT count(*) AS total, count_if(l_discount < 0.02) AS low_parallax, count_if(l_tax > 0.06) AS high_error FROM {lineitem}",
 }

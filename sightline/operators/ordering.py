@@ -40,8 +40,8 @@ def local_std(rows: DataFrame, width: int = 5) -> DataFrame:
 
 
 def step_lag(rows: DataFrame, share: float = 0.632) -> DataFrame:
-    """rows (key, seq, value, after: at or behind the step) -> rows from the step until the value reaches that share; infinite if never."""
-    r = rows.where("after").selectExpr("key", "value", "row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS i")
+    """rows (key, seq, value, after: at or behind the step) -> how many rows from the step on it takes until the value reaches that share, 1 if the first does; infinite if none."""
+    r = rows.where("after").selectExpr("key", "value", "row_number() OVER (PARTITION BY key ORDER BY seq) AS i")
     return r.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("value") >= share, F.col("i"))).cast("double"), F.lit(float("inf"))).alias("lag"))
 
 
@@ -190,7 +190,7 @@ OPS = {
     "local_std": (lambda s, d: _R(local_std(_rows(s, d)), "std"), f"WITH {_D_ROWS}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM e) SELECT a.key, a.seq, round(stddev_pop(b.value), 6) AS std FROM n a JOIN n b ON a.key = b.key AND b.i > a.i - 5 AND b.i <= a.i GROUP BY ALL HAVING count(*) = 5"),
     "step_lag": (
         lambda s, d: step_lag(_rows(s, d).selectExpr("key", "seq", "value * 6 AS value", "seq >= 5000 AS after")),
-        f"WITH {_D_ROWS}, r AS (SELECT key, value * 6 >= 0.632 AS hit, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS i FROM e WHERE seq > 4999) SELECT key, CASE WHEN bool_or(hit) THEN (min(i) FILTER (hit))::DOUBLE ELSE 'inf'::DOUBLE END AS lag FROM r GROUP BY key",
+        f"WITH {_D_ROWS}, r AS (SELECT key, value * 6 >= 0.632 AS hit, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM e WHERE seq > 4999) SELECT key, CASE WHEN bool_or(hit) THEN (min(i) FILTER (hit))::DOUBLE ELSE 'inf'::DOUBLE END AS lag FROM r GROUP BY key",
     ),
     "stall_detector": (
         lambda s, d: stall_detector(_rows(s, d).selectExpr("key", "seq", "label = 'purchase' AS accepted"), 9),

@@ -32,12 +32,12 @@ def _smooth(spark, sf) -> DataFrame:
 
 
 def _cover(spark, sf) -> DataFrame:
-    return graphs.greedy_cover(_t(spark, sf, "lineitem").selectExpr("l_suppkey AS frame", "l_partkey AS point", "l_discount AS score"), 5)
+    return graphs.greedy_cover(_t(spark, sf, "lineitem").selectExpr("l_suppkey AS frame", "l_partkey AS point", "CAST(l_discount AS DOUBLE) AS score"), 5).selectExpr("place", "frame", "round(gain, 6) AS gain")
 
 
 def _thin(spark, sf) -> DataFrame:
-    v = _t(spark, sf, "embeddings").selectExpr("vec_id AS id", *[f"CAST(embedding[{i}] AS DOUBLE) AS {c}" for i, c in enumerate("xyz")], "abs(CAST(embedding[3] AS DOUBLE)) AS confidence")
-    return graphs.budget_thinning(v, 100)
+    v = _t(spark, sf, "embeddings").selectExpr(*[f"CAST(embedding[{i}] AS DOUBLE) AS {c}" for i, c in enumerate("xyz")], *(f"CAST(vec_id * {k} % 256 AS INT) AS {c}" for k, c in ((1, "r"), (3, "g"), (7, "b"))), "CAST(vec_id % 11 AS INT) AS confidence")
+    return graphs.budget_thinning(v, 100).selectExpr(*(f"round({c}, 6) AS {c}" for c in "xyz"), "r", "g", "b", "confidence")
 
 
 def _upsert(spark, sf) -> DataFrame:
@@ -60,7 +60,7 @@ QUERIES = {
     "greedy_cover": _cover,
     "budget_thinning": _thin,
     "upsert_monotonic": _upsert,
-    "observation_id": lambda spark, sf: _t(spark, sf, "events").select("event_id", observation_id(F.col("user_id").cast("string"), "event_id", "event_type").alias("id")),
+    "observation_id": lambda spark, sf: _t(spark, sf, "events").select("event_id", observation_id(F.when(F.col("event_id") % 5 > 0, F.col("user_id").cast("string")), "event_type", F.col("value").cast("double")).alias("id")),
     "multi_object_tracker": _tracks,
 }
 
@@ -75,9 +75,30 @@ def _pass(source: str, rate: float) -> str:
     return f"SELECT node, label, {moved} FROM {source} WINDOW w AS (PARTITION BY label ORDER BY node)"
 
 
+def _cover_sql(budget: int) -> str:
+    """A round is three tables: what each frame would add, the choice, the points' two best scores so far."""
+    steps = ["t0 AS (SELECT p, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM s GROUP BY p)", "c0 AS (SELECT NULL::BIGINT AS f, 0.0::DOUBLE AS g, 0.0::DOUBLE AS total)"]
+    for k in range(1, budget + 1):
+        before = " UNION ALL ".join(f"SELECT f FROM c{j} WHERE f IS NOT NULL" for j in range(k))
+        steps.append(f"g{k} AS (SELECT s.f, sum(greatest(v - a, 0) + 0.3::DOUBLE * greatest(least(v, a) - b, 0)) AS g FROM s JOIN t{k - 1} USING (p) WHERE s.f NOT IN ({before}) GROUP BY s.f)")
+        steps.append(f"c{k} AS (SELECT x.f, x.g, y.total + x.g AS total FROM (SELECT f, g FROM g{k} ORDER BY round(g, 9) DESC, f LIMIT 1) x, c{k - 1} y WHERE x.g > 0 AND (y.total = 0 OR x.g >= 0.01 * y.total))")
+        steps.append(f"t{k} AS MATERIALIZED (SELECT t.p, greatest(a, coalesce(v, 0)) AS a, greatest(b, least(a, coalesce(v, 0))) AS b FROM t{k - 1} t LEFT JOIN s ON s.p = t.p AND s.f = (SELECT f FROM c{k}))")
+    rows = " UNION ALL ".join(f"SELECT {k}::INT AS place, f AS frame, round(g, 6) AS gain FROM c{k}" for k in range(1, budget + 1))
+    return f"WITH s AS (SELECT l_suppkey AS f, l_partkey AS p, max(l_discount)::DOUBLE AS v FROM lineitem WHERE l_discount > 0 GROUP BY ALL), {', '.join(steps)} {rows}"
+
+
+_THIN = """WITH RECURSIVE v AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, vec_id % 256 AS r, vec_id * 3 % 256 AS g, vec_id * 7 % 256 AS b, vec_id % 11 AS c FROM embeddings),
+box AS (SELECT count(*) AS n, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS span FROM v),
+p(k, size, n) AS (SELECT 0, span / sqrt(n), (SELECT count(*) FROM (SELECT DISTINCT floor(x / (box.span / sqrt(box.n))), floor(y / (box.span / sqrt(box.n))), floor(z / (box.span / sqrt(box.n))) FROM v)) FROM box UNION ALL
+  SELECT k + 1, size * sqrt(n / 92.0), (SELECT count(*) FROM (SELECT DISTINCT floor(x / (p.size * sqrt(p.n / 92.0))), floor(y / (p.size * sqrt(p.n / 92.0))), floor(z / (p.size * sqrt(p.n / 92.0))) FROM v)) FROM p WHERE k < 7 AND NOT n BETWEEN 85 AND 100),
+best AS (SELECT size FROM p WHERE n <= 100 ORDER BY n DESC, k LIMIT 1)
+SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, floor(avg(r))::INT AS r, floor(avg(g))::INT AS g, floor(avg(b))::INT AS b, max(c)::INT AS confidence FROM v, best GROUP BY floor(v.x / size), floor(v.y / size), floor(v.z / size)"""
+
 ORACLES = {
     "connected_components": f"WITH {_MEMBERS} SELECT node, component FROM m",
     "union_find_census": f"WITH {_MEMBERS} SELECT component, count(*) AS members FROM m GROUP BY component",
     "laplacian_smooth": f"WITH v AS (SELECT vec_id AS node, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), a AS ({_pass('v', 0.5)}), b AS ({_pass('a', -0.53)}) SELECT node, {_SMOOTH} FROM b",
+    "greedy_cover": _cover_sql(5),
+    "budget_thinning": _THIN,
     "upsert_monotonic": "SELECT event_type AS class, CAST(user_id AS DOUBLE) AS observed_at, max(value) AS best_score, CASE WHEN max(value) < 100 THEN 'low' ELSE 'high' END AS confidence FROM events GROUP BY event_type, user_id",
 }

@@ -1,19 +1,4 @@
-"""Scalar functions, ordered gates and set plans."""
-_V = "v AS (SELECT vec_id, label, @AT(1) AS a, @AT(2) AS b, @AT(3) AS c, @AT(4) AS d, @AT(5) AS e, @AT(6) AS f, @AT(7) AS g, @AT(8) AS h FROM {embeddings})"
-#: Two boxes of a row: corners from a, b and c, d; sides from the rest.
-_BOX = f"{_V}, k AS (SELECT vec_id, a AS ax, b AS ay, abs(e) + 0.1 AS aw, abs(f) + 0.1 AS ah, c AS bx, d AS by0, abs(g) + 0.1 AS bw, abs(h) + 0.1 AS bh FROM v), i AS (SELECT *, greatest(least(ax + aw, bx + bw) - greatest(ax, bx), 0) * greatest(least(ay + ah, by0 + bh) - greatest(ay, by0), 0) AS shared FROM k)"
-_DIGITS = """WITH t AS (SELECT conv_id, turn, role, text, array_distinct(@NUMBERS(text)) AS a FROM {conversations}),
-p AS (SELECT conv_id, turn, a, lag(a) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM t), n AS (SELECT conv_id, turn, @SIZE(a) AS na, @SIZE(b) AS nb, @SIZE(array_intersect(a, b)) AS shared FROM p WHERE b IS NOT NULL)"""
-_KEY = "(CAST(floor(a * 10) AS BIGINT) + 512) * 1048576 + (CAST(floor(b * 10) AS BIGINT) + 512) * 1024 + CAST(floor(c * 10) AS BIGINT) + 512"
-
+"""Set plans."""
 PLANS = {
-    # gates
-    "schema_version_filter": "SELECT event_id, @JSONK AS version FROM {events} WHERE @JSONK IS NOT NULL AND @JSONK IN (1, 2, 3)",
-    "can_testify": "SELECT doc_id, words >= 3 AND conf >= 0.3 AS testifies FROM (SELECT doc_id, @SIZE(@WORDS2(text)) AS words, least(n_chars / 1000, 1) AS conf FROM {documents}) x",
-    "estimate_expiry": "SELECT event_id, CASE WHEN age > CAST(21600000000 AS BIGINT) THEN 'unknown' ELSE side END AS side, age FROM (SELECT event_id, event_type AS side, greatest(lead(@MICROS(ts)) OVER (PARTITION BY user_id ORDER BY event_id) - @MICROS(ts), 0) AS age FROM {events}) x",
-    # text
-    "key_formats": "SELECT event_id, CAST(user_id AS VARCHAR(20)) || ':' || lpad(CAST(event_id AS VARCHAR(20)), 8, '0') AS frame_key, lpad(CAST(event_id AS VARCHAR(20)), 8, '0') || '.jpg' AS file FROM {events}",
-    # geometry
-    # sets
     "index_union": "SELECT user_id AS key FROM {events} UNION SELECT o_custkey FROM {orders} UNION SELECT c_custkey FROM {customer}",
 }

@@ -1,11 +1,4 @@
-"""Document search and identity: tokens, corpus statistics, BM25, near-miss terms, overlap."""
-_TOK = "t AS (SELECT doc_id, @UNNEST(@TOKENS(text)) AS token FROM {documents}), tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY doc_id, token)"
-_Q = "q AS (SELECT DISTINCT item_id, token FROM (SELECT item_id, @UNNEST(@TOKENS(text)) AS token FROM {benchmark}) x WHERE length(token) >= 4)"
-_STATS = "dl AS (SELECT doc_id, CAST(sum(tf) AS DOUBLE) AS dl FROM tf GROUP BY doc_id), av AS (SELECT avg(dl) AS av, CAST(count(*) AS DOUBLE) AS n FROM dl), df AS (SELECT token, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY token)"
-_BM25 = f"""WITH {_TOK}, {_Q}, {_STATS},
-s AS (SELECT item_id, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score, count(*) AS matched
-      FROM q JOIN tf ON q.token = tf.token JOIN df ON df.token = q.token JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN av GROUP BY item_id, tf.doc_id)"""
-
+"""Lists and identity of documents."""
 PLANS = {
     "recent_documents": "SELECT doc_id, source FROM {documents} ORDER BY doc_id DESC LIMIT 10",
     "exact_identity": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM {documents} GROUP BY md5(coalesce(text, ''))",

@@ -335,30 +335,31 @@ def segment_index(budget: int = 1):
 
 
 def content_segments(least: float = 0.45, turn: int = 3, most: int = 6):
-    """Row: seq, alike (correlation with the segment's reference). Returns (step, close); out: segment, first_seq, frames.
+    """Row: seq, alike (correlation with the segment's reference; null: no verdict). Returns (step, close); out at the end: segment, first_seq, frames.
 
-    `turn` frames in a row below the limit turn the page: they seed the next segment. The first `most` segments are kept.
+    `turn` frames that disagree, with no agreement between, turn the page: they seed the next segment. A frame without a verdict belongs to
+    the open segment and neither agrees nor disagrees. Of more than `most` segments the oldest go.
     """
 
     def step(s, row):
-        s = s or {"n": 0, "first": row["seq"], "frames": 0, "pending": []}
-        out = []
+        s = s or {"n": 0, "first": row["seq"], "frames": 0, "pending": [], "closed": []}
         if s["frames"] and row["alike"] is not None and row["alike"] < least:
             s["pending"].append(row["seq"])
             if len(s["pending"]) >= turn:
-                out = show(s)
-                s = {"n": s["n"] + 1, "first": s["pending"][0], "frames": len(s["pending"]), "pending": []}
+                s = {"n": s["n"] + 1, "first": s["pending"][0], "frames": len(s["pending"]), "pending": [], "closed": (s["closed"] + [show(s)])[1 - most :] if most > 1 else []}
+        elif row["alike"] is None and s["frames"]:
+            s["frames"] += 1
         else:
             s["frames"] += 1 + len(s["pending"])
             s["pending"] = []
-        return s, out
+        return s, []
 
     def show(s):
-        return [{"segment": s["n"], "first_seq": s["first"], "frames": s["frames"]}] if s["n"] < most and s["frames"] else []
+        return {"segment": s["n"], "first_seq": s["first"], "frames": s["frames"]}
 
     def close(s):
         s["frames"] += len(s["pending"])
-        return show(s)
+        return [*s["closed"], show(s)] if s["frames"] else s["closed"]
 
     return step, close
 

@@ -4,6 +4,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.functions.arrays import observation_id, perceptual_hash
 from sightline.functions.assignment import assign, associate
@@ -106,7 +107,7 @@ def test_store(spark, tmp_path):
 
 def test_arrays(spark):
     flat, ramp = [1.0] * 1024, [float(i % 32) for i in range(1024)]
-    got = spark.createDataFrame([("s", 1, "cup", ramp), ("s", 2, None, flat[:5])], "s string, f long, c string, p array<double>").select(observation_id("s", "f", "c").alias("i"), perceptual_hash("p").alias("h")).collect()
+    got = spark.createDataFrame([("s", 1, "cup", ramp), ("s", 2, None, flat[:5])], "s string, f long, c string, p array<double>").select(observation_id("s", "c", F.col("f").cast("double")).alias("i"), perceptual_hash("p").alias("h")).collect()
     assert len(got[0].i) == len(got[0].h) == 16 and got[1].i is None and got[1].h is None
 
 
@@ -137,4 +138,7 @@ def test_segments_by_breaks_and_pages():
     pages = [1, 1, 0.1, 0.1, 1, 0.1, 0.1, 0.1, 1, None]
     assert [(x["segment"], x["first_seq"], x["frames"]) for x in play(folds.content_segments(), [{"seq": i, "alike": a} for i, a in enumerate(pages)])] == [(0, 0, 5), (1, 5, 5)]
     many = [x for _ in range(9) for x in (1, 0.1, 0.1, 0.1)]
-    assert len(play(folds.content_segments(), [{"seq": i, "alike": a} for i, a in enumerate(many)])) == 6
+    kept = play(folds.content_segments(), [{"seq": i, "alike": a} for i, a in enumerate(many)])
+    assert [r["segment"] for r in kept] == [4, 5, 6, 7, 8, 9]  # the oldest go
+    torn = [1, 0.1, None, 0.1, None, 0.1, 1, 0.1, None, 1, 0.1, 0.1]
+    assert [(r["segment"], r["first_seq"], r["frames"]) for r in play(folds.content_segments(), [{"seq": i, "alike": a} for i, a in enumerate(torn)])] == [(0, 0, 3), (1, 1, 9)]  # a null neither agrees nor disagrees

@@ -67,5 +67,5 @@ def test_cover_and_thinning(spark):
     scores = spark.createDataFrame([(1, 1, 1.0), (1, 2, 1.0), (2, 3, 1.5), (3, 1, 1.0), (3, 2, 1.0), (4, 9, 0.001)], "frame long, point long, score double")
     assert [(r.place, r.frame, round(r.gain, 6)) for r in greedy_cover(scores, 4).collect()] == [(1, 1, 2.0), (2, 2, 1.5), (3, 3, 0.6)]
     rng = random.Random(2)
-    points = spark.createDataFrame([(i, rng.random(), rng.random(), 0.0, rng.random()) for i in range(2000)], "id long, x double, y double, z double, confidence double")
+    points = spark.createDataFrame([(rng.random(), rng.random(), 0.0, 1, 2, 3, i % 9) for i in range(2000)], "x double, y double, z double, r int, g int, b int, confidence int")
     assert 170 <= budget_thinning(points, 200).count() <= 200 and budget_thinning(points, 5000).count() == 2000

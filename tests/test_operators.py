@@ -164,8 +164,8 @@ def test_session_metrics(spark):
     f = [(1, i, s, t, float(i), 10, 1.0, a) for i, (s, t, a) in enumerate([(1, 1, True), (31, 2, True), (5, 3, False), (61, 4, True)])] + [(2, 0, 7, None, 0.0, 5, 2.0, True)] + [(3, 0, 9, 1, 0.0, 5, 2.0, True), (3, 1, 3, 9, 1.0, 5, 4.0, True)]
     df = spark.createDataFrame(f, "session int, arrival int, seq long, tx_seq long, at double, bytes long, latency double, accepted boolean")
     st = spark.createDataFrame([(1, "cv", 2.0), (1, "cv", 4.0)], "session int, stage string, ms double")
-    got = {r.session: (r.frames, r.rejected, r.seq_gaps, r.tx_gaps, r.fps) for r in me.session_metrics(df, st).collect()}
-    assert got == {1: (3, 1, 58, 0, 2 / 3), 2: (1, 0, 0, None, None), 3: (2, 0, 0, 7, 1.0)}
+    got = {r.session: (r.frames, r.rejected, r.seq_gaps, r.tx_gaps, round(r.fps, 3)) for r in me.session_metrics(df, st).collect()}
+    assert got == {1: (3, 1, 58, 0, 1.0), 2: (1, 0, 0, None, 1e9), 3: (2, 0, 0, 7, 2.0)}  # frames over the time from the first row to the last
 
 
 def test_typed_metrics(spark):
@@ -200,9 +200,10 @@ def test_power_fit_and_path_length(spark):
     p = spark.createDataFrame([("a", float(x), 3.0 * x**2) for x in (1, 2, 4)] + [("a", 0.0, 1.0), ("a", None, 1.0), ("b", 1.0, 1.0), ("b", 2.0, 2.0)], "g string, x double, y double")
     got = {r.g: (r.n, r.dropped, r.a and round(r.a, 9), r.b and round(r.b, 9)) for r in me.power_fit(p).collect()}
     assert got == {"a": (3, 2, 3.0, 2.0), "b": (2, 0, None, None)}
-    w = [("ok", i, 0, "solved", float(i), 0.0, 0.0, True) for i in range(3)] + [("two", i, i, "solved", 0.0, 0.0, 0.0, True) for i in range(2)] + [("ref", 0, 0, "refused", 0.0, 0.0, 0.0, True)] + [("one", 0, 0, "solved", 1.0, 1.0, 1.0, True)] + [("gap", 0, 0, "solved", None, 0.0, 0.0, True)]
-    d = spark.createDataFrame(w, "world string, seq int, segment int, status string, x double, y double, z double, scale_known boolean")
-    assert rows(me.path_length(d), "world", "length", "reason") == [("gap", None, "a pose without a place"), ("ok", 2.0, None), ("one", 0.0, None), ("ref", None, "refused poses"), ("two", None, "several segments")]
+    w = [("ok", i, "solved", float(i), 0.0, 0.0) for i in range(3)] + [("two", i, "solved", 0.0, 0.0, 0.0) for i in range(2)] + [("ref", 0, "refused", 0.0, 0.0, 0.0), ("one", 0, "solved", 1.0, 1.0, 1.0), ("gap", 0, "solved", None, 0.0, 0.0)]
+    d = spark.createDataFrame(w, "world string, seq int, status string, x double, y double, z double")
+    m = spark.createDataFrame([("ok", 0, 1, True), ("two", 0, 2, True), ("ref", 1, 1, True), ("one", 0, 1, True), ("gap", 0, 1, True)], "world string, refused int, segments int, scale_known boolean")
+    assert rows(me.path_length(d, m), "world", "length", "reason") == [("gap", None, "a pose without a place"), ("ok", 2.0, None), ("one", 0.0, None), ("ref", None, "refused poses"), ("two", None, "several segments")]
 
 
 def test_robust_fit_gains_and_rotations(spark):
@@ -252,7 +253,7 @@ def test_full_windows_lags_and_ties(spark):
     df = spark.createDataFrame([(1, i, float(i)) for i in range(6)], "key int, seq int, value double")
     assert rows(od.local_std(df), "seq") == [(4,), (5,)]
     df = spark.createDataFrame([(1, i, v, True) for i, v in enumerate([0.1, 0.632, 0.9])] + [(2, 0, 0.1, True)], "key int, seq int, value double, after boolean")
-    assert rows(od.step_lag(df), "key", "lag") == [(1, 1.0), (2, INF)]
+    assert rows(od.step_lag(df), "key", "lag") == [(1, 2.0), (2, INF)]  # counted from 1
     df = spark.createDataFrame([("s", 2, 1.0, 0.0), ("s", 1, 0.5, 0.1), ("s", 3, 0.1, 0.5)], "segment string, id int, sharpness double, squareness double")
     assert rows(od.best_n_per_segment(df), "id", "place") == [(1, 1), (2, 2)]  # all three score 0.05
     df = spark.createDataFrame([(1, "a", 1, 0.0), (1, "a", 2, None), (1, "a", 3, 3.0), (1, "a", 4, 6.0001)], "capture int, label string, seq int, at double")
@@ -297,9 +298,10 @@ def test_meshes(spark):
     assert rows(weld, "id", "welded") == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)] and rows(faces, "id", "a", "b", "c") == [(0, 0, 1, 2), (1, 1, 3, 2)]
     assert rows(li.boundary_curve(faces), "vertex", "kind") == [(i, "curve") for i in range(4)]
     tetra = [(10, 5, 6, 7), (11, 5, 6, 8), (12, 6, 7, 8), (13, 5, 7, 8)]
-    both = spark.createDataFrame([(0, 0, 1, 2, True), (1, 1, 3, 2, False)] + [(*t, True) for t in tetra], "id int, a int, b int, c int, filled boolean")
-    assert rows(li.sealed_patches(both), "id") == [(1,), (10,), (11,), (12,), (13,)]  # the open patch goes, the closed one stays
-    kept = li.drop_small_components(both.drop("filled"), 0.8)
+    both = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 3, 2)] + tetra, "id int, a int, b int, c int")
+    places = spark.createDataFrame([(i, float(i), float(i % 2), float(i % 3), i in (0, 5, 6)) for i in range(9)], "id int, x double, y double, z double, filled boolean")
+    assert rows(li.sealed_patches(places, both, 0.01), "id") == [(1,), (10,), (11,), (12,), (13,)]  # the open patch goes, the closed one stays
+    kept = li.drop_small_components(both, 0.8)
     assert rows(kept, "id", "a", "b", "c") == [(10, 0, 1, 2), (11, 0, 1, 3), (12, 1, 2, 3), (13, 0, 2, 3)]
 
 
