@@ -8,6 +8,5 @@ PLANS = {
     "json_props_guard": "SELECT event_id, @JSONK AS k, @JSONK IS NOT NULL AS ok FROM {events}",
     "nonempty_partition": "SELECT has, count(*) AS n FROM (SELECT c_custkey, count(o_orderkey) > 0 AS has FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey) x GROUP BY has",
     "orphan_parts": "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND l_quantity > 45)",
-    "late_verdict_enrich": "SELECT d.doc_id, CASE quality WHEN 1 THEN 'agree' WHEN 0 THEN 'disagree' ELSE 'unverified' END AS verdict FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id",
     "journal_blob_verify": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN d.doc_id IS NULL THEN 'orphan' ELSE 'paired' END AS state FROM {documents} d FULL OUTER JOIN {labels} l ON d.doc_id = l.doc_id",
 }

@@ -114,21 +114,12 @@ OPS = {
         lambda s, d: events(s, d).where("label <> 'error'").selectExpr("capture", "score", "row_number() OVER (PARTITION BY capture ORDER BY seq) AS k").groupBy("capture", F.floor((F.col("k") - 1) / 15).alias("part")).agg(F.max("k").alias("frames"), F.round(F.avg("score"), 6).alias("mean"), F.count("*").alias("n")).where("n = 15").select("capture", "frames", "mean"),
         "WITH e AS (SELECT user_id AS capture, value / 500 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type <> 'error') SELECT a.capture, a.k AS frames, round(avg(b.v), 6) AS mean FROM e a JOIN e b ON a.capture = b.capture AND b.k > a.k - 15 AND b.k <= a.k WHERE a.k % 15 = 0 GROUP BY ALL",
     ),
-    "lab_run_accumulator": (
-        _fold(folds.lab_run(3), "metric string, n long, total double, lowest double, highest double", "CASE WHEN seq >= 9000 AND label = 'error' THEN 'stop' ELSE 'sample' END AS kind", "label AS metric", "score AS value"),
-        """WITH e AS (SELECT user_id, event_id, event_type AS m, value / 500 AS v, min(event_id) FILTER (event_id >= 9000 AND event_type = 'error') OVER (PARTITION BY user_id) AS z FROM events), b AS (SELECT * FROM e WHERE z IS NULL OR event_id < z), f AS (SELECT user_id, m, rank() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS r FROM b GROUP BY user_id, m)
-           SELECT b.user_id, CASE WHEN r <= 3 THEN b.m ELSE '(other)' END AS metric, count(*) AS n, sum(v) AS total, min(v) AS lowest, max(v) AS highest FROM b JOIN f ON f.user_id = b.user_id AND f.m = b.m GROUP BY 1, 2""",
-    ),
     "bounded_queue_drop_oldest": (
         _fold(folds.bounded_queue(3), "item long, dropped long", "CASE WHEN label = 'view' THEN 'take' ELSE 'offer' END AS kind", "seq AS item"),
         f"""WITH RECURSIVE {_Z}, w(u, i, q, dropped, item, took) AS (SELECT u, 0, []::BIGINT[], 0, NULL::BIGINT, false FROM z WHERE i = 1 UNION ALL
             SELECT z.u, z.i, CASE WHEN z.label = 'view' THEN w.q[2:] ELSE list_append(w.q, z.seq)[greatest(1, len(w.q) - 1):] END, w.dropped + (z.label <> 'view' AND len(w.q) = 3)::INT, CASE WHEN z.label = 'view' THEN w.q[1] END, z.label = 'view' FROM w JOIN z ON z.u = w.u AND z.i = w.i + 1)
             SELECT u AS user_id, item, dropped::BIGINT AS dropped FROM w WHERE took""",
     ),
-    "late_verdict_settle": (
-        _fold(folds.late_verdicts(), "item long, verdict string", "CASE WHEN label IN ('view', 'click') THEN 'closed' ELSE 'verdict' END AS kind", "seq % 40 AS item", "label AS verdict"),
-        None,
-    ),
     "segment_index": (
         _fold(folds.segment_index(), "seq long, segment long", "label = 'error' AS lost", "label = 'purchase' AS broken", "label IN ('view', 'purchase') AS keyframe"),
         f"""WITH RECURSIVE {_Z}, w(u, i, seq, seg, bare, spent, due) AS (SELECT u, 0, 0::BIGINT, 0, true, 0, false FROM z WHERE i = 1 UNION ALL

@@ -277,11 +277,6 @@ OPS = {
               CASE WHEN (w.ran_at IS NULL OR z.t - w.ran_at >= 3600) AND z.label <> 'error' THEN z.t ELSE w.f_at END, w.ran_at IS NULL OR z.t - w.ran_at >= 3600 FROM w JOIN z ON z.u = w.u AND z.i = w.i + 1)
             SELECT u AS user_id, t AS "at", ran, CASE WHEN t - f_at <= 7200 THEN f END AS found FROM w WHERE i > 0""",
     ),
-    "grace_windows": (
-        _fold(folds.grace_windows(7200.0), "at double, walk long", "CASE WHEN label = 'view' THEN 'start' WHEN label = 'click' THEN 'end' ELSE 'disconnect' END AS kind"),
-        f"""WITH {_D_STEPS}, p AS (SELECT u, i, t, label, lag(t) OVER w AS pt, lag(label) OVER w AS pl FROM z WINDOW w AS (PARTITION BY u ORDER BY i)), s AS (SELECT * FROM p WHERE label = 'view')
-            SELECT u AS user_id, t AS "at", count_if(pl IS NULL OR pl IN ('view', 'click') OR t - pt > 7200) OVER (PARTITION BY u ORDER BY i) - 1 AS walk FROM s""",
-    ),
     "keyframe_selector": (
         _fold(folds.keyframe_gates(), "seq long, decision string, segment long", "seq % 21 / 20 AS sharp", "seq % 7 / 6 AS survival", "CASE WHEN seq % 31 > 0 THEN seq % 50 / 700 END AS moved", "seq % 9 / 8 AS overlap"),
         f"""WITH RECURSIVE {_D_STEPS}, x AS (SELECT u, i, seq, seq % 21 / 20 AS sharp, seq % 7 / 6 AS sv, CASE WHEN seq % 31 > 0 THEN seq % 50 / 700 END AS m, seq % 9 / 8 AS ov FROM z),

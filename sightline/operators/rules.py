@@ -215,7 +215,7 @@ OPS = {
     "estimate_expiry": (
         lambda s, d: _R(estimate_expiry(events(s, d).selectExpr("capture AS key", "seq", "t / 1000000 + CASE WHEN seq % 23 = 0 THEN -90000 ELSE 0 END AS at", "CASE WHEN label IN ('view', 'click') THEN label END AS state"), 21600.0), "age"),
         """WITH e AS (SELECT user_id AS key, event_id AS seq, epoch_us(ts) / 1000000 - 90000 * (event_id % 23 = 0)::INT AS t, event_type AS l FROM events), b AS (SELECT e.*, (SELECT max(x.seq) FROM e x WHERE x.key = e.key AND x.seq <= e.seq AND x.l IN ('view', 'click')) AS s FROM e)
-           SELECT b.key, b.seq, CASE WHEN greatest(b.t - x.t, 0) <= 21600 THEN x.l ELSE 'unknown' END AS state, round(CASE WHEN x.t > b.t THEN 0 ELSE b.t - x.t END, 6) AS age FROM b LEFT JOIN e x ON x.seq = s AND x.key = b.key""",
+           SELECT b.key, b.seq, CASE WHEN x.t IS NOT NULL AND b.t - x.t <= 21600 THEN x.l ELSE 'unknown' END AS state, round(CASE WHEN x.t > b.t THEN 0 ELSE b.t - x.t END, 6) AS age FROM b LEFT JOIN e x ON x.seq = s AND x.key = b.key""",
     ),
     "token_jaccard": (
         lambda s, d: token_shares(table(s, d, "conversations").selectExpr("conv_id * 1000 + turn AS id", "CASE WHEN turn % 5 = 0 THEN '' ELSE substr(text, 5) END AS a", "text AS b")).select("id", F.round("jaccard", 6).alias("jaccard")),

@@ -28,3 +28,21 @@ def newest_wins_slot(offers: DataFrame) -> DataFrame:
     """Per target the newest offer's revision and how many older ones it replaced; equal times: the larger revision."""
     newest = F.max(F.struct("offered_at", "revision"))
     return offers.groupBy("target").agg(newest.alias("n"), (F.count("*") - 1).alias("skipped")).select("target", "n.revision", "n.offered_at", "skipped")
+
+
+def late_verdicts(sightings: DataFrame, verdicts: DataFrame, early: str = "30 seconds", patience: str = "30 seconds", late: str = "10 seconds") -> DataFrame:
+    """sightings (item, closed_at timestamp), verdicts (verdict_of, verdict, at timestamp) -> item, closed_at, verdict, verdict_at.
+
+    A verdict counts from `early` before its sighting closed to `patience` after; without one a sighting is `unverified`. Over streams
+    this is an outer join of both with watermarks: state on either side goes once the other can't match it any more, and a
+    sighting that stays alone is told when the watermark passes its last moment. Of several verdicts of one item the first counts:
+    the earliest in a table, the first that came in within the watermark in a stream.
+    """
+    if verdicts.isStreaming:
+        first = verdicts.withWatermark("at", late).dropDuplicatesWithinWatermark(["verdict_of"])
+        sightings = sightings.withWatermark("closed_at", late)
+    else:
+        first = verdicts.groupBy("verdict_of").agg(F.min_by(F.struct("verdict", "at"), F.struct("at", "verdict")).alias("v")).select("verdict_of", "v.*")
+    near = (F.col("at") >= F.col("closed_at") - F.expr(f"INTERVAL {early}")) & (F.col("at") <= F.col("closed_at") + F.expr(f"INTERVAL {patience}"))
+    out = sightings.join(first, (F.col("item") == F.col("verdict_of")) & near, "left")
+    return out.select("item", "closed_at", F.when(F.col("at").isNull(), "unverified").otherwise(F.col("verdict")).alias("verdict"), F.col("at").alias("verdict_at"))

@@ -136,32 +136,6 @@ def keyframe_gates(blur: float = 0.25, lost: float = 0.2, grace: int = 3, degrad
     return step
 
 
-def lab_run(limit: int = 64):
-    """Row: at, kind (sample or stop), metric, value. Returns (step, close); out: metric, n, total, lowest, highest.
-
-    Rows after a stop change nothing. Up to limit metrics are kept by name, the rest together under '(other)'.
-    """
-
-    def step(s, row):
-        s = s or {"stopped": False, "m": {}}
-        if s["stopped"] or row["kind"] == "stop":
-            fresh = not s["stopped"]
-            s["stopped"] = True
-            return s, show(s) if fresh else []
-        if row["value"] is None:
-            return s, []
-        name = row["metric"] or ""
-        name = name if name in s["m"] or len(s["m"]) < limit else "(other)"
-        n, total, low, high = s["m"].get(name, (0, 0.0, row["value"], row["value"]))
-        s["m"][name] = (n + 1, total + row["value"], min(low, row["value"]), max(high, row["value"]))
-        return s, []
-
-    def show(s):
-        return [{"metric": k, "n": n, "total": t, "lowest": a, "highest": b} for k, (n, t, a, b) in sorted(s["m"].items())]
-
-    return step, lambda s: [] if s["stopped"] else show(s)
-
-
 def bounded_queue(capacity: int = 8):
     """Row: kind (offer or take), item. Out, for each take: item (null: empty queue) and items dropped so far, oldest first."""
 
@@ -178,50 +152,6 @@ def bounded_queue(capacity: int = 8):
     return step
 
 
-def grace_windows(grace: float = 90.0):
-    """Row: at, kind (start, end or disconnect). Out: at, walk; a start within grace of a disconnect continues its walk."""
-
-    def step(s, row):
-        s = s or {"walk": -1, "left": None}
-        if row["kind"] == "start":
-            if s["left"] is None or row["at"] - s["left"] > grace:
-                s["walk"] += 1
-            s["left"] = None
-            return s, [{"at": row["at"], "walk": s["walk"]}]
-        s["left"] = row["at"] if row["kind"] == "disconnect" else None
-        return s, []
-
-    return step
-
-
-def late_verdicts():
-    """Row: kind (closed, verdict or end), item, verdict. Returns (step, close); out: item, verdict.
-
-    Closed sightings wait for their verdict, verdicts for their sighting; at the end those without one are 'unverified'.
-    """
-
-    def close(s):
-        return [{"item": i, "verdict": "unverified"} for i in s["parked"]]
-
-    def step(s, row):
-        s = s or {"parked": [], "early": {}}
-        item = row["item"]
-        if row["kind"] == "end":
-            return {"parked": [], "early": {}}, close(s)
-        if row["kind"] == "verdict":
-            if item in s["parked"]:
-                s["parked"].remove(item)
-                return s, [{"item": item, "verdict": row["verdict"]}]
-            s["early"][item] = row["verdict"]
-        elif item in s["early"]:
-            return s, [{"item": item, "verdict": s["early"].pop(item)}]
-        elif item not in s["parked"]:
-            s["parked"].append(item)
-        return s, []
-
-    return step, close
-
-
 def change_feed(heartbeat: float = 2.0, volatile: tuple = ("served_at", "age")):
     """Row: at, payload (JSON object). Out: at, kind (change or heartbeat), revision; volatile fields count for neither."""
 

@@ -57,13 +57,7 @@ def test_small_folds():
         ("reject:blurred", 0), ("accept:session_seed", 0), ("skip:rate_limited", 0), ("reject:tracking_degraded", 0), ("skip:no_motion_evidence", 0), ("accept:parallax", 0),
         ("reject:tracking_held", 0), ("reject:tracking_held", 0), ("reject:blurred", 0), ("lost:tracking_lost", 0), ("accept:session_seed", 1),
     ]
-    runs = [{"kind": "sample", "metric": "a", "value": v} for v in (1.0, 3.0, None)] + [{"kind": "stop", "metric": None, "value": None}, {"kind": "sample", "metric": "a", "value": 9.0}]
-    assert play(folds.lab_run(), runs) == [{"metric": "a", "n": 2, "total": 4.0, "lowest": 1.0, "highest": 3.0}]
     assert play(folds.bounded_queue(2), [{"kind": "offer", "item": str(i)} for i in range(3)] + [{"kind": "take", "item": None}] * 3) == [{"item": "1", "dropped": 1}, {"item": "2", "dropped": 1}, {"item": None, "dropped": 1}]
-    walks = [(0, "start"), (5, "disconnect"), (95, "start"), (100, "disconnect"), (190.1, "start"), (200, "end"), (201, "start")]
-    assert [r["walk"] for r in play(folds.grace_windows(), [{"at": t, "kind": k} for t, k in walks])] == [0, 0, 1, 2]
-    settled = [("closed", "a", None), ("verdict", "b", "yes"), ("closed", "b", None), ("closed", "c", None), ("verdict", "a", "no")]
-    assert play(folds.late_verdicts(), [{"kind": k, "item": i, "verdict": v} for k, i, v in settled]) == [{"item": "b", "verdict": "yes"}, {"item": "a", "verdict": "no"}, {"item": "c", "verdict": "unverified"}]
     feed = [(0.0, '{"a": 1, "age": 1}'), (1.0, '{"age": 2, "a": 1}'), (2.0, '{"a": 1}'), (2.5, '{"a": 2}'), (3.0, None)]
     assert [(r["kind"], r["revision"]) for r in play(folds.change_feed(), [{"at": t, "payload": p} for t, p in feed])] == [("change", 1), ("heartbeat", 1), ("change", 2), ("change", 3)]
     assert [r["side"] for r in play(folds.side_hysteresis(), [{"at": 0, "x": x} for x in (0.34, 0.31, 0.37, 0.39, None, 0.9)])] == ["centre", "left", "left", "centre", "unknown", "right"]
