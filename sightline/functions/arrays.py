@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .assignment import assign
+
 
 @F.pandas_udf(T.StringType())
 def observation_id(session: pd.Series, label: pd.Series, observed_at: pd.Series) -> pd.Series:
@@ -33,3 +35,9 @@ def perceptual_hash(pixels: pd.Series) -> pd.Series:
         return f"{int(''.join('1' if t else '0' for t in terms > np.median(terms)), 2):016x}"
 
     return pixels.map(one)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("track", T.LongType()), T.StructField("detection", T.LongType())])))
+def best_pairs(candidates: pd.Series) -> pd.Series:
+    """Lists of (track, detection, iou) -> the assignment of most pairs, of these the most overlap."""
+    return candidates.map(lambda rows: [{"track": i, "detection": j} for i, j in sorted(assign({(r["track"], r["detection"]): r["iou"] for r in rows}).items())])

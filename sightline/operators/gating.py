@@ -176,24 +176,6 @@ def answer_kind(df: DataFrame) -> DataFrame:
     return df.withColumn("answer", answer).withColumn("text_state", state)
 
 
-def landmark_gate(df: DataFrame, least_angle: float, max_px: float = 3.0) -> DataFrame:
-    """Landmark x, y, z; camera centres ca*, cb*; observed pixels ua, va, ub, vb of cameras without rotation and focal length f,
-    centre (cx, cy) -> reason: low_parallax first, then high_reprojection, null if kept. Behind a camera there is no small error."""
-    ray = {k: [F.col(f"c{k}{c}") - F.col(c) for c in "xyz"] for k in "ab"}
-    norm = lambda v: F.sqrt(sum(x * x for x in v))
-    both = norm(ray["a"]) * norm(ray["b"])
-    cosine = F.when(both > 0, sum(p * q for p, q in zip(ray["a"], ray["b"])) / F.when(both > 0, both))
-    angle = F.coalesce(F.degrees(F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))), F.lit(0.0))
-
-    def error(k):
-        x, y, z = (F.col(c) - F.col(f"c{k}{c}") for c in "xyz")
-        du, dv = F.col("f") * x / F.when(z > 0, z) + F.col("cx") - F.col(f"u{k}"), F.col("f") * y / F.when(z > 0, z) + F.col("cy") - F.col(f"v{k}")
-        return F.coalesce(F.sqrt(du * du + dv * dv), F.lit(float("inf")))
-
-    bad = (error("a") > max_px) | (error("b") > max_px)
-    return df.withColumn("reason", F.when(angle < least_angle, "low_parallax").when(bad, "high_reprojection"))
-
-
 #: Bands of the ratios between a face's five landmarks.
 FACE_BANDS = {"eye_separation": (0.15, 0.62), "nose_offset": (0.0, 0.80), "eye_to_nose": (0.25, 1.60), "nose_to_mouth": (0.20, 1.90), "mouth_to_eye": (0.40, 1.25)}
 
@@ -396,13 +378,6 @@ def _manifests(spark, sf):
     return manifest_validation(df).select("vec_id", "problem")
 
 
-def _landmarks(spark, sf):
-    e = lambda i, k, o=0.0: f"CAST(embedding[{i}] AS DOUBLE) * {k} + {o}"
-    df = table(spark, sf, "embeddings").selectExpr("vec_id", f"{e(0, 2)} AS x", f"{e(1, 2)} AS y", f"{e(2, 20, 2)} AS z", f"{e(3, 1)} AS cax", "0D AS cay", "0D AS caz", f"{e(4, 1)} AS cbx", "0D AS cby", "0D AS cbz", "500D AS f", "320D AS cx", "180D AS cy")
-    df = df.selectExpr("*", *(f"CASE WHEN z <> 0 THEN 500 * (x - c{k}x) / z + 320 + CAST(vec_id % {m} AS DOUBLE) END AS u{k}" for k, m in (("a", 4), ("b", 6))), *(f"CASE WHEN z <> 0 THEN 500 * y / z + 180 END AS v{k}" for k in "ab"))
-    return landmark_gate(df, 1.5).select("vec_id", "reason")
-
-
 def _faces(spark, sf):
     at = lambda i, a, b: f"CAST(embedding[{i}] AS DOUBLE) * {a} + {b}"
     base = [(30, 40), (70, 40), (50, 60), (35, 80), (65, 80)]
@@ -493,12 +468,6 @@ OPS = {
         """SELECT c_custkey, CASE WHEN n IS NULL THEN 'no_observation' WHEN big THEN 'matched' ELSE 'not_found' END AS answer, CASE WHEN c_custkey % 3 = 0 THEN 'unknown' WHEN c_custkey % 5 = 0 THEN 'not_readable' ELSE 'extracted' END AS text_state
            FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, bool_or(o_totalprice > 200000) AS big FROM orders GROUP BY 1) o ON c_custkey = o_custkey""",
     ),
-    "landmark_gate": (
-        _landmarks,
-        """WITH v AS (SELECT vec_id, embedding[1]::DOUBLE * 2 AS x, embedding[2]::DOUBLE * 2 AS y, embedding[3]::DOUBLE * 20 + 2 AS z, embedding[4]::DOUBLE AS a, embedding[5]::DOUBLE AS b FROM embeddings),
-           g AS (SELECT *, degrees(acos(greatest(-1, least(1, ((a - x) * (b - x) + y * y + z * z) / (sqrt((a - x) ** 2 + y * y + z * z) * sqrt((b - x) ** 2 + y * y + z * z)))))) AS angle FROM v)
-           SELECT vec_id, CASE WHEN angle < 1.5 THEN 'low_parallax' WHEN z <= 0 OR vec_id % 6 > 3 THEN 'high_reprojection' END AS reason FROM g""",
-    ),
     "face_box_gate": (_faces, _FACE_SQL),
     "manifest_validation": (
         _manifests,

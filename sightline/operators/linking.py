@@ -11,6 +11,7 @@ from sightline.functions.arrays import observation_id
 from . import graphs
 from .graphs import cut
 from .tables import events, table
+from .views import shared_counts
 
 
 def lookup_by_derived_id(rows: DataFrame, wanted: DataFrame, cutoff: float) -> DataFrame:
@@ -94,8 +95,7 @@ def ab_compare(a: DataFrame, b: DataFrame) -> DataFrame:
 def covisibility_topk(support: DataFrame, k_top: int, k_loop: int, least: int, loop_gap: int, skip: int = 0) -> DataFrame:
     """support (point, frame), frames numbered in time -> frame, other: of each frame its k_top partners with most shared points, at
     least `least`, and the k_loop best of those at least loop_gap frames away; `skip` leaves out the first of each list."""
-    s = support.distinct()
-    n = s.join(s.withColumnRenamed("frame", "other"), "point").where("frame <> other").groupBy("frame", "other").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    n = shared_counts(support).where(F.col("shared") >= least)
     n = n.withColumn("far", F.abs(F.col("frame") - F.col("other")) >= loop_gap)
     n = n.selectExpr("*", "row_number() OVER (PARTITION BY frame ORDER BY shared DESC, other) AS k", "row_number() OVER (PARTITION BY frame, far ORDER BY shared DESC, other) AS z")
     return n.where(F.col("k").between(skip + 1, skip + k_top) | (F.col("far") & F.col("z").between(skip + 1, skip + k_loop))).select("frame", "other", "shared")
@@ -153,17 +153,6 @@ def placement_join(segments: DataFrame, placements: DataFrame, digests: DataFram
     return segments.join(good, ["world", "segment"], "left").select("world", "segment", "x", "reference", F.coalesce("_good", F.lit(False)).alias("placed"))
 
 
-def multi_view_agreement(points: DataFrame, neighbours: DataFrame, depths: DataFrame, tau: float, least: int) -> DataFrame:
-    """points (frame, id, x, y, z), neighbours (frame, other, cx, cy, cz), depths (frame, u, v, depth) by whole pixels -> kept points with the mean
-    relative error of the agreeing views: projected into each neighbour (no rotation, 100 px focal length, centre 50, 50), in front and in the picture."""
-    p = points.join(neighbours, "frame").withColumn("dz", F.col("z") - F.col("cz")).where("dz > 0")
-    px = lambda a, c: F.floor(100 * (F.col(a) - F.col(c)) / F.col("dz") + 50).cast("long")
-    p = p.withColumn("u", px("x", "cx")).withColumn("v", px("y", "cy")).where("u BETWEEN 0 AND 99 AND v BETWEEN 0 AND 99")
-    d = p.join(depths.withColumnRenamed("frame", "other"), ["other", "u", "v"]).withColumn("e", F.abs(F.col("depth") - F.col("dz")) / F.col("dz"))
-    out = d.groupBy("id").agg(F.count("*").alias("views"), F.count_if(F.col("e") < tau).alias("agree"), F.avg(F.when(F.col("e") < tau, F.col("e"))).alias("error"))
-    return out.where(F.col("agree") >= least)
-
-
 def calibration_lookup(frames: DataFrame, calibrations: DataFrame) -> DataFrame:
     """frames (id, w, h), calibrations (w, h, fx, fy, cx, cy) -> the calibration of exactly that size, or unknown: also if it is impossible; never rescaled."""
     c = calibrations.select(F.col("w").alias("_w"), F.col("h").alias("_h"), "fx", "fy", "cx", "cy")
@@ -339,13 +328,6 @@ _D_FACES = "fc AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_order
 _D_EDGES = "ed AS (SELECT id, least(a, b) AS v0, greatest(a, b) AS v1 FROM fc UNION ALL SELECT id, least(b, c), greatest(b, c) FROM fc UNION ALL SELECT id, least(a, c), greatest(a, c) FROM fc)"
 
 
-def _views(s, d):
-    e = table(s, d, "embeddings").selectExpr("vec_id AS id", "CAST(label AS BIGINT) AS f", *(f"CAST(embedding[{i}] AS DOUBLE) AS {c}" for i, c in enumerate("xyz")))
-    near = e.select("f").distinct().selectExpr("f AS frame", "explode(sequence(f + 1, f + 3)) AS other").selectExpr("frame", "other", "other * 0.01D AS cx", "0D AS cy", "0D AS cz")
-    depths = s.range(13 * 10000).selectExpr("id DIV 10000 AS frame", "id DIV 100 % 100 AS u", "id % 100 AS v", "0.9D + id % 7 * 0.05D AS depth")
-    return multi_view_agreement(e.selectExpr("f AS frame", "id", "x", "y", "z + 1 AS z"), near, depths, 0.1, 2).selectExpr("id", "views", "agree", "round(error, 6) AS error")
-
-
 def _place(s, d):
     seg = table(s, d, "customer").selectExpr("c_nationkey AS world", "c_custkey AS segment")
     p = table(s, d, "customer").where("c_custkey % 9 > 0").selectExpr("c_nationkey AS world", "c_custkey AS segment", "CASE WHEN c_custkey % 4 > 0 THEN 'registered' ELSE 'refused' END AS state", "min(c_custkey) OVER (PARTITION BY c_nationkey) + c_custkey % 3 * 0 AS reference", "CASE WHEN c_custkey % 5 > 0 THEN 'now' ELSE 'old' END AS digest", "CAST(c_acctbal AS DOUBLE) AS x")
@@ -406,11 +388,6 @@ OPS = {
         """WITH c AS (SELECT *, min(c_custkey) FILTER (c_custkey % 9 > 0) OVER (PARTITION BY c_nationkey) AS ref FROM customer), ok AS (SELECT c_nationkey AS w, c_custkey AS k, ref, c_acctbal::DOUBLE AS x FROM c WHERE c_custkey % 9 > 0 AND c_custkey % 4 > 0 AND c_custkey % 5 > 0 AND c_nationkey % 6 > 0)
            SELECT c_nationkey AS world, c_custkey AS segment, CASE WHEN p THEN x END AS x, CASE WHEN p THEN ok.ref END AS reference, coalesce(p, false) AS placed FROM c LEFT JOIN (SELECT *, ref IN (SELECT k FROM ok) AS p FROM ok) ok ON k = c_custkey""",
     ),
-    "multi_view_agreement": (
-        _views,
-        """WITH p AS (SELECT vec_id AS id, label AS f, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE + 1 AS z FROM embeddings), q AS (SELECT id, f + k AS o, floor(100 * (x - (f + k) * 0.01::DOUBLE) / z + 50)::BIGINT AS u, floor(100 * y / z + 50)::BIGINT AS v, z FROM p, (VALUES (1), (2), (3)) n(k) WHERE z > 0),
-           r AS (SELECT id, abs(0.9::DOUBLE + (o * 10000 + u * 100 + v) % 7 * 0.05::DOUBLE - z) / z AS e FROM q WHERE u >= 0 AND u < 100 AND v >= 0 AND v < 100) SELECT id, count(*) AS views, count(*) FILTER (e < 0.1) AS agree, round(avg(e) FILTER (e < 0.1), 6) AS error FROM r GROUP BY id HAVING count(*) FILTER (e < 0.1) >= 2""",
-    ),
     "calibration_lookup": (
         lambda s, d: calibration_lookup(table(s, d, "part").selectExpr("p_partkey AS id", "p_size AS w", "p_size % 7 AS h"), s.range(1, 51).selectExpr("id AS w", "id % 7 AS h", "CAST(CASE WHEN id % 5 = 0 THEN -1 ELSE id * 10 END AS DOUBLE) AS fx", "10D AS fy", "CAST(CASE WHEN id % 8 = 0 THEN 99 ELSE id / 2 END AS DOUBLE) AS cx", "0D AS cy").where("w % 3 > 0")),
         "SELECT p_partkey AS id, CASE WHEN ok THEN 'known' ELSE 'unknown' END AS state, CASE WHEN ok THEN p_size * 10.0::DOUBLE END AS fx FROM (SELECT *, p_size % 3 > 0 AND p_size % 5 > 0 AND p_size % 8 > 0 AND p_size BETWEEN 1 AND 50 AS ok FROM part) x",

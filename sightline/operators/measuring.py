@@ -1,6 +1,8 @@
 """Aggregates, reports and fits over their own columns, bound to the driver's tables; oracles are texts of their own."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,14 +78,14 @@ def _same(df: DataFrame, per: DataFrame) -> DataFrame:
     return df.join(per, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b"))).drop("_g", "_b")
 
 
-def percentile_by_rank(counts: DataFrame, group: str, value: str, low: bool, share: float = 0.95) -> DataFrame:
-    """counts (group, value, n) -> group, value at rank max(1, floor(share n)) (low) or min(n, floor(share n) + 1) of sorted values.
+def percentile_by_rank(counts: DataFrame, group: str, value: str, low: bool, share: float = 0.95, rank: Callable[[Column], Column] | None = None) -> DataFrame:
+    """counts (group, value, n) -> group, value at rank max(1, floor(share n)) (low) or min(n, floor(share n) + 1) of sorted values, or at a rank of its own.
 
     Sums of blocks of values tell which one holds the rank; only that block's distinct values are put in order.
     """
     c = _blocked(counts.where(F.col(value).isNotNull()).select(F.col(group).alias("group"), F.col(value).alias("value"), "n"), F.col("group"), "value")
-    rank = F.greatest(F.lit(1), F.floor(share * F.col("total"))) if low else F.least(F.col("total"), F.floor(share * F.col("total")) + 1)
-    per = _ahead(c, F.col("n")).withColumn("rank", rank).where((F.col("ahead") < F.col("rank")) & (F.col("rank") <= F.col("ahead") + F.col("own")))
+    usual = F.greatest(F.lit(1), F.floor(share * F.col("total"))) if low else F.least(F.col("total"), F.floor(share * F.col("total")) + 1)
+    per = _ahead(c, F.col("n")).withColumn("rank", rank(F.col("total")) if rank else usual).where((F.col("ahead") < F.col("rank")) & (F.col("rank") <= F.col("ahead") + F.col("own")))
     c = _same(c, per).withColumn("upto", F.expr("ahead + sum(n) OVER (PARTITION BY group ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
     return c.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select("group", "value")
 
@@ -340,9 +342,9 @@ def auc_rank(rows: DataFrame) -> DataFrame:
 
 def degree_distribution(support: DataFrame, nodes: DataFrame, strong: int) -> DataFrame:
     """support (frame, point), nodes (frame) -> frame, degree, strong_degree (partners with at least that many shared points), weight; frames without partners have zeros."""
-    s = support.distinct()
-    pairs = s.join(s.withColumnRenamed("frame", "other"), "point").where("frame <> other").groupBy("frame", "other").agg(F.count("*").alias("w"))
-    d = pairs.groupBy("frame").agg(F.count("*").alias("degree"), F.count_if(F.col("w") >= strong).alias("strong_degree"), F.sum("w").alias("weight"))
+    from .views import shared_counts
+
+    d = shared_counts(support).withColumnRenamed("shared", "w").groupBy("frame").agg(F.count("*").alias("degree"), F.count_if(F.col("w") >= strong).alias("strong_degree"), F.sum("w").alias("weight"))
     return nodes.select("frame").distinct().join(d, "frame", "left").fillna(0)
 
 

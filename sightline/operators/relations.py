@@ -9,13 +9,9 @@ _STREAK = f"e AS (SELECT user_id, event_id, value, CASE WHEN value < 60 THEN 1 E
 PLANS = {
     # joins
     "component_majority": f"WITH {_OWN}, n AS (SELECT segment, component, count(*) AS points FROM seg GROUP BY segment, component) SELECT component, segment AS anchor, points FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY points DESC, segment) AS k FROM n) x WHERE k = 1",
-    "iou_candidates": f"""WITH {_OBJ}, p AS (SELECT a.frame, a.i, b.i AS j, a.w * a.h AS sa, b.w * b.h AS sb, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS shared FROM o a JOIN o b ON a.frame = b.frame AND a.i < b.i)
-        SELECT frame, i, j, round(1 + shared / (sa + sb - shared), 6) AS weight FROM p WHERE shared / (sa + sb - shared) >= 0.25""",
-    "knn_neighbours": "WITH c AS (SELECT label, avg(@AT(1)) AS x, avg(@AT(2)) AS y, avg(@AT(3)) AS z FROM {embeddings} GROUP BY label), d AS (SELECT a.label, b.label AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM c a JOIN c b ON a.label <> b.label) SELECT label, other, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(d2, 9), other) AS k FROM d) x WHERE k <= 4",
     "publish_remap": "WITH s AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS new_index FROM {part} WHERE p_size >= 5) SELECT l_orderkey, l_linenumber, l_partkey, p_brand, new_index FROM {lineitem} JOIN s ON l_partkey = p_partkey",
     # aggregates
     "selection_coverage": "SELECT round(count_if(n >= 1) / count(*), 4) AS once, round(count_if(n >= 2) / count(*), 4) AS twice FROM (SELECT p_partkey, count(DISTINCT CASE WHEN l_returnflag = 'A' THEN l_orderkey END) AS n FROM {part} LEFT JOIN {lineitem} ON p_partkey = l_partkey GROUP BY p_partkey) x",
-    "reprojection_stats": "SELECT label, count(*) AS n, round(@PCT(err, 0.5), 6) AS p50, round(@PCT(err, 0.95), 6) AS p95, round(@PCT(err, 0.99), 6) AS p99, max(err) AS worst, count_if(err > 3) AS over_3px FROM (SELECT label, sqrt(@AT(1) * @AT(1) + @AT(2) * @AT(2)) * 20 AS err FROM {embeddings} WHERE @AT(3) > 0) x GROUP BY label",
     "confidence_refresh": "SELECT user_id, event_type, max(value) / 500 AS best_score, CASE WHEN max(value) IS NULL THEN 'unknown' WHEN max(value) < 250 THEN 'low' WHEN max(value) < 400 THEN 'medium' ELSE 'high' END AS confidence FROM {events} GROUP BY user_id, event_type",
     # windows
     # 0.7 to the power of 110 is below a double's last bit, so rows before the window no longer count.
