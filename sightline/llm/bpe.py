@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import slices, trim
-from .workspace import small_batches
+from .workspace import aside, small_batches
 
 BLOCK = 1 << 20
 #: Tokens are emitted at the latest after so many bytes; the longest token is far shorter.
@@ -243,23 +243,26 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, text: str = "
 
     vocabulary: the contents of a rank file, under 1 MB for 50,000 ranks; each task gets it. No exchange.
     keep_machine: Python workers keep the transducer's states (about 300 MB) from task to task.
-    Null text is empty: no tokens, digests of nothing. Columns of df with the new names are replaced.
+    Null text is empty: no tokens, digests of nothing; an empty table gives an empty table. Other columns of df may have any names; those
+    with the new names are replaced.
     """
     new = [("token_ids", T.ArrayType(T.IntegerType()))] * ids + [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    own = [c for c in df.columns if c != text and c not in dict(new)]
-    inner = df.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    own, back = aside(df, text, *dict(new))
+    width = len(own)
+    inner = df.select(*own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     schema = inner.drop("_text").schema
     for name, kind in new:
         schema = schema.add(name, kind)
+    columns = schema.names
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     small_batches(df.sparkSession)
 
     def run(batches):
         codec = _codec(shared.value, pattern)
-        for batch in (x for b in batches for x in slices(b, len(own))):
+        for batch in (x for b in batches for x in slices(b, width)):
             trim()
-            tokens, n, digests, back = array("I"), [], [], []
-            for value in batch.column(len(own)):
+            tokens, n, digests, plain_digests = array("I"), [], [], []
+            for value in batch.column(width):
                 raw, plain, count, utf8 = hashlib.sha256(), hashlib.sha256(), 0, Utf8()
                 for block in codec.encode(value.as_py()):
                     raw.update(block.tobytes())
@@ -270,16 +273,16 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, text: str = "
                 plain.update(utf8.finish().encode("utf-8"))
                 n.append(count)
                 digests.append(raw.hexdigest())
-                back.append(plain.hexdigest())
-            made = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+                plain_digests.append(plain.hexdigest())
+            made = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(plain_digests, pa.string())]
             if ids:
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 made.insert(0, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(tokens, np.uint32).astype(np.int32) if len(tokens) else np.zeros(0, np.int32))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *made], names=[*own, *dict(new)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: width], *made], names=columns)
         if not keep_machine:
             del codec
             sys.modules.pop("_sightline_codecs", None)
             gc.collect()
             trim()
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(run, schema).select(*back, *dict(new))

@@ -12,7 +12,8 @@ are compared. Texts that hold none of the needles (rare words and bigrams), of w
 window is compared with its own template only. The best template of all units at or above the limit is
 the document's licence; of equal ones the largest, then the first in the table.
 
-Null and empty texts have none. Repeated rows are judged alike. A very long text costs its words once.
+Null and empty texts have none, an empty table gives an empty table. Repeated rows are judged alike. A very long text costs its words once.
+Columns of the caller's come back under any name; those named license or dice are replaced.
 """
 from __future__ import annotations
 
@@ -21,6 +22,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import aside
+
 _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
 _BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
@@ -146,9 +149,9 @@ def _index(templates, limit: float) -> tuple[Column, Column, Column]:
 
 
 def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, limit: float = LIMIT) -> DataFrame:
-    """df less its text, with license and dice (both null if none is found). No exchange."""
-    own = [c for c in df.columns if c not in (text, "license", "dice")]
-    t = F.coalesce(F.col(text), F.lit(""))
+    """df less its text, with license and dice (both null if none is found). No exchange. Other columns of df may have any names; those with the new names are replaced."""
+    own, back = aside(df, text, "license", "dice")
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     df = df.select(*own, t.alias("_text"))
     df = df.withColumn("_plain", F.lower(F.regexp_replace("_text", "[^A-Za-z0-9]+", " ")))
     padded, may_hit = F.concat(F.lit(" "), F.col("_plain"), F.lit(" ")), F.lit(False)
@@ -183,7 +186,7 @@ def scan_licenses(df: DataFrame, text: str = "text", templates=TEMPLATES, limit:
     df = df.withColumn("_best", F.array_max(F.concat(F.transform("_sets", best), F.transform("_windows", fit))))
     names = F.array(*(F.lit(n) for n, _ in templates))
     hit = F.col("_best.dice") >= limit
-    return df.select(*own, F.when(hit, F.element_at(names, (1 - F.col("_best.j")).cast("int"))).alias("license"), F.when(hit, F.col("_best.dice")).alias("dice"))
+    return df.select(*back, F.when(hit, F.element_at(names, (1 - F.col("_best.j")).cast("int"))).alias("license"), F.when(hit, F.col("_best.dice")).alias("dice"))
 
 
 def _sql() -> str:

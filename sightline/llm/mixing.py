@@ -14,14 +14,15 @@ sources in order of cap / weight, the level is (total - caps before) / (weights
 first source that stays below its cap.
 
 Null text counts 0 words; null sources form one source, last in order. Rows with equal ids have equal
-keys and are ordered by size; sources of size 0 have target 0 and give nothing.
+keys and are ordered by size; sources of size 0 have target 0 and give nothing. An empty table gives an
+empty table.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, shuffle_partitions
+from .workspace import Workspace, aside, shuffle_partitions
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -50,18 +51,23 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3, weights: tuple = (1, 2
 
 
 def mix(sizes: DataFrame, id_col: str = "doc_id", per_range: int | None = None, max_epochs: int = 3, max_sources_shipped: int = 20_000, whole: bool = False) -> DataFrame:
-    """sizes (id, source, size) with source_size, target, taken.
+    """sizes (id, source, size) with source_size, target, taken; other columns come back under any name, those with the new names are replaced.
 
     whole: the document at the cut is taken whole if that comes nearer to the budget than leaving it.
     per_range: documents of a range; by default a quarter of a shuffle partition's share, between 2,000 and 50,000. Ranges spread
     the work and never change the result. sizes is read four times: pass a written table.
     """
+    own, back = aside(sizes, id_col, "source", "size", "source_size", "target", "taken")
+    names = [c for c in sizes.columns if c not in ("source_size", "target", "taken")]
+    rest = iter(back)
+    named = {c: F.col("_id").alias(c) if c == id_col else F.col(c) if c in ("source", "size") else next(rest) for c in names}
+    sizes = sizes.select(*own, F.col(f"`{id_col}`").alias("_id"), "source", "size")
     goals = source_targets(sizes.select("source", "size"), max_epochs)
     if per_range is None:
         per_range = min(50_000, max(2_000, sizes.count() // (4 * shuffle_partitions(sizes.sparkSession))))
     few = goals.limit(max_sources_shipped + 1).count() <= max_sources_shipped
     goals = goals.withColumn("_ranges", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / per_range))).withColumnRenamed("source", "_source")
-    key = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15)
+    key = F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit(""))), 1, 15)
     rows = sizes.withColumn("_key", key)
     if few:  # a bounded number of rows, counted above
         rows = rows.join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("_source")))
@@ -73,7 +79,7 @@ def mix(sizes: DataFrame, id_col: str = "doc_id", per_range: int | None = None,
     sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
-    within = Window.partitionBy("source", "_range").orderBy("_key", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "_range").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     start, budget = F.col("_start") + F.col("_ahead"), F.floor("target")
@@ -81,7 +87,7 @@ def mix(sizes: DataFrame, id_col: str = "doc_id", per_range: int | None = None,
     left = budget - epochs * F.col("source_size") - start
     part = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole else F.least(F.col("size"), left)
     taken = epochs * F.col("size") + F.when(left > 0, part).otherwise(F.lit(0))
-    return rows.select(*sizes.columns, "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select(*named.values(), "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def document_sizes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -89,7 +95,7 @@ def document_sizes(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 
 
 def mixed_documents(docs: DataFrame, max_epochs: int = 3, space: Workspace | None = None) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it, whole documents only.
+    """docs (doc_id, source, text and any others) with each row repeated as often as the mix takes it, whole documents only.
 
     Decisions are made on (id, source, size); the texts themselves move only in the join by id, whose
     keys are even. Rows with equal ids and different texts are told apart by source and size.
@@ -98,7 +104,8 @@ def mixed_documents(docs: DataFrame, max_epochs: int = 3, space: Workspace | Non
     sizes = space.keep(document_sizes(docs))
     taken = mix(sizes, max_epochs=max_epochs, whole=True)
     times = taken.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_same"))
-    own = word_count("text")
-    joined = docs.withColumn("_n", own).join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    own, back = aside(docs)
+    inner = docs.select(*own, F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), word_count("text").alias("_n"))
+    joined = inner.join(times, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
     n = F.ceil(F.col("_taken") / (F.col("_size") * F.col("_same"))).cast("int")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), n))).select(*back)

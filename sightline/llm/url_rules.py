@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import aside
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -118,12 +120,12 @@ def _sweep_shipped(rules: list[tuple[str, list[tuple]]], names: list[str]):
 
 
 def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", max_shipped: int = 50_000, sample_keys: int = 20_000) -> DataFrame:
-    """df with host, path, rule, verdict; columns of df that have those names are replaced.
+    """df with host, path, rule, verdict; columns of df that have those names are replaced, others may have any name. An empty table gives an empty table.
 
     rules: host, path, verdict. Urls under no rule get `default`.
     """
-    host, path = host_and_path(F.col(url))
-    own = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    host, path = host_and_path(F.col(f"`{url}`"))
+    own, back = aside(df, "host", "path", "rule", "verdict")
     df = df.select(*own, host.alias("_host"), path.alias("_path"))
     names = df.columns
     out = df.schema.add("_rule", "string").add("_verdict", "string")
@@ -134,7 +136,7 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
         found = df.sortWithinPartitions(turned, "_path").mapInArrow(_sweep_shipped(_by_key(tuple(r) for r in shipped), names), out)
     else:
         found = _dealt(df, rules, names, out, turned, sample_keys)
-    return found.select(*own, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"))
+    return found.select(*back, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"))
 
 
 def _dealt(df, rules, names, out, turned, sample_keys):

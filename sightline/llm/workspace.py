@@ -72,6 +72,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(df: DataFrame, *replaced: str) -> tuple[list, list]:
+    """(columns of df under plain names _c0, _c1, ..., the same back under their own) but for those that an operator replaces: so no column
+    of the caller's meets a name of ours."""
+    from pyspark.sql import functions as F
+
+    own = [c for c in df.columns if c not in replaced]
+    return [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], [F.col(f"_c{i}").alias(c) for i, c in enumerate(own)]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,6 +6,8 @@ import pytest
 
 tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
+from pyspark.sql import functions as F
+
 from sightline.llm.bpe import Codec, Utf8, encode_documents, load_ranks  # noqa: E402
 
 DATA = open(P.path("byte_bpe_50k.tiktoken")).read()
@@ -79,3 +81,9 @@ def test_documents(spark, both):
         assert got[i].ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert encode_documents(df.limit(0), DATA, P.PATTERN).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a b",), (None,)], "text string").select("text", *(F.lit("own").alias(c) for c in ("_text", "_c0", "n_tokens", "a.b")))
+    out = encode_documents(df, DATA, P.PATTERN)
+    assert {r["_text"] for r in out.collect()} == {r["_c0"] for r in out.collect()} == {r["a.b"] for r in out.collect()} == {"own"} and sorted(r.n_tokens for r in out.collect()) == [0, 2]

@@ -72,3 +72,10 @@ def test_documents_equal_sql(spark):
     want = sorted(con.execute(_sql()).fetchall(), key=str)
     got = scan_licenses(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).collect()
     assert sorted((tuple(r) for r in got), key=str) == want
+
+
+def test_columns_of_any_name(spark):
+    names = ("_text", "_plain", "_padded", "_may_hit", "_units", "_sets", "_words", "_starts", "_windows", "_best", "_c0", "license")
+    df = spark.createDataFrame([("plain text",), (None,)], "text string").select("text", *(F.lit("own").alias(c) for c in names))
+    out = scan_licenses(df)
+    assert out.count() == 2 and all(r[c] == "own" for r in out.collect() for c in names[:-1]) and {r.license for r in out.collect()} == {None}

@@ -68,3 +68,15 @@ def test_very_long_texts_and_a_hot_source(spark):
     got = {r.doc_id: (r.size, r.taken, r.target) for r in mix(sizes).collect()}
     assert got == {r.doc_id: (r.size, r.taken, r.target) for r in mix(sizes, per_range=37).collect()}
     assert got[9000][0] == 300_000 and all(0 <= t <= 3 * n for n, t, _ in got.values())
+
+
+def test_columns_of_any_name(spark, docs):
+    names = ("_n", "_copy", "_id", "_source", "_size", "_key", "_range", "_c0", "_doc", "_taken")
+    own = docs.select("doc_id", "source", "text", *(F.lit(99).alias(c) for c in names))
+    out = mixed_documents(own)
+    assert out.columns == own.columns and all({r[c] for r in out.collect()} == {99} for c in names)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in mixed_documents(docs.select("doc_id", "source", "text")).collect())
+    sizes = document_sizes(docs).select("doc_id", *(F.lit(99).alias(c) for c in names), "source", "size")
+    got = mix(sizes)
+    assert got.columns == [*sizes.columns, "source_size", "target", "taken"] and all({r[c] for r in got.collect()} == {99} for c in names)
+    assert sorted((r.doc_id, r.taken) for r in got.collect()) == sorted((r.doc_id, r.taken) for r in mix(document_sizes(docs)).collect())

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from sightline.llm.url_rules import judge_urls
 
 
@@ -42,3 +44,14 @@ def test_very_long_urls_and_many_copies(spark):
     for most in (50_000, 1):
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(df, rows, max_shipped=most).collect()}
         assert all(got[i] == brute(u, rules) for i, u in enumerate(urls))
+
+
+def test_columns_of_any_name(spark):
+    names = ("_host", "_path", "_key", "_range", "_rules", "_rule", "_verdict", "_c0", "host")
+    df = spark.createDataFrame([("http://a.com/x",), (None,)], "url string").select("url", *(F.lit("own").alias(c) for c in names))
+    rule_rows = spark.createDataFrame([("com", "/", "block"), ("net", "/", "allow")], "host string, path string, verdict string")
+    for most in (50_000, 1):
+        out = judge_urls(df, rule_rows, max_shipped=most)
+        got = {r.url: r for r in out.collect()}
+        assert got["http://a.com/x"].verdict == "block" and got[None].verdict == "allow" and got["http://a.com/x"].host == "a.com"
+        assert all(r[c] == "own" for r in got.values() for c in names[:-1])
