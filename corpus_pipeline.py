@@ -5,6 +5,8 @@ stage's rows to the shared folder and reads them for the next.
 """
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +18,18 @@ from sightline.llm.queries import vocabulary
 from sightline.llm.repeats import strip_repeats
 from sightline.llm.workspace import Workspace, table
 
-_left: dict[str, Workspace] = {}
+_left = threading.local()
 
 
 def _space(spark: SparkSession, sf_dir: str, name: str) -> Workspace:
-    """A stage's tables; those of the stage before go, as its rows are written by now."""
-    before = _left.pop(sf_dir, None)
+    """A stage's tables; those of the stage before go, as its rows are written by now. Each thread has its own, so that two runs over one folder
+    don't take each other's; within a thread a stage's rows must be written before the next stage of the same folder is called."""
+    mine = _left.__dict__.setdefault("spaces", {})
+    before = mine.pop((spark.sparkContext.applicationId, sf_dir), None)
     if before is not None:
         before.clear()
-    _left[sf_dir] = Workspace(spark, f"pipeline-{name}")
-    return _left[sf_dir]
+    space = mine[spark.sparkContext.applicationId, sf_dir] = Workspace(spark, f"pipeline-{name}")
+    return space
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of smallest id stays; rows without an id stay. Shingles of five words, similarity 0.8."""
+    """Of each group the document of smallest id stays, with all rows that have this id; rows without an id stay. Shingles of five words, similarity 0.8."""
     space = _space(spark, sf_dir, "near")
     gone = space.keep(near_duplicates(docs, space=space).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
