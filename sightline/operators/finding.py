@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.arrays import perceptual_hash
+
 from .tables import events, table
 
 #: Words that searches leave out.
@@ -296,6 +298,12 @@ OPS = {
         lambda s, d: table(s, d, "documents").selectExpr("doc_id", "md5(cast(doc_id AS STRING)) AS h").select("doc_id", hash_distance(F.when(F.col("doc_id") % 5 > 0, F.substring("h", 1, 16)).otherwise("zz"), F.substring("h", 17, 16)).alias("bits")),
         "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN list_sum(list_transform(range(1, 17), lambda i: bit_count(xor(('0x' || h[i])::INT, ('0x' || h[i + 16])::INT))))::INT END AS bits FROM (SELECT doc_id, md5(doc_id::VARCHAR) AS h FROM documents) x",
     ),
+    "perceptual_hash": (
+        lambda s, d: table(s, d, "embeddings").selectExpr("vec_id", "transform(sequence(0, 1023), i -> CAST(get(embedding, i * 7 % 64) AS DOUBLE) * (1 + i % 37)) AS pixels").select("vec_id", perceptual_hash("pixels").alias("hash")),
+        """WITH e AS (SELECT vec_id, embedding FROM embeddings), px AS (SELECT vec_id, i // 32 AS y, i % 32 AS x, embedding[i * 7 % 64 + 1]::DOUBLE * (1 + i % 37) AS v FROM e, range(1024) r(i)), k AS (SELECT k, x, cos(pi() * (2 * x + 1) * k / 64) AS c FROM range(8) a(k), range(32) b(x)),
+           rows_ AS (SELECT vec_id, y, k.k AS u, sum(v * c) AS s FROM px JOIN k ON k.x = px.x GROUP BY ALL), t AS (SELECT vec_id, k.k AS w, u, sum(s * c) AS t FROM rows_ JOIN k ON k.x = rows_.y GROUP BY ALL), f AS (SELECT *, w * 8 + u AS n FROM t WHERE w + u > 0), m AS (SELECT vec_id, median(t) AS m FROM f GROUP BY 1)
+           SELECT vec_id, format('{:016x}', sum(CASE WHEN t > m THEN 1::HUGEINT << (63 - n)::INT ELSE 0 END)::UBIGINT) AS hash FROM f JOIN m USING (vec_id) GROUP BY vec_id""",
+    ),
     "numbers_agree": (
         lambda s, d: table(s, d, "conversations").selectExpr("conv_id", "turn", "concat_ws(' ', conv_id, turn % 3, '7,5', turn) AS a", "concat_ws(' ', conv_id, turn % 2, '7.5', turn + 1) AS b").withColumn("x", numbers(F.col("a"))).withColumn("y", numbers(F.col("b"))).select("conv_id", "turn", (~((F.size("x") >= 3) & (F.size("y") >= 3) & (_share(F.col("x"), F.col("y"))[0] < 0.5))).alias("agree")),
         """WITH n AS (SELECT conv_id, turn, list_distinct([conv_id::VARCHAR, (turn % 3)::VARCHAR, '7,5', turn::VARCHAR]) AS a, list_distinct([conv_id::VARCHAR, (turn % 2)::VARCHAR, '7.5', (turn + 1)::VARCHAR]) AS b FROM conversations)

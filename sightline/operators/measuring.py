@@ -42,13 +42,26 @@ def typed_metrics(rows: DataFrame, kinds: DataFrame) -> DataFrame:
 
     rate: mean; count: sum; constant: the value, or null and varied if it isn't one; unaggregated: frames only.
     """
-    known = rows.join(F.broadcast(kinds), "metric", "left").withColumn("kind", F.coalesce("kind", F.raise_error(F.concat(F.lit("undeclared metric "), F.coalesce("metric", F.lit("null"))))))
+    known = rows.join(kinds, "metric", "left").withColumn("kind", F.coalesce("kind", F.raise_error(F.concat(F.lit("undeclared metric "), F.coalesce("metric", F.lit("null"))))))
     out = known.groupBy("run", "metric", "kind").agg(F.avg("value").alias("mean"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("frames"))
     varied = (F.col("kind") == "constant") & F.coalesce(F.col("low") < F.col("high"), F.lit(False))
     value = F.when(F.col("kind") == "rate", F.col("mean")).when(F.col("kind") == "count", F.col("total")).when((F.col("kind") == "constant") & ~varied, F.col("low"))
     return out.select("run", "metric", "kind", value.alias("value"), varied.alias("varied"), "frames")
 
 
+def corpus_metrics(rows: DataFrame, kinds: DataFrame, most: int = 16) -> DataFrame:
+    """rows (metric, value, failed), kinds (metric, kind) -> metric, kind, value, frames over a corpus; failed frames count for nothing, an undeclared metric raises.
+
+    rate: its mean; count: its sum; constant: a row a distinct value, with its frames, and more than `most` of them raise; unaggregated: frames only.
+    """
+    known = rows.where(~F.col("failed")).join(kinds, "metric", "left").withColumn("kind", F.coalesce("kind", F.raise_error(F.concat(F.lit("undeclared metric "), F.coalesce("metric", F.lit("null"))))))
+    per = known.groupBy("metric", "kind", F.when(F.col("kind") == "constant", F.col("value")).alias("own")).agg(F.count("*").alias("frames"), F.avg("value").alias("mean"), F.sum("value").alias("total"))
+    per = per.selectExpr("*", "count(own) OVER (PARTITION BY metric) AS distinct_values")
+    checked = F.when((F.col("kind") == "constant") & (F.col("distinct_values") > most), F.raise_error(F.concat(F.col("metric"), F.lit(f" is declared constant but has more than {most} values"))))
+    value = F.when(F.col("kind") == "rate", F.col("mean")).when(F.col("kind") == "count", F.col("total")).when(F.col("kind") == "constant", F.coalesce(checked.cast("double"), F.col("own")))
+    return per.select("metric", "kind", value.alias("value"), "frames")
+
+
 def corpus_benchmark(rows: DataFrame) -> DataFrame:
     """rows (capture, ms, failed) -> a row a capture and one for the corpus (capture null): frames, failed, mean and p95 of those that didn't fail."""
     good = F.when(~F.col("failed"), F.col("ms"))
@@ -492,6 +505,11 @@ OPS = {
         """WITH e AS (SELECT user_id AS capture, value AS ms, event_type = 'error' AS bad FROM events UNION ALL SELECT NULL, value, event_type = 'error' FROM events)
            SELECT capture, capture IS NULL AS corpus, count(*) AS frames, count_if(bad) AS failed, round(avg(ms) FILTER (NOT bad), 6) AS mean, round((list_sort(list(ms) FILTER (NOT bad)))[greatest(1, floor(count_if(NOT bad) * 0.95)::INT)], 6) AS p95 FROM e GROUP BY capture""",
     ),
+    "corpus_metric_values": (
+        lambda s, d: _R6(corpus_metrics(events(s, d).selectExpr("label AS metric", "CASE WHEN label = 'purchase' THEN CAST(seq % 5 AS DOUBLE) ELSE score END AS value", "seq % 11 = 0 AS failed"), s.createDataFrame([("click", "rate"), ("view", "count"), ("purchase", "constant"), ("error", "unaggregated"), ("signup", "rate")], "metric string, kind string")), "value"),
+        """WITH e AS (SELECT event_type AS m, event_id, value / 500 AS v FROM events WHERE event_id % 11 > 0) SELECT m AS metric, 'rate' AS kind, round(avg(v), 6) AS value, count(*) AS frames FROM e WHERE m IN ('click', 'signup') GROUP BY m UNION ALL SELECT m, 'count', round(sum(v), 6), count(*) FROM e WHERE m = 'view' GROUP BY m
+           UNION ALL SELECT m, 'constant', (event_id % 5)::DOUBLE, count(*) FROM e WHERE m = 'purchase' GROUP BY m, event_id % 5 UNION ALL SELECT m, 'unaggregated', NULL, count(*) FROM e WHERE m = 'error' GROUP BY m""",
+    ),
     "refusal_tally": (
         lambda s, d: refusal_tally(events(s, d).selectExpr("CASE label WHEN 'view' THEN NULL WHEN 'error' THEN 'failed' ELSE label END AS reason"), ["click", "purchase", "signup", "never"]),
         "SELECT reason, (SELECT count(*) FROM events WHERE event_type = reason) AS n, (SELECT count(*) FROM events) AS offered, (SELECT count(*) FROM events WHERE event_type = 'view') AS processed, (SELECT count(*) FROM events WHERE event_type = 'error') AS failed FROM (VALUES ('click'), ('purchase'), ('signup'), ('never')) v(reason)",

@@ -228,3 +228,13 @@ def test_patches_after_the_weld(spark):
     # a closed tetrahedron over a seam (1 and 11, 2 and 12 are one place each), and an open triangle with its own copy
     faces = spark.createDataFrame([(100, 1, 2, 3), (101, 11, 12, 4), (102, 2, 3, 4), (103, 1, 3, 4), (200, 20, 21, 22), (201, 20, 21, 22), (300, 20, 21, 23)], "id int, a int, b int, c int")
     assert rows(li.sealed_patches(vertices, faces, 0.01), "id") == [(100,), (101,), (102,), (103,), (300,)]
+
+
+def test_corpus_metrics(spark):
+    df = spark.createDataFrame([("r", 1.0, False), ("r", 3.0, False), ("r", 99.0, True), ("c", 2.0, False), ("c", None, False), ("k", 5.0, False), ("k", 5.0, False), ("k", 6.0, False), ("u", 7.0, False)], "metric string, value double, failed boolean")
+    kinds = spark.createDataFrame([("r", "rate"), ("c", "count"), ("k", "constant"), ("u", "unaggregated")], "metric string, kind string")
+    assert rows(me.corpus_metrics(df, kinds), "metric", "value", "frames") == [("c", 2.0, 2), ("k", 5.0, 2), ("k", 6.0, 1), ("r", 2.0, 2), ("u", None, 1)]
+    with pytest.raises(Exception, match="more than 1 values"):
+        me.corpus_metrics(df, kinds, 1).collect()
+    with pytest.raises(Exception, match="undeclared metric u"):
+        me.corpus_metrics(df, kinds.where("metric <> 'u'")).collect()

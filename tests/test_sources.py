@@ -1,5 +1,6 @@
 import json
 import os
+import struct
 
 import numpy as np
 import pytest
@@ -117,13 +118,47 @@ def test_points_and_meshes_there_and_back(spark):
     assert buffers.unpack_points(packed).exceptAll(df).count() == 0 == df.exceptAll(buffers.unpack_points(packed)).count()
     with pytest.raises(Exception, match="no whole number"):
         buffers.unpack_points(spark.createDataFrame([("p", 0, b"x" * 17)], "path string, part long, content binary")).collect()
-    blob = buffers.pack_mesh(np.arange(9).reshape(3, 3), np.full((3, 3), 7), [[0, 1, 2]])
-    row = lambda b, c: spark.createDataFrame([("m", b, c)], "path string, content binary, confidence binary")
-    v, f = buffers.unpack_mesh(row(blob, b"\x01\x02\x03"))
-    assert [tuple(r)[1:] for r in v.collect()] == [(i, 3.0 * i, 3.0 * i + 1, 3.0 * i + 2, 7, 7, 7, i + 1) for i in range(3)] and tuple(f.first()) == ("m", 0, 0, 1, 2)
-    for bad, sure, why in ((blob[:-1], None, "bytes for"), (blob[:4], None, "no header"), (blob, b"\x01", "confidences for"), (buffers.pack_mesh(np.zeros((1, 3)), np.zeros((1, 3)), [[0, 0, 1]]), None, "isn't there")):
+
+
+def test_mesh_container_by_its_layout(spark):
+    v, c, f = np.array([[0, 0, 0], [1, 2, 4], [0.5, 1, 2]], "f4"), [[1, 2, 3], [4, 5, 6], [7, 8, 9]], [[0, 1, 2]]
+    normals = [[1, 0, 0], [0, -1, 0], [0, 0, 0.5]]
+    blob = buffers.pack_mesh(v, c, f, normals)
+    want = struct.pack("<8sIIII6f", b"WBSURF01", 3, 3, 3, 1, 0, 0, 0, 1, 2, 4) + struct.pack("<9H", 0, 0, 0, 65535, 65535, 65535, 32767, 32767, 32767) + bytes(range(1, 10)) + struct.pack("<9b", 127, 0, 0, 0, -127, 0, 0, 0, 63) + struct.pack("<3H", 0, 1, 2)
+    assert blob == want
+    many = buffers.pack_mesh(np.zeros((65_536, 3)), None, [[0, 65_535, 1]])
+    assert many[-12:] == struct.pack("<3I", 0, 65_535, 1) and len(many) == 48 + 65_536 * 9 + 12  # indices of 32 bits from there on
+    assert buffers.read_mesh("m", buffers.pack_mesh(np.zeros((0, 3)), None, []))[0].shape == (0, 3)
+    sure = buffers.pack_confidence([1, 2, 255])
+    assert sure == struct.pack("<8sIII", b"WBCONF01", 3, 1, 0) + b"\x01\x02\xff"
+    row = lambda b, s: spark.createDataFrame([("m", b, s)], "path string, content binary, confidence binary")
+    vertices, faces = buffers.unpack_mesh(row(blob, sure))
+    got = [tuple(r) for r in vertices.orderBy("id").collect()]
+    assert [r[:2] + r[5:8] + r[11:] for r in got] == [("m", 0, 1, 2, 3, 1), ("m", 1, 4, 5, 6, 2), ("m", 2, 7, 8, 9, 255)] and tuple(faces.first()) == ("m", 0, 0, 1, 2)
+    assert got[1][2:5] == (1.0, 2.0, 4.0) and got[2][2:5] == pytest.approx((0.5, 1, 2), abs=1e-4) and got[2][8:11] == pytest.approx((0, 0, 63 / 127))
+    plain, _ = buffers.unpack_mesh(row(buffers.pack_mesh(v, c, f), None))
+    assert [tuple(r)[8:] for r in plain.collect()] == [(None, None, None, None)] * 3
+    again = buffers.pack_meshes(vertices, faces).first()
+    assert again.content == blob and again.confidence == sure
+    bad = {
+        "no header": (blob[:20], None), "another kind": (b"X" + blob[1:], None), "version": (blob[:20] + b"\x09" + blob[21:], None), "bytes for": (blob[:-1], None), "isn't there": (buffers.pack_mesh(v, c, [[0, 1, 3]]), None),
+        "whole number of triangles": (blob[:12] + b"\x04" + blob[13:], None), "confidences for": (blob, buffers.pack_confidence([1])), "bytes for 3 confidences": (blob, sure[:-1]), "another kind of buffer": (blob, blob),
+    }
+    for why, (b, s) in bad.items():
+        with pytest.raises(Exception, match=why):
+            [x.collect() for x in buffers.unpack_mesh(row(b, s))]
+
+
+def test_chunks_of_pictures(spark):
+    kind = sorted(buffers.PICTURES)[0]
+    blob = buffers.pack_chunk(kind, 640, 360, [b"abc", b"", b"de"])
+    assert blob == struct.pack("<8sIIIIII", b"WBAPCK01", 1, buffers.PICTURES[kind], 3, 640, 360, 0) + struct.pack("<6I", 0, 3, 3, 0, 3, 2) + b"abcde"
+    df = lambda *b: spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(b)], "path string, content binary")
+    out = buffers.unpack_chunks(df(blob, buffers.pack_chunk(kind, 1, 1, []))).collect()
+    assert [(r.path, r.slot, r.picture, r.width, r.height, bytes(r.content)) for r in out] == [("c0", i, kind, 640, 360, x) for i, x in enumerate((b"abc", b"", b"de"))]
+    for why, b in {"no header": blob[:9], "another kind": b"X" + blob[1:], "unknown picture": blob[:12] + b"\x09" + blob[13:], "its table": blob[:40], "past the end": blob[:-1], "disagrees": blob + b"x"}.items():
         with pytest.raises(Exception, match=why):
-            (buffers.unpack_mesh(row(bad, sure))[1 if sure is None else 0]).collect()
+            buffers.unpack_chunks(df(b)).collect()
 
 
 def test_derived_tables_answer_only_to_their_digest(spark, tmp_path):
