@@ -437,35 +437,6 @@ def rotation_mean(rows: DataFrame) -> DataFrame:
     return sums.mapInPandas(nearest, f"g {rows.schema['g'].dataType.simpleString()}, r array<double>")
 
 
-def exposure_solve(votes: DataFrame, rounds: int = 20, huber: float = 0.1) -> DataFrame:
-    """votes (scene, a, b, ratio: log brightness of frame b over frame a at a shared point) -> scene, frame, gain.
-
-    Gains in logarithms by least squares with Huber weights, pulled to a mean of 0 in a scene: each round moves a frame
-    to the weighted mean of what its partners say. Point votes are folded to a median and count for each pair of frames first.
-    """
-    import numpy as np
-    import pandas as pd
-
-    pairs = votes.where(F.col("ratio").isNotNull() & ~F.isnan("ratio")).groupBy("scene", "a", "b").agg(F.median("ratio").alias("ratio"), F.count("*").alias("n"))
-
-    def solve(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["a", "b"])
-        names = np.unique(np.concatenate([t["a"], t["b"]]))
-        i, j, d, n = np.searchsorted(names, t["a"]), np.searchsorted(names, t["b"]), t["ratio"].to_numpy(float), t["n"].to_numpy(float)
-        g = np.zeros(len(names))
-        for _ in range(rounds):
-            left = np.abs(g[j] - g[i] - d)
-            w = n * np.minimum(1.0, huber / np.maximum(left, 1e-12))
-            top, under = np.zeros(len(names)), np.full(len(names), 1e-9)
-            np.add.at(top, i, w * (g[j] - d)), np.add.at(top, j, w * (g[i] + d)), np.add.at(under, i, w), np.add.at(under, j, w)
-            g = 0.5 * g + 0.5 * top / under
-            g -= g.mean()
-        return pd.DataFrame({"scene": t["scene"].iloc[0], "frame": names, "gain": np.exp(-g)})
-
-    k = lambda c: votes.schema[c].dataType.simpleString()
-    return pairs.groupBy("scene").applyInPandas(solve, f"scene {k('scene')}, frame {k('a')}, gain double")
-
-
 # ---- bindings
 
 _R6 = lambda df, *cs: df.select(*(F.round(c, 6).alias(c) if c in cs else F.col(c) for c in df.columns))
@@ -683,5 +654,4 @@ OPS = {
     ),
     "robust_affine_fit": (lambda s, d: robust_affine_fit(events(s, d).selectExpr("capture AS g", "seq AS pos", "CAST(seq AS DOUBLE) AS x", "score AS y")), None),
     "rotation_mean": (lambda s, d: rotation_mean(table(s, d, "embeddings").selectExpr("label AS g", "transform(slice(embedding, 1, 9), v -> CAST(v AS DOUBLE)) AS r")), None),
-    "exposure_solve": (lambda s, d: exposure_solve(table(s, d, "lineitem").selectExpr("l_partkey % 20 AS scene", "l_suppkey AS a", "l_suppkey + l_linenumber AS b", "CAST(l_discount AS DOUBLE) - 0.05 AS ratio")), None),
 }

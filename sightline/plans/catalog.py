@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from functools import partial
 
-from sightline.operators import finding, gating, geometry, guards, keeping, linking, measuring, metrics, ordering, programs, relations, rules, scalars, series, sessions, shaping, text, timers, views
+from sightline.operators import exposure, finding, gating, geometry, guards, keeping, linking, measuring, metrics, ordering, programs, relations, rules, scalars, series, sessions, shaping, text, timers, views
 
 from .dialect import oracle, run
 
 PLANS = sessions.PLANS | guards.PLANS | metrics.PLANS | text.PLANS | geometry.PLANS | series.PLANS | scalars.PLANS | relations.PLANS
 #: Functions over their own columns, with oracles written apart.
-OPS = gating.OPS | finding.OPS | measuring.OPS | ordering.OPS | linking.OPS | shaping.OPS | keeping.OPS | rules.OPS | timers.OPS | views.OPS
+OPS = gating.OPS | finding.OPS | measuring.OPS | ordering.OPS | linking.OPS | shaping.OPS | keeping.OPS | rules.OPS | timers.OPS | views.OPS | exposure.OPS
 
 
 def queries() -> dict:

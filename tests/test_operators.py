@@ -210,10 +210,6 @@ def test_robust_fit_gains_and_rotations(spark):
     pts = [("g", i, float(i), 2.0 * i + 1 + (500.0 if i == 8 else 0.0)) for i in range(40)] + [("h", 0, 1.0, 1.0)]
     got = {r.g: r for r in me.robust_affine_fit(spark.createDataFrame(pts, "g string, pos int, x double, y double")).collect()}
     assert abs(got["g"].slope - 2) < 1e-3 and abs(got["g"].offset - 1) < 0.05 and got["g"].held_out < 1e-3 and got["h"].slope is None
-    true = {1: 1.0, 2: 2.0, 3: 0.5}
-    v = [("s", a, b, math.log(true[b] / true[a])) for a in true for b in true if a < b for _ in range(5)] + [("s", 1, 2, 3.0)]
-    g = {r.frame: r.gain for r in me.exposure_solve(spark.createDataFrame(v, "scene string, a int, b int, ratio double"), rounds=200).collect()}
-    assert abs(g[1] / g[2] - 2.0) < 0.35 and abs(g[1] / g[3] - 0.5) < 0.1
     turn = lambda a: [math.cos(a), -math.sin(a), 0.0, math.sin(a), math.cos(a), 0.0, 0.0, 0.0, 1.0]
     m = me.rotation_mean(spark.createDataFrame([(1, turn(0.1)), (1, turn(0.3))], "g int, r array<double>")).first().r
     assert all(abs(x - y) < 1e-9 for x, y in zip(m, turn(0.2)))
