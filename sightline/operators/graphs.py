@@ -44,6 +44,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         label = cut(spread.join(up, spread.component == up.p, "left").select("node", F.least("component", "top").alias("component"), "was"), "labels")
         drop(spread)
         if label.where("component <> was").isEmpty():
+            drop(both)
             return label.select("node", "component")
         label = label.select("node", "component")
     raise RuntimeError(f"components still change after {max_rounds} rounds")
@@ -67,13 +68,17 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     both = cut(both.union(both.select("b", "a")).distinct(), "edges")
     seen = cut(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("hops", F.lit(0)), "hops")
+    parts = [seen]
     for k in range(1, cap + 1):
         edge = both.join(seen.where(F.col("hops") == k - 1), both.a == F.col("node")).select(F.col("b").alias("node")).distinct()
         fresh = cut(edge.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)), "hops")
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh)
-    return seen
+        parts.append(fresh)
+    out = cut(seen, "hops")
+    drop(both, *parts)
+    return out
 
 
 def laplacian_smooth(values: DataFrame, edges: DataFrame, passes: int, shrink: float = 0.5, inflate: float = -0.53) -> DataFrame:
@@ -85,7 +90,10 @@ def laplacian_smooth(values: DataFrame, edges: DataFrame, passes: int, shrink: f
             at = values.select(F.col("node").alias("n"), *[F.col(c).alias(f"{c}_") for c in "xyz"])
             mean = both.join(at, both.b == at.n).groupBy("a").agg(*[F.avg(f"{c}_").alias(f"{c}_") for c in "xyz"])
             moved = values.join(mean, values.node == mean.a, "left")
-            values = cut(moved.select("node", *[F.coalesce(F.col(c) + rate * (F.col(f"{c}_") - F.col(c)), F.col(c)).alias(c) for c in "xyz"]), "smooth")
+            old, values = values, cut(moved.select("node", *[F.coalesce(F.col(c) + rate * (F.col(f"{c}_") - F.col(c)), F.col(c)).alias(c) for c in "xyz"]), "smooth")
+            if hasattr(old, "_kept_path"):
+                drop(old)
+    drop(both)
     return values
 
 
@@ -110,14 +118,18 @@ def bfs_compose(edges: DataFrame, roots: DataFrame, max_hops: int = 100) -> Data
     both = cut(there.unionByName(back).where("a IS NOT NULL AND b IS NOT NULL AND a <> b"), "sim3")
     eye = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
     seen = cut(roots.select("node", F.lit(1.0).alias("s"), eye.alias("r"), F.array(*[F.lit(0.0)] * 3).alias("t"), F.lit(0).alias("hops")), "bfs")
+    parts = [seen]
     for hop in range(1, max_hops + 1):
         edge = both.join(seen.where(F.col("hops") == hop - 1), F.col("a") == F.col("node")).join(seen.select(F.col("node").alias("b")), "b", "left_anti")
         moved = F.array(*[F.col("s") * sum(F.col("r")[3 * i + k] * F.col("et")[k] for k in range(3)) + F.col("t")[i] for i in range(3)])
         made = edge.select("b", "a", (F.col("s") * F.col("es")).alias("s"), F.array(*[_dot("r", "er", i, j) for i in range(3) for j in range(3)]).alias("r"), moved.alias("t"))
         fresh = cut(made.groupBy("b").agg(F.min(F.struct("a", "s", "r", "t")).alias("m")).select(F.col("b").alias("node"), "m.s", "m.r", "m.t", F.lit(hop).alias("hops")), "bfs")
         if fresh.isEmpty():
-            return seen
+            out = cut(seen, "bfs")
+            drop(both, *parts)
+            return out
         seen = seen.unionByName(fresh)
+        parts.append(fresh)
     raise RuntimeError(f"nodes beyond {max_hops} hops")
 
 

@@ -375,8 +375,8 @@ OPS = {
            ib AS (SELECT DISTINCT a, b, CASE WHEN tb = nb THEN i ELSE round_even(i * (nb - 1) / (tb - 1), 0)::BIGINT END AS i FROM (SELECT *, unnest(range(tb)) AS i FROM e) x) SELECT ia.a, ia.b, p.pos AS frame_a, q.pos AS frame_b FROM ia JOIN ib USING (a, b) JOIN f p ON p.g = ia.a AND p.i = ia.i JOIN f q ON q.g = ia.b AND q.i = ib.i""",
     ),
     "label_eval_join": (
-        lambda s, d: label_eval_join(events(s, d).groupBy(F.col("capture").alias("frame"), F.col("label").alias("class")).agg(F.count("*").alias("got")), table(s, d, "labels").where("doc_id < 400").selectExpr("doc_id AS frame", "element_at(array('view', 'click', 'unicorn'), CAST(doc_id % 3 + 1 AS INT)) AS class", "CAST(quality AS BIGINT) AS truth").dropDuplicates(["frame"])),
-        """WITH t AS (SELECT doc_id AS frame, ['view', 'click', 'unicorn'][doc_id % 3 + 1] AS class, max(quality)::BIGINT AS truth FROM labels WHERE doc_id < 400 GROUP BY 1, 2), g AS (SELECT user_id AS frame, event_type AS class, count(*) AS got FROM events WHERE user_id IN (SELECT frame FROM t) GROUP BY ALL)
+        lambda s, d: label_eval_join(events(s, d).groupBy(F.col("capture").alias("frame"), F.col("label").alias("class")).agg(F.count("*").alias("got")), table(s, d, "labels").selectExpr("doc_id AS frame", "element_at(array('view', 'click', 'unicorn'), CAST(doc_id % 3 + 1 AS INT)) AS class", "CAST(quality AS BIGINT) AS truth").dropDuplicates(["frame"])),
+        """WITH t AS (SELECT doc_id AS frame, ['view', 'click', 'unicorn'][doc_id % 3 + 1] AS class, max(quality)::BIGINT AS truth FROM labels GROUP BY 1, 2), g AS (SELECT user_id AS frame, event_type AS class, count(*) AS got FROM events WHERE user_id IN (SELECT frame FROM t) GROUP BY ALL)
            SELECT frame, class, max(truth) AS truth, max(got) AS got FROM (SELECT frame, class, truth, 0 AS got FROM t UNION ALL SELECT frame, class, 0, got FROM g) x GROUP BY ALL""",
     ),
     "redaction_consensus": (

@@ -630,13 +630,13 @@ OPS = {
         "WITH r AS (SELECT quality = 1 AS p, n_chars % 97 AS s FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE n_chars % 11 > 0) SELECT round(avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0 END), 6) AS auc FROM r a, r b WHERE a.p AND NOT b.p",
     ),
     "degree_distribution": (
-        lambda s, d: degree_distribution(table(s, d, "lineitem").where("l_orderkey % 7 = 0").selectExpr("l_suppkey AS frame", "l_partkey AS point"), table(s, d, "supplier").selectExpr("s_suppkey AS frame").union(s.range(1).selectExpr("-1")), 2),
-        """WITH u AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS p FROM lineitem WHERE l_orderkey % 7 = 0), w AS (SELECT a.f, b.f AS o, count(*) AS w FROM u a JOIN u b ON a.p = b.p WHERE a.f <> b.f GROUP BY ALL), n AS (SELECT s_suppkey AS f FROM supplier UNION ALL SELECT -1)
+        lambda s, d: degree_distribution(table(s, d, "lineitem").selectExpr("l_suppkey AS frame", "l_partkey AS point"), table(s, d, "supplier").selectExpr("s_suppkey AS frame").union(s.range(1).selectExpr("-1")), 2),
+        """WITH u AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS p FROM lineitem), w AS (SELECT a.f, b.f AS o, count(*) AS w FROM u a JOIN u b ON a.p = b.p WHERE a.f <> b.f GROUP BY ALL), n AS (SELECT s_suppkey AS f FROM supplier UNION ALL SELECT -1)
            SELECT n.f AS frame, count(o) AS degree, count(o) FILTER (w > 1) AS strong_degree, coalesce(sum(w), 0)::BIGINT AS weight FROM n LEFT JOIN w ON w.f = n.f GROUP BY n.f""",
     ),
     "support_distribution": (
-        lambda s, d: support_distribution(table(s, d, "part").where("p_partkey % 9 > 0").selectExpr("p_partkey % 3 AS segment", "p_partkey AS point"), table(s, d, "lineitem").where("l_orderkey % 9 = 0").selectExpr("l_partkey % 3 AS segment", "l_partkey AS point", "l_suppkey AS frame", "l_partkey % 50 AS feature")),
-        """WITH r AS (SELECT l_partkey AS p, l_suppkey AS f FROM lineitem WHERE l_orderkey % 9 = 0), v AS (SELECT p_partkey, count(DISTINCT f) AS views, count(f) - count(DISTINCT f) AS dup FROM part LEFT JOIN r ON p = p_partkey WHERE p_partkey % 9 > 0 GROUP BY 1)
+        lambda s, d: support_distribution(table(s, d, "part").where("p_partkey % 9 > 0").selectExpr("p_partkey % 3 AS segment", "p_partkey AS point"), table(s, d, "lineitem").selectExpr("l_partkey % 3 AS segment", "l_partkey AS point", "l_suppkey AS frame", "l_partkey % 50 AS feature")),
+        """WITH r AS (SELECT l_partkey AS p, l_suppkey AS f FROM lineitem), v AS (SELECT p_partkey, count(DISTINCT f) AS views, count(f) - count(DISTINCT f) AS dup FROM part LEFT JOIN r ON p = p_partkey WHERE p_partkey % 9 > 0 GROUP BY 1)
            SELECT views, count(*) AS points, sum(dup)::BIGINT AS duplicates, (SELECT count(*) FROM (SELECT p % 3, f, p % 50 FROM r GROUP BY ALL HAVING count(DISTINCT p) > 1) c) AS contested, (SELECT count(*) FROM r WHERE p % 9 = 0) AS orphans FROM v GROUP BY views""",
     ),
     "accept_reject_rates": (

@@ -210,11 +210,41 @@ def _boxes(s, d):
 def _kernel(s, d):
     from sightline.plans.kernels import REGISTRY
 
-    frames = table(s, d, "embeddings").selectExpr("vec_id AS frame_id", "transform(slice(embedding, 1, 16), x -> CAST(x AS DOUBLE)) AS pixels")
+    frames = table(s, d, "embeddings").selectExpr("vec_id AS frame_id", "transform(embedding, x -> CAST(x AS DOUBLE)) AS pixels")
     return REGISTRY.run("brightness", frames).selectExpr("frame_id", "label", "round(value, 6) AS value", "round(metrics['contrast'], 6) AS contrast")
 
 
+def _grey(s, d):
+    """Vectors as pictures of 8 x 8 grey values of 0 to 255."""
+    return table(s, d, "embeddings").selectExpr("vec_id AS frame_id", "transform(embedding, x -> CAST(greatest(0, least(255, floor(CAST(x AS DOUBLE) * 500 + 128))) AS DOUBLE)) AS pixels", "8 AS width")
+
+
+def _quality(s, d):
+    from sightline.plans.kernels import REGISTRY
+
+    names = ("mean", "deviation", "underexposed", "overexposed", "entropy")
+    return REGISTRY.run("frame_quality", _grey(s, d)).selectExpr("frame_id", "label", *(f"round(metrics['{n}'], 6) AS {n}" for n in names))
+
+
+def _edges(s, d):
+    from sightline.plans.kernels import REGISTRY
+
+    return REGISTRY.run("edges", _grey(s, d)).selectExpr("frame_id", "label", "round(value, 6) AS value")
+
+
+_D_GREY = "g AS (SELECT vec_id AS frame_id, i - 1 AS i, greatest(0, least(255, floor(embedding[i]::DOUBLE * 500 + 128))) AS v FROM embeddings, range(1, 65) r(i))"
+
 OPS = {
+    "experiment_quality": (
+        _quality,
+        f"""WITH {_D_GREY}, p AS (SELECT frame_id, v, count(*) / 64 AS p FROM g GROUP BY ALL), e AS (SELECT frame_id, sum(p * log2(1 / p)) AS bits FROM p GROUP BY 1)
+            SELECT frame_id, CASE WHEN avg((v <= 10)::INT) > 0.25 THEN 'underexposed' WHEN avg((v >= 245)::INT) > 0.25 THEN 'overexposed' ELSE 'fair' END AS label, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation, round(avg((v <= 10)::INT), 6) AS underexposed, round(avg((v >= 245)::INT), 6) AS overexposed, round(any_value(bits), 6) AS entropy FROM g JOIN e USING (frame_id) GROUP BY frame_id""",
+    ),
+    "experiment_edges": (
+        _edges,
+        f"""WITH {_D_GREY}, d AS (SELECT a.frame_id, sqrt((r.v - l.v) ** 2 + (b.v - t.v) ** 2) / 2 AS m FROM g a JOIN g l ON l.frame_id = a.frame_id AND l.i = a.i - 1 JOIN g r ON r.frame_id = a.frame_id AND r.i = a.i + 1 JOIN g t ON t.frame_id = a.frame_id AND t.i = a.i - 8 JOIN g b ON b.frame_id = a.frame_id AND b.i = a.i + 8 WHERE a.i % 8 BETWEEN 1 AND 6 AND a.i // 8 BETWEEN 1 AND 6)
+            SELECT frame_id, CASE WHEN avg((m > 40)::INT) >= 0.5 THEN 'busy' ELSE 'calm' END AS label, round(avg((m > 40)::INT), 6) AS value FROM d GROUP BY frame_id""",
+    ),
     "box_geometry": (
         lambda s, d: _R(box_geometry(_boxes(s, d)).select("vec_id", "iou", "inside", "cx0", "cx1", "cy0", "cy1"), "iou", "inside"),
         """WITH b AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, abs(embedding[3]::DOUBLE) + 0.1 AS w, abs(embedding[4]::DOUBLE) + 0.1 AS h, embedding[5]::DOUBLE AS p, embedding[6]::DOUBLE AS q, abs(embedding[7]::DOUBLE) + 0.1 AS r, abs(embedding[8]::DOUBLE) + 0.1 AS t FROM embeddings),
@@ -284,5 +314,5 @@ OPS = {
         lambda s, d: backend_selection(table(s, d, "part").selectExpr("p_partkey", "element_at(array('auto', 'classical', 'unposed'), CAST(p_partkey % 3 + 1 AS INT)) AS asked", "element_at(array('known', 'unknown', NULL), CAST(p_partkey % 4 % 3 + 1 AS INT)) AS intrinsics")).select("p_partkey", "backend", "downgraded_from", "reason"),
         "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 AND p_partkey % 4 % 3 = 0 THEN 'classical' ELSE 'unposed' END AS backend, CASE WHEN down THEN 'classical' END AS downgraded_from, CASE WHEN down THEN 'intrinsics are ' || CASE p_partkey % 4 % 3 WHEN 1 THEN 'unknown' ELSE 'absent' END END AS reason FROM (SELECT *, p_partkey % 3 < 2 AND p_partkey % 4 % 3 > 0 AS down FROM part) x",
     ),
-    "experiment_protocol": (_kernel, "SELECT vec_id AS frame_id, CASE WHEN avg(v) > 0 THEN 'bright' ELSE 'dark' END AS label, round(avg(v), 6) AS value, round(max(v) - min(v), 6) AS contrast FROM (SELECT vec_id, unnest(embedding[1:16])::DOUBLE AS v FROM embeddings) x GROUP BY vec_id"),
+    "experiment_protocol": (_kernel, "SELECT vec_id AS frame_id, CASE WHEN avg(v) > 0 THEN 'bright' ELSE 'dark' END AS label, round(avg(v), 6) AS value, round(max(v) - min(v), 6) AS contrast FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings) x GROUP BY vec_id"),
 }

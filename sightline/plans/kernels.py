@@ -89,6 +89,42 @@ class Brightness:
         return mean, "bright" if mean > 0 else "dark", {"contrast": float(max(pixels)) - float(min(pixels)), "brightness": mean}
 
 
+class FrameQuality:
+    """Exposure and information of grey values of 0 to 255, from their histogram."""
+
+    dark, bright, most = 10, 245, 0.25
+
+    def run(self, row):
+        import numpy as np
+
+        pixels = row["pixels"]
+        if pixels is None or not len(pixels):
+            return None, "unknown", {}
+        counts = np.bincount(np.clip(np.asarray(pixels, float), 0, 255).astype(int), minlength=256)
+        level, share = np.arange(256), counts / counts.sum()
+        mean, some = float(share @ level), share[share > 0]
+        under, over = float(share[: self.dark + 1].sum()), float(share[self.bright :].sum())
+        label = "underexposed" if under > self.most else "overexposed" if over > self.most else "fair"
+        return mean, label, {"mean": mean, "deviation": float(np.sqrt(share @ (level - mean) ** 2)), "underexposed": under, "overexposed": over, "entropy": float(-(some * np.log2(some)).sum())}
+
+
+class Edges:
+    """The share of inner pixels whose central difference is above a limit."""
+
+    limit = 40.0
+
+    def run(self, row):
+        import numpy as np
+
+        pixels, width = row["pixels"], row["width"]
+        if pixels is None or width is None or len(pixels) < 3 * width or width < 3 or len(pixels) % width:
+            return None, "unknown", {}
+        p = np.asarray(pixels, float).reshape(-1, width)
+        size = np.hypot(p[1:-1, 2:] - p[1:-1, :-2], p[2:, 1:-1] - p[:-2, 1:-1]) / 2
+        share = float((size > self.limit).mean())
+        return share, "busy" if share >= 0.5 else "calm", {"edge_share": share, "edge_mean": float(size.mean())}
+
+
 class FixedRows:
     """Answers from a table of rows by frame: detections, text regions, verdicts or estimates computed elsewhere."""
 
@@ -102,6 +138,8 @@ class FixedRows:
 
 REGISTRY = Registry()
 REGISTRY.register(Kernel("brightness", Brightness, {"contrast": "rate", "brightness": "rate"}))
+REGISTRY.register(Kernel("frame_quality", FrameQuality, dict.fromkeys(("mean", "deviation", "underexposed", "overexposed", "entropy"), "rate")))
+REGISTRY.register(Kernel("edges", Edges, {"edge_share": "rate", "edge_mean": "rate"}))
 
 
 def attach_rows(frames: DataFrame, rows: DataFrame, key: str = "frame_id") -> DataFrame:
