@@ -389,35 +389,52 @@ def refusal_root_vs_cascade(poses: DataFrame) -> DataFrame:
     return p.where("root IS NOT NULL").groupBy("segment").agg(F.max("root").alias("root"), F.max(F.when(F.col("k") == F.col("root"), F.col("degeneracy"))).alias("degeneracy"), F.count_if(F.col("refused") & (F.col("k") > F.col("root"))).alias("cascaded"), (F.count("*") - F.max("root")).alias("abandoned"), F.bool_or((F.col("k") > F.col("root")) & ~F.col("refused")).alias("recovered"))
 
 
+def group_medians(values: DataFrame) -> DataFrame:
+    """values (g, v) -> g, median of those that aren't null: exact, from counts of distinct values by blocks, so that no task holds a group."""
+    c = _blocked(values.where(F.col("v").isNotNull()).groupBy(F.col("g").alias("group"), F.col("v").alias("value")).agg(F.count("*").alias("n")), F.col("group"), "value")
+    half = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1  # the same place twice for an odd number
+    per = _ahead(c, F.col("n")).withColumn("p", half[0]).withColumn("q", half[1])
+    holds = lambda r: (F.col("ahead") < F.col(r)) & (F.col(r) <= F.col("ahead") + F.col("own"))
+    c = _same(c, per.where(holds("p") | holds("q"))).withColumn("upto", F.expr("ahead + sum(n) OVER (PARTITION BY group, _block ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+    at = lambda r: F.max(F.when((F.col("upto") >= F.col(r)) & (F.col("upto") - F.col("n") < F.col(r)), F.col("value")))
+    return c.groupBy("group").agg(((at("p") + at("q")) / 2).alias("median")).withColumnRenamed("group", "g")
+
+
 def robust_affine_fit(rows: DataFrame, rounds: int = 12) -> DataFrame:
     """rows (g, pos, x, y) -> slope, offset, held_out: Huber weights (1.5 deviations by the median of residuals about their
     median) in `rounds` weighted fits on even places, where both sides of each equation are weighed, so that squares carry the
-    weight squared; the median relative residual of odd places; null under 2 even rows."""
-    import numpy as np
-    import pandas as pd
+    weight squared; the median relative residual of odd places; null under 2 even rows. Rows of a null group or without x or y are left out.
 
-    def fit(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("pos")
-        x, y = t["x"].to_numpy(float), t["y"].to_numpy(float)
-        a, b = x[::2], y[::2]
-        out = {"g": t["g"].iloc[0], "slope": None, "offset": None, "held_out": None}
-        if len(a) >= 2:
-            weight = np.ones(len(a))
-            for _ in range(rounds):
-                w = weight * weight
-                mx, my = (w * a).sum() / w.sum(), (w * b).sum() / w.sum()
-                xx = (w * (a - mx) ** 2).sum()
-                slope = (w * (a - mx) * (b - my)).sum() / xx if xx > 0 else 0.0
-                offset = my - slope * mx
-                left = b - slope * a - offset
-                far = 1.5 * (1.4826 * np.median(np.abs(left - np.median(left))) + 1e-12)
-                weight = np.where(np.abs(left) <= far, 1.0, far / (np.abs(left) + 1e-12))
-            held = np.abs(y[1::2] - slope * x[1::2] - offset) / np.maximum(np.abs(y[1::2]), 1e-9)
-            out |= {"slope": slope, "offset": offset, "held_out": float(np.median(held)) if len(held) else None}
-        return pd.DataFrame([out])
-
-    kind = rows.schema["g"].dataType.simpleString()
-    return rows.groupBy("g").applyInPandas(fit, f"g {kind}, slope double, offset double, held_out double")
+    A round is sums and two exact medians a group, both added up before they are exchanged: a group may be of any size.
+    """
+    from .graphs import cut, drop
+
+    r = rows.where("g IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").selectExpr("g", "CAST(x AS DOUBLE) AS x", "CAST(y AS DOUBLE) AS y", "(row_number() OVER (PARTITION BY g ORDER BY pos) - 1) % 2 AS odd")
+    middle = r.where("odd = 0").groupBy("g").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n"))  # sums about the means lose no digits
+    r = cut(r.join(middle, "g").where("n > 1").select("g", "odd", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"), "mx", "my"), "fit")
+    fit = None
+    for _ in range(rounds):
+        even = r.where("odd = 0").select("g", "x", "y")
+        if fit is None:
+            even = even.withColumn("w", F.lit(1.0))
+        else:
+            left = F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("offset"))
+            even = even.join(fit, "g").withColumn("w", F.pow(F.when(left <= F.col("far"), 1.0).otherwise(F.col("far") / (left + 1e-12)), 2))
+        s = even.groupBy("g").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("y")).alias("sy"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("sxy"))
+        xx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("s")
+        line = s.withColumn("slope", F.when(xx > 0, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("s")) / F.when(xx > 0, xx)).otherwise(0.0))
+        line = cut(line.select("g", "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("s")).alias("offset")), "line")
+        left = cut(r.where("odd = 0").join(line, "g").select("g", (F.col("y") - F.col("slope") * F.col("x") - F.col("offset")).alias("v")), "left")
+        off = left.join(group_medians(left), "g").select("g", F.abs(F.col("v") - F.col("median")).alias("v"))
+        new = cut(line.join(group_medians(off), "g").select("g", "slope", "offset", (1.5 * (1.4826 * F.col("median") + 1e-12)).alias("far")), "far")
+        drop(line, left, *([] if fit is None else [fit]))
+        fit = new
+    y = F.col("y") + F.col("my")
+    held = r.where("odd = 1").join(fit, "g").select("g", (F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("offset")) / F.greatest(F.abs(y), F.lit(1e-9))).alias("v"))
+    ends = r.groupBy("g").agg(F.first("mx").alias("mx"), F.first("my").alias("my"))
+    out = fit.join(ends, "g").join(group_medians(held).withColumnRenamed("median", "held_out"), "g", "left")
+    out = out.select("g", "slope", (F.col("offset") + F.col("my") - F.col("slope") * F.col("mx")).alias("offset"), "held_out")
+    return rows.select("g").distinct().join(out, "g", "left").select("g", "slope", "offset", "held_out")
 
 
 def rotation_mean(rows: DataFrame) -> DataFrame:
@@ -454,6 +471,22 @@ def _poses(s, d):
 _D_POSES = "ps AS (SELECT vec_id % 23 AS world, vec_id AS seq, label AS segment, ['solved', 'anchor', 'refused', 'solved', 'lost'][vec_id % 5 + 1] AS status, ['', 'flat', 'far'][vec_id % 3 + 1] AS degeneracy, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
 _D_LINES = "li AS (SELECT l_orderkey AS session, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS arrival, l_partkey AS seq, CASE WHEN l_orderkey % 3 > 0 THEN l_suppkey END AS tx, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS d, l_quantity::BIGINT AS b, l_extendedprice::DOUBLE AS lat, l_returnflag <> 'R' AS ok, l_linestatus AS stage, l_discount::DOUBLE AS ms FROM lineitem)"
 
+
+
+def _fit_sql(rounds: int) -> str:
+    """Each round: the weighted line, the residuals' median and its deviation, the weights."""
+    steps = ["w0 AS (SELECT g, i, x, y, 1.0::DOUBLE AS w FROM ev2)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"m{k} AS (SELECT g, sum(w * w * x) / sum(w * w) AS mx, sum(w * w * y) / sum(w * w) AS my FROM w{k - 1} GROUP BY g)")
+        steps.append(f"l{k} AS MATERIALIZED (SELECT g, b, my - b * mx AS a FROM (SELECT w.g, any_value(mx) AS mx, any_value(my) AS my, CASE WHEN sum(w * w * (x - mx) ** 2) > 0 THEN sum(w * w * (x - mx) * (y - my)) / sum(w * w * (x - mx) ** 2) ELSE 0 END AS b FROM w{k - 1} w JOIN m{k} USING (g) GROUP BY w.g))")
+        steps.append(f"r{k} AS (SELECT w.g, i, x, y, y - b * x - a AS r FROM w{k - 1} w JOIN l{k} USING (g))")
+        steps.append(f"d{k} AS (SELECT r.g, 1.5 * (1.4826::DOUBLE * median(abs(r - md)) + 1e-12) AS far FROM r{k} r JOIN (SELECT g, median(r) AS md FROM r{k} GROUP BY g) q USING (g) GROUP BY r.g)")
+        steps.append(f"w{k} AS MATERIALIZED (SELECT r.g, i, x, y, CASE WHEN abs(r) <= far THEN 1.0 ELSE far / (abs(r) + 1e-12) END::DOUBLE AS w FROM r{k} r JOIN d{k} USING (g))")
+    return f"""WITH e AS (SELECT user_id AS g, event_id::DOUBLE / 1000 AS x, value / 500 + CASE WHEN event_id % 23 = 0 THEN 3 ELSE 0 END AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events), ev2 AS (SELECT * FROM e WHERE i % 2 = 0 AND g IN (SELECT g FROM e WHERE i % 2 = 0 GROUP BY g HAVING count(*) > 1)), {", ".join(steps)},
+h AS (SELECT e.g, median(abs(y - b * x - a) / greatest(abs(y), 1e-9)) AS held FROM e JOIN l{rounds} USING (g) WHERE i % 2 = 1 GROUP BY e.g)
+SELECT u.g, round(b, 6) AS slope, round(a, 6) AS "offset", round(held, 6) AS held_out FROM (SELECT DISTINCT g FROM e) u LEFT JOIN l{rounds} USING (g) LEFT JOIN h USING (g)"""
+
+
 OPS = {
     "p95_low_rank": (_p95(True), "SELECT event_type AS label, (list_sort(list(value / 500)))[greatest(1, floor(count(*) * 0.95)::INT)] AS p95 FROM events GROUP BY 1"),
     "p95_high_rank": (_p95(False), "SELECT event_type AS label, (list_sort(list(value / 500)))[least(count(*), floor(count(*) * 0.95)::INT + 1)] AS p95 FROM events GROUP BY 1"),
@@ -652,6 +685,6 @@ OPS = {
         """WITH e AS (SELECT user_id AS g, event_id AS i, event_type = 'error' AS bad, (SELECT min(event_id) FROM events x WHERE x.user_id = e.user_id AND event_type = 'error') AS r FROM events e)
            SELECT g AS segment, count_if(i <= r) AS root, CASE WHEN any_value(r) % 2 = 0 THEN 'flat' ELSE 'far' END AS degeneracy, count_if(bad AND i > r) AS cascaded, count_if(i > r) AS abandoned, count_if(NOT bad AND i > r) > 0 AS recovered FROM e WHERE r IS NOT NULL GROUP BY g""",
     ),
-    "robust_affine_fit": (lambda s, d: robust_affine_fit(events(s, d).selectExpr("capture AS g", "seq AS pos", "CAST(seq AS DOUBLE) AS x", "score AS y")), None),
+    "robust_affine_fit": (lambda s, d: _R6(robust_affine_fit(events(s, d).selectExpr("capture AS g", "seq AS pos", "CAST(seq AS DOUBLE) / 1000 AS x", "score + CASE WHEN seq % 23 = 0 THEN 3 ELSE 0 END AS y"), 6), "slope", "offset", "held_out"), _fit_sql(6)),
     "rotation_mean": (lambda s, d: rotation_mean(table(s, d, "embeddings").selectExpr("label AS g", "transform(slice(embedding, 1, 9), v -> CAST(v AS DOUBLE)) AS r")), None),
 }
