@@ -50,21 +50,23 @@ def capture_lineage(captures: DataFrame, max_rounds: int = 40) -> DataFrame:
     """captures (id, continues) -> id, head, pos, cyclic: the walk each belongs to and its place there.
 
     Of several captures that continue one, the smallest id does. Pointers double each round, so a walk of n captures
-    takes log2(n) joins; one that bites its own tail has no head and is cyclic, its smallest id standing for it.
+    takes log2(n) joins; one that bites its own tail has no head and is cyclic, its smallest id standing for it. A round takes
+    along and writes only captures whose head isn't known yet.
     """
     first = captures.where("continues IS NOT NULL AND continues <> id").groupBy("continues").agg(F.min("id").alias("next")).select(F.col("next").alias("id"), F.col("continues").alias("up"))
     known = captures.select("id").distinct()
     first = first.join(known.withColumnRenamed("id", "up"), "up", "left_semi")
     at = cut(known.join(first, "id", "left").select("id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.least("id", "up").alias("low"), F.coalesce("up", "id").alias("head")), "lineage")
-    n = at.count()
+    n, columns = at.count(), ["id", "up", "steps", "low", "head"]
+    settled, open_ = at.where("up IS NULL").select(columns), at.where("up IS NOT NULL").select(columns)
     for k in range(max_rounds):
-        if 2**k > n or at.where("up IS NOT NULL").isEmpty():
+        if 2**k > n or open_.isEmpty():
             break
-        above = at.select(F.col("id").alias("_u"), F.col("up").alias("_up"), F.col("steps").alias("_s"), F.col("low").alias("_low"), F.col("head").alias("_h"))
-        joined = at.join(above, F.col("up") == F.col("_u"), "left")
-        new = cut(joined.select("id", F.col("_up").alias("up"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), F.least("low", "_low").alias("low"), F.coalesce("_h", "head").alias("head")), "lineage")
-        graphs.drop(at)
-        at = new
+        above = settled.unionByName(open_).select(F.col("id").alias("_u"), F.col("up").alias("_up"), F.col("steps").alias("_s"), F.col("low").alias("_low"), F.col("head").alias("_h"))
+        joined = open_.join(above, F.col("up") == F.col("_u"))
+        moved = cut(joined.select("id", F.col("_up").alias("up"), (F.col("steps") + F.col("_s")).alias("steps"), F.least("low", "_low").alias("low"), F.col("_h").alias("head")), "lineage")
+        settled, open_ = settled.unionByName(moved.where("up IS NULL")), moved.where("up IS NOT NULL")
+    at = settled.unionByName(open_)
     cyclic = F.col("up").isNotNull()
     return at.select("id", F.when(cyclic, F.col("low")).otherwise(F.col("head")).alias("head"), F.when(~cyclic, F.col("steps")).alias("pos"), cyclic.alias("cyclic"))
 
