@@ -205,9 +205,9 @@ STATE = "bucket int, words binary, per binary, contexts binary, counts binary, t
 
 
 def _row(bucket, words, per, u, c, tables, groups, roots):
-    """tables, groups and roots: the kept samples and, last, the current seating, one after another."""
-    join = lambda xs: b"".join(x.astype(np.uint32).tobytes() for x in xs)
-    return [bucket, words.tobytes(), per.astype(np.uint32).tobytes(), u.astype(np.uint16).tobytes(), c.astype(np.int64).tobytes(), join(tables), join(groups), join(roots)]
+    """tables, groups and roots: the kept samples and, last, the current seating, one after another; all numbers in as few bytes as they need."""
+    join = lambda xs: _narrow(np.concatenate(xs)) if len(xs) else b""
+    return [bucket, words.tobytes(), _narrow(per), u.astype(np.uint16).tobytes(), _narrow(c), join(tables), join(groups), join(roots)]
 
 
 def _table(rows):
@@ -220,8 +220,8 @@ class Dishes:
     """A bucket's dishes: word of, context and class of each pair, and where words and their classes start."""
 
     def __init__(self, model: Model, row: dict):
-        self.words, self.per = np.frombuffer(row["words"], U), np.frombuffer(row["per"], np.uint32).astype(np.int64)
-        self.u, self.c = np.frombuffer(row["contexts"], np.uint16).astype(np.int64), np.frombuffer(row["counts"], np.int64)
+        self.words, self.per = np.frombuffer(row["words"], U), _widened(row["per"])
+        self.u, self.c = np.frombuffer(row["contexts"], np.uint16).astype(np.int64), _widened(row["counts"])
         self.starts = np.cumsum(self.per) - self.per
         self.of = np.repeat(np.arange(len(self.words)), self.per)
         g = self.u // model.per_class
@@ -230,7 +230,7 @@ class Dishes:
         self.g, self.group_of, self.word_of_group = g[first], np.cumsum(first) - 1, self.of[first]
         self.root_starts = np.searchsorted(self.word_of_group, np.arange(len(self.words)))
         if row["tables"]:
-            self.tables, self.groups, self.roots = (np.frombuffer(row[k], np.uint32).reshape(-1, n).astype(np.int64) for k, n in (("tables", len(self.u)), ("groups", len(self.g)), ("roots", len(self.words))))
+            self.tables, self.groups, self.roots = (_widened(row[k]).reshape(-1, n) for k, n in (("tables", len(self.u)), ("groups", len(self.g)), ("roots", len(self.words))))
 
     def group_customers(self, tables):
         return np.add.reduceat(tables, self.group_starts, axis=-1)
@@ -250,7 +250,7 @@ def _merge(model: Model):
         words, per = np.unique(w[at], return_counts=True)
         row = _row(table.column("bucket")[0].as_py(), words, per, u, c, [], [], [])
         dishes = Dishes(model, dict(zip((x.split()[0] for x in STATE.split(", ")), row)))
-        row[5:] = (np.ones(n, np.uint32).tobytes() for n in (len(u), len(dishes.g), len(words)))
+        row[5:] = (_narrow(np.ones(n, np.int64)) for n in (len(u), len(dishes.g), len(words)))
         return pa.Table.from_batches([_table([row])])
 
     return run
@@ -319,6 +319,7 @@ def train(docs: DataFrame, space: Workspace, n: int, model: Model, burn_in: int
         space.drop(state)
         state = new
     model.samples.append(_totals(model, state))
+    space.settle()
     return state
 
 

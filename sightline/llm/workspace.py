@@ -1,6 +1,7 @@
 """Intermediate tables in the folder that driver and executors share."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,11 @@ class Workspace:
         """All tables; frames that read them are used no more."""
         self._delete(self.root)
 
+    def settle(self) -> None:
+        """Has Spark remove exchanges that no plan can read any more; it does so for those that the driver's collector finds."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _delete(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
