@@ -2,7 +2,7 @@
 
 The stream's offset is the end of the last whole line of each file. A line without its end waits for a later batch; a
 file that became shorter is read again from its start. Only sizes and the last piece of a file are looked at on the
-driver; ranges are read by tasks. Paths go through Arrow's file systems (file, hdfs, s3 and others by their URI).
+driver; ranges are read by tasks, a long backlog of one file by several: each reads the lines that begin in its span. Paths go through Arrow's file systems (file, hdfs, s3 and others by their URI).
 """
 from __future__ import annotations
 
@@ -50,14 +50,38 @@ def _last_line_end(root: str, path: str, size: int, least: int) -> int:
 
 
 class Span(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    """Lines of a file that begin from start to end; the file's whole lines reach to stop. A span that isn't the first begins within a line, or at one."""
+
+    def __init__(self, path: str, start: int, end: int, stop: int, first: bool):
+        self.path, self.start, self.end, self.stop, self.first = path, start, end, stop, first
+
+
+def spans(path: str, start: int, stop: int, size: int) -> list[Span]:
+    return [Span(path, at, min(at + size, stop), stop, at == start) for at in range(start, stop, size)]
+
+
+def lines_of(f, span: Span, step: int = 1 << 20):
+    """(offset, line) of a span's lines."""
+    at = base = span.start if span.first else span.start - 1  # a line end just before belongs to the line before
+    rest, skip = b"", not span.first
+    while at < span.stop and base < span.end:
+        piece = f.read_at(min(step, span.stop - at), at)
+        if not piece:
+            return
+        at += len(piece)
+        *lines, rest = (rest + piece).split(b"\n")
+        for line in lines:
+            if not skip and base < span.end:
+                yield base, line
+            skip = False
+            base += len(line) + 1
 
 
 class JournalReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root, self.name = options["path"], options.get("name", "frames.jsonl")
         self.at_end = str(options.get("startAtEnd", "false")).lower() == "true"
+        self.size = int(options.get("spanBytes", 64 << 20))
         self.before: dict = {}
 
     def initialOffset(self) -> dict:  # noqa: N802
@@ -72,25 +96,17 @@ class JournalReader(DataSourceStreamReader):
         return out
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        spans = []
+        out = []
         for path, stop in end.items():
             at = start.get(path, 0)
-            at = 0 if stop < at else at
-            if stop > at:
-                spans.append(Span(path, at, stop))
-        return spans
+            out += spans(path, 0 if stop < at else at, stop, self.size)
+        return out
 
     def read(self, span: Span):
         system, _ = _open(self.root)
         with system.open_input_file(span.path) as f:
-            at, rest, base = span.start, b"", span.start
-            while at < span.end:
-                piece = f.read_at(min(1 << 20, span.end - at), at)
-                at += len(piece)
-                *lines, rest = (rest + piece).split(b"\n")
-                for line in lines:
-                    yield span.path, base, line.decode("utf-8", "replace")
-                    base += len(line) + 1
+            for offset, line in lines_of(f, span):
+                yield span.path, offset, line.decode("utf-8", "replace")
 
     def commit(self, end: dict) -> None:
         pass
@@ -110,10 +126,10 @@ class JournalSource(DataSource):
         return JournalReader(self.options)
 
 
-def tail(spark: SparkSession, root: str, name: str = "frames.jsonl", start_at_end: bool = False) -> DataFrame:
-    """The lines of all journals of that name under a folder, as they grow."""
+def tail(spark: SparkSession, root: str, name: str = "frames.jsonl", start_at_end: bool = False, span_bytes: int = 64 << 20) -> DataFrame:
+    """The lines of all journals of that name under a folder, as they grow; a task reads about span_bytes."""
     spark.dataSource.register(JournalSource)
-    return spark.readStream.format("journal_tail").option("path", root).option("name", name).option("startAtEnd", str(start_at_end).lower()).load()
+    return spark.readStream.format("journal_tail").option("path", root).option("name", name).option("startAtEnd", str(start_at_end).lower()).option("spanBytes", str(span_bytes)).load()
 
 
 def _manifest(root: str, capture: str) -> dict:

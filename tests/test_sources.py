@@ -1,15 +1,17 @@
 import json
 import os
+import random
 import struct
 
 import numpy as np
 import pytest
+from pyarrow import fs
 from pyspark.sql import types as T
 
 from sightline.operators.keeping import derived_currency, read_derived, write_derived
 from sightline.sources import buffers
 from sightline.sources.publish import StatGatedCache, atomic_publish, staging_sweep
-from sightline.sources.tail import capture_follow, tail
+from sightline.sources.tail import capture_follow, lines_of, spans, tail
 
 FRAME = T.StructType([T.StructField("seq", T.LongType())])
 
@@ -41,6 +43,35 @@ def test_tail_reads_whole_lines_once(spark, tmp_path):
     assert poll() == ["new"]
 
 
+def test_spans_share_a_file_line_by_line(spark, tmp_path):
+    rnd = random.Random(6)
+    lines = [b"x" * rnd.choice([0, 1, 2, 9, 40]) for _ in range(60)]
+    path = tmp_path / "f"
+    path.write_bytes(b"\n".join(lines) + b"\n")
+    offsets = [sum(len(x) + 1 for x in lines[:i]) for i in range(len(lines))]
+    stop = path.stat().st_size
+    with fs.LocalFileSystem().open_input_file(str(path)) as f:
+        for start in (0, offsets[7]):
+            for size in (1, 2, 3, 7, 41, 10_000):
+                for step in (1, 5, 1 << 20):
+                    got = [x for span in spans(str(path), start, stop, size) for x in lines_of(f, span, step)]
+                    assert got == [(o, x) for o, x in zip(offsets, lines) if o >= start], (start, size, step)
+
+
+def test_a_long_backlog_is_many_tasks(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "frames.jsonl").write_text("".join(f'{{"n": {i}}}\n' for i in range(500)) + "torn")
+    seen, tasks = [], []
+
+    def take(df, _):
+        tasks.append(df.rdd.getNumPartitions())
+        seen.extend(json.loads(r.value)["n"] for r in df.orderBy("offset").collect())
+
+    q = tail(spark, str(tmp_path), span_bytes=1000).writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert seen == list(range(500)) and max(tasks) >= 5
+
+
 def test_tail_from_the_end(spark, tmp_path):
     root, seen = str(tmp_path / "in"), []
     append(f"{root}/a/frames.jsonl", b"old\n")
