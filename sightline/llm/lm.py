@@ -148,15 +148,11 @@ def _tokens(table, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return counts, token, context
 
 
-def _pairs(token: np.ndarray, context: np.ndarray):
-    """Distinct words in order, the pairs each has, and each pair's context and count."""
-    order = np.lexsort((context, token))
-    w, u = token[order], context[order]
-    first = np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]) if len(w) else np.zeros(0, bool)
-    at = np.flatnonzero(first)
-    count = np.diff(np.append(at, len(w)))
-    words, per = np.unique(w[at], return_counts=True)
-    return words, per, u[at], count
+def _pairs(token: np.ndarray, context: np.ndarray, places: bool = False):
+    """Distinct words in order, the pairs each has, each pair's context and count; with places, the word and the pair of each token."""
+    words, word = np.unique(token, return_inverse=True)
+    keys, *pair, count = np.unique(word.astype(np.int64) << 16 | context, return_inverse=places, return_counts=True)
+    return words, np.bincount(keys >> 16, minlength=len(words)), (keys & 0xFFFF).astype(np.uint16), count, *([word, *pair] if places else [])
 
 
 def _bucket(w: np.ndarray, n: int) -> np.ndarray:
@@ -381,13 +377,10 @@ def _score(model_n: int, model_v: int, contexts: int):
         order = np.argsort(told.column("bucket").to_numpy(), kind="stable")
         told = told.take(pa.array(order))
         counts, token, context = _tokens(docs, contexts)
-        words, per, u, _ = _pairs(token, context)
+        *_, word, pair = _pairs(token, context, places=True)
         count = _wide(told, "counts")
         logs = _cat(told, "logs", np.int32) / STEP
-        at = np.searchsorted(words, token)
-        key = np.repeat(np.arange(len(words)), per) * (contexts + 1) + u
-        c = count[at]
-        log = logs[np.searchsorted(key, at * (contexts + 1) + context)]
+        c, log = count[word], logs[pair]
         base = np.log10((c + 1) / (model_n + model_v + 1))
         starts = np.cumsum(counts) - counts
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else x
