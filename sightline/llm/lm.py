@@ -235,19 +235,43 @@ class Dishes:
         return np.add.reduceat(groups, self.root_starts, axis=-1)
 
 
-def _merge(model: Model):
-    def run(table: pa.Table) -> pa.Table:
-        per = _wide(table, "per")
-        w, u, c = np.repeat(_cat(table, "words", U), per), _cat(table, "contexts", np.uint16).astype(np.int64), _wide(table, "counts")
-        order = np.lexsort((u, w))
-        w, u, c = w[order], u[order], c[order].astype(np.int64)
-        at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]))
-        c, u = np.add.reduceat(c, at), u[at]
-        words, per = np.unique(w[at], return_counts=True)
-        row = _row(table.column("bucket")[0].as_py(), words, per, u, c, [], [], [])
+def _summed(pieces: list) -> list:
+    """(words, contexts, counts) of the distinct pairs of all pieces, in order."""
+    w, u, c = (np.concatenate(x) for x in zip(*pieces))
+    order = np.lexsort((u, w))
+    w, u, c = w[order], u[order], c[order]
+    at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]))
+    return [(w[at], u[at], np.add.reduceat(c, at))]
+
+
+def _merge(model: Model, held: int = 1 << 21):
+    """Rows in the order of buckets -> a row a bucket. A common word's bucket gets a row with it from every piece of the
+    corpus, so pairs are summed whenever over `held` of them have come since, and memory doesn't grow with the pieces."""
+
+    def whole(bucket, pieces):
+        ((w, u, c),) = _summed(pieces)
+        words, per = np.unique(w, return_counts=True)
+        row = _row(bucket, words, per, u, c, [], [], [])
         dishes = Dishes(model, dict(zip((x.split()[0] for x in STATE.split(", ")), row)))
         row[5:] = (_narrow(np.ones(n, np.int64)) for n in (len(u), len(dishes.g), len(words)))
-        return pa.Table.from_batches([_table([row])])
+        trim()
+        return _table([row])
+
+    def run(batches):
+        bucket, pieces, new = None, [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != bucket:
+                    if pieces:
+                        yield whole(bucket, pieces)
+                    bucket, pieces, new = row["bucket"], [], 0
+                u = np.frombuffer(row["contexts"], np.uint16)
+                pieces.append((np.repeat(np.frombuffer(row["words"], U), _widened(row["per"])), u, _widened(row["counts"])))
+                new += len(u)
+                if new > max(held, 2 * len(pieces[0][0])):
+                    pieces, new = _summed(pieces), 0
+        if pieces:
+            yield whole(bucket, pieces)
 
     return run
 
@@ -305,7 +329,7 @@ def _totals(model: Model, state: DataFrame) -> Totals:
 
 def train(docs: DataFrame, space: Workspace, n: int, model: Model, burn_in: int = 2, samples: int = 3) -> DataFrame:
     """docs: _text of training documents -> the state table; model gets the totals of each sample."""
-    state = space.keep(docs.mapInArrow(_gather(model.contexts, n), "bucket int, words binary, per binary, contexts binary, counts binary").groupBy("bucket").applyInArrow(_merge(model), STATE))
+    state = space.keep(docs.mapInArrow(_gather(model.contexts, n), "bucket int, words binary, per binary, contexts binary, counts binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge(model), STATE))
     for turn in range(burn_in + samples):
         totals = _totals(model, state)
         keep = turn > burn_in
@@ -339,35 +363,68 @@ def _ask(contexts: int, n: int):
     return run
 
 
-def _tell(model: Model):
-    def run(state: pa.Table, asked: pa.Table) -> pa.Table:
-        words = np.zeros(0, U)
-        if state.num_rows:
-            x = Dishes(model, state.to_pylist()[0])
-            words, base = x.words, max(model.contexts + 1, model.classes)
-            c2, key, group_key = x.group_customers(x.tables), x.of * base + x.u, x.word_of_group * base + x.g
-            c1, once = x.root_customers(x.groups), np.add.reduceat(x.c, x.starts)
-        trim()
-        rows, s = [], len(model.samples)
-        for r in asked.to_pylist():
-            w, n, ctx = np.frombuffer(r["words"], U), _widened(r["per"]), np.frombuffer(r["contexts"], np.uint16).astype(np.int64)
-            count, pc = np.zeros(len(w), np.int64), np.zeros(len(ctx))
-            pt, pk2, pt2, pk1, pt1 = (np.zeros((s, len(ctx))) for _ in range(5))
-            if len(words):
-                at = np.minimum(np.searchsorted(words, w), len(words) - 1)
-                known = words[at] == w
-                count[known] = once[at[known]]
-                of, there = np.repeat(at, n), np.repeat(known, n)
-                pk1[:, there], pt1[:, there] = c1[:, of[there]], x.roots[:, of[there]]
-                for keys, want, fill in ((group_key, of * base + ctx // model.per_class, ((pk2, c2), (pt2, x.groups))), (key, of * base + ctx, ((pt, x.tables),))):
-                    hit = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                    met = there & (keys[hit] == want)
-                    for to, source in fill:
-                        to[:, met] = source[:, hit[met]]
-                pc[met] = x.c[hit[met]]
-            p = predictive(model, ctx, pc, pt, pk2, pt2, pk1, pt1)
-            rows.append((r["part"], r["bucket"], _narrow(count), np.rint(np.log10(p) * STEP).astype(np.int32).tobytes()))
-        return pa.table([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "bucket", "counts", "logs"])
+class Served:
+    """A bucket's dishes as they are asked for: those of known words, with the customers and tables of every kept sample."""
+
+    def __init__(self, model: Model, row: dict | None):
+        self.model, self.words = model, np.zeros(0, U)
+        if row:
+            x = self.x = Dishes(model, row)
+            self.words, self.base = x.words, max(model.contexts + 1, model.classes)
+            self.c2, self.key, self.group_key = x.group_customers(x.tables), x.of * self.base + x.u, x.word_of_group * self.base + x.g
+            self.c1, self.once = x.root_customers(x.groups), np.add.reduceat(x.c, x.starts)
+
+    def answers(self, w, n, ctx):
+        """Of words w with n contexts each: the words' counts, and their logarithms after each context."""
+        s = len(self.model.samples)
+        count, pc = np.zeros(len(w), np.int64), np.zeros(len(ctx))
+        pt, pk2, pt2, pk1, pt1 = (np.zeros((s, len(ctx))) for _ in range(5))
+        if len(self.words):
+            x = self.x
+            at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+            known = self.words[at] == w
+            count[known] = self.once[at[known]]
+            of, there = np.repeat(at, n), np.repeat(known, n)
+            pk1[:, there], pt1[:, there] = self.c1[:, of[there]], x.roots[:, of[there]]
+            for keys, want, fill in ((self.group_key, of * self.base + ctx // self.model.per_class, ((pk2, self.c2), (pt2, x.groups))), (self.key, of * self.base + ctx, ((pt, x.tables),))):
+                hit = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                met = there & (keys[hit] == want)
+                for to, source in fill:
+                    to[:, met] = source[:, hit[met]]
+            pc[met] = x.c[hit[met]]
+        p = predictive(self.model, ctx, pc, pt, pk2, pt2, pk1, pt1)
+        return count, np.rint(np.log10(p) * STEP).astype(np.int32)
+
+
+TOLD = {"part": pa.int32(), "bucket": pa.int32(), "counts": pa.binary(), "logs": pa.binary()}
+
+
+def _tell(model: Model, held: int = 1 << 18):
+    """Rows in the order of buckets, each bucket's state (part -1) before what the parts ask -> answers. Every part asks for
+    the common words, so a bucket's questions aren't held together: they are answered by some `held` pairs at a time."""
+
+    def answered(served, bucket, rows):
+        w, n, ctx = [np.frombuffer(r["words"], U) for r in rows], [_widened(r["per"]) for r in rows], [np.frombuffer(r["contexts"], np.uint16) for r in rows]
+        count, logs = served.answers(np.concatenate(w), np.concatenate(n), np.concatenate(ctx).astype(np.int64))
+        i, p = (np.cumsum([0, *map(len, x)]) for x in (w, ctx))
+        values = ([r["part"] for r in rows], [bucket] * len(rows), [_narrow(count[a:b]) for a, b in zip(i, i[1:])], [logs[a:b].tobytes() for a, b in zip(p, p[1:])])
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, TOLD.values())], names=[*TOLD])
+
+    def run(batches):
+        bucket, served, asked, size = None, None, [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if asked and (row["bucket"] != bucket or size > held):
+                    yield answered(served, bucket, asked)
+                    asked, size = [], 0
+                if row["bucket"] != bucket:
+                    bucket, served = row["bucket"], Served(model, row if row["part"] < 0 else None)
+                    trim()
+                if row["part"] >= 0:
+                    asked.append(row)
+                    size += len(row["contexts"]) // 2
+        if asked:
+            yield answered(served, bucket, asked)
 
     return run
 
@@ -400,7 +457,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     state = train(base.where(~F.col("_held")).select("_text"), space, buckets, model)
     parted = dealt(base, n, "_id", "_text").groupBy("_part")
     asked = parted.applyInArrow(_ask(model.contexts, buckets), "bucket int, part int, words binary, per binary, contexts binary")
-    told = state.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_tell(model), "part int, bucket int, counts binary, logs binary")
+    served = asked.unionByName(state.withColumn("part", F.lit(-1)), allowMissingColumns=True)
+    told = served.repartition("bucket").sortWithinPartitions("bucket", "part").mapInArrow(_tell(model), "part int, bucket int, counts binary, logs binary")
     kind = docs.schema[id_col].dataType.simpleString()
     out = told.groupBy("part").cogroup(parted).applyInArrow(_score(model.n, model.v, model.contexts), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -1,12 +1,14 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sightline.llm.lm import END, Model, Totals, _draws, predictive, score_documents, seated
+from sightline.llm.lm import END, Dishes, Model, Totals, _draws, _merge, _narrow, _tell, _widened, predictive, score_documents, seated
 from sightline.llm.text import U, mixed
 import xxhash
 
@@ -187,3 +189,47 @@ def test_scores_equal_a_model_by_hand(spark):
     got = score_documents(spark.createDataFrame(rows, "doc_id long, text string"), model=Model(**model)).collect()
     want = sorted(hand.score(t) for _, t in rows)
     assert max(abs(a - b) for a, b in zip(sorted(r.score for r in got), want)) < 1e-6
+
+
+def rows_of_pieces(n, words, contexts, more=()):
+    """n rows of bucket 3 with all contexts of all words, each twice, before those of other buckets; a batch each, made when read."""
+    row = dict(bucket=3, words=words.tobytes(), per=_narrow(np.full(len(words), len(contexts))), contexts=np.tile(contexts, len(words)).tobytes(), counts=_narrow(np.full(len(words) * len(contexts), 2)))
+    for r in [row] * n + [*more]:
+        yield pa.RecordBatch.from_pylist([r])
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    out = run()
+    mb = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, mb
+
+
+def test_a_common_word_is_merged_and_served_in_bounded_memory():
+    model, words, contexts = Model(contexts=1 << 12, per_class=64), np.array([5, 9], U), np.arange(1 << 12, dtype=np.uint16)
+    last = dict(bucket=4, words=np.array([7], U).tobytes(), per=_narrow(np.array([1])), contexts=np.array([6], np.uint16).tobytes(), counts=_narrow(np.array([1])))
+    merged, mb = peak_mb(lambda: [r for b in _merge(model, held=1 << 16)(rows_of_pieces(1000, words, contexts, [last])) for r in b.to_pylist()])
+    assert [r["bucket"] for r in merged] == [3, 4] and mb < 20  # all its pairs at once: 8 million, 65 MB of hashes alone
+    x = Dishes(model, merged[0])
+    assert x.words.tolist() == [5, 9] and x.per.tolist() == [1 << 12] * 2 and (x.u == np.tile(contexts, 2)).all() and (x.c == 2000).all() and (x.tables == 1).all()
+
+    model.n, model.v = 8 * 1000 * len(contexts) + 1, 3
+    model.customers[: len(contexts)] = 4000
+    model.samples.append(Totals(np.append(np.full(len(contexts), 2.0), 0), np.append(np.full(64, 2.0), 0), 3.0))
+
+    def asked():
+        for bucket in (2, 3):  # bucket 2 has no state
+            if bucket == 3:
+                yield pa.RecordBatch.from_pylist([dict(merged[0], part=-1)])
+            for part in range(300):
+                yield pa.RecordBatch.from_pylist([dict(bucket=bucket, part=part, words=np.array([5, 8], U).tobytes(), per=_narrow(np.array([len(contexts), 1])), contexts=np.append(contexts, np.uint16(part)).tobytes(), counts=None, tables=None, groups=None, roots=None)])
+
+    def run():
+        return [(r["bucket"], r["part"], _widened(r["counts"]).tolist(), len(r["logs"]), hash(r["logs"][: 4 * len(contexts)])) for b in _tell(model, held=1 << 14)(asked()) for r in b.to_pylist()]
+
+    told, mb = peak_mb(run)
+    assert mb < 20 and len(told) == 600 and all(n == 4 * len(contexts) + 4 for *_, n, _ in told)
+    assert [t[:2] for t in told] == [(b, p) for b in (2, 3) for p in range(300)]
+    assert all(t[2] == ([0, 0] if t[0] == 2 else [2000 * len(contexts), 0]) for t in told)
+    assert len({t[-1] for t in told}) == 2  # all parts get the same answers, one kind from each bucket
