@@ -32,10 +32,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import U, Words, mixed, slices, trim
+from .text import U, coded_words, mixed, slices, trim
 from .workspace import Workspace, dealt, parts_for
 
 END = U(0x5EED0E0D5EED0E0D)
@@ -133,26 +134,28 @@ def seated(seed: np.ndarray, turn: int, c: np.ndarray, new: np.ndarray, d: float
     return t
 
 
-def _tokens(table, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How many tokens each text has, each text's end after its words; all tokens, and their contexts."""
-    words = Words(table.column("_text"), lower=True)
-    counts = words.counts + 1
+def _tokens(table, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many tokens each text has, each text's end after its words; all texts' distinct words in order, and of each
+    token the word's place among them and the context. Hashes and contexts are made once a distinct word."""
+    coded, per = coded_words(table.column("_text"), lower=True)
+    texts = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)  # bytes by the row; to_pylist takes ten times as long
+    words, place = np.unique(np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, texts), U, len(texts)), END), return_inverse=True)
+    counts = per + 1
     ends = np.cumsum(counts)
-    token = np.empty(int(ends[-1]) if len(ends) else 0, U)
-    is_end = np.zeros(len(token), bool)
-    is_end[ends - 1] = True
-    token[is_end], token[~is_end] = END, words.hash
-    context = np.empty(len(token), np.uint16)
-    context[1:] = (mixed(token[:-1] + U(77)) % U(contexts)).astype(np.uint16)
+    is_word = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+    is_word[ends - 1] = False
+    word = np.full(len(is_word), place[-1])
+    word[is_word] = place[coded.indices.to_numpy(zero_copy_only=False)]
+    context = np.empty(len(word), np.uint16)
+    context[1:] = (mixed(words + U(77)) % U(contexts)).astype(np.uint16)[word[:-1]]
     context[ends - counts] = contexts
-    return counts, token, context
+    return counts, words, word, context
 
 
-def _pairs(token: np.ndarray, context: np.ndarray, places: bool = False):
-    """Distinct words in order, the pairs each has, each pair's context and count; with places, the word and the pair of each token."""
-    words, word = np.unique(token, return_inverse=True)
-    keys, *pair, count = np.unique(word.astype(np.int64) << 16 | context, return_inverse=places, return_counts=True)
-    return words, np.bincount(keys >> 16, minlength=len(words)), (keys & 0xFFFF).astype(np.uint16), count, *([word, *pair] if places else [])
+def _pairs(words: np.ndarray, word: np.ndarray, context: np.ndarray, places: bool = False):
+    """The pairs each word has, each pair's context and count; with places, the pair of each token."""
+    keys, *pair, count = np.unique(word << 16 | context, return_inverse=places, return_counts=True)
+    return np.bincount(keys >> 16, minlength=len(words)), (keys & 0xFFFF).astype(np.uint16), count, *pair
 
 
 def _bucket(w: np.ndarray, n: int) -> np.ndarray:
@@ -171,8 +174,8 @@ def _gather(contexts: int, n: int):
     def run(batches):
         for batch in (x for b in batches for x in slices(b, 0, 4 << 20)):
             if batch.num_rows:
-                _, token, context = _tokens(batch, contexts)
-                words, per, u, c = _pairs(token, context)
+                _, words, word, context = _tokens(batch, contexts)
+                per, u, c = _pairs(words, word, context)
                 cuts = _cuts(words, per, n)
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in cuts], pa.int32()), *(pa.array(v, pa.binary()) for v in zip(*((words[i:j].tobytes(), _narrow(per[i:j]), u[p:q].astype(np.uint16).tobytes(), _narrow(c[p:q])) for _, i, j, p, q in cuts)))], names=["bucket", "words", "per", "contexts", "counts"])
 
@@ -354,8 +357,8 @@ def predictive(model: Model, u, c, t, c2, t2, c1, t1) -> np.ndarray:
 
 def _ask(contexts: int, n: int):
     def run(table: pa.Table) -> pa.Table:
-        _, token, context = _tokens(table, contexts)
-        words, per, u, _ = _pairs(token, context)
+        _, words, word, context = _tokens(table, contexts)
+        per, u, _ = _pairs(words, word, context)
         cuts = _cuts(words, per, n)
         part = table.column("_part")[0].as_py()
         return pa.table({"bucket": pa.array([x[0] for x in cuts], pa.int32()), "part": pa.array([part] * len(cuts), pa.int32()), "words": [words[i:j].tobytes() for _, i, j, _, _ in cuts], "per": [_narrow(per[i:j]) for _, i, j, _, _ in cuts], "contexts": [u[p:q].astype(np.uint16).tobytes() for _, _, _, p, q in cuts]})
@@ -364,36 +367,53 @@ def _ask(contexts: int, n: int):
 
 
 class Served:
-    """A bucket's dishes as they are asked for: those of known words, with the customers and tables of every kept sample."""
+    """A bucket's dishes as they are asked for: the logarithm of each known pair, which many parts ask for, made once; and for
+    other pairs those of known words, with the customers and tables of every kept sample."""
 
-    def __init__(self, model: Model, row: dict | None):
+    def __init__(self, model: Model, row: dict | None, block: int = 1 << 17):
         self.model, self.words = model, np.zeros(0, U)
         if row:
             x = self.x = Dishes(model, row)
             self.words, self.base = x.words, max(model.contexts + 1, model.classes)
             self.c2, self.key, self.group_key = x.group_customers(x.tables), x.of * self.base + x.u, x.word_of_group * self.base + x.g
             self.c1, self.once = x.root_customers(x.groups), np.add.reduceat(x.c, x.starts)
+            self.logs = np.empty(len(x.u), np.int32)
+            for a in range(0, len(x.u), block):
+                b = slice(a, a + block)
+                g, of = x.group_of[b], x.of[b]
+                self.logs[b] = self.log(x.u[b], x.c[b], x.tables[:, b], self.c2[:, g], x.groups[:, g], self.c1[:, of], x.roots[:, of])
+
+    def log(self, *pairs):
+        return np.rint(np.log10(predictive(self.model, *pairs)) * STEP).astype(np.int32)
 
     def answers(self, w, n, ctx):
         """Of words w with n contexts each: the words' counts, and their logarithms after each context."""
-        s = len(self.model.samples)
-        count, pc = np.zeros(len(w), np.int64), np.zeros(len(ctx))
-        pt, pk2, pt2, pk1, pt1 = (np.zeros((s, len(ctx))) for _ in range(5))
+        count, logs, rest = np.zeros(len(w), np.int64), np.empty(len(ctx), np.int32), np.arange(len(ctx))
+        of = np.full(len(ctx), -1)
         if len(self.words):
-            x = self.x
             at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
             known = self.words[at] == w
             count[known] = self.once[at[known]]
-            of, there = np.repeat(at, n), np.repeat(known, n)
-            pk1[:, there], pt1[:, there] = self.c1[:, of[there]], x.roots[:, of[there]]
-            for keys, want, fill in ((self.group_key, of * self.base + ctx // self.model.per_class, ((pk2, self.c2), (pt2, x.groups))), (self.key, of * self.base + ctx, ((pt, x.tables),))):
-                hit = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                met = there & (keys[hit] == want)
-                for to, source in fill:
-                    to[:, met] = source[:, hit[met]]
-            pc[met] = x.c[hit[met]]
-        p = predictive(self.model, ctx, pc, pt, pk2, pt2, pk1, pt1)
-        return count, np.rint(np.log10(p) * STEP).astype(np.int32)
+            of = np.repeat(np.where(known, at, -1), n)
+            want = of * self.base + ctx
+            hit = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            met = self.key[hit] == want
+            logs = self.logs[hit]
+            rest = np.flatnonzero(~met)
+        if len(rest):
+            of, ctx = of[rest], ctx[rest]
+            c2, t2, c1, t1 = np.zeros((4, len(self.model.samples), len(rest)))
+            if len(self.words):
+                there = np.flatnonzero(of >= 0)
+                c1[:, there], t1[:, there] = self.c1[:, of[there]], self.x.roots[:, of[there]]
+                want = of[there] * self.base + ctx[there] // self.model.per_class
+                hit = np.minimum(np.searchsorted(self.group_key, want), len(self.group_key) - 1)
+                met = self.group_key[hit] == want
+                there, hit = there[met], hit[met]
+                c2[:, there], t2[:, there] = self.c2[:, hit], self.x.groups[:, hit]
+            none = np.zeros_like(c1)
+            logs[rest] = self.log(ctx, none[0], none, c2, t2, c1, t1)
+        return count, logs
 
 
 TOLD = {"part": pa.int32(), "bucket": pa.int32(), "counts": pa.binary(), "logs": pa.binary()}
@@ -433,8 +453,8 @@ def _score(model_n: int, model_v: int, contexts: int):
     def run(told: pa.Table, docs: pa.Table) -> pa.Table:
         order = np.argsort(told.column("bucket").to_numpy(), kind="stable")
         told = told.take(pa.array(order))
-        counts, token, context = _tokens(docs, contexts)
-        *_, word, pair = _pairs(token, context, places=True)
+        counts, words, word, context = _tokens(docs, contexts)
+        *_, pair = _pairs(words, word, context, places=True)
         count = _wide(told, "counts")
         logs = _cat(told, "logs", np.int32) / STEP
         c, log = count[word], logs[pair]

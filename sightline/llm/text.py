@@ -46,25 +46,30 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20):
         at = end
 
 
+def coded_words(texts, lower: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of all texts, and how many each text has."""
+    trim()
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+        if isinstance(texts, pa.ChunkedArray):
+            texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
+    if texts.offset:  # ascii_lower misreads what a cast makes of a slice, so the slice is copied first
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if lower:
+        texts = pc.ascii_lower(texts)
+    parts = pc.ascii_split_whitespace(texts)
+    flat = parts.flatten()
+    real = pc.not_equal(pc.binary_length(flat), 0)
+    per = np.diff(np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False).astype(np.int64))])[parts.offsets.to_numpy()]) if len(parts) else np.zeros(0, np.int64)
+    return flat.filter(real).dictionary_encode(), per
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of texts: hash[i] of word i, ends[d] the end of document d's words."""
 
     def __init__(self, texts, lower: bool = False, seed: int = 0):
-        trim()
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-            if isinstance(texts, pa.ChunkedArray):
-                texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
-        if texts.offset:  # ascii_lower misreads what a cast makes of a slice, so the slice is copied first
-            texts = texts.take(pa.array(np.arange(len(texts))))
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if lower:
-            texts = pc.ascii_lower(texts)
-        parts = pc.ascii_split_whitespace(texts)
-        flat = parts.flatten()
-        real = pc.not_equal(pc.binary_length(flat), 0)
-        per = np.diff(np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False).astype(np.int64))])[parts.offsets.to_numpy()]) if len(parts) else np.zeros(0, np.int64)
-        coded = flat.filter(real).dictionary_encode()
+        coded, per = coded_words(texts, lower)
         self.index = coded.indices.to_numpy(zero_copy_only=False)
         self.words = coded.dictionary.cast(pa.large_binary()).to_pylist()
         self.hash = self.hashes(seed)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sightline.llm import lm
 from sightline.llm.lm import END, Dishes, Model, Totals, _draws, _merge, _narrow, _tell, _widened, predictive, score_documents, seated
 from sightline.llm.text import U, mixed
 import xxhash
@@ -233,3 +234,52 @@ def test_a_common_word_is_merged_and_served_in_bounded_memory():
     assert [t[:2] for t in told] == [(b, p) for b in (2, 3) for p in range(300)]
     assert all(t[2] == ([0, 0] if t[0] == 2 else [2000 * len(contexts), 0]) for t in told)
     assert len({t[-1] for t in told}) == 2  # all parts get the same answers, one kind from each bucket
+
+
+def test_contexts_are_made_once_a_distinct_word(monkeypatch):
+    made = []
+    monkeypatch.setattr(lm, "mixed", lambda x: made.append(len(x)) or mixed(x))
+    texts = ["Ab c abÉ " * 500, None, "", " c \t ab"]
+    table = pa.table({"_text": texts})
+    counts, words, word, context = lm._tokens(table, 64)
+    assert sum(made) <= 4  # three words and the end; they were made for each of the 1506 tokens
+    hand, want = ByHand([], Model(contexts=64)), []
+    for t in texts:
+        seen = tokens(t)
+        want += [(hand.hash(w), hand.context(before)) if i else (hand.hash(w), 64) for i, (before, w) in enumerate(zip([None, *seen], seen))]
+    assert counts.tolist() == [1501, 1, 1, 3] and list(zip(words[word].tolist(), context.tolist())) == want
+    per, u, c, pair = lm._pairs(words, word, context, places=True)
+    pairs = list(zip(np.repeat(words, per).tolist(), u.tolist()))
+    assert sorted(words.tolist()) == words.tolist() and pairs == sorted(set(want)) and [pairs[i] for i in pair] == want and c.tolist() == [Counter(want)[p] for p in pairs]
+
+
+def test_known_pairs_are_worked_out_once_however_many_parts_ask(monkeypatch):
+    rng, model = np.random.default_rng(3), Model(contexts=64, per_class=8)
+    words, contexts = np.sort(rng.integers(0, 1 << 32, 20).astype(U)), np.arange(0, 64, 3)
+    n = len(words) * len(contexts)
+    u, c = np.tile(contexts, len(words)), rng.integers(1, 9, n)
+    groups = len(np.unique(contexts // 8))
+    x = dict(bucket=3, part=-1, words=words.tobytes(), per=_narrow(np.full(len(words), len(contexts))), contexts=u.astype(np.uint16).tobytes(), counts=_narrow(c), tables=_narrow(np.minimum(rng.integers(1, 3, 2 * n), np.tile(c, 2))), groups=_narrow(np.ones(2 * len(words) * groups, np.int64)), roots=_narrow(np.ones(2 * len(words), np.int64)))
+    model.n, model.v = int(c.sum()), len(words)
+    model.customers[:64] = 40
+    model.samples += [Totals(np.append(np.full(64, 9.0 + i), 0), np.append(np.full(8, 20.0), 0), 20.0) for i in range(2)]
+    want_w, want_u = np.append(U(5), words), [np.array([1, 3])] + [np.arange(64) if i else np.arange(0, 64, 9) for i in range(len(words))]
+    ask = dict(bucket=3, words=want_w.tobytes(), per=_narrow(np.array([len(v) for v in want_u])), contexts=np.concatenate(want_u).astype(np.uint16).tobytes(), counts=None, tables=None, groups=None, roots=None)
+    done = []
+    monkeypatch.setattr(lm, "predictive", lambda m, u, *more: done.append(len(u)) or predictive(m, u, *more))
+    parts = 50
+    told = [r for b in _tell(model)([pa.RecordBatch.from_pylist([x, *(dict(ask, part=p) for p in range(parts))])]) for r in b.to_pylist()]
+    asked = sum(len(v) for v in want_u)
+    met = sum(int(np.isin(v, contexts).sum()) for v in want_u[1:])
+    assert sum(done) == n + parts * (asked - met)  # all that was asked before: parts * asked
+
+    d = Dishes(model, x)
+    c2, c1, got = d.group_customers(d.tables), d.root_customers(d.groups), []
+    for w, us in zip(want_w, want_u):
+        for k in us:
+            i, g, o = np.flatnonzero((d.words[d.of] == w) & (d.u == k)), np.flatnonzero((d.words[d.word_of_group] == w) & (d.g == k // 8)), np.flatnonzero(d.words == w)
+            one = lambda a, at: a[:, at] if len(at) else np.zeros((2, 1))
+            got.append(predictive(model, np.array([k]), d.c[i] if len(i) else np.zeros(1), one(d.tables, i), one(c2, g), one(d.groups, g), one(c1, o), one(d.roots, o))[0])
+    logs = np.rint(np.log10(got) * lm.STEP).astype(np.int32)
+    assert len(told) == parts and all((np.frombuffer(r["logs"], np.int32) == logs).all() for r in told)
+    assert all(_widened(r["counts"]).tolist() == [0, *c.reshape(len(words), -1).sum(axis=1)] for r in told)
