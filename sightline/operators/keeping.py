@@ -88,7 +88,7 @@ OPS = {
            g AS (SELECT *, CASE WHEN r IS NULL AND k > min(k) FILTER (r IS NULL) OVER (PARTITION BY o) THEN 'already-there' ELSE r END AS reason FROM b) SELECT reason, count(*) AS n FROM g WHERE reason IS NOT NULL GROUP BY reason""",
     ),
     "prune_purge": (
-        lambda s, d: prune_purge(table(s, d, "events").selectExpr("event_id AS id", "CASE WHEN event_id % 11 > 0 THEN value END AS recorded_at"), table(s, d, "events").where("event_id % 2 = 0").selectExpr("event_id + CASE WHEN event_id % 10 = 0 THEN 1000000 ELSE 0 END AS id", "event_id AS length"), 60.0)[2],
+        lambda s, d: prune_purge(table(s, d, "events").selectExpr("event_id AS id", "CASE WHEN event_id % 11 > 0 THEN value END AS recorded_at"), table(s, d, "events").where("event_id % 2 = 0").selectExpr("CASE WHEN event_id % 10 = 0 THEN -1 - event_id ELSE event_id END AS id", "event_id AS length"), 60.0)[2],
         """WITH e AS (SELECT event_id AS k, event_id % 11 > 0 AND value >= 60 AS live FROM events) SELECT count(*) FILTER (NOT live) AS removed, count(*) FILTER (live) AS retained, count(*) FILTER (k % 2 = 0 AND (NOT live OR k % 10 = 0)) AS blobs_removed, (sum(k) FILTER (k % 2 = 0 AND (NOT live OR k % 10 = 0)))::BIGINT AS bytes_removed, true AS complete FROM e""",
     ),
     "sighting_tracker": (
