@@ -20,7 +20,7 @@ MARKS = {
 }
 
 
-def _round6(x: str) -> str:
+def round6(x: str) -> str:
     """DuckDB's round(x, 6) of a double: of x times a million, halves away from zero; x itself where that is infinite. Spark's own rounds the decimal that x prints as."""
     y = f"(({x}) * 1E6D)"
     whole = f"(rint({y}) + CASE WHEN {y} > 0 AND {y} - rint({y}) = 0.5D THEN 1 WHEN {y} < 0 AND rint({y}) - {y} = 0.5D THEN -1 ELSE 0 END)"
@@ -35,7 +35,7 @@ def _marks(sql: str, duck: bool) -> str:
         sql = re.sub(mark + r"\(([\w.]+)\)", rf"regexp_extract_all(lower(coalesce(\1, '')), '{pattern}'{'' if duck else ', 0'})", sql)
     sql = re.sub(r"@XOR\((\w+), (\w+)\)", r"xor(\1, \2)" if duck else r"(\1 ^ \2)", sql)
     sql = re.sub(r"@EMA\((\w+), ([\d.]+)\)", r"list_reduce(\1, lambda y, x: y + \2 * (x - y))" if duck else r"reduce(slice(\1, 2, size(\1)), element_at(\1, 1), (y, x) -> y + CAST(\2 AS DOUBLE) * (x - y))", sql)
-    sql = re.sub(r"@ROUND6\(([^()]+)\)", lambda m: f"round({m[1]}, 6)" if duck else _round6(m[1]), sql)
+    sql = re.sub(r"@ROUND6\(([^()]+)\)", lambda m: f"round({m[1]}, 6)" if duck else round6(m[1]), sql)
     if duck:
         sql = re.sub(r"sha2\((.*), 256\) AS", r"sha256(\1) AS", sql).replace("LEFT ANTI JOIN", "ANTI JOIN")
     for mark, spelt in MARKS.items():
