@@ -70,7 +70,7 @@ def _size(path):
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
 
 
-@pytest.mark.parametrize("name", ["bm25_search", "best_page_per_document", "search_rank"])
+@pytest.mark.parametrize("name", ["bm25_search", "best_page_per_document", "search_rank", "fuzzy_expand"])
 def test_searches_write_no_texts_and_postings(spark, tables, name):
     shared = shared_dir(spark).removeprefix("file://")
     before = _size(shared)
