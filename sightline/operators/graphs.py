@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 from sightline.sources.shared import hadoop, shared_dir
 
 
+#: With this a query's shuffle files go when it ends, not when the driver next collects its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """The rows, written to the shared folder and read again."""
+    """The rows, written to the shared folder and read again; what was exchanged for them goes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graph-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if was is None else spark.conf.set(_CLEAN, was)
     out = spark.read.parquet(path)
     out._kept_path = path
     return out
